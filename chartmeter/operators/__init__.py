@@ -1,7 +1,13 @@
 from chartmeter.operators.bins import density_1d, grid_2d, histogram
 from chartmeter.operators.boxes import box_stats
 from chartmeter.operators.groups import agg_by, count_by, count_where, rate_by, share, trend
-from chartmeter.operators.ranking import argmax_per_group, topk_filter, topk_groups, topk_rows
+from chartmeter.operators.ranking import (
+    argmax_per_group,
+    topk_filter,
+    topk_groups,
+    topk_rows,
+    topk_show,
+)
 from chartmeter.operators.rows import (
     category_values,
     compare_to_row,
@@ -32,6 +38,7 @@ __all__ = [
     "topk_filter",
     "topk_groups",
     "topk_rows",
+    "topk_show",
     "trend",
     "unpivot_measures",
 ]

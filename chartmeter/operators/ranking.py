@@ -62,6 +62,25 @@ def topk_filter(
     return df.join(F.broadcast(ranked) if k <= SMALL_ROWS else ranked, same, "left_semi")
 
 
+def topk_show(
+    df: DataFrame,
+    entity: Keys,
+    rank_by: str | Column,
+    k: int,
+    show: dict[str, tuple[str, str | Column]],
+    fn: str = "sum",
+    asc: bool = False,
+) -> DataFrame:
+    """Other aggregates of the k entities that rank highest by one measure, in one pass.
+
+    ``show`` names each shown column and gives its aggregate and measure.
+    """
+    keys = as_list(entity)
+    shown = [measure_column(how, measure).alias(name) for name, (how, measure) in show.items()]
+    grouped = df.groupBy(*keys).agg(measure_column(fn, rank_by).alias("rank_value"), *shown)
+    return topk_rows(grouped, "rank_value", k, keys, asc).select(*keys, *show)
+
+
 def argmax_per_group(
     df: DataFrame,
     keys: Keys,

@@ -15,6 +15,8 @@ from chartmeter.shared import broadcast_if_small, is_small, stage
 
 #: Strings up to this length are looked up whole, longer ones by pieces of it.
 PIECE = 64
+#: Golden strings are tried on all predicted points in question up to this number.
+FEW = 64
 #: Parts that the predicted strings sharing one piece are spread over.
 SALTS = 16
 
@@ -95,60 +97,106 @@ def _compared(golden: DataFrame, predicted: DataFrame) -> DataFrame:
     )
 
 
-def _texts(points: DataFrame) -> DataFrame:
-    """One row per string side of a point: ``side``, ``text`` and ``fixed``, the other
-    side if that is no string."""
+def _grouped(points: DataFrame) -> DataFrame:
+    """Add what a point's possible matches have in common with it: ``texts``, the sides
+    that are strings, and ``fixed``, the other side if there is one."""
     k, v = F.col("k"), F.col("v")
     nothing = F.struct(
         F.lit("").alias("kind"),
         F.lit(None).cast("double").alias("num"),
         F.lit(None).cast("string").alias("str"),
     )
-    fixed = F.when(~_is_text(k), k).when(~_is_text(v), v).otherwise(nothing)
+    both = _is_text(k) & _is_text(v)
+    texts = F.when(both, "kv").when(_is_text(k), "k").when(_is_text(v), "v")
+    fixed = F.when(both, nothing).when(_is_text(k), v).otherwise(k)
+    return points.where(_is_text(k) | _is_text(v)).select(
+        *_GROUP, texts.alias("texts"), fixed.alias("fixed"), "k", "v"
+    )
+
+
+def _by_text(grouped: DataFrame) -> DataFrame:
+    """One row per string side of a point: ``side`` and ``text``."""
     sides = F.array(
-        F.when(_is_text(k), F.struct(F.lit("k").alias("side"), k["str"].alias("text"))),
-        F.when(_is_text(v), F.struct(F.lit("v").alias("side"), v["str"].alias("text"))),
+        F.when(
+            F.contains("texts", F.lit("k")),
+            F.struct(F.lit("k").alias("side"), F.col("k.str").alias("text")),
+        ),
+        F.when(
+            F.contains("texts", F.lit("v")),
+            F.struct(F.lit("v").alias("side"), F.col("v.str").alias("text")),
+        ),
     )
-    return points.select(*_GROUP, "k", "v", fixed.alias("fixed"), F.explode(sides).alias("s")).where(
-        "s is not null"
-    ).select(*_GROUP, "k", "v", "fixed", "s.side", "s.text")
+    return grouped.select("*", F.explode(F.array_compact(sides)).alias("s")).select(
+        *grouped.columns, "s.side", "s.text"
+    )
+
+
+def _accepted() -> Column:
+    """Golden k, v inside predicted their_k, their_v; sides that are no strings are
+    equal by ``fixed`` already."""
+    inside = F.lit(True)
+    for side in ("k", "v"):
+        holds = F.contains(F.col(f"their_{side}.str"), F.col(f"{side}.str"))
+        inside = inside & (~F.contains("texts", F.lit(side)) | holds)
+    return inside
 
 
 def _contained(points: DataFrame, undecided: DataFrame) -> DataFrame:
     """Unmatched golden points that some predicted point contains.
 
-    Containment becomes equality: a golden string occurs in a predicted one if it
-    equals one of that string's pieces of its length. Strings over PIECE
-    characters are looked up by three of their pieces; points with two strings
-    by both. Any piece that no predicted string has settles the point; otherwise
-    its rarest piece finds the few predicted points worth a full test.
+    Where few predicted points come into question, all are tried. Elsewhere
+    containment becomes equality, see ``_looked_up``.
     """
     some = points.join(broadcast_if_small(undecided), _GROUP, "left_semi")
-    asked = _asked_pieces(_texts(some.where("in_golden and not in_predicted")))
+    offered = _grouped(some.where("in_predicted"))
+    keys = [*_GROUP, "texts", "fixed"]
+    sizes = offered.groupBy(*keys).agg(F.count("*").alias("n_offered"))
+    # inner: without any predicted point of its group there is no match
+    asked = _grouped(some.where("in_golden and not in_predicted")).join(sizes, keys)
     asked = stage(asked, "asked")
-    offered = _offered_pieces(_texts(some.where("in_predicted")), asked)
-    keys = [*_GROUP, "fixed", "side", "piece"]
 
+    few = asked.where(F.col("n_offered") <= FEW).drop("n_offered")
+    theirs = offered.withColumnsRenamed({"k": "their_k", "v": "their_v"})
+    matched = few.join(theirs, keys).where(_accepted()).select(*_GROUP, "k", "v").distinct()
+    many = asked.where(F.col("n_offered") > FEW).drop("n_offered")
+    if many.isEmpty():
+        return matched
+    crowds = many.select(*keys).distinct()
+    crowded = offered.join(broadcast_if_small(crowds), keys, "left_semi")
+    return matched.unionByName(_looked_up(many, crowded))
+
+
+def _looked_up(golden: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Golden points found by pieces of their strings.
+
+    A golden string occurs in a predicted one if it equals one of that string's
+    pieces of its length. Strings over PIECE characters are looked up by three
+    of their pieces, points with two strings by both. Any piece that no
+    predicted string has settles the point; otherwise its rarest piece finds
+    the predicted points worth a full test.
+    """
+    asked = stage(_asked_pieces(_by_text(golden)), "asked-pieces")
+    offered = _offered_pieces(_by_text(predicted), asked)
+    keys = [*_GROUP, "texts", "fixed", "side", "piece"]
     wanted = asked.select(*keys).distinct()
     counted = offered.join(F.broadcast(wanted), keys, "left_semi") if is_small(wanted) else offered
     counted = counted.groupBy(*keys).agg(F.count("*").alias("n_offered"))
     seen = F.coalesce("n_offered", F.lit(0))
-    looked_up = (
+    found = (
         asked.join(counted, keys, "left")
-        .groupBy(*_GROUP, "k", "v")
+        .groupBy(*_GROUP, "texts", "fixed", "k", "v")
         .agg(
             F.min(seen).alias("fewest"),
-            F.min_by(F.struct("fixed", "side", "piece"), seen).alias("rarest"),
+            F.min_by(F.struct("side", "piece"), seen).alias("rarest"),
             F.bool_and("whole").alias("whole"),
-            F.count("*").alias("n_pieces"),
         )
         .where("fewest > 0")
     )
-    looked_up = stage(looked_up, "looked-up")
-    # one whole string next to an equal other side needs no further test
-    sure = F.col("whole") & (F.col("n_pieces") == 1)
-    matched = looked_up.where(sure).select(*_GROUP, "k", "v")
-    unsure = looked_up.where(~sure).select(*_GROUP, "k", "v", "rarest.*")
+    found = stage(found, "found")
+    # a whole string next to an equal other side needs no further test
+    sure = F.col("whole") & (F.col("texts") != "kv")
+    matched = found.where(sure).select(*_GROUP, "k", "v")
+    unsure = found.where(~sure).select(*_GROUP, "texts", "fixed", "rarest.*", "k", "v")
     if unsure.isEmpty():
         return matched
     return matched.unionByName(_tested(unsure, offered, keys))
@@ -162,14 +210,12 @@ def _asked_pieces(texts: DataFrame) -> DataFrame:
     pieces = F.when(size <= PIECE, F.array(text)).otherwise(
         F.transform(starts, lambda start: F.substring(text, start, F.lit(PIECE)))
     )
-    return texts.select(
-        *_GROUP, "k", "v", "fixed", "side", (size <= PIECE).alias("whole"), F.explode(pieces).alias("piece")
-    )
+    return texts.withColumn("whole", size <= PIECE).withColumn("piece", F.explode(pieces)).drop("text")
 
 
 def _offered_pieces(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """All pieces of the predicted strings, of the lengths asked for in their case."""
-    by = [*_GROUP, "side"]
+    by = [*_GROUP, "texts", "side"]
     # at most PIECE + 1 lengths per group
     lengths = asked.groupBy(*by).agg(F.collect_set(F.length("piece")).alias("lengths"))
     lengths = stage(lengths, "lengths")
@@ -179,11 +225,10 @@ def _offered_pieces(texts: DataFrame, asked: DataFrame) -> DataFrame:
         .withColumn("size", F.explode("lengths"))
         .where(F.col("size") <= F.length("text"))
     )
-    whole = F.length("text") == F.col("size")
     starts = F.sequence(F.lit(1), F.length("text") - F.col("size") + 1)
     pieces = (
         F.when(F.col("size") == 0, F.array(F.lit("")))
-        .when(whole, F.array("text"))
+        .when(F.length("text") == F.col("size"), F.array("text"))
         .otherwise(
             F.array_distinct(
                 F.transform(
@@ -192,32 +237,21 @@ def _offered_pieces(texts: DataFrame, asked: DataFrame) -> DataFrame:
             )
         )
     )
-    return sized.select(*_GROUP, "k", "v", "fixed", "side", F.explode(pieces).alias("piece"))
+    return sized.withColumn("piece", F.explode(pieces)).drop("text", "letters", "size", "lengths")
 
 
 def _tested(unsure: DataFrame, offered: DataFrame, keys: list[str]) -> DataFrame:
     """Golden points that match a predicted point with the same rarest piece."""
     theirs = offered.withColumnsRenamed({"k": "their_k", "v": "their_v"})
-    accepted = F.lit(True)
-    for mine, other in (("k", "their_k"), ("v", "their_v")):
-        text = _is_text(F.col(mine)) & _is_text(F.col(other))
-        inside = F.contains(F.col(f"{other}.str"), F.col(f"{mine}.str"))
-        # a side that is no string is equal by ``fixed``
-        accepted = accepted & F.when(text, inside).otherwise(
-            F.col(f"{mine}.kind") == F.col(f"{other}.kind")
-        )
     point = [*_GROUP, "k", "v"]
     if is_small(unsure):
-        return theirs.join(F.broadcast(unsure), keys).where(accepted).select(*point).distinct()
+        return theirs.join(F.broadcast(unsure), keys).where(_accepted()).select(*point).distinct()
     # a piece many predicted strings have is spread over salts on their side
     spread = theirs.withColumn("salt", F.pmod(F.xxhash64("their_k", "their_v"), F.lit(SALTS)))
     copies = unsure.withColumn(
         "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
     )
-    same = F.lit(True)
-    for c in [*keys, "salt"]:
-        same = same & (copies[c] == spread[c])
-    return copies.join(spread, same & accepted, "left_semi").select(*point).distinct()
+    return copies.join(spread, [*keys, "salt"]).where(_accepted()).select(*point).distinct()
 
 
 def records_match(golden: DataFrame, predicted: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -7,8 +7,6 @@ holds).
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,18 +43,26 @@ _ATTRIBUTES = ["type", "xaxis", "yaxis", "xbingroup", "ybingroup", "subplot", "d
 _DOMAIN = "struct<x:array<double>,y:array<double>,row:double,column:double>"
 
 
-@dataclass(frozen=True)
-class Sides:
-    """Column names of one joined case: what each side's record holds."""
+def _has(side: str, key: str) -> Column:
+    """State of an array of the golden (``g``) or predicted (``p``) record of a row."""
+    return F.col(f"{side}.has.{key}")
+
+
+def _is(side: str, key: str) -> Column:
+    """Attribute of the golden (``g``) or predicted (``p``) record of a row."""
+    return F.col(f"{side}.is.{key}")
 
-    golden: str = "g"
-    predicted: str = "p"
 
-    def state(self, side: str, key: str) -> Column:
-        return F.col(f"{side}.has.{key}")
+def _drawn_from(pair: str) -> list[str]:
+    return [name for name, (source, _) in CHART_TYPES.items() if source == pair]
 
-    def attribute(self, side: str, key: str) -> Column:
-        return F.col(f"{side}.is.{key}")
+
+def _listed(*keys: str) -> Column:
+    """Whether both records hold all these arrays."""
+    listed = F.lit(True)
+    for key in keys:
+        listed = listed & (_has("g", key) == "list") & (_has("p", key) == "list")
+    return listed
 
 
 def _state(value: Column) -> Column:
@@ -85,21 +91,21 @@ def describe(record: Column) -> Column:
     )
 
 
-def type_match(sides: Sides = Sides()) -> Column:
+def type_match() -> Column:
     """Predicted type against golden type; an error where there is none."""
-    golden, predicted = sides.attribute(sides.golden, "type"), sides.attribute(sides.predicted, "type")
+    golden, predicted = _is("g", "type"), _is("p", "type")
     return F.when(golden.isNull() | predicted.isNull(), "E").when(golden == predicted, "T").otherwise("F")
 
 
-def _of_type(types: list[str], sides: Sides) -> Column:
+def _of_type(types: list[str]) -> Column:
     """Whether the golden type is one of these; attributes hold JSON text."""
-    golden = sides.attribute(sides.golden, "type")
+    golden = _is("g", "type")
     return F.coalesce(golden.isin(*[f'"{name}"' for name in types]), F.lit(False))
 
 
-def _same(sides: Sides, golden: tuple[str, str], predicted: tuple[str, str], data: Column) -> Column:
-    gk, gv = (sides.state(sides.golden, key) for key in golden)
-    pk, pv = (sides.state(sides.predicted, key) for key in predicted)
+def _same(golden: tuple[str, str], predicted: tuple[str, str], data: Column) -> Column:
+    gk, gv = (_has("g", key) for key in golden)
+    pk, pv = (_has("p", key) for key in predicted)
     all_lists = (gk == "list") & (gv == "list") & (pk == "list") & (pv == "list")
     return (
         F.when((gk == "none") & (pk != "none"), "F")
@@ -110,23 +116,22 @@ def _same(sides: Sides, golden: tuple[str, str], predicted: tuple[str, str], dat
     )
 
 
-def fields_match(pair: str, data: Column, swapped: Column | None = None, sides: Sides = Sides()) -> Column:
+def fields_match(pair: str, data: Column, swapped: Column | None = None) -> Column:
     """Outcome for one pair of arrays, given the outcome of comparing their data.
 
     The pair is compared if the golden type is drawn from it. x and y are tried
     the other way round as well, then whatever the type.
     """
-    of_type = [name for name, (drawn_from, _) in CHART_TYPES.items() if drawn_from == pair]
-    direct = F.when(_of_type(of_type, sides), _same(sides, PAIRS[pair], PAIRS[pair], data)).otherwise("F")
+    direct = F.when(_of_type(_drawn_from(pair)), _same(PAIRS[pair], PAIRS[pair], data)).otherwise("F")
     if pair != "xy":
         return direct
-    other = _same(sides, ("x", "y"), ("y", "x"), F.lit("T") if swapped is None else swapped)
+    other = _same(("x", "y"), ("y", "x"), F.lit("T") if swapped is None else swapped)
     return F.when(direct == "F", other).otherwise(direct)
 
 
-def standard_fields_match(outcomes: list[Column], sides: Sides = Sides()) -> Column:
+def standard_fields_match(outcomes: list[Column]) -> Column:
     """Any pair will do, but an error in one outweighs a match in another."""
-    unknown = ~_of_type(list(CHART_TYPES), sides)
+    unknown = ~_of_type(list(CHART_TYPES))
 
     def any_is(outcome: str) -> Column:
         return F.greatest(*[o == outcome for o in outcomes])
@@ -136,7 +141,7 @@ def standard_fields_match(outcomes: list[Column], sides: Sides = Sides()) -> Col
     )
 
 
-def extra_fields_match(sides: Sides = Sides()) -> Column:
+def extra_fields_match() -> Column:
     """Further keys of the golden type: in the predicted record, and equal."""
     result = F.lit("T")
     by_keys: dict[tuple[str, ...], list[str]] = {}
@@ -145,13 +150,13 @@ def extra_fields_match(sides: Sides = Sides()) -> Column:
     for keys, names in by_keys.items():
         outcomes = []
         for key in keys:
-            g, p = sides.attribute(sides.golden, key), sides.attribute(sides.predicted, key)
+            g, p = _is("g", key), _is("p", key)
             outcomes.append(F.when(p.isNull(), "F").when(g.isNull(), "E").when(g == p, "T").otherwise("F"))
         # of T, F and E the smallest but for T decides; E and F both fail
         failed = F.least(*[F.when(o != "T", o) for o in outcomes]) if len(outcomes) > 1 else F.when(
             outcomes[0] != "T", outcomes[0]
         )
-        result = F.when(_of_type(names, sides), F.coalesce(failed, F.lit("T"))).otherwise(result)
+        result = F.when(_of_type(names), F.coalesce(failed, F.lit("T"))).otherwise(result)
     return result
 
 
@@ -170,19 +175,10 @@ def score_records(
     )
     facts = stage(cases.join(known, "uuid", "left").join(answers, "uuid", "left"), "facts")
     usable = facts.where((F.col("status") == "ok") & F.col("golden_ok"))
-    sides = Sides()
-
-    def listed(*keys: str) -> Column:
-        wanted = F.lit(True)
-        for side in (sides.golden, sides.predicted):
-            for key in keys:
-                wanted = wanted & (sides.state(side, key) == "list")
-        return wanted
 
-    by_pair = {pair: [n for n, (of, _) in CHART_TYPES.items() if of == pair] for pair in PAIRS}
     direct_needed = F.lit(False)
-    for pair, names in by_pair.items():
-        direct_needed = direct_needed | (_of_type(names, sides) & listed(*PAIRS[pair]))
+    for pair, keys in PAIRS.items():
+        direct_needed = direct_needed | (_of_type(_drawn_from(pair)) & _listed(*keys))
     todo = usable.where(direct_needed).select("uuid").distinct()
     # a filter that is worth having only while it does not shuffle the records
     if is_small(todo):
@@ -197,11 +193,11 @@ def score_records(
 
     # exchanged axes, for the cases that x and y as they are did not settle
     as_is = F.when(
-        _of_type(by_pair["xy"], sides), _same(sides, ("x", "y"), ("x", "y"), F.col("data_xy"))
+        _of_type(_drawn_from("xy")), _same(("x", "y"), ("x", "y"), F.col("data_xy"))
     ).otherwise("F")
     again = stage(
         facts.where((F.col("status") == "ok") & F.col("golden_ok"))
-        .where(listed("x", "y") & (as_is == "F"))
+        .where(_listed("x", "y") & (as_is == "F"))
         .select("uuid")
         .distinct(),
         "again",
@@ -214,7 +210,7 @@ def score_records(
         swapped = _outcomes(pairs_match_swapped(mine, theirs)).withColumn("pair", F.lit("yx"))
         facts = _with_outcomes(facts.drop("data_yx"), swapped, ["yx"])
 
-    maps = usable.where(_of_type(["densitymapbox"], sides) & listed("lat", "lon", "z"))
+    maps = usable.where(_of_type(["densitymapbox"]) & _listed("lat", "lon", "z"))
     maps = stage(maps.select("uuid").distinct(), "maps")
     facts = facts.withColumn("data_map", F.lit(None).cast("string"))
     if not maps.isEmpty():
@@ -248,38 +244,32 @@ def _with_outcomes(facts: DataFrame, outcomes: DataFrame, pairs) -> DataFrame:
     return facts.join(wide, "uuid", "left")
 
 
-def verdict(sides: Sides = Sides()) -> dict[str, Column]:
+def verdict() -> dict[str, Column]:
     """Named outcomes of a case with its data outcomes in data_xy, data_yx,
     data_latlon, data_labelsvalues and data_map."""
     pairs = {
-        "xy": fields_match("xy", F.col("data_xy"), F.col("data_yx"), sides),
-        "latlon": fields_match("latlon", F.col("data_latlon"), sides=sides),
-        "labelsvalues": fields_match("labelsvalues", F.col("data_labelsvalues"), sides=sides),
+        "xy": fields_match("xy", F.col("data_xy"), F.col("data_yx")),
+        "latlon": fields_match("latlon", F.col("data_latlon")),
+        "labelsvalues": fields_match("labelsvalues", F.col("data_labelsvalues")),
     }
-    standard = standard_fields_match(list(pairs.values()), sides)
-    there = F.lit(True)
-    for side in (sides.golden, sides.predicted):
-        for key in ("lat", "lon", "z"):
-            there = there & (sides.state(side, key) == "list")
-    density = F.when(there, F.coalesce("data_map", F.lit("T"))).otherwise("E")
+    standard = standard_fields_match(list(pairs.values()))
+    density = F.when(_listed("lat", "lon", "z"), F.coalesce("data_map", F.lit("T"))).otherwise("E")
     own = F.lit("F")
     for pair, outcome in pairs.items():
-        names = [name for name, (of, _) in CHART_TYPES.items() if of == pair]
-        own = F.when(_of_type(names, sides), outcome).otherwise(own)
+        own = F.when(_of_type(_drawn_from(pair)), outcome).otherwise(own)
     return {
-        "type": type_match(sides),
+        "type": type_match(),
         "standard": standard,
         "density": density,
-        "extra": extra_fields_match(sides),
+        "extra": extra_fields_match(),
         "own": own,
     }
 
 
 def _verdicts(facts: DataFrame, strict: bool, keep: list[str]) -> DataFrame:
-    sides = Sides()
-    facts = facts.withColumns({f"_{name}": outcome for name, outcome in verdict(sides).items()})
+    facts = facts.withColumns({f"_{name}": outcome for name, outcome in verdict().items()})
     without = F.coalesce(F.col("complexity") == WITHOUT_TYPE, F.lit(False))
-    density = _of_type(["densitymapbox"], sides) & ~without
+    density = _of_type(["densitymapbox"]) & ~without
     facts = facts.withColumn("_data", F.when(density, F.col("_density")).otherwise(F.col("_standard")))
     passed_data = F.col("_data").isin("T", "V")
     vacuous = ~density & ((F.col("_data") == "V") | (F.col("_own") != "T"))
@@ -288,7 +278,7 @@ def _verdicts(facts: DataFrame, strict: bool, keep: list[str]) -> DataFrame:
         .when(~F.col("golden_ok"), "bad_golden")
         .when(F.col("status").isNull(), "missing_prediction")
         .when(F.col("status") != "ok", F.col("status"))
-        .when(~_of_type(list(CHART_TYPES), sides), "unsupported_type")
+        .when(~_of_type(list(CHART_TYPES)), "unsupported_type")
         .when(~without & (F.col("_type") == "E"), "error")
         .when(~without & (F.col("_type") == "F"), "type_mismatch")
         .when(F.col("_data") == "E", "error")
