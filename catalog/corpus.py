@@ -1,2 +1,319 @@
-QUERIES = {}
-ORACLES = {}
+"""Case corpus, chart records and files."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from catalog.common import table
+from chartmeter.plans import (
+    FIGURE_KEYS,
+    explode_points,
+    explode_triples,
+    figure_records,
+    flatten_traces,
+    last_values,
+    parse_figures,
+    project_trace,
+)
+from chartmeter.shared import new_path
+from chartmeter.sources import (
+    build_cases,
+    corpus_summary,
+    filter_cases,
+    read_cases,
+    read_goldens,
+    read_source,
+    write_cases,
+    write_goldens,
+)
+
+
+def _cases(spark, sf):
+    """A case per document: its source is the dataset, its whole text the question."""
+    documents = table(spark, sf, "documents")
+    level = F.when(F.col("n_chars") % 4 == 0, "WithoutPlotType").otherwise("WithPlotType")
+    return build_cases(
+        documents.select(
+            F.col("source").alias("dataset"),
+            level.alias("complexity"),
+            F.col("text").alias("description"),
+        )
+    )
+
+
+def case_ids(spark, sf):
+    cases = _cases(spark, sf)
+    return cases.withColumn("description", F.length("description"))
+
+
+def filtered_cases(spark, sf):
+    cases = filter_cases(_cases(spark, sf), dataset="src1", complexity="WithPlotType", uuid="")
+    return cases.select("uuid", "dataset", "complexity")
+
+
+def cases_per_dataset(spark, sf):
+    return corpus_summary(_cases(spark, sf))
+
+
+def cases_through_files(spark, sf):
+    path = new_path(spark, "cases")
+    write_cases(_cases(spark, sf), path, "train")
+    return read_cases(spark, path, lines=True).select(
+        "uuid", "dataset", "language", "complexity", F.md5("description").alias("description")
+    )
+
+
+def _v(value):
+    return (F.lit(value) if isinstance(value, str) else value).cast("variant")
+
+
+def _trace(**keys):
+    values = {
+        key: F.array(*[_v(x) for x in value]).cast("variant") if isinstance(value, list) else _v(value)
+        for key, value in keys.items()
+    }
+    return F.struct(*[value.alias(key) for key, value in values.items()])
+
+
+def _figure(*traces):
+    """Figure JSON. Traces are turned into VARIANT so that they may differ in their keys."""
+    listed = F.array(*[F.to_variant_object(trace) for trace in traces])
+    return F.to_json(F.struct(listed.alias("data")))
+
+
+def _bar():
+    return _trace(
+        type="bar",
+        name=F.col("o_orderstatus"),
+        x=[F.col("o_orderstatus"), F.col("o_orderpriority"), F.col("o_orderstatus")],
+        y=[F.col("o_custkey"), F.col("o_orderkey"), F.col("o_totalprice"), F.lit(7)],
+        xaxis="x",
+    )
+
+
+def _second():
+    return _trace(
+        x=[F.col("o_totalprice")], y=[F.col("o_orderpriority")], type="scatter", xaxis="x2", yaxis="y2"
+    )
+
+
+def _figures(spark, sf):
+    """One figure per order, in five shapes: two good ones and three broken ones."""
+    shape = F.col("o_orderkey") % 5
+    figure = (
+        F.when(shape == 0, _figure(_bar()))
+        .when(shape == 1, F.to_json(F.struct(F.col("o_orderkey").alias("layout"))))
+        .when(shape == 2, F.concat(F.lit("figure of "), F.col("o_orderkey")))
+        .when(shape == 3, F.to_json(F.struct(F.col("o_totalprice").alias("data"))))
+        .otherwise(_figure(_bar(), _second()))
+    )
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("case_id"), figure.alias("figure_json")
+    )
+
+
+def figure_status(spark, sf):
+    parsed = parse_figures(_figures(spark, sf), "figure_json")
+    return parsed.select("case_id", "status", F.size("traces").alias("n_traces")).withColumn(
+        "n_traces", F.when(F.col("status") == "ok", F.col("n_traces"))
+    )
+
+
+def _shown(records):
+    def text(key):
+        return F.try_variant_get(F.try_element_at("record", F.lit(key)), "$", "string")
+
+    return records.select(
+        "case_id",
+        F.array_join(F.array_sort(F.map_keys("record")), ",").alias("keys"),
+        text("type").alias("type"),
+        text("xaxis").alias("xaxis"),
+        text("yaxis").alias("yaxis"),
+    )
+
+
+def single_trace_records(spark, sf):
+    parsed = parse_figures(_figures(spark, sf), "figure_json")
+    return _shown(project_trace(parsed, FIGURE_KEYS))
+
+
+def single_trace_records_all_keys(spark, sf):
+    return _shown(project_trace(parse_figures(_figures(spark, sf), "figure_json")))
+
+
+def flattened_records(spark, sf):
+    return _shown(flatten_traces(parse_figures(_figures(spark, sf), "figure_json")))
+
+
+def _flat(points, *tagged):
+    fields = [
+        F.col(f"{name}.{part}").alias(f"{name}_{part}")
+        for name in tagged
+        for part in ("kind", "num", "str")
+    ]
+    kept = [c for c in points.columns if c not in tagged]
+    return points.select(*kept, *fields)
+
+
+def figure_points(spark, sf):
+    records = figure_records(_figures(spark, sf), "figure_json", FIGURE_KEYS)
+    return _flat(explode_points(records), "k", "v")
+
+
+def last_figure_values(spark, sf):
+    records = figure_records(_figures(spark, sf), "figure_json", FIGURE_KEYS)
+    return _flat(last_values(explode_points(records), ["case_id", "pair", "k"]), "k", "v")
+
+
+def map_points(spark, sf):
+    """Suppliers as one density map each, with one more latitude than longitudes."""
+    trace = _trace(
+        type="densitymapbox",
+        lat=[F.col("s_suppkey"), F.col("s_nationkey"), F.lit(0)],
+        lon=[F.col("s_nationkey"), F.col("s_suppkey")],
+        z=[F.col("s_acctbal"), F.col("s_name"), F.lit(1)],
+        subplot="mapbox",
+    )
+    figures = table(spark, sf, "supplier").select(
+        F.col("s_suppkey").alias("case_id"), _figure(trace).alias("figure_json")
+    )
+    return _flat(explode_triples(figure_records(figures, "figure_json")), "k1", "k2", "v")
+
+
+def goldens_through_files(spark, sf):
+    """Records of the good figures, written and read back."""
+    orders = _figures(spark, sf).join(
+        table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), "o_custkey"), "case_id"
+    )
+    records = figure_records(orders, "figure_json", FIGURE_KEYS).where("status = 'ok'")
+    path = new_path(spark, "goldens")
+    write_goldens(
+        records.select(
+            F.col("case_id").cast("string").alias("uuid"),
+            F.concat(F.lit("set "), F.col("o_custkey") % 3).alias("dataset"),
+            "record",
+        ),
+        path,
+        "train",
+    )
+    return _shown(read_goldens(spark, path, lines=True).withColumnRenamed("uuid", "case_id"))
+
+
+def suppliers_through_csv(spark, sf):
+    """Suppliers with an accented name, through ISO-8859-1 CSV with inferred types."""
+    path = new_path(spark, "suppliers")
+    suppliers = table(spark, sf, "supplier").withColumn(
+        "s_name", F.concat(F.col("s_name"), F.lit(", \"Île-d'Été\""))
+    )
+    suppliers.write.option("header", True).option("encoding", "ISO-8859-1").option(
+        "escape", '"'
+    ).csv(path)
+    return read_source(spark, path, encoding="ISO-8859-1")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        case_ids,
+        filtered_cases,
+        cases_per_dataset,
+        cases_through_files,
+        figure_status,
+        single_trace_records,
+        single_trace_records_all_keys,
+        flattened_records,
+        figure_points,
+        last_figure_values,
+        map_points,
+        goldens_through_files,
+        suppliers_through_csv,
+    )
+}
+
+_CASES = """
+    cases AS (
+        SELECT md5(source || text) AS uuid, source AS dataset, 'English' AS language,
+               CASE WHEN n_chars % 4 = 0 THEN 'WithoutPlotType' ELSE 'WithPlotType' END AS complexity,
+               text AS description
+        FROM documents)"""
+
+_POINTS = """
+    points AS (
+        SELECT o_orderkey AS case_id, 0 AS pos, o_orderstatus AS k, NULL::DOUBLE AS kn,
+               o_custkey::DOUBLE AS v, NULL::VARCHAR AS vs FROM orders WHERE o_orderkey % 5 IN (0, 4)
+        UNION ALL
+        SELECT o_orderkey, 1, o_orderpriority, NULL, o_orderkey::DOUBLE, NULL
+        FROM orders WHERE o_orderkey % 5 IN (0, 4)
+        UNION ALL
+        SELECT o_orderkey, 2, o_orderstatus, NULL, o_totalprice, NULL
+        FROM orders WHERE o_orderkey % 5 IN (0, 4)
+        UNION ALL
+        SELECT o_orderkey, 3, NULL, o_totalprice, 7, NULL FROM orders WHERE o_orderkey % 5 = 4)"""
+
+_POINT_COLUMNS = """
+    CASE WHEN k IS NULL THEN 'num' ELSE 'str' END AS k_kind, kn AS k_num, k AS k_str,
+    'num' AS v_kind, v AS v_num, vs AS v_str"""
+
+ORACLES = {
+    "case_ids": f"""
+        WITH {_CASES}
+        SELECT uuid, dataset, language, complexity,
+               CAST(length(description) AS INTEGER) AS description FROM cases""",
+    "filtered_cases": f"""
+        WITH {_CASES}
+        SELECT uuid, dataset, complexity FROM cases
+        WHERE dataset = 'src1' AND complexity = 'WithPlotType'""",
+    "cases_per_dataset": f"""
+        WITH {_CASES}
+        SELECT dataset, GROUPING(dataset) = 1 AS is_total, COUNT(*) AS cases,
+               COUNT(CASE WHEN complexity = 'WithPlotType' THEN 1 END) AS with_plot_type,
+               COUNT(CASE WHEN complexity = 'WithoutPlotType' THEN 1 END) AS without_plot_type
+        FROM cases GROUP BY ROLLUP (dataset)""",
+    "cases_through_files": f"""
+        WITH {_CASES}
+        SELECT uuid, dataset, language, complexity, md5(description) AS description FROM cases""",
+    "figure_status": """
+        SELECT o_orderkey AS case_id,
+               CASE o_orderkey % 5 WHEN 1 THEN 'no_data' WHEN 2 THEN 'bad_json'
+                    WHEN 3 THEN 'bad_data' ELSE 'ok' END AS status,
+               CAST(CASE o_orderkey % 5 WHEN 0 THEN 1 WHEN 4 THEN 2 END AS INTEGER) AS n_traces
+        FROM orders""",
+    "single_trace_records": """
+        SELECT o_orderkey AS case_id, 'type,x,xaxis,y' AS keys, 'bar' AS type, 'x' AS xaxis,
+               CAST(NULL AS VARCHAR) AS yaxis
+        FROM orders WHERE o_orderkey % 5 = 0""",
+    "single_trace_records_all_keys": """
+        SELECT o_orderkey AS case_id, 'name,type,x,xaxis,y' AS keys, 'bar' AS type, 'x' AS xaxis,
+               CAST(NULL AS VARCHAR) AS yaxis
+        FROM orders WHERE o_orderkey % 5 = 0""",
+    "flattened_records": """
+        SELECT o_orderkey AS case_id, 'type,x,xaxis,y,yaxis' AS keys, 'bar' AS type, 'x' AS xaxis,
+               'y2' AS yaxis
+        FROM orders WHERE o_orderkey % 5 = 4""",
+    "figure_points": f"""
+        WITH {_POINTS}
+        SELECT case_id, 'xy' AS pair, pos, {_POINT_COLUMNS} FROM points""",
+    "last_figure_values": f"""
+        WITH {_POINTS}
+        SELECT case_id, 'xy' AS pair, {_POINT_COLUMNS} FROM (
+            SELECT *, ROW_NUMBER() OVER (PARTITION BY case_id, k, kn ORDER BY pos DESC) AS place
+            FROM points)
+        WHERE place = 1""",
+    "map_points": """
+        SELECT s_suppkey AS case_id, 0 AS pos, 'num' AS k1_kind, s_suppkey::DOUBLE AS k1_num,
+               NULL::VARCHAR AS k1_str, 'num' AS k2_kind, s_nationkey::DOUBLE AS k2_num,
+               NULL::VARCHAR AS k2_str, 'num' AS v_kind, s_acctbal AS v_num, NULL::VARCHAR AS v_str
+        FROM supplier
+        UNION ALL
+        SELECT s_suppkey, 1, 'num', s_nationkey, NULL, 'num', s_suppkey, NULL, 'str', NULL, s_name
+        FROM supplier""",
+    "goldens_through_files": """
+        SELECT CAST(o_orderkey AS VARCHAR) AS case_id,
+               CASE o_orderkey % 5 WHEN 0 THEN 'type,x,xaxis,y' ELSE 'type,x,xaxis,y,yaxis' END AS keys,
+               'bar' AS type, 'x' AS xaxis, CASE o_orderkey % 5 WHEN 4 THEN 'y2' END AS yaxis
+        FROM orders WHERE o_orderkey % 5 IN (0, 4)""",
+    "suppliers_through_csv": """
+        SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name || ', "Île-d''Été"' AS s_name,
+               s_nationkey, s_acctbal
+        FROM supplier""",
+}

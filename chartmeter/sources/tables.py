@@ -14,7 +14,7 @@ def read_source(
     null_value: str = "",
     multi_line: bool = False,
 ) -> DataFrame:
-    """Read CSV files with a header row.
+    """Read CSV files with a header row and quotes doubled inside quoted fields.
 
     Without a schema the types are inferred, which reads the data once more:
     give one for anything large. ``multi_line`` is for quoted line breaks and
@@ -24,6 +24,7 @@ def read_source(
         spark.read.option("header", True)
         .option("encoding", encoding)
         .option("nullValue", null_value)
+        .option("escape", '"')
         .option("multiLine", multi_line)
     )
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
