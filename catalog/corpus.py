@@ -63,22 +63,22 @@ def cases_through_files(spark, sf):
     )
 
 
-def _v(value):
-    return (F.lit(value) if isinstance(value, str) else value).cast("variant")
-
-
 def _trace(**keys):
-    values = {
-        key: F.array(*[_v(x) for x in value]).cast("variant") if isinstance(value, list) else _v(value)
-        for key, value in keys.items()
-    }
-    return F.struct(*[value.alias(key) for key, value in values.items()])
+    """A trace from constants, columns, and lists of columns of any types."""
+    values = []
+    for key, value in keys.items():
+        if isinstance(value, list):
+            value = F.array(*[v.cast("variant") for v in value])
+        values.append((F.lit(value) if isinstance(value, str) else value).alias(key))
+    return F.struct(*values)
 
 
 def _figure(*traces):
-    """Figure JSON. Traces are turned into VARIANT so that they may differ in their keys."""
-    listed = F.array(*[F.to_variant_object(trace) for trace in traces])
-    return F.to_json(F.struct(listed.alias("data")))
+    """Figure JSON; keys that are NULL are left out. Several traces are turned into
+    VARIANT so that they may differ in their keys."""
+    if len(traces) > 1:
+        traces = [F.to_variant_object(trace) for trace in traces]
+    return F.to_json(F.struct(F.array(*traces).alias("data")))
 
 
 def _bar():

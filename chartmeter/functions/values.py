@@ -21,22 +21,28 @@ def _tagged(kind: Column, num: Column, text: Column) -> Column:
     return F.struct(kind.alias("kind"), num.alias("num"), text.alias("str"))
 
 
-def tag_variant(v: Column) -> Column:
-    """Tag a VARIANT by the JSON type it holds."""
-    shape = F.schema_of_variant(v)
-    is_null = v.isNull() | F.is_variant_null(v)
-    is_num = shape.isin("BIGINT", "BOOLEAN", "DOUBLE", "FLOAT") | shape.startswith("DECIMAL")
-    is_str = shape == "STRING"
+def tag_variant(v: Column, shape: Column | None = None) -> Column:
+    """Tag a VARIANT by the JSON type it holds. ``shape`` is its ``schema_of_variant``,
+    for callers that have it in a column."""
+    shape = F.schema_of_variant(v) if shape is None else shape
     kind = (
-        F.when(is_null, "null").when(is_num, "num").when(is_str, "str").otherwise("other")
+        F.when(v.isNull() | (shape == "VOID"), "null")
+        .when(shape == "STRING", "str")
+        .when(is_number(shape), "num")
+        .otherwise("other")
     )
-    num = F.when(is_num, F.try_variant_get(v, "$", "double"))
-    text = F.when(is_str, F.try_variant_get(v, "$", "string")).when(
-        ~is_null & ~is_num, F.to_json(v)
+    num = F.when(is_number(shape), F.try_variant_get(v, "$", "double"))
+    text = F.when(shape == "STRING", F.try_variant_get(v, "$", "string")).when(
+        shape.rlike("^(ARRAY|OBJECT)"), F.to_json(v)
     )
     return _tagged(kind, num, text)
 
 
+def is_number(shape: Column) -> Column:
+    """Whether ``schema_of_variant`` names a number; booleans count as 0 and 1."""
+    return shape.rlike("^(BIGINT|BOOLEAN|DOUBLE|FLOAT|DECIMAL)")
+
+
 def tag_column(df: DataFrame, name: str) -> Column:
     """Tag a table column by its type; dates become the strings JSON would hold."""
     dtype = df.schema[name].dataType
@@ -63,14 +69,11 @@ def round_cents(x: Column) -> Column:
     spread = x * F.lit(_SPLITTER)
     high = spread - (spread - x)
     error = (high * F.lit(100.0) - scaled) + (x - high) * F.lit(100.0)
-    below = F.floor(scaled).cast("double")
-    rest = scaled - below
-    tie_up = (error > 0) | ((error == 0) & (F.pmod(below, F.lit(2.0)) == 1))
-    up = (rest > 0.5) | ((rest == 0.5) & tie_up)
-    cents = below + F.when(up, F.lit(1.0)).otherwise(F.lit(0.0))
-    return F.when(F.isnan(x) | (F.abs(x) >= _NO_CENTS), x).otherwise(
-        cents / F.lit(100.0) + F.lit(0.0)
-    )
+    tie = scaled - F.floor(scaled) == 0.5
+    nudge = F.when(tie, F.signum(error) * F.lit(0.5)).otherwise(F.lit(0.0))
+    # adding 0.0 turns -0.0 into 0.0
+    cents = F.rint(scaled + nudge) / F.lit(100.0) + F.lit(0.0)
+    return F.when(F.abs(x) < _NO_CENTS, cents).otherwise(x)
 
 
 def comparison_form(value: Column) -> Column:

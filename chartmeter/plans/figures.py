@@ -157,6 +157,15 @@ def _zip(*keys: str, names: list[str]) -> Column:
     return F.when(all_there, rows)
 
 
+def _tag_points(points: DataFrame, names: list[str]) -> DataFrame:
+    """Replace struct ``point`` by its tagged fields."""
+    kept = [c for c in points.columns if c != "point"]
+    values = [F.col(f"point.{name}").alias(name) for name in names]
+    shapes = [F.schema_of_variant(f"point.{name}").alias(f"{name}_shape") for name in names]
+    tags = [tag_variant(F.col(name), F.col(f"{name}_shape")).alias(name) for name in names]
+    return points.select(*kept, *values, *shapes).select(*kept, *tags)
+
+
 def explode_points(
     records: DataFrame, id_col: str = "case_id", pairs: list[str] | None = None
 ) -> DataFrame:
@@ -171,13 +180,7 @@ def explode_points(
         arrays.select("case_id", F.explode(F.array(*zips)).alias("p"))
         .where(F.col("p.points").isNotNull())
         .select("case_id", "p.pair", F.posexplode("p.points").alias("pos", "point"))
-        .select(
-            "case_id",
-            "pair",
-            "pos",
-            tag_variant(F.col("point.k")).alias("k"),
-            tag_variant(F.col("point.v")).alias("v"),
-        )
+        .transform(_tag_points, ["k", "v"])
     )
 
 
@@ -188,7 +191,7 @@ def explode_triples(records: DataFrame, id_col: str = "case_id") -> DataFrame:
     return (
         _with_arrays(records, id_col, ["lat", "lon", "z"])
         .select("case_id", F.posexplode(zipped).alias("pos", "point"))
-        .select("case_id", "pos", *[tag_variant(F.col(f"point.{c}")).alias(c) for c in names])
+        .transform(_tag_points, names)
     )
 
 

@@ -10,10 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartmeter.functions.values import round_cents
+from chartmeter.functions.values import is_number, round_cents
 from chartmeter.plans.figures import (
     PAIRS,
-    elements,
     explode_points,
     explode_triples,
     field,
@@ -53,8 +52,11 @@ def _is(side: str, key: str) -> Column:
     return F.col(f"{side}.is.{key}")
 
 
-def _drawn_from(pair: str) -> list[str]:
-    return [name for name, (source, _) in CHART_TYPES.items() if source == pair]
+def with_source(facts: DataFrame) -> DataFrame:
+    """Add ``source``: the pair of arrays that the golden type is drawn from, NULL for an
+    unknown type."""
+    kinds = " ".join(f"WHEN '\"{name}\"' THEN '{pair}'" for name, (pair, _) in CHART_TYPES.items())
+    return facts.withColumn("source", F.expr(f"CASE g.is.type {kinds} END"))
 
 
 def _listed(*keys: str) -> Column:
@@ -65,30 +67,38 @@ def _listed(*keys: str) -> Column:
     return listed
 
 
-def _state(value: Column) -> Column:
+def _state(value: Column, shape: Column) -> Column:
     """``none`` (missing or null), ``list`` (can be iterated over) or ``bad``."""
-    nothing = value.isNull() | F.is_variant_null(value)
-    return F.when(nothing, "none").when(elements(value).isNotNull(), "list").otherwise("bad")
+    return (
+        F.when(value.isNull() | (shape == "VOID"), "none")
+        .when(shape.rlike("^(ARRAY|STRING)"), "list")
+        .otherwise("bad")
+    )
 
 
-def _attribute(value: Column, key: str) -> Column:
+def _attribute(value: Column, shape: Column, key: str) -> Column:
     """Text that is equal for equal values; NULL only where the key is missing."""
-    if key == "domain":
-        parsed = F.to_json(F.try_variant_get(value, "$", _DOMAIN))
-        return F.coalesce(parsed, F.to_json(value))
-    shape = F.schema_of_variant(value)
-    number = shape.isin("BIGINT", "BOOLEAN", "DOUBLE") | shape.startswith("DECIMAL")
-    return F.when(number, F.try_variant_get(value, "$", "double").cast("string")).otherwise(
-        F.to_json(value)
+    number = F.when(is_number(shape), F.try_variant_get(value, "$", "double").cast("string"))
+    if key != "domain":
+        return F.coalesce(number, F.to_json(value))
+    return F.coalesce(F.to_json(F.try_variant_get(value, "$", _DOMAIN)), number, F.to_json(value))
+
+
+def describe(records: DataFrame, name: str) -> DataFrame:
+    """Replace ``record`` by struct ``name``: what a verdict needs besides its points."""
+    kept = [c for c in records.columns if c != "record"]
+    keys = [*_ARRAYS, *_ATTRIBUTES]
+    values = records.select(
+        *kept, *[field(F.col("record"), key).alias(f"_{key}") for key in keys]
     )
+    shaped = values.withColumns({f"_{key}_shape": F.schema_of_variant(f"_{key}") for key in keys})
 
+    def parts(key: str) -> tuple[Column, Column]:
+        return F.col(f"_{key}"), F.col(f"_{key}_shape")
 
-def describe(record: Column) -> Column:
-    """What a verdict needs to know of a record besides its points."""
-    return F.struct(
-        F.struct(*[_state(field(record, key)).alias(key) for key in _ARRAYS]).alias("has"),
-        F.struct(*[_attribute(field(record, key), key).alias(key) for key in _ATTRIBUTES]).alias("is"),
-    )
+    has = F.struct(*[_state(*parts(key)).alias(key) for key in _ARRAYS])
+    attributes = F.struct(*[_attribute(*parts(key), key).alias(key) for key in _ATTRIBUTES])
+    return shaped.select(*kept, F.struct(has.alias("has"), attributes.alias("is")).alias(name))
 
 
 def type_match() -> Column:
@@ -97,12 +107,6 @@ def type_match() -> Column:
     return F.when(golden.isNull() | predicted.isNull(), "E").when(golden == predicted, "T").otherwise("F")
 
 
-def _of_type(types: list[str]) -> Column:
-    """Whether the golden type is one of these; attributes hold JSON text."""
-    golden = _is("g", "type")
-    return F.coalesce(golden.isin(*[f'"{name}"' for name in types]), F.lit(False))
-
-
 def _same(golden: tuple[str, str], predicted: tuple[str, str], data: Column) -> Column:
     gk, gv = (_has("g", key) for key in golden)
     pk, pv = (_has("p", key) for key in predicted)
@@ -122,16 +126,16 @@ def fields_match(pair: str, data: Column, swapped: Column | None = None) -> Colu
     The pair is compared if the golden type is drawn from it. x and y are tried
     the other way round as well, then whatever the type.
     """
-    direct = F.when(_of_type(_drawn_from(pair)), _same(PAIRS[pair], PAIRS[pair], data)).otherwise("F")
+    direct = F.when(F.col("source") == pair, _same(PAIRS[pair], PAIRS[pair], data)).otherwise("F")
     if pair != "xy":
         return direct
     other = _same(("x", "y"), ("y", "x"), F.lit("T") if swapped is None else swapped)
-    return F.when(direct == "F", other).otherwise(direct)
+    return F.coalesce(F.nullif(direct, F.lit("F")), other)
 
 
 def standard_fields_match(outcomes: list[Column]) -> Column:
     """Any pair will do, but an error in one outweighs a match in another."""
-    unknown = ~_of_type(list(CHART_TYPES))
+    unknown = F.col("source").isNull()
 
     def any_is(outcome: str) -> Column:
         return F.greatest(*[o == outcome for o in outcomes])
@@ -143,20 +147,17 @@ def standard_fields_match(outcomes: list[Column]) -> Column:
 
 def extra_fields_match() -> Column:
     """Further keys of the golden type: in the predicted record, and equal."""
-    result = F.lit("T")
     by_keys: dict[tuple[str, ...], list[str]] = {}
     for name, (_, keys) in CHART_TYPES.items():
         by_keys.setdefault(tuple(keys), []).append(name)
+    result = F.lit("T")
     for keys, names in by_keys.items():
-        outcomes = []
+        failures = []
         for key in keys:
             g, p = _is("g", key), _is("p", key)
-            outcomes.append(F.when(p.isNull(), "F").when(g.isNull(), "E").when(g == p, "T").otherwise("F"))
-        # of T, F and E the smallest but for T decides; E and F both fail
-        failed = F.least(*[F.when(o != "T", o) for o in outcomes]) if len(outcomes) > 1 else F.when(
-            outcomes[0] != "T", outcomes[0]
-        )
-        result = F.when(_of_type(names), F.coalesce(failed, F.lit("T"))).otherwise(result)
+            failures.append(F.when(p.isNull(), "F").when(g.isNull(), "E").when(g != p, "F"))
+        of_type = _is("g", "type").isin(*[f'"{name}"' for name in names])
+        result = F.when(of_type, F.coalesce(*failures, F.lit("T"))).otherwise(result)
     return result
 
 
@@ -169,16 +170,17 @@ def score_records(
     uuid, status, record; one golden and one prediction per uuid. ``vacuous``
     marks a pass for which no data was compared; ``strict`` fails it.
     """
-    known = goldens.select("uuid", describe(F.col("record")).alias("g"), F.col("record").isNotNull().alias("golden_ok"))
-    answers = predictions.select(
-        "uuid", "status", F.when(F.col("status") == "ok", describe(F.col("record"))).alias("p")
-    )
-    facts = stage(cases.join(known, "uuid", "left").join(answers, "uuid", "left"), "facts")
+    known = goldens.select("uuid", "record", F.col("record").isNotNull().alias("golden_ok"))
+    known = describe(known, "g")
+    answers = describe(predictions.select("uuid", "status", "record"), "p")
+    whole = cases.select("uuid", F.struct("*").alias("case"))
+    joined = whole.join(known, "uuid", "left").join(answers, "uuid", "left")
+    facts = stage(with_source(joined), "facts")
     usable = facts.where((F.col("status") == "ok") & F.col("golden_ok"))
 
     direct_needed = F.lit(False)
     for pair, keys in PAIRS.items():
-        direct_needed = direct_needed | (_of_type(_drawn_from(pair)) & _listed(*keys))
+        direct_needed = direct_needed | ((F.col("source") == pair) & _listed(*keys))
     todo = usable.where(direct_needed).select("uuid").distinct()
     # a filter that is worth having only while it does not shuffle the records
     if is_small(todo):
@@ -192,12 +194,10 @@ def score_records(
     facts = _with_outcomes(facts, direct, PAIRS)
 
     # exchanged axes, for the cases that x and y as they are did not settle
-    as_is = F.when(
-        _of_type(_drawn_from("xy")), _same(("x", "y"), ("x", "y"), F.col("data_xy"))
-    ).otherwise("F")
+    failed = (F.col("source") != "xy") | (F.col("data_xy") == "F")
     again = stage(
         facts.where((F.col("status") == "ok") & F.col("golden_ok"))
-        .where(_listed("x", "y") & (as_is == "F"))
+        .where(_listed("x", "y") & failed)
         .select("uuid")
         .distinct(),
         "again",
@@ -210,7 +210,7 @@ def score_records(
         swapped = _outcomes(pairs_match_swapped(mine, theirs)).withColumn("pair", F.lit("yx"))
         facts = _with_outcomes(facts.drop("data_yx"), swapped, ["yx"])
 
-    maps = usable.where(_of_type(["densitymapbox"]) & _listed("lat", "lon", "z"))
+    maps = usable.where((_is("g", "type") == '"densitymapbox"') & _listed("lat", "lon", "z"))
     maps = stage(maps.select("uuid").distinct(), "maps")
     facts = facts.withColumn("data_map", F.lit(None).cast("string"))
     if not maps.isEmpty():
@@ -220,7 +220,7 @@ def score_records(
             explode_triples(predictions.join(side, "uuid", "left_semi"), "uuid"),
         ).withColumn("pair", F.lit("map"))
         facts = _with_outcomes(facts.drop("data_map"), _outcomes(triples), ["map"])
-    return _verdicts(facts, strict, list(cases.columns))
+    return stage(_verdicts(facts, strict), "scored")
 
 
 def score_cases(
@@ -244,55 +244,61 @@ def _with_outcomes(facts: DataFrame, outcomes: DataFrame, pairs) -> DataFrame:
     return facts.join(wide, "uuid", "left")
 
 
-def verdict() -> dict[str, Column]:
-    """Named outcomes of a case with its data outcomes in data_xy, data_yx,
-    data_latlon, data_labelsvalues and data_map."""
-    pairs = {
-        "xy": fields_match("xy", F.col("data_xy"), F.col("data_yx")),
-        "latlon": fields_match("latlon", F.col("data_latlon")),
-        "labelsvalues": fields_match("labelsvalues", F.col("data_labelsvalues")),
-    }
-    standard = standard_fields_match(list(pairs.values()))
-    density = F.when(_listed("lat", "lon", "z"), F.coalesce("data_map", F.lit("T"))).otherwise("E")
+def with_outcomes(facts: DataFrame) -> DataFrame:
+    """Add a case's outcomes, each in a column of its own: pairs (xy, latlon,
+    labelsvalues), own (the pair its type is drawn from), standard, density, type, extra.
+
+    Needs g, p and the outcomes of comparing data: data_xy, data_yx, data_latlon,
+    data_labelsvalues and data_map.
+    """
+    facts = facts.withColumns(
+        {
+            "xy": fields_match("xy", F.col("data_xy"), F.col("data_yx")),
+            "latlon": fields_match("latlon", F.col("data_latlon")),
+            "labelsvalues": fields_match("labelsvalues", F.col("data_labelsvalues")),
+            "type": type_match(),
+            "extra": extra_fields_match(),
+            "density": F.when(
+                _listed("lat", "lon", "z"), F.coalesce("data_map", F.lit("T"))
+            ).otherwise("E"),
+        }
+    )
     own = F.lit("F")
-    for pair, outcome in pairs.items():
-        own = F.when(_of_type(_drawn_from(pair)), outcome).otherwise(own)
-    return {
-        "type": type_match(),
-        "standard": standard,
-        "density": density,
-        "extra": extra_fields_match(),
-        "own": own,
-    }
-
-
-def _verdicts(facts: DataFrame, strict: bool, keep: list[str]) -> DataFrame:
-    facts = facts.withColumns({f"_{name}": outcome for name, outcome in verdict().items()})
-    without = F.coalesce(F.col("complexity") == WITHOUT_TYPE, F.lit(False))
-    density = _of_type(["densitymapbox"]) & ~without
-    facts = facts.withColumn("_data", F.when(density, F.col("_density")).otherwise(F.col("_standard")))
-    passed_data = F.col("_data").isin("T", "V")
-    vacuous = ~density & ((F.col("_data") == "V") | (F.col("_own") != "T"))
+    for pair in PAIRS:
+        own = F.when(F.col("source") == pair, F.col(pair)).otherwise(own)
+    standard = standard_fields_match([F.col(pair) for pair in PAIRS])
+    return facts.withColumns({"own": own, "standard": standard})
+
+
+def _verdicts(facts: DataFrame, strict: bool) -> DataFrame:
+    without = F.coalesce(F.col("case.complexity") == WITHOUT_TYPE, F.lit(False))
+    judged = (
+        with_outcomes(facts)
+        .withColumn("with_type", ~without)
+        .withColumn("as_map", (_is("g", "type") == '"densitymapbox"') & F.col("with_type"))
+        .withColumn("data", F.when(F.col("as_map"), F.col("density")).otherwise(F.col("standard")))
+    )
     reason = (
         F.when(F.col("golden_ok").isNull(), "missing_golden")
         .when(~F.col("golden_ok"), "bad_golden")
         .when(F.col("status").isNull(), "missing_prediction")
         .when(F.col("status") != "ok", F.col("status"))
-        .when(~_of_type(list(CHART_TYPES)), "unsupported_type")
-        .when(~without & (F.col("_type") == "E"), "error")
-        .when(~without & (F.col("_type") == "F"), "type_mismatch")
-        .when(F.col("_data") == "E", "error")
-        .when(~passed_data, "data_mismatch")
-        .when(~without & (F.col("_extra") == "E"), "error")
-        .when(~without & (F.col("_extra") == "F"), "extra_mismatch")
+        .when(F.col("source").isNull(), "unsupported_type")
+        .when(F.col("with_type") & (F.col("type") == "E"), "error")
+        .when(F.col("with_type") & (F.col("type") == "F"), "type_mismatch")
+        .when(F.col("data") == "E", "error")
+        .when(F.col("data") == "F", "data_mismatch")
+        .when(F.col("with_type") & (F.col("extra") == "E"), "error")
+        .when(F.col("with_type") & (F.col("extra") == "F"), "extra_mismatch")
     )
-    scored = facts.withColumn("reason", reason).withColumn(
-        "vacuous", F.col("reason").isNull() & F.coalesce(vacuous, F.lit(False))
+    unproven = ~F.col("as_map") & ((F.col("data") == "V") | (F.col("own") != "T"))
+    scored = judged.withColumn("reason", reason).withColumn(
+        "vacuous", F.col("reason").isNull() & unproven
     )
     if strict:
-        unproven = F.when(F.col("vacuous"), "not_compared")
-        scored = scored.withColumn("reason", F.coalesce("reason", unproven))
-    return scored.select(*keep, F.col("reason").isNull().alias("pass"), "reason", "vacuous")
+        not_compared = F.when(F.col("vacuous"), "not_compared")
+        scored = scored.withColumn("reason", F.coalesce("reason", not_compared))
+    return scored.select("case.*", F.col("reason").isNull().alias("pass"), "reason", "vacuous")
 
 
 def pass_rate(scored: DataFrame, by: list[str] | None = None, totals: bool = False) -> DataFrame:

@@ -83,8 +83,11 @@ def filter_cases(
 
 
 def _replace_partitions(df: DataFrame, path: str, *columns: str) -> None:
-    """Write JSON lines, replacing only the partitions that ``df`` has rows for."""
-    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Write JSON lines, replacing only the partitions that ``df`` has rows for.
+
+    Rebalancing gathers a small partition in one file and spreads a large one over many.
+    """
+    writer = df.hint("rebalance", *columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.partitionBy(*columns).json(path)
 
 
