@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from chartmeter.functions.values import is_number, round_cents
 from chartmeter.plans.figures import (
+    FIGURE_KEYS,
     PAIRS,
     explode_points,
     explode_triples,
@@ -170,9 +171,12 @@ def score_records(
     uuid, status, record; one golden and one prediction per uuid. ``vacuous``
     marks a pass for which no data was compared; ``strict`` fails it.
     """
-    known = goldens.select("uuid", "record", F.col("record").isNotNull().alias("golden_ok"))
-    known = describe(known, "g")
-    answers = describe(predictions.select("uuid", "status", "record"), "p")
+    # read and parsed once; what follows goes over the stored records several times
+    kept = F.map_filter("record", lambda key, _: key.isin(*FIGURE_KEYS)).alias("record")
+    goldens = stage(goldens.select("uuid", kept), "goldens")
+    predictions = stage(predictions.select("uuid", "status", kept), "predictions")
+    known = describe(goldens.withColumn("golden_ok", F.col("record").isNotNull()), "g")
+    answers = describe(predictions, "p")
     whole = cases.select("uuid", F.struct("*").alias("case"))
     joined = whole.join(known, "uuid", "left").join(answers, "uuid", "left")
     facts = stage(with_source(joined), "facts")

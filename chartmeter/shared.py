@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Most rows a side may have to be broadcast or to be ordered in a single task.
 SMALL_ROWS = 100_000
+#: Most bytes, written as JSON, that a broadcast side may have.
+SMALL_BYTES = 64 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,11 +45,17 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def is_small(df: DataFrame, rows: int = SMALL_ROWS) -> bool:
-    """Whether ``df`` has at most ``rows`` rows; reads no more than it needs to tell."""
-    return df.limit(rows + 1).count() <= rows
+def is_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows and ``size`` bytes of JSON.
+
+    Reads no more than it needs to tell, and moves only the row sizes.
+    """
+    width = F.octet_length(F.to_json(F.struct("*")))
+    seen = df.select(width.alias("width")).limit(rows + 1)
+    n, total = seen.agg(F.count(F.lit(1)), F.coalesce(F.sum("width"), F.lit(0))).first()
+    return n <= rows and total <= size
 
 
-def broadcast_if_small(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Broadcast ``df`` after counting it; a larger one is left to a shuffled join."""
-    return F.broadcast(df) if is_small(df, rows) else df
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Broadcast ``df`` if it is small; a larger one is left to a shuffled join."""
+    return F.broadcast(df) if is_small(df) else df
