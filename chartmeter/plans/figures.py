@@ -49,26 +49,36 @@ def elements(v: Column) -> Column:
     return F.coalesce(F.try_variant_get(v, "$", "array<variant>"), letters)
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are worked out once per row.
+
+    A filter on them would otherwise be pushed below, with a copy of what they
+    are made of, parsing included; it cannot be pushed below a generator.
+    """
+    row = F.struct(*[column.alias(name) for name, column in columns.items()])
+    added = df.withColumn("_row", F.explode(F.array(row)))
+    return added.select(*df.columns, *[f"_row.{name}" for name in columns])
+
+
 def parse_figures(df: DataFrame, json_col: str) -> DataFrame:
     """Add ``status`` and ``traces array<variant>``.
 
     status: ``ok``, ``bad_json`` (not JSON, or none), ``no_data`` (no data key) or
     ``bad_data`` (data is no array).
     """
-    figure, data = F.col("_figure"), F.col("_data")
-    return (
+    figure, data, traces = F.col("_figure"), F.col("_data"), F.col("_traces")
+    status = (
+        F.when(figure.isNull(), "bad_json")
+        .when(data.isNull(), "no_data")
+        .when(traces.isNull(), "bad_data")
+        .otherwise("ok")
+    )
+    parsed = (
         df.withColumn("_figure", F.try_parse_json(F.col(json_col)))
         .withColumn("_data", _get(figure, "data"))
-        .withColumn("traces", F.try_variant_get(data, "$", "array<variant>"))
-        .withColumn(
-            "status",
-            F.when(figure.isNull(), "bad_json")
-            .when(data.isNull(), "no_data")
-            .when(F.col("traces").isNull(), "bad_data")
-            .otherwise("ok"),
-        )
-        .drop("_figure", "_data")
+        .withColumn("_traces", F.try_variant_get(data, "$", "array<variant>"))
     )
+    return _once(parsed, status=status, traces=traces).drop("_figure", "_data", "_traces")
 
 
 def _projected(traces: Column, keys: list[str] | None) -> Column:
@@ -119,19 +129,16 @@ def flatten_traces(figures: DataFrame) -> DataFrame:
 def figure_records(df: DataFrame, json_col: str, keys: list[str] | None = None) -> DataFrame:
     """Replace figure JSON by ``status`` and ``record``, whatever its number of traces;
     status ``bad_trace`` marks traces without a record."""
-    traces = F.col("traces")
-    record = F.when(F.size(traces) == 1, _projected(traces, keys)).otherwise(_flattened(traces))
-    return (
+    traces, status, record = F.col("traces"), F.col("_status"), F.col("_record")
+    made = F.when(F.size(traces) == 1, _projected(traces, keys)).otherwise(_flattened(traces))
+    parsed = (
         parse_figures(df, json_col)
-        .withColumn("record", F.when(F.col("status") == "ok", record))
-        .withColumn(
-            "status",
-            F.when((F.col("status") == "ok") & F.col("record").isNull(), "bad_trace").otherwise(
-                F.col("status")
-            ),
-        )
-        .drop("traces", json_col)
+        .withColumnRenamed("status", "_status")
+        .withColumn("_record", F.when(status == "ok", made))
     )
+    bad_trace = F.when((status == "ok") & record.isNull(), "bad_trace")
+    done = _once(parsed, status=F.coalesce(bad_trace, status), record=record)
+    return done.drop("_status", "_record", "traces", json_col)
 
 
 def field(record: Column, key: str) -> Column:

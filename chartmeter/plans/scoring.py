@@ -40,6 +40,7 @@ CHART_TYPES = {
 
 _ARRAYS = ["x", "y", "lat", "lon", "z", "labels", "values"]
 _ATTRIBUTES = ["type", "xaxis", "yaxis", "xbingroup", "ybingroup", "subplot", "domain"]
+_FIGURES_PER_FILE = 20_000
 _DOMAIN = "struct<x:array<double>,y:array<double>,row:double,column:double>"
 
 
@@ -173,8 +174,8 @@ def score_records(
     """
     # read and parsed once; what follows goes over the stored records several times
     kept = F.map_filter("record", lambda key, _: key.isin(*FIGURE_KEYS)).alias("record")
-    goldens = stage(goldens.select("uuid", kept), "goldens")
-    predictions = stage(predictions.select("uuid", "status", kept), "predictions")
+    goldens = stage(goldens.select("uuid", kept), "goldens", _FIGURES_PER_FILE)
+    predictions = stage(predictions.select("uuid", "status", kept), "predictions", _FIGURES_PER_FILE)
     known = describe(goldens.withColumn("golden_ok", F.col("record").isNotNull()), "g")
     answers = describe(predictions, "p")
     whole = cases.select("uuid", F.struct("*").alias("case"))

@@ -34,14 +34,15 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     Cuts lineage, so a lost executor re-reads files instead of recomputing, and
-    gives the optimizer real sizes and prunable columns.
+    gives the optimizer real sizes and prunable columns. ``rows_per_file`` splits
+    what one task writes, for rows that later grow into many.
     """
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
