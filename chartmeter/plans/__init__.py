@@ -14,13 +14,28 @@ from chartmeter.plans.matching import (
     records_match,
     triples_match,
 )
-from chartmeter.plans.scoring import failure_report, pass_rate, score_cases, score_records
+from chartmeter.plans.scoring import (
+    describe,
+    extra_fields_match,
+    failure_report,
+    fields_match,
+    pass_rate,
+    score_cases,
+    score_records,
+    standard_fields_match,
+    type_match,
+    with_outcomes,
+    with_source,
+)
 
 __all__ = [
     "FIGURE_KEYS",
+    "describe",
     "explode_points",
     "explode_triples",
+    "extra_fields_match",
     "failure_report",
+    "fields_match",
     "figure_records",
     "flatten_traces",
     "last_values",
@@ -32,5 +47,9 @@ __all__ = [
     "records_match",
     "score_cases",
     "score_records",
+    "standard_fields_match",
     "triples_match",
+    "type_match",
+    "with_outcomes",
+    "with_source",
 ]

@@ -17,9 +17,9 @@ from chartmeter.sources import (
 )
 
 ROWS = [
-    ("http://x/mpg.csv", "WithPlotType", "Box plot of é"),
-    ("http://x/mpg.csv", "WithoutPlotType", "Trend"),
-    ("http://x/cars.csv", "WithPlotType", "Bars"),
+    ("http://x/autos.csv", "WithPlotType", "Box plot of é"),
+    ("http://x/autos.csv", "WithoutPlotType", "Trend"),
+    ("http://x/bikes.csv", "WithPlotType", "Bars"),
 ]
 
 
@@ -36,9 +36,9 @@ def test_case_rows(cases):
 
 def test_unknown_datasets_and_levels_are_errors(spark):
     df = spark.createDataFrame(ROWS, "dataset string, complexity string, description string")
-    assert build_cases(df, ["mpg.csv", "cars.csv"]).count() == 3
-    with pytest.raises(Exception, match="cars.csv"):
-        build_cases(df, ["mpg.csv"]).collect()
+    assert build_cases(df, ["autos.csv", "bikes.csv"]).count() == 3
+    with pytest.raises(Exception, match="bikes.csv"):
+        build_cases(df, ["autos.csv"]).collect()
     with pytest.raises(Exception, match="Sometimes"):
         build_cases(df.withColumn("complexity", F.lit("Sometimes"))).collect()
 
@@ -46,15 +46,15 @@ def test_unknown_datasets_and_levels_are_errors(spark):
 def test_filters(cases):
     assert filter_cases(cases).count() == 3
     assert filter_cases(cases, dataset="", complexity="WithPlotType").count() == 2
-    assert filter_cases(cases, dataset="http://x/mpg.csv", complexity="WithPlotType").count() == 1
+    assert filter_cases(cases, dataset="http://x/autos.csv", complexity="WithPlotType").count() == 1
     assert filter_cases(cases, uuid="none").count() == 0
 
 
 def test_summary(cases):
     rows = {(r.dataset, r.is_total): tuple(r)[2:] for r in corpus_summary(cases).collect()}
     assert rows == {
-        ("http://x/mpg.csv", False): (2, 1, 1),
-        ("http://x/cars.csv", False): (1, 1, 0),
+        ("http://x/autos.csv", False): (2, 1, 1),
+        ("http://x/bikes.csv", False): (1, 1, 0),
         (None, True): (3, 2, 1),
     }
 
@@ -66,7 +66,7 @@ def test_case_files_keep_other_datasets(spark, cases, tmp_path):
     write_cases(cases.where("description = 'Bars'"), path, "test")
     back = read_cases(spark, path, lines=True)
     assert sorted(r.description for r in back.collect()) == ["Bars", "Bars", "Trend"]
-    assert {r.dataset for r in back.collect()} == {"http://x/mpg.csv", "http://x/cars.csv"}
+    assert {r.dataset for r in back.collect()} == {"http://x/autos.csv", "http://x/bikes.csv"}
 
 
 def test_array_files(spark, tmp_path):
@@ -107,7 +107,7 @@ def test_goldens_round_trip(spark, tmp_path):
 
 
 def test_csv(spark, tmp_path):
-    file = tmp_path / "volcanoes.csv"
+    file = tmp_path / "peaks.csv"
     file.write_bytes('name,elev,note\nÉtna,3350,"a ""b"", c"\nNone,,\n'.encode("iso-8859-1"))
     rows = read_source(spark, str(file), encoding="ISO-8859-1").collect()
     assert [tuple(r) for r in rows] == [("Étna", 3350, 'a "b", c'), ("None", None, None)]

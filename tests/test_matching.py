@@ -40,24 +40,24 @@ def check_cases(spark, golden, predicted):
 @pytest.mark.parametrize(
     "golden, predicted",
     [
-        (25.09310344827585, 25.09310344827586),
-        ("hello", "HELLO"),
-        ("Hello", "say hello"),
-        ("say hello", "hello"),
+        (17.30000000000001, 17.3),
+        ("north", "NORTH"),
+        ("North", "due north"),
+        ("due north", "north"),
         ("", "x"),
         ("male", "female"),
         ("female", "male"),
-        (5, "5"),
-        ("5", 5),
-        (5, 5.0),
-        (5, 6),
+        (12, "12"),
+        ("12", 12),
+        (12, 12.0),
+        (12, 13),
         (True, 1),
         (0, False),
         (None, None),
         (None, 0),
         ("", None),
-        (5.123456, 5.123457),
-        (5.123456, 5.123459),
+        (3.14159, 3.14163),
+        (3.14, 3.146),
         (0.125, 0.12),
         (0.125, 0.13),
         (0.375, 0.38),
@@ -99,11 +99,11 @@ def test_rounding_follows_the_binary_value(spark):
 
 def test_pairs_by_hand(spark):
     golden = {
-        1: [("x", "10")],
-        2: [("x", "10")],
-        3: [("X", "10")],
-        4: [(1, "10")],
-        5: [(1, "10")],
+        1: [("north", "7")],
+        2: [("north", "7")],
+        3: [("North", "7")],
+        4: [(3, "east")],
+        5: [(3, "east")],
         6: [],
         7: [("a", 1), ("a", 2)],
         8: [("", "")],
@@ -113,11 +113,11 @@ def test_pairs_by_hand(spark):
         12: [("a", None), ("b", 1)],
     }
     predicted = {
-        1: [("x", "10")],
-        2: [("y", "10")],
-        3: [("x", "10")],
-        4: [(1, "10")],
-        5: [(2, "10")],
+        1: [("north", "7")],
+        2: [("south", "7")],
+        3: [("north", "17")],
+        4: [(3, "east")],
+        5: [(4, "east")],
         6: [(1, 1)],
         7: [("xay", 9), ("a", 1), ("a", 2)],
         8: [(1, 2), ("z", "")],
@@ -199,11 +199,11 @@ def test_list_as_key_is_an_error(spark):
 
 def test_records(spark):
     cases = [
-        ({"a": 25.09310344827585, "b": "hello"}, {"a": 25.09310344827586, "b": "HELLO"}),
-        ({"a": 5, "b": "hello"}, {"a": 6, "b": "HELLO"}),
-        ({"a": 5, "b": "hello"}, {"a": 5, "b": "world"}),
-        ({"a": 5, "b": "hello"}, {"a": 5}),
-        ({"a": 5}, {"a": 5, "b": "hello"}),
+        ({"price": 17.301, "city": "Bonn"}, {"price": 17.3, "city": "bonn (west)"}),
+        ({"price": 17, "city": "Bonn"}, {"price": 18, "city": "Bonn"}),
+        ({"price": 17, "city": "Bonn"}, {"price": 17, "city": "Trier"}),
+        ({"price": 17, "city": "Bonn"}, {"price": 17}),
+        ({"city": "Bonn"}, {"price": 17, "city": "Bonn"}),
         ({"a": None}, {"a": None}),
     ]
     def keyed(i):
@@ -225,16 +225,16 @@ def triples(spark, cases):
 
 def test_triples(spark):
     golden = {
-        1: [("lat1", "lon1", "z1"), ("lat2", "lon2", "z2")],
-        2: [("lat1", "lon1", "z1"), ("lat2", "lon2", "z2")],
+        1: [(50.7, 7.1, "a"), ("south", "west", 4)],
+        2: [(50.7, 7.1, "a"), ("south", "west", 4)],
         3: [(1.0, None, 2.001)],
         4: [(1.001, 2, 3)],
         5: [(1, 2, 3), (1, 2, 4)],
         6: [(float("nan"), 1, 1)],
     }
     predicted = {
-        1: [("lat1", "lon1", "z1"), ("lat2", "lon2", "z2")],
-        2: [("lat1", "lon1", "z1"), ("lat3", "lon2", "z2")],
+        1: [(50.7, 7.1, "ab"), ("south", "west", 4.001)],
+        2: [(50.7, 7.1, "ab"), ("South", "west", 4)],
         3: [(1, None, 2)],
         4: [(1.002, 2, 3)],
         5: [(1, 2, 4)],
