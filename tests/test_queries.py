@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
@@ -41,7 +42,7 @@ def comparable(rows, columns):
     return sorted(tuple(plain(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", entry_points.queries())
+@pytest.mark.parametrize("name", catalog.queries())
 def test_query_equals_its_sql(spark, duck, name):
     found = entry_points.queries()[name](spark, SF_DIR)
     rows = found.collect()
