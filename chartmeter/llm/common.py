@@ -71,3 +71,18 @@ def map_arrow(df: DataFrame, rows: Callable, schema: str, text: str = "text") ->
 def per_task(factory: Callable) -> Callable:
     factory.per_task = True
     return factory
+
+
+def worker_cache(key: tuple, make: Callable):
+    """What ``make`` gives, kept for the life of the Python worker (tasks come and go).
+
+    Functions reach a worker as new copies with each task, so their own module cannot
+    hold it.
+    """
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_worker_cache", types.ModuleType("_worker_cache")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

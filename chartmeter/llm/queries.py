@@ -5,14 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartmeter.llm import quality_rules, secret_scan
+from chartmeter.llm import decontaminate, pieces, quality_rules, secret_scan, simhash, toxicity
+from chartmeter.llm.common import held_out
 from chartmeter.llm.sql import ORACLES  # noqa: F401
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate group of every document."""
+    groups = simhash.simhash_groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return groups.select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+    )
+
+
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's SentencePiece ids and of the text they decode to."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.digests(pieces.encode(docs, tokenizer("piece_bpe_32k.model"), decoded="decoded"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts per fixed pattern, their digest, and all spans."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -29,6 +51,25 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a model of the labelled ones outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.toxicity(docs, model).select(
+        "doc_id",
+        held_out("doc_id", 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        "passages",
+    )
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a document and a benchmark item it contains."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.contained_items(docs, _table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, rule bits and the verdict of every document."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -46,6 +87,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_pieces": op2_pieces,
     "op5_secret_scan": op5_secret_scan,
+    "op6_toxicity": op6_toxicity,
+    "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }

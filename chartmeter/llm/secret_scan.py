@@ -134,13 +134,10 @@ def find_secrets(text: Column) -> tuple[Column, Column]:
     return F.sort_array(base), F.filter(candidates, lambda s: _entropic(s["value"]))
 
 
-def scan(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``base_spans`` and ``spans``, both sorted by start, then kind.
-
-    A null text is empty and holds nothing; repeated rows are scanned alike.
-    """
-    content = F.coalesce(F.col(text), F.lit(""))
-    base, found = find_secrets(content)
+def secrets_of(text: Column) -> Column:
+    """``base`` and ``all``: the spans of the fixed patterns, and these with those of high
+    entropy that overlap none of them, each sorted by start, then kind. Null is empty."""
+    base, found = find_secrets(F.coalesce(text, F.lit("")))
 
     def both(s: Column) -> Column:
         added = F.filter(
@@ -149,10 +146,35 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
         )
         return F.struct(s["base"].alias("base"), F.sort_array(F.concat(s["base"], added)).alias("all"))
 
-    pair = let(F.struct(base.alias("base"), found.alias("found")), both)
-    return df.withColumns({"_secrets": pair}).withColumns(
-        {"base_spans": F.col("_secrets.base"), "spans": F.col("_secrets.all")}
-    ).drop("_secrets")
+    return let(F.struct(base.alias("base"), found.alias("found")), both)
+
+
+def scan(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with ``base_spans`` and ``spans`` of every whole text (see ``secrets_of``).
+
+    Columns of these names are replaced, all others and all rows are kept as they are.
+    """
+    return (
+        df.withColumn("spans", secrets_of(F.col(text)))
+        .withColumn("base_spans", F.col("spans.base"))
+        .withColumn("spans", F.col("spans.all"))
+    )
+
+
+def mask(df: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """``df`` with every secret in ``text`` replaced; ``length``, if there, counts anew where
+    that changed a text. A null text stays null; all columns and rows are kept."""
+
+    def masked(spans: Column) -> Column:
+        new = redact(F.col(text), spans)
+        return F.struct(new.alias("text"), (F.size(spans) > 0).alias("changed"))
+
+    found = let(secrets_of(F.col(text))["all"], masked)
+    out = {text: F.col("_masked.text")}
+    if length in df.columns:
+        counted = F.char_length(F.col("_masked.text")).cast(df.schema[length].dataType)
+        out[length] = F.when(F.col("_masked.changed"), counted).otherwise(F.col(length))
+    return df.withColumn("_masked", found).withColumns(out).drop("_masked")
 
 
 def span_text(spans: Column) -> Column:

@@ -38,4 +38,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM marked"""
 
 
-ORACLES = {"op10_quality_rules": _quality_rules()}
+# Every shingle of every item in every document, by an equi-join: no sketches.
+_DECONTAMINATION = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x20\x09-\x0D]+') AS w FROM documents),
+items AS (
+  SELECT row_number() OVER () AS q, item_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x20\x09-\x0D]+') AS w FROM benchmark),
+wanted AS (
+  SELECT DISTINCT q, item_id, least(5, len(w)) AS k, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS s
+  FROM items, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS t(i) WHERE len(w) > 0),
+sizes AS (SELECT q, count(*) AS n FROM wanted GROUP BY q),
+held AS (
+  SELECT DISTINCT r, doc_id, k, array_to_string(w[i : i + k - 1], ' ') AS s
+  FROM docs, (SELECT DISTINCT k FROM wanted) AS ks, unnest(range(1, len(w) - k + 2)) AS t(i) WHERE len(w) >= k)
+SELECT doc_id, item_id, CAST(any_value(n) AS BIGINT) AS n_shingles, CAST(count(*) AS BIGINT) AS n_found
+FROM held JOIN wanted USING (k, s) JOIN sizes USING (q)
+GROUP BY r, doc_id, q, item_id HAVING 5 * count(*) >= 4 * any_value(n)"""
+
+
+ORACLES = {
+    "op9_decontamination": _DECONTAMINATION,
+    "op10_quality_rules": _quality_rules(),
+}
