@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartmeter.llm import decontaminate, pieces, quality_rules, secret_scan, simhash, toxicity
+from chartmeter.llm import (
+    decontaminate,
+    html_text,
+    pieces,
+    quality_rules,
+    quality_trees,
+    secret_scan,
+    simhash,
+    toxicity,
+)
 from chartmeter.llm.common import held_out
 from chartmeter.llm.sql import ORACLES  # noqa: F401
 
@@ -35,6 +44,17 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(docs, tokenizer("piece_bpe_32k.model"), decoded="decoded"))
 
 
+def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by trees of the labelled ones outside the held-out fold."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_trees.quality_scores(docs, _table(spark, sf_dir, "labels")).select(
+        "doc_id",
+        held_out("doc_id", 5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document: counts per fixed pattern, their digest, and all spans."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -64,6 +84,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a document and a benchmark item it contains."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -89,8 +114,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pieces": op2_pieces,
+    "op4_quality_trees": op4_quality_trees,
     "op5_secret_scan": op5_secret_scan,
     "op6_toxicity": op6_toxicity,
+    "op8_html_text": op8_html_text,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
