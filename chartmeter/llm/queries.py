@@ -9,6 +9,7 @@ from chartmeter.llm import (
     decontaminate,
     html_text,
     pieces,
+    ppm,
     quality_rules,
     quality_trees,
     secret_scan,
@@ -84,6 +85,11 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document, by the word counts and by partial matching."""
+    return ppm.language_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(_table(spark, sf_dir, "pages"))
@@ -117,6 +123,7 @@ QUERIES = {
     "op4_quality_trees": op4_quality_trees,
     "op5_secret_scan": op5_secret_scan,
     "op6_toxicity": op6_toxicity,
+    "op7_language_scores": op7_language_scores,
     "op8_html_text": op8_html_text,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
