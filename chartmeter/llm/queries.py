@@ -14,9 +14,11 @@ from chartmeter.llm import (
     quality_trees,
     secret_scan,
     simhash,
+    token_files,
     toxicity,
 )
 from chartmeter.llm.common import held_out
+from chartmeter.shared import new_path
 from chartmeter.llm.sql import ORACLES  # noqa: F401
 
 
@@ -45,6 +47,14 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(pieces.encode(docs, tokenizer("piece_bpe_32k.model"), decoded="decoded"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum, as read back from the written files."""
+    path = new_path(spark, "token-files")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    token_files.write(docs, path, tokenizer("word_bpe_49k.json"), end=2)
+    return token_files.read(spark, path, ids=False)
+
+
 def op4_quality_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document by trees of the labelled ones outside the held-out fold."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -120,6 +130,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pieces": op2_pieces,
+    "op3_token_files": op3_token_files,
     "op4_quality_trees": op4_quality_trees,
     "op5_secret_scan": op5_secret_scan,
     "op6_toxicity": op6_toxicity,
