@@ -29,7 +29,7 @@ SAMPLE = 40_000
 #: Tokens share this many counters, so a model has a fixed size whatever the corpus.
 BUCKETS = 1 << 20
 #: Prior documents for each real one, standard errors, cost of a neutral token.
-PRIOR, ERRORS, DRIFT = 0.01, 2.5, 0.2
+PRIOR, ERRORS, DRIFT = 0.01, 2.0, 0.2
 #: Bytes of the beginnings that count besides the whole token.
 STEMS = (4, 5, 6)
 #: Most chance segments of as high a score for a segment to be significant.
