@@ -199,6 +199,62 @@ def goldens_through_files(spark, sf):
     return _shown(read_goldens(spark, path, lines=True).withColumnRenamed("uuid", "case_id"))
 
 
+def cases_default_reader(spark, sf):
+    """What is written is read back without saying how it was written."""
+    path = new_path(spark, "cases")
+    write_cases(_cases(spark, sf), path, "train")
+    return read_cases(spark, path).select("uuid", "dataset", "complexity", F.md5("description").alias("description"))
+
+
+def goldens_default_reader(spark, sf):
+    """Records of every golden come back, their arrays included."""
+    path = new_path(spark, "goldens")
+    records = figure_records(_figures(spark, sf), "figure_json", FIGURE_KEYS).where("status = 'ok'")
+    named = records.select(F.col("case_id").cast("string").alias("uuid"), F.lit("orders").alias("dataset"), "record")
+    write_goldens(named, path, "test")
+    return _arrays(read_goldens(spark, path).withColumnRenamed("uuid", "case_id"))
+
+
+def _arrays(records):
+    """x as joined text and y in cents, so that whole arrays are compared."""
+    x = F.try_variant_get(F.try_element_at("record", F.lit("x")), "$", "array<string>")
+    y = F.try_variant_get(F.try_element_at("record", F.lit("y")), "$", "array<variant>")
+
+    def shown(v):
+        number = F.try_variant_get(v, "$", "double")
+        cents = F.round(number * 100).cast("bigint").cast("string")
+        return F.coalesce(F.when(F.schema_of_variant(v) != "STRING", cents), F.try_variant_get(v, "$", "string"))
+
+    return records.select("case_id", F.array_join(x, "|").alias("x"), F.array_join(F.transform(y, shown), "|").alias("y"))
+
+
+def flattened_arrays(spark, sf):
+    """x and y of several traces, joined in their order."""
+    bar, second = _bar(), _trace(x=[F.col("o_orderpriority")], y=[F.col("o_orderstatus"), F.col("o_custkey")], type="scatter")
+    figures = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), _figure(bar, second).alias("figure_json"))
+    return _arrays(flatten_traces(parse_figures(figures, "figure_json")))
+
+
+def large_integer_points(spark, sf):
+    """Keys one apart beyond 2**53 stay two keys; of a repeated one the last value counts."""
+    big = F.col("o_orderkey") + F.lit(9007199254740992)
+    trace = _trace(type="bar", x=[big, big + 1, big], y=[F.col("o_custkey"), big + 1, big])
+    figures = table(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), _figure(trace).alias("figure_json"))
+    points = explode_points(figure_records(figures, "figure_json"))
+    last = last_values(points, ["case_id", "pair", "k"])
+    return last.select("case_id", F.col("k.str").alias("k"), F.col("v.str").alias("v"))
+
+
+def csv_with_missing_values(spark, sf):
+    """Numbers with several spellings of a missing one stay numbers."""
+    path = new_path(spark, "missing")
+    key = F.col("s_suppkey")
+    spelling = F.when(key % 5 == 0, "NA").when(key % 5 == 1, "null").when(key % 5 == 2, "N/A")
+    balance = F.coalesce(spelling, F.round(F.col("s_acctbal") * 100).cast("bigint").cast("string"))
+    table(spark, sf, "supplier").select("s_suppkey", balance.alias("cents")).write.option("header", True).csv(path)
+    return read_source(spark, path).select("s_suppkey", F.col("cents").cast("bigint").alias("cents"), F.typeof("cents").alias("kind"))
+
+
 def suppliers_through_csv(spark, sf):
     """Suppliers with an accented name, through ISO-8859-1 CSV with inferred types."""
     path = new_path(spark, "suppliers")
@@ -227,6 +283,11 @@ QUERIES = {
         map_points,
         goldens_through_files,
         suppliers_through_csv,
+        cases_default_reader,
+        goldens_default_reader,
+        flattened_arrays,
+        large_integer_points,
+        csv_with_missing_values,
     )
 }
 
@@ -316,4 +377,27 @@ ORACLES = {
         SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey, s_name || ', "Île-d''Été"' AS s_name,
                s_nationkey, s_acctbal
         FROM supplier""",
+    "cases_default_reader": f"""
+        WITH {_CASES} SELECT uuid, dataset, complexity, md5(description) AS description FROM cases""",
+    "goldens_default_reader": """
+        SELECT CAST(o_orderkey AS VARCHAR) AS case_id,
+               concat_ws('|', o_orderstatus, o_orderpriority, o_orderstatus,
+                   CASE WHEN o_orderkey % 5 = 4 THEN regexp_replace(CAST(o_totalprice AS VARCHAR), '\\.0$', '') END) AS x,
+               concat_ws('|', o_custkey * 100, o_orderkey * 100, CAST(round(o_totalprice * 100) AS BIGINT), 700,
+                   CASE WHEN o_orderkey % 5 = 4 THEN o_orderpriority END) AS y
+        FROM orders WHERE o_orderkey % 5 IN (0, 4)""",
+    "flattened_arrays": """
+        SELECT o_orderkey AS case_id,
+               concat_ws('|', o_orderstatus, o_orderpriority, o_orderstatus, o_orderpriority) AS x,
+               concat_ws('|', o_custkey * 100, o_orderkey * 100, CAST(round(o_totalprice * 100) AS BIGINT), 700,
+                   o_orderstatus, o_custkey * 100) AS y
+        FROM orders""",
+    "large_integer_points": """
+        WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS HUGEINT) + 9007199254740992 AS big FROM orders)
+        SELECT o_orderkey AS case_id, CAST(big AS VARCHAR) AS k, CAST(big AS VARCHAR) AS v FROM o
+        UNION ALL SELECT o_orderkey, CAST(big + 1 AS VARCHAR), CAST(big + 1 AS VARCHAR) FROM o""",
+    "csv_with_missing_values": """
+        SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey,
+               CASE WHEN s_suppkey % 5 > 2 THEN CAST(round(s_acctbal * 100) AS BIGINT) END AS cents, 'int' AS kind
+        FROM supplier""",
 }

@@ -18,6 +18,7 @@ from chartmeter.plans import (
     triples_match,
 )
 from chartmeter.plans.scoring import (
+    CHART_TYPES,
     describe,
     extra_fields_match,
     fields_match,
@@ -318,6 +319,104 @@ def failed_orders(spark, sf):
     )
 
 
+def failure_records(spark, sf):
+    """Whole arrays of the golden record and of the normalised predicted one."""
+    cases, goldens, predictions = _scoring_inputs(spark, sf)
+    report = failure_report(score_cases(cases, goldens, predictions), goldens, predictions)
+
+    def part(side, key):
+        values = F.try_variant_get(F.try_parse_json(side), f"$.{key}", "array<variant>")
+
+        def shown(v):
+            cents = F.round(F.try_variant_get(v, "$", "double") * 100).cast("bigint").cast("string")
+            return F.coalesce(F.when(F.schema_of_variant(v) != "STRING", cents), F.try_variant_get(v, "$", "string"))
+
+        return F.array_join(F.transform(values, shown), "|").alias(f"{side}_{key}")
+
+    return report.select("uuid", "reason", *(part(s, k) for s in ("golden", "predicted") for k in ("x", "y")))
+
+
+def scores_per_run(spark, sf):
+    """Two runs over all cases; the second one answers every third case wrongly."""
+    cases, goldens, predictions = _scoring_inputs(spark, sf)
+    key = F.col("uuid").cast("bigint")
+    wrong = _figure(_trace(type="bar", x=_array(key), y=_array(key), xaxis="x", yaxis="y"))
+    first = predictions.withColumn("run_id", F.lit(1))
+    second = first.withColumn("figure_json", F.when(key % 3 == 0, wrong).otherwise(F.col("figure_json")))
+    both = first.unionByName(second.withColumn("run_id", F.lit(2)))
+    scored = score_cases(cases, goldens, both)
+    return pass_rate(scored, ["run_id"])
+
+
+def domain_outcomes(spark, sf):
+    """A domain is compared whole: further keys, texts for numbers and nulls make it another."""
+    key, how = F.col("o_orderkey"), F.col("o_orderkey") % 6
+    head = F.concat(F.lit('{"data": [{"type": "pie", "labels": ["a"], "domain": '), F.lit('{"x": [0, 1.0], "name": '), key)
+    golden = F.concat(head, F.lit("}}]}"))
+    predicted = (
+        F.when(how == 1, F.concat(head, F.lit(', "row": null}}]}')))
+        .when(how == 2, F.concat(head, F.lit(', "more": 1}}]}')))
+        .when(how == 3, F.replace(golden, F.lit("[0, 1.0]"), F.lit('["0", "1"]')))
+        .when(how == 4, F.concat(F.lit('{"data": [{"type": "pie", "domain": {"name": '), key, F.lit('.0, "x": [0.0, true]}}]}')))
+        .otherwise(golden)
+    )
+    sides = _sides(table(spark, sf, "orders"), golden, predicted)
+    return sides.select("o_orderkey", extra_fields_match().alias("extra"))
+
+
+def _typed_inputs(spark, sf):
+    """A case per order over all chart types, answered in seven ways; arrays are the type's own."""
+    orders = table(spark, sf, "orders").where("o_orderkey > 0")
+    key, how = F.col("o_orderkey"), F.col("o_orderkey") % 7
+    types = F.array(*map(F.lit, CHART_TYPES))
+    at = (F.floor(key / 7) % len(CHART_TYPES)).cast("int")
+    kind = F.get(types, at)
+    source = F.get(F.array(*[F.lit(pair) for pair, _ in CHART_TYPES.values()]), at)
+    dense = kind == "densitymapbox"
+    k, v = _array(key, key + 1), _array(F.col("o_totalprice"), F.col("o_custkey"))
+    low = _array(key, key + 2)
+    vague = how == 6  # golden holds none of its arrays
+
+    def figure(kind, first, second, third, axes, arrays):
+        def of(pair, values):
+            return F.when(arrays & (source == pair), values)
+
+        return _figure(
+            _trace(
+                type=kind,
+                x=of("xy", first), y=of("xy", second), lat=of("latlon", first), lon=of("latlon", second),
+                z=F.when(dense & arrays, third), labels=of("labelsvalues", first), values=of("labelsvalues", second),
+                xaxis=F.when(source == "xy", axes), yaxis=F.when(source == "xy", F.lit("y")),
+                xbingroup=F.when(kind == "histogram2d", F.lit("g")), ybingroup=F.when(kind == "histogram2d", F.lit("h")),
+                subplot=F.when(dense, F.lit("m")),
+                domain=F.when(kind == "pie", F.struct(F.lit(1).alias("row"))),
+            )
+        )
+
+    golden = figure(kind, k, v, _array(F.col("o_custkey"), key), F.lit("x"), ~vague)
+    turned = how == 2
+    predicted = figure(
+        F.when(how == 3, "other").otherwise(kind),
+        F.when(turned, v).when(how == 1, low).otherwise(k),
+        F.when(turned, k).otherwise(v),
+        _array(F.col("o_custkey") + F.when(how == 5, 1).otherwise(0), key),
+        F.when(how == 4, "x9").otherwise("x"),
+        ~vague,
+    )
+    uuid = key.cast("string").alias("uuid")
+    level = F.when(F.col("o_custkey") % 3 == 0, "WithoutPlotType").otherwise("WithPlotType").alias("complexity")
+    goldens = figure_records(orders.select(uuid, golden.alias("figure_json")), "figure_json").select("uuid", "record")
+    return orders.select(uuid, level), goldens, orders.select(uuid, predicted.alias("figure_json"))
+
+
+def scored_chart_types(spark, sf):
+    return score_cases(*_typed_inputs(spark, sf)).select("uuid", "pass", "reason", "vacuous")
+
+
+def strict_scores(spark, sf):
+    return score_cases(*_typed_inputs(spark, sf), strict=True).select("uuid", "pass", "reason", "vacuous")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -337,6 +436,11 @@ QUERIES = {
         pass_rate_by_complexity,
         pass_rate_by_priority,
         failed_orders,
+        failure_records,
+        scores_per_run,
+        domain_outcomes,
+        scored_chart_types,
+        strict_scores,
     )
 }
 
@@ -404,6 +508,30 @@ _RATE = f"""
     {cents_sql("CAST(COUNT(*) - COUNT(reason) AS DOUBLE) / CAST(COUNT(*) AS DOUBLE) * 100.0::DOUBLE")}
         AS pass_rate"""
 
+_FAILED = f"""
+    SELECT CAST(o_orderkey AS VARCHAR) AS uuid, {_REASON} AS reason, * FROM orders"""
+
+# What the kinds of answer come to, for a case of each chart type; ``m`` marks a map whose
+# golden type is asked for, ``w`` a case that asks for the type.
+_TYPED = """
+    typed AS (
+        SELECT o_orderkey, o_orderkey % 7 AS how, o_custkey % 3 <> 0 AS w,
+            (['scatter', 'bar', 'histogram', 'box', 'histogram2d', 'histogram2dcontour', 'scattergl',
+              'scattergeo', 'pie', 'densitymapbox'])[1 + o_orderkey // 7 % 10] AS kind
+        FROM orders WHERE o_orderkey > 0),
+    placed AS (SELECT *, kind NOT IN ('scattergeo', 'pie', 'densitymapbox') AS xy, kind = 'densitymapbox' AND w AS m FROM typed),
+    -- Without x and y on either side the xy test holds for every other type, so only a map
+    -- that is compared as one, or an xy chart, can fail on its data.
+    judged AS (
+        SELECT *, CASE
+            WHEN w AND how = 3 THEN 'type_mismatch'
+            WHEN m AND how = 6 THEN 'error'
+            WHEN m AND how IN (1, 2, 5) THEN 'data_mismatch'
+            WHEN xy AND how = 1 THEN 'data_mismatch'
+            WHEN w AND xy AND how = 4 THEN 'extra_mismatch' END AS reason,
+            CASE WHEN m THEN FALSE WHEN how = 6 THEN TRUE WHEN xy THEN FALSE ELSE how IN (1, 2) END AS unproven
+        FROM placed)"""
+
 ORACLES = {
     "rounded_prices": f"""
         SELECT o_orderkey, {cents_sql("o_totalprice / 8.0::DOUBLE")} AS price FROM orders""",
@@ -499,4 +627,36 @@ ORACLES = {
         SELECT uuid, reason, CASE WHEN reason = 'bad_json' THEN 'figure of ' || uuid END AS predicted,
                reason <> 'missing_golden' AS has_golden
         FROM scored WHERE reason IS NOT NULL""",
+    "failure_records": f"""
+        WITH f AS ({_FAILED}),
+        r AS (
+            SELECT uuid, reason, o_orderkey % 8 AS how, o_orderkey % 11 = 0 AS none,
+                concat_ws('|', o_orderstatus, o_orderpriority, 'total') AS names,
+                concat_ws('|', o_custkey * 100, o_orderkey * 100, CAST(round(o_totalprice * 100) AS BIGINT)) AS nums,
+                concat_ws('|', o_custkey * 100 + 100, o_orderkey * 100 + 100,
+                    CAST(round((o_totalprice + 1) * 100) AS BIGINT)) AS moved,
+                concat_ws('|', '<' || lower(o_orderstatus) || '>', '<' || lower(o_orderpriority) || '>', '<total>') AS wrapped
+            FROM f WHERE reason IS NOT NULL)
+        SELECT uuid, reason, CASE WHEN NOT none THEN names END AS golden_x, CASE WHEN NOT none THEN nums END AS golden_y,
+            CASE WHEN how = 0 THEN wrapped WHEN how = 4 THEN nums WHEN how < 6 THEN names END AS predicted_x,
+            CASE WHEN how = 4 THEN wrapped WHEN how = 3 THEN moved WHEN how < 6 THEN nums END AS predicted_y
+        FROM r""",
+    "scores_per_run": f"""
+        WITH runs AS (
+            SELECT run_id, {_REASON} AS old, o_orderkey, o_orderkey % 11 = 0 AS none FROM orders, (VALUES (1), (2)) AS t(run_id)),
+        scored AS (
+            SELECT run_id, CASE WHEN old IN ('missing_golden', 'missing_prediction') THEN old
+                WHEN run_id = 2 AND o_orderkey % 3 = 0 THEN 'wrong' ELSE old END AS reason FROM runs)
+        SELECT run_id, {_RATE} FROM scored GROUP BY 1""",
+    "domain_outcomes": """
+        SELECT o_orderkey, CASE WHEN o_orderkey % 6 IN (1, 2, 3) THEN 'F' ELSE 'T' END AS extra FROM orders""",
+    "scored_chart_types": f"""
+        WITH {_TYPED}
+        SELECT CAST(o_orderkey AS VARCHAR) AS uuid, reason IS NULL AS pass, reason,
+               reason IS NULL AND unproven AS vacuous FROM judged""",
+    "strict_scores": f"""
+        WITH {_TYPED},
+        strict AS (SELECT *, CASE WHEN reason IS NULL AND unproven THEN 'not_compared' ELSE reason END AS why FROM judged)
+        SELECT CAST(o_orderkey AS VARCHAR) AS uuid, why IS NULL AS pass, why AS reason,
+               reason IS NULL AND unproven AS vacuous FROM strict""",
 }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,8 +22,23 @@ def date_part(ts: Column, part: str) -> Column:
 
 
 def number_bands(col: Column, width: float) -> Column:
-    """Lower edge of the fixed-width band that holds ``col``."""
-    return F.floor(col / F.lit(width)) * F.lit(width)
+    """Lower edge of the fixed-width band that holds ``col``.
+
+    A fractional width counts as the decimal it is written as: the edges are its multiples,
+    and a value written like one lies on it.
+    """
+    if float(width).is_integer():
+        return F.floor(col / F.lit(width)) * F.lit(width)
+    exact = Decimal(str(width))
+    scale = max(-exact.as_tuple().exponent, 0)
+    parts = int(exact.scaleb(scale))
+    # The quotient may be off by one in its last bit; edges are compared to correct that.
+    k = F.floor(col / F.lit(float(width)))
+
+    def edge(n: Column) -> Column:
+        return (n * F.lit(parts)).cast("double") / F.lit(float(10**scale))
+
+    return F.when(edge(k + 1) <= col, edge(k + 1)).when(edge(k) > col, edge(k - 1)).otherwise(edge(k))
 
 
 def bin_index(col: Column, lo: Column, hi: Column, bins: int) -> Column:

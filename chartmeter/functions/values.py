@@ -2,7 +2,8 @@
 
 A tagged value is ``struct<kind string, num double, str string>`` with kind one
 of ``num`` (numbers and booleans), ``str``, ``null`` and ``other`` (arrays and
-objects, held as JSON text in ``str``).
+objects, held as canonical JSON text in ``str``). Numbers from 2**53 to 2**95 are held as
+exact integers in ``str`` besides, as doubles do not tell all integers there apart.
 """
 
 from __future__ import annotations
@@ -15,12 +16,48 @@ from pyspark.sql import types as T
 _NO_CENTS = float(2**46)
 # 2**27 + 1 splits a double's 53 bits into two halves that multiply without error.
 _SPLITTER = float(2**27 + 1)
+# From here on doubles skip integers; up to there an exact integer goes with them.
+_EXACT_FROM, _EXACT_TO = float(2**53), float(2**95)
+# A JSON text's strings, numbers, words and signs.
+_TOKENS = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"|-?[0-9][-+0-9.eE]*|[a-z]+|[\[\]{},:]'
 
 
 def _tagged(kind: Column, num: Column, text: Column) -> Column:
     return F.struct(kind.alias("kind"), num.alias("num"), text.alias("str"))
 
 
+def _needs_exact(num: Column) -> Column:
+    return (F.abs(num) >= _EXACT_FROM) & (F.abs(num) < _EXACT_TO)
+
+
+def _whole_text(num: Column) -> Column:
+    """Digits of a double that is an integer and under 2**95, taken apart without loss."""
+    high = F.floor(num / F.lit(float(2**32)))
+    low = (num - high * F.lit(float(2**32))).cast("bigint")
+    scaled = high.cast("decimal(20,0)") * F.lit(2**32).cast("decimal(10,0)")
+    return (scaled + low.cast("decimal(10,0)")).cast("string")
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON text without blanks that is equal for equal values: booleans as 0 and 1, every
+    number in one spelling. Keys keep their order, which VARIANT has sorted."""
+
+    def one(token: Column) -> Column:
+        num = token.try_cast("double")
+        whole = (num == F.floor(num)) & (F.abs(num) < _EXACT_TO)
+        number = F.when(whole, _whole_text(num)).otherwise(num.cast("string"))
+        return (
+            F.when(token == "true", "1")
+            .when(token == "false", "0")
+            .when(token == "-0", "0")
+            .when(token.rlike("^-?[0-9].*[.eE]"), number)
+            .otherwise(token)
+        )
+
+    tokens = F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0))
+    return F.array_join(F.transform(tokens, one), "")
+
+
 def tag_variant(v: Column, shape: Column | None = None) -> Column:
     """Tag a VARIANT by the JSON type it holds. ``shape`` is its ``schema_of_variant``,
     for callers that have it in a column."""
@@ -32,8 +69,12 @@ def tag_variant(v: Column, shape: Column | None = None) -> Column:
         .otherwise("other")
     )
     num = F.when(is_number(shape), F.try_variant_get(v, "$", "double"))
-    text = F.when(shape == "STRING", F.try_variant_get(v, "$", "string")).when(
-        shape.rlike("^(ARRAY|OBJECT)"), F.to_json(v)
+    written = F.try_variant_get(v, "$", "decimal(38,0)").cast("string")
+    exact = F.when(shape.rlike(r"^(BIGINT|DECIMAL\(\d+,0\))"), written).otherwise(_whole_text(num))
+    text = (
+        F.when(shape == "STRING", F.try_variant_get(v, "$", "string"))
+        .when(shape.rlike("^(ARRAY|OBJECT)"), canonical_json(F.to_json(v)))
+        .when(_needs_exact(num), exact)
     )
     return _tagged(kind, num, text)
 
@@ -51,11 +92,14 @@ def tag_column(df: DataFrame, name: str) -> Column:
     if isinstance(dtype, T.VariantType):
         return tag_variant(col)
     if isinstance(dtype, (T.NumericType, T.BooleanType)):
-        number = col.cast("int") if isinstance(dtype, T.BooleanType) else col
-        return _tagged(F.when(col.isNull(), "null").otherwise("num"), number.cast("double"), none_str)
+        number = (col.cast("int") if isinstance(dtype, T.BooleanType) else col).cast("double")
+        integral = isinstance(dtype, T.IntegralType) or (isinstance(dtype, T.DecimalType) and not dtype.scale)
+        exact = col.cast("decimal(38,0)").cast("string") if integral else _whole_text(number)
+        text = none_str if isinstance(dtype, T.BooleanType) else F.when(_needs_exact(number), exact)
+        return _tagged(F.when(col.isNull(), "null").otherwise("num"), number, text)
     if isinstance(dtype, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
         return _tagged(F.when(col.isNull(), "null").otherwise("str"), none_num, col.cast("string"))
-    return _tagged(F.when(col.isNull(), "null").otherwise("other"), none_num, F.to_json(col))
+    return _tagged(F.when(col.isNull(), "null").otherwise("other"), none_num, canonical_json(F.to_json(col)))
 
 
 def round_cents(x: Column) -> Column:
@@ -96,7 +140,10 @@ def values_match(golden: Column, predicted: Column) -> Column:
     same_kind = g["kind"] == p["kind"]
     return (
         F.when(~same_kind, F.lit(False))
-        .when(g["kind"] == "num", (g["num"] == p["num"]) & ~F.isnan(g["num"]))
+        .when(
+            g["kind"] == "num",
+            (g["num"] == p["num"]) & ~F.isnan(g["num"]) & g["str"].eqNullSafe(p["str"]),
+        )
         .when(g["kind"] == "str", F.contains(p["str"], g["str"]))
         .when(g["kind"] == "null", F.lit(True))
         .otherwise(g["str"] == p["str"])

@@ -60,15 +60,21 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
     return added.select(*df.columns, *[f"_row.{name}" for name in columns])
 
 
+#: Bytes of JSON from which a text that does not become a VARIANT may just be too large for one.
+LARGE_BYTES = 64 << 20
+
+
 def parse_figures(df: DataFrame, json_col: str) -> DataFrame:
     """Add ``status`` and ``traces array<variant>``.
 
-    status: ``ok``, ``bad_json`` (not JSON, or none), ``no_data`` (no data key) or
-    ``bad_data`` (data is no array).
+    status: ``ok``, ``bad_json`` (not JSON, or none), ``too_large`` (no VARIANT can be made
+    of so long a text), ``no_data`` (no data key) or ``bad_data`` (data is no array).
     """
     figure, data, traces = F.col("_figure"), F.col("_data"), F.col("_traces")
+    large = F.octet_length(F.col(json_col)) >= LARGE_BYTES
     status = (
-        F.when(figure.isNull(), "bad_json")
+        F.when(figure.isNull() & large, "too_large")
+        .when(figure.isNull(), "bad_json")
         .when(data.isNull(), "no_data")
         .when(traces.isNull(), "bad_data")
         .otherwise("ok")

@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from chartmeter.functions.values import comparison_form, values_match
 from chartmeter.plans.figures import last_values
-from chartmeter.shared import broadcast_if_small, is_small, stage
+from chartmeter.shared import broadcast_if_small, stage
 
 #: Strings up to this length are looked up whole, longer ones by pieces of it.
 PIECE = 64
 #: Golden strings are tried on all predicted points in question up to this number.
 FEW = 64
-#: Parts that the predicted strings sharing one piece are spread over.
-SALTS = 16
+#: Predicted strings sharing one piece that are tried in one place; more are spread.
+CROWD = 10_000
 
 _GROUP = ["case_id", "pair"]
 
@@ -156,8 +156,7 @@ def _contained(points: DataFrame, undecided: DataFrame) -> DataFrame:
     asked = stage(asked, "asked")
 
     few = asked.where(F.col("n_offered") <= FEW).drop("n_offered")
-    theirs = offered.withColumnsRenamed({"k": "their_k", "v": "their_v"})
-    matched = few.join(theirs, keys).where(_accepted()).select(*_GROUP, "k", "v").distinct()
+    matched = few.join(_theirs(offered), _same_group() & _accepted(), "left_semi").select(*_GROUP, "k", "v")
     many = asked.where(F.col("n_offered") > FEW).drop("n_offered")
     if many.isEmpty():
         return matched
@@ -169,89 +168,104 @@ def _contained(points: DataFrame, undecided: DataFrame) -> DataFrame:
 def _looked_up(golden: DataFrame, predicted: DataFrame) -> DataFrame:
     """Golden points found by pieces of their strings.
 
-    A golden string occurs in a predicted one if it equals one of that string's
-    pieces of its length. Strings over PIECE characters are looked up by three
-    of their pieces, points with two strings by both. Any piece that no
-    predicted string has settles the point; otherwise its rarest piece finds
-    the predicted points worth a full test.
+    A golden string can only occur in a predicted one that has all its pieces. Its pieces
+    are up to three, each as long as the largest power of two that it and PIECE allow, so
+    a predicted string is cut at no more than seven lengths. Only hashes of pieces and ids
+    of points move; a golden point's rarest piece names the predicted points whose texts
+    are fetched for the full test, which ends at the first that passes.
     """
+    keys = [*_GROUP, "texts", "fixed"]
+    golden = golden.withColumn("gid", F.xxhash64(*keys, "k", "v"))
+    predicted = stage(predicted.withColumn("pid", F.xxhash64(*keys, "k", "v")), "offered")
     asked = stage(_asked_pieces(_by_text(golden)), "asked-pieces")
-    offered = _offered_pieces(_by_text(predicted), asked)
-    keys = [*_GROUP, "texts", "fixed", "side", "piece"]
-    wanted = asked.select(*keys).distinct()
-    counted = offered.join(F.broadcast(wanted), keys, "left_semi") if is_small(wanted) else offered
-    counted = counted.groupBy(*keys).agg(F.count("*").alias("n_offered"))
-    seen = F.coalesce("n_offered", F.lit(0))
-    found = (
-        asked.join(counted, keys, "left")
-        .groupBy(*_GROUP, "texts", "fixed", "k", "v")
-        .agg(
-            F.min(seen).alias("fewest"),
-            F.min_by(F.struct("side", "piece"), seen).alias("rarest"),
-            F.bool_and("whole").alias("whole"),
-        )
-        .where("fewest > 0")
+    wanted = asked.select("h").distinct()
+    hits = stage(
+        _offered_pieces(_by_text(predicted), asked).join(broadcast_if_small(wanted), "h", "left_semi"), "hits"
     )
-    found = stage(found, "found")
-    # a whole string next to an equal other side needs no further test
-    sure = F.col("whole") & (F.col("texts") != "kv")
-    matched = found.where(sure).select(*_GROUP, "k", "v")
-    unsure = found.where(~sure).select(*_GROUP, "texts", "fixed", "rarest.*", "k", "v")
-    if unsure.isEmpty():
-        return matched
-    return matched.unionByName(_tested(unsure, offered, keys))
+    counted = hits.groupBy("h").agg(F.count("*").alias("n"))
+    seen = F.coalesce("n", F.lit(0))
+    rarest = (
+        asked.join(counted, "h", "left")
+        .groupBy("gid")
+        .agg(F.min(seen).alias("n"), F.min_by("h", seen).alias("h"))
+        # a piece that nobody has settles the point
+        .where("n > 0")
+    )
+    rarest = stage(rarest, "rarest")
+    # a piece that very many predicted strings have is spread over parts on their side
+    parts = F.ceil(F.col("n") / F.lit(CROWD)).cast("int")
+    named = rarest.groupBy("h").agg(F.first(parts).alias("parts"))
+    offers = (
+        hits.join(named, "h")
+        .withColumn("part", F.pmod("pid", F.col("parts")).cast("int"))
+        .select("h", "part", "pid")
+        .join(_theirs(predicted), "pid")
+        .withColumnsRenamed({"h": "their_h", "part": "their_part"})
+    )
+    asks = golden.join(rarest, "gid").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
+    at = (F.col("h") == F.col("their_h")) & (F.col("part") == F.col("their_part"))
+    met = asks.join(offers, at & _same_group() & _accepted(), "left_semi")
+    return met.select(*_GROUP, "k", "v").distinct()
+
+
+def _theirs(offered: DataFrame) -> DataFrame:
+    """Predicted points, all columns but an id named ``their_``."""
+    return offered.select(*[F.col(c).alias(c if c == "pid" else f"their_{c}") for c in offered.columns])
+
+
+def _same_group() -> Column:
+    same = F.lit(True)
+    for key in (*_GROUP, "texts", "fixed"):
+        same = same & (F.col(key) == F.col(f"their_{key}"))
+    return same
+
+
+def _piece_size(length: Column) -> Column:
+    """Largest power of two within ``length`` and PIECE; 0 for an empty string."""
+    size = F.when(length == 0, F.lit(0))
+    power = 1
+    while 2 * power <= PIECE:
+        size = size.when(length < 2 * power, F.lit(power))
+        power *= 2
+    return size.otherwise(F.lit(power))
+
+
+def _piece_hash(piece: Column) -> Column:
+    """Hash of a piece together with what has to be the same for it to count."""
+    return F.xxhash64(*_GROUP, "texts", "fixed", "side", piece)
 
 
 def _asked_pieces(texts: DataFrame) -> DataFrame:
-    """Pieces each golden string is looked up by; ``whole`` if it is one piece itself."""
-    text = F.col("text")
-    size = F.length(text)
-    starts = F.array(F.lit(1), F.floor((size - PIECE) / 2).cast("int") + 1, size - PIECE + 1)
-    pieces = F.when(size <= PIECE, F.array(text)).otherwise(
-        F.transform(starts, lambda start: F.substring(text, start, F.lit(PIECE)))
+    """``gid, h`` for the pieces each golden string is looked up by, and their ``size``."""
+    length, size = F.length("text"), F.col("size")
+    sized = texts.withColumn("size", _piece_size(length))
+    starts = F.array_distinct(
+        F.array(F.lit(1), F.floor((length - size) / 2).cast("int") + 1, length - size + 1)
     )
-    return texts.withColumn("whole", size <= PIECE).withColumn("piece", F.explode(pieces)).drop("text")
+    hashes = F.transform(starts, lambda start: _piece_hash(F.substring("text", start, size)))
+    return sized.select(*_GROUP, "texts", "side", "size", "gid", F.explode(hashes).alias("h"))
 
 
 def _offered_pieces(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """All pieces of the predicted strings, of the lengths asked for in their case."""
+    """``h, pid`` for all pieces of the predicted strings, of the sizes asked for in their case."""
     by = [*_GROUP, "texts", "side"]
-    # at most PIECE + 1 lengths per group
-    lengths = asked.groupBy(*by).agg(F.collect_set(F.length("piece")).alias("lengths"))
-    lengths = stage(lengths, "lengths")
-    sized = (
-        texts.join(broadcast_if_small(lengths), by)
-        .withColumn("letters", F.split("text", ""))
-        .withColumn("size", F.explode("lengths"))
-        .where(F.col("size") <= F.length("text"))
-    )
-    starts = F.sequence(F.lit(1), F.length("text") - F.col("size") + 1)
-    pieces = (
-        F.when(F.col("size") == 0, F.array(F.lit("")))
-        .when(F.length("text") == F.col("size"), F.array("text"))
-        .otherwise(
-            F.array_distinct(
-                F.transform(
-                    starts, lambda start: F.array_join(F.slice("letters", start, F.col("size")), "")
-                )
-            )
+    # at most eight sizes per group
+    sizes = stage(asked.groupBy(*by).agg(F.collect_set("size").alias("sizes")), "sizes")
+    letters = texts.join(broadcast_if_small(sizes), by).withColumn("letters", F.split("text", ""))
+
+    def hashes(size: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.length("text") - size + 1)
+        cut = F.transform(
+            starts, lambda start: _piece_hash(F.array_join(F.slice("letters", start, size), ""))
         )
-    )
-    return sized.withColumn("piece", F.explode(pieces)).drop("text", "letters", "size", "lengths")
-
-
-def _tested(unsure: DataFrame, offered: DataFrame, keys: list[str]) -> DataFrame:
-    """Golden points that match a predicted point with the same rarest piece."""
-    theirs = offered.withColumnsRenamed({"k": "their_k", "v": "their_v"})
-    point = [*_GROUP, "k", "v"]
-    if is_small(unsure):
-        return theirs.join(F.broadcast(unsure), keys).where(_accepted()).select(*point).distinct()
-    # a piece many predicted strings have is spread over salts on their side
-    spread = theirs.withColumn("salt", F.pmod(F.xxhash64("their_k", "their_v"), F.lit(SALTS)))
-    copies = unsure.withColumn(
-        "salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
-    )
-    return copies.join(spread, [*keys, "salt"]).where(_accepted()).select(*point).distinct()
+        return (
+            F.when(size > F.length("text"), F.array().cast("array<bigint>"))
+            .when(size == 0, F.array(_piece_hash(F.lit(""))))
+            .otherwise(F.array_distinct(cut))
+        )
+
+    every = F.flatten(F.transform("sizes", hashes))
+    return letters.select("pid", F.explode(every).alias("h"))
 
 
 def records_match(golden: DataFrame, predicted: DataFrame, keys: list[str] | None = None) -> DataFrame:

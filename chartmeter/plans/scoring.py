@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartmeter.functions.values import is_number, round_cents
+from chartmeter.functions.values import canonical_json, round_cents
 from chartmeter.plans.figures import (
     FIGURE_KEYS,
     PAIRS,
@@ -41,7 +41,8 @@ CHART_TYPES = {
 _ARRAYS = ["x", "y", "lat", "lon", "z", "labels", "values"]
 _ATTRIBUTES = ["type", "xaxis", "yaxis", "xbingroup", "ybingroup", "subplot", "domain"]
 _FIGURES_PER_FILE = 20_000
-_DOMAIN = "struct<x:array<double>,y:array<double>,row:double,column:double>"
+#: Runs that one table of predictions may hold.
+MOST_RUNS = 10_000
 
 
 def _has(side: str, key: str) -> Column:
@@ -78,12 +79,10 @@ def _state(value: Column, shape: Column) -> Column:
     )
 
 
-def _attribute(value: Column, shape: Column, key: str) -> Column:
-    """Text that is equal for equal values; NULL only where the key is missing."""
-    number = F.when(is_number(shape), F.try_variant_get(value, "$", "double").cast("string"))
-    if key != "domain":
-        return F.coalesce(number, F.to_json(value))
-    return F.coalesce(F.to_json(F.try_variant_get(value, "$", _DOMAIN)), number, F.to_json(value))
+def _attribute(value: Column) -> Column:
+    """Text that is equal for equal values, whatever they hold; NULL only where the key is
+    missing."""
+    return canonical_json(F.to_json(value))
 
 
 def describe(records: DataFrame, name: str) -> DataFrame:
@@ -93,13 +92,9 @@ def describe(records: DataFrame, name: str) -> DataFrame:
     values = records.select(
         *kept, *[field(F.col("record"), key).alias(f"_{key}") for key in keys]
     )
-    shaped = values.withColumns({f"_{key}_shape": F.schema_of_variant(f"_{key}") for key in keys})
-
-    def parts(key: str) -> tuple[Column, Column]:
-        return F.col(f"_{key}"), F.col(f"_{key}_shape")
-
-    has = F.struct(*[_state(*parts(key)).alias(key) for key in _ARRAYS])
-    attributes = F.struct(*[_attribute(*parts(key), key).alias(key) for key in _ATTRIBUTES])
+    shaped = values.withColumns({f"_{key}_shape": F.schema_of_variant(f"_{key}") for key in _ARRAYS})
+    has = F.struct(*[_state(F.col(f"_{key}"), F.col(f"_{key}_shape")).alias(key) for key in _ARRAYS])
+    attributes = F.struct(*[_attribute(F.col(f"_{key}")).alias(key) for key in _ATTRIBUTES])
     return shaped.select(*kept, F.struct(has.alias("has"), attributes.alias("is")).alias(name))
 
 
@@ -168,18 +163,24 @@ def score_records(
 ) -> DataFrame:
     """Add ``pass``, ``reason`` (of a failure) and ``vacuous`` to each case.
 
-    cases: uuid, complexity and any more; goldens: uuid, record; predictions:
-    uuid, status, record; one golden and one prediction per uuid. ``vacuous``
-    marks a pass for which no data was compared; ``strict`` fails it.
+    cases: uuid, complexity and any more; goldens: uuid, record; predictions: uuid, status,
+    record and, if there are several runs, run_id: then each case has a row per run, with
+    the run's id. Two goldens for a uuid, or two predictions for one in a run, are an error.
+    ``vacuous`` marks a pass for which no data was compared; ``strict`` fails it.
     """
+    if "run_id" in predictions.columns:
+        cases, goldens, predictions = _by_run(cases, goldens, predictions)
+    else:
+        cases = cases.select("uuid", F.struct("*").alias("case"))
     # read and parsed once; what follows goes over the stored records several times
     kept = F.map_filter("record", lambda key, _: key.isin(*FIGURE_KEYS)).alias("record")
     goldens = stage(goldens.select("uuid", kept), "goldens", _FIGURES_PER_FILE)
     predictions = stage(predictions.select("uuid", "status", kept), "predictions", _FIGURES_PER_FILE)
+    _one_each(goldens, "golden")
+    _one_each(predictions, "prediction")
     known = describe(goldens.withColumn("golden_ok", F.col("record").isNotNull()), "g")
     answers = describe(predictions, "p")
-    whole = cases.select("uuid", F.struct("*").alias("case"))
-    joined = whole.join(known, "uuid", "left").join(answers, "uuid", "left")
+    joined = cases.join(known, "uuid", "left").join(answers, "uuid", "left")
     facts = stage(with_source(joined), "facts")
     usable = facts.where((F.col("status") == "ok") & F.col("golden_ok"))
 
@@ -228,11 +229,35 @@ def score_records(
     return stage(_verdicts(facts, strict), "scored")
 
 
+def _one_each(records: DataFrame, what: str) -> None:
+    again = records.groupBy("uuid").agg(F.count("*").alias("n")).where("n > 1 AND uuid IS NOT NULL").first()
+    if again:
+        raise ValueError(f"{again.n} {what}s for {again.uuid}")
+
+
+def _by_run(cases: DataFrame, goldens: DataFrame, predictions: DataFrame) -> tuple[DataFrame, ...]:
+    """Cases, goldens and predictions keyed by run and uuid; every run answers all cases."""
+    found = predictions.select("run_id").distinct().limit(MOST_RUNS + 1).collect()
+    if len(found) > MOST_RUNS:
+        raise ValueError(f"more than {MOST_RUNS} runs")
+    kind = predictions.schema["run_id"].dataType
+    runs = F.array(*[F.lit(row.run_id).cast(kind) for row in found]).cast(f"array<{kind.simpleString()}>")
+    key = F.to_json(F.array(F.col("run_id").cast("string"), "uuid")).alias("uuid")
+    each = cases.drop("run_id").withColumn("run_id", F.explode(runs))
+    return (
+        each.select(key, F.struct("*").alias("case")),
+        goldens.select("uuid", "record", F.explode(runs).alias("run_id")).select(key, "record"),
+        predictions.select(key, "status", "record"),
+    )
+
+
 def score_cases(
     cases: DataFrame, goldens: DataFrame, predictions: DataFrame, strict: bool = False
 ) -> DataFrame:
-    """``score_records`` of predictions that are figure JSON: uuid, figure_json."""
-    figures = figure_records(predictions.select("uuid", "figure_json"), "figure_json")
+    """``score_records`` of predictions that are figure JSON: uuid, figure_json and, if
+    there are several runs, run_id."""
+    kept = [c for c in predictions.columns if c in ("uuid", "run_id", "figure_json")]
+    figures = figure_records(predictions.select(*kept), "figure_json")
     return score_records(cases, goldens, figures, strict)
 
 
@@ -316,17 +341,21 @@ def pass_rate(scored: DataFrame, by: list[str] | None = None, totals: bool = Fal
 
 
 def failure_report(scored: DataFrame, goldens: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Failed cases with their records as JSON: uuid, reason, predicted, golden.
+    """Failed cases with their records as JSON: uuid (and run_id), reason, predicted, golden.
 
-    predictions: uuid and figure_json, or uuid and record.
+    predictions: uuid and record, or uuid and figure_json; of the latter the record that was
+    compared is shown, or the text itself where it holds none. With run_id where there are
+    several runs.
     """
-    failed = scored.where(~F.col("pass")).select("uuid", "reason")
+    keys = [c for c in ("run_id", "uuid") if c in scored.columns and c in predictions.columns]
+    failed = scored.where(~F.col("pass")).select(*keys, "reason")
     if "record" in predictions.columns:
-        answer = F.to_json("record")
+        answers = predictions.select(*keys, F.to_json("record").alias("predicted"))
     else:
-        answer = F.col("figure_json")
-    side = failed.select("uuid").distinct()
-    side = broadcast_if_small(side)
-    theirs = predictions.join(side, "uuid", "left_semi").select("uuid", answer.alias("predicted"))
-    mine = goldens.join(side, "uuid", "left_semi").select("uuid", F.to_json("record").alias("golden"))
-    return failed.join(theirs, "uuid", "left").join(mine, "uuid", "left")
+        text = predictions.select(*keys, "figure_json", F.col("figure_json").alias("text"))
+        shown = F.coalesce(F.to_json("record"), F.col("text")).alias("predicted")
+        answers = figure_records(text, "figure_json").select(*keys, shown)
+    side = broadcast_if_small(failed.select(*keys).distinct())
+    theirs = answers.join(side, keys, "left_semi")
+    mine = goldens.join(side.select("uuid"), "uuid", "left_semi").select("uuid", F.to_json("record").alias("golden"))
+    return failed.join(theirs, keys, "left").join(mine, "uuid", "left")

@@ -38,31 +38,65 @@ def build_cases(descriptions: DataFrame, datasets: list[str] | None = None) -> D
     )
 
 
-def read_cases(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+def _holds_arrays(spark: SparkSession, path: str | list[str]) -> bool:
+    """Whether the files hold one JSON array each rather than an object or array a line.
+
+    Told by the first character of every file; files of both kinds are an error.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"),
+        F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("row")).alias("place"),
+        F.substring(F.ltrim("value"), 1, 1).alias("first"),
+        F.startswith("value", F.lit("[")).alias("opens"),
+    )
+    files = lines.where("first <> ''").groupBy("file").agg(F.min_by("first", "place").alias("first"), F.count_if("opens").alias("n"))
+    # Arrays on several lines of a file are one a line.
+    array = (F.col("first") == "[") & (F.col("n") <= 1)
+    arrays, others = files.agg(F.count_if(array), F.count_if(~array)).first()
+    if arrays and others:
+        raise ValueError(f"{path} holds files of one array each and files of lines: read them apart")
+    return bool(arrays)
+
+
+def _read_json(spark: SparkSession, path: str | list[str], schema: str, lines: bool | None) -> DataFrame:
+    """Rows of JSON files; text that is no such row is an error, never a missing row."""
+    if lines is None:
+        lines = not _holds_arrays(spark, path)
+    reader = spark.read.schema(f"{schema}, _broken string").option("columnNameOfCorruptRecord", "_broken")
+    read = reader.option("multiLine", not lines).json(path)
+    first = read.columns[0]
+    problem = F.concat(F.lit("no JSON record: "), F.substring("_broken", 1, 200))
+    checked = F.when(F.col("_broken").isNull(), F.col(first)).otherwise(F.raise_error(problem))
+    return read.withColumn(first, checked).drop("_broken")
+
+
+def read_cases(spark: SparkSession, path: str | list[str], lines: bool | None = None) -> DataFrame:
     """Read cases from files of one JSON array each, or of one JSON object per line.
 
-    An array file is read by one task; a corpus beyond a few GB should be lines.
+    Unless ``lines`` says which, the files are looked through to tell. An array file is
+    read by one task; a corpus beyond a few GB should be lines, as ``write_cases`` writes.
     """
-    return spark.read.schema(CASE_SCHEMA).option("multiLine", not lines).json(path)
+    names = [field.split()[0] for field in CASE_SCHEMA.split(", ")]
+    return _read_json(spark, path, CASE_SCHEMA, lines).select(*names)
 
 
-def read_goldens(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+def read_goldens(spark: SparkSession, path: str | list[str], lines: bool | None = None) -> DataFrame:
     """Read golden records as (uuid, record map<string, variant>); of several records
-    with one uuid the last one, by file name and place in the file, stays."""
-    raw = (
-        spark.read.schema("uuid string, plot_json variant")
-        .option("multiLine", not lines)
-        .json(path)
-        .select(
-            "uuid",
-            F.try_variant_get("plot_json", "$.data", "map<string,variant>").alias("record"),
-            # rows of one block stay in one partition, where this id only grows
-            F.struct(
-                F.col("_metadata.file_path"),
-                F.col("_metadata.file_block_start"),
-                F.monotonically_increasing_id().alias("row"),
-            ).alias("place"),
-        )
+    with one uuid the last one, by file name and place in the file, stays.
+
+    Unless ``lines`` says whether the files hold an object per line or one array each,
+    they are looked through to tell.
+    """
+    raw = _read_json(spark, path, "uuid string, plot_json variant", lines)
+    raw = raw.select(
+        "uuid",
+        F.try_variant_get("plot_json", "$.data", "map<string,variant>").alias("record"),
+        # rows of one block stay in one partition, where this id only grows
+        F.struct(
+            F.col("_metadata.file_path"),
+            F.col("_metadata.file_block_start"),
+            F.monotonically_increasing_id().alias("row"),
+        ).alias("place"),
     )
     # the struct keeps a last record that holds no data from being passed over
     last = F.max_by(F.struct("record"), "place")
@@ -74,9 +108,11 @@ def filter_cases(
     uuid: str | None = None,
     dataset: str | None = None,
     complexity: str | None = None,
+    split: str | None = None,
 ) -> DataFrame:
     """Cases that meet all filters given; an empty one filters nothing."""
-    for name, wanted in (("uuid", uuid), ("dataset", dataset), ("complexity", complexity)):
+    given = {"uuid": uuid, "dataset": dataset, "complexity": complexity, "split": split}
+    for name, wanted in given.items():
         if wanted:
             cases = cases.where(F.col(name) == wanted)
     return cases

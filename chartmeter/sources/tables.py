@@ -2,30 +2,74 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.types import StructType
 
+# The spellings of a missing value that data frames read from CSV know.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
+
 
 def read_source(
     spark: SparkSession,
     path: str | list[str],
     encoding: str = "UTF-8",
     schema: StructType | str | None = None,
-    null_value: str = "",
+    null_values: tuple[str, ...] = MISSING,
     multi_line: bool = False,
 ) -> DataFrame:
     """Read CSV files with a header row and quotes doubled inside quoted fields.
 
     Without a schema the types are inferred, which reads the data once more:
-    give one for anything large. ``multi_line`` is for quoted line breaks and
-    keeps a file from being split over tasks.
+    give one for anything large. Each of ``null_values`` is a missing value in any
+    column. ``multi_line`` is for quoted line breaks and keeps a file from being split
+    over tasks.
     """
     reader = (
         spark.read.option("header", True)
         .option("encoding", encoding)
-        .option("nullValue", null_value)
         .option("escape", '"')
         .option("multiLine", multi_line)
     )
-    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", True)
-    return reader.csv(path)
+    # As text first: the reader itself knows a single spelling of a missing value, and
+    # another one would turn a column of numbers into text.
+    raw = reader.csv(path)
+    missing = {c: F.when(~F.col(f"`{c}`").isin(*null_values), F.col(f"`{c}`")) for c in raw.columns}
+    clean = raw.withColumns(missing)
+    if schema is None:
+        schema = _inferred(clean)
+    elif isinstance(schema, str):
+        schema = StructType.fromDDL(schema)
+    names = dict(zip(schema.names, raw.columns))
+    return clean.select(
+        *(F.col(f"`{names[f.name]}`").try_cast(f.dataType).alias(f.name) for f in schema.fields)
+    )
+
+
+def _inferred(clean: DataFrame) -> StructType:
+    """For each column the first of int, bigint, double, date, timestamp and boolean that
+    all its values fit, or string; one aggregate over the data."""
+    kinds = ("int", "bigint", "double", "date", "timestamp", "boolean")
+    types = (T.IntegerType(), T.LongType(), T.DoubleType(), T.DateType(), T.TimestampType(), T.BooleanType())
+
+    def unfit(col: Column, kind: str) -> Column:
+        if kind == "boolean":  # a cast would take "yes" and "0", too
+            return ~F.lower(col).isin("true", "false")
+        return col.try_cast(kind).isNull()
+
+    fits = {
+        f"{i} {kind}": F.count_if(F.col(f"`{c}`").isNotNull() & unfit(F.col(f"`{c}`"), kind))
+        for i, c in enumerate(clean.columns)
+        for kind in kinds
+    }
+    some = {f"{i} some": F.count(F.col(f"`{c}`")) for i, c in enumerate(clean.columns)}
+    counts = clean.agg(*(n.alias(name) for name, n in {**fits, **some}.items())).first().asDict()
+    out = StructType()
+    for i, c in enumerate(clean.columns):
+        fitting = (t for k, t in zip(kinds, types) if counts[f"{i} some"] and not counts[f"{i} {k}"])
+        out = out.add(c, next(fitting, T.StringType()))
+    return out

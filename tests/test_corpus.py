@@ -76,6 +76,25 @@ def test_array_files(spark, tmp_path):
     assert [r.uuid for r in read_cases(spark, str(file)).collect()] == ["u", "v"]
 
 
+def test_readers_tell_the_layout_and_lose_nothing(spark, cases, tmp_path):
+    write_cases(cases, str(tmp_path / "written"), "train")
+    assert read_cases(spark, str(tmp_path / "written")).count() == 3
+    record = dict(uuid="u", dataset="d", language="English", complexity="WithPlotType", description="t")
+    files = {
+        "one array a line": f"[{json.dumps(record)}, {json.dumps(record)}]\n[{json.dumps(record)}]\n",
+        "objects": f"\n  {json.dumps(record)}\n\n{json.dumps(record)}\n{json.dumps(record)}",
+        "array": json.dumps([record] * 3, indent=2),
+    }
+    for name, text in files.items():
+        (tmp_path / f"{name}.json").write_text(text)
+        assert read_cases(spark, str(tmp_path / f"{name}.json")).count() == 3, name
+    (tmp_path / "broken.json").write_text(json.dumps(record) + "\n{'uuid': 1\n")
+    with pytest.raises(Exception, match="no JSON record"):
+        read_cases(spark, str(tmp_path / "broken.json")).collect()
+    with pytest.raises(ValueError, match="read them apart"):
+        read_cases(spark, [str(tmp_path / "array.json"), str(tmp_path / "objects.json")])
+
+
 def test_last_golden_wins(spark, tmp_path):
     def record(uuid, kind, **more):
         return {"uuid": uuid, "plot_json": {"data": {"type": kind, **more}}}
@@ -110,6 +129,8 @@ def test_csv(spark, tmp_path):
     file = tmp_path / "peaks.csv"
     file.write_bytes('name,elev,note\nÉtna,3350,"a ""b"", c"\nNone,,\n'.encode("iso-8859-1"))
     rows = read_source(spark, str(file), encoding="ISO-8859-1").collect()
-    assert [tuple(r) for r in rows] == [("Étna", 3350, 'a "b", c'), ("None", None, None)]
+    assert [tuple(r) for r in rows] == [("Étna", 3350, 'a "b", c'), (None, None, None)]
+    kept = read_source(spark, str(file), encoding="ISO-8859-1", null_values=("",)).collect()
+    assert kept[1].name == "None"
     typed = read_source(spark, str(file), "ISO-8859-1", "name string, elev double, note string")
     assert typed.first().elev == 3350.0
