@@ -64,6 +64,7 @@ def map_arrow(df: DataFrame, rows: Callable, schema: str, text: str = "text") ->
             out = one(piece)
             if out is not None and out.num_rows:
                 yield out
+        pa.default_memory_pool().release_unused()  # the worker lives on for other stages
 
     return df.mapInArrow(run, schema)
 
