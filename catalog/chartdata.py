@@ -132,6 +132,24 @@ def value_histogram_in_bounds(spark, sf):
     return histogram(events, "value", 16, by="event_type", bounds=(0.0, 64.0))
 
 
+def price_histogram_of_all_customers(spark, sf):
+    """Bounds that leave out all orders of many customers."""
+    return histogram(table(spark, sf, "orders"), "o_totalprice", 4, by="o_custkey", bounds=(1000.0, 9000.0))
+
+
+def best_part_of_top_types_by_price(spark, sf):
+    parts = table(spark, sf, "part")
+    return argmax_per_group(
+        parts, "p_type", "p_size", "p_partkey", top_groups=5, groups_by="max", group_measure="p_retailprice"
+    )
+
+
+def lines_by_discount_band(spark, sf):
+    """Bands of a fractional width; every discount lies on an edge."""
+    band = number_bands(F.col("l_discount"), 0.02).alias("band")
+    return table(spark, sf, "lineitem").groupBy(band).agg(F.count(F.lit(1)).alias("n"))
+
+
 def price_density(spark, sf):
     df = density_1d(table(spark, sf, "orders"), "o_totalprice", 12)
     return df.select("bin", F.round(F.col("density") * 1e6, 6).alias("density"))
@@ -274,6 +292,9 @@ QUERIES = {
         price_histogram,
         price_histogram_by_status,
         value_histogram_in_bounds,
+        price_histogram_of_all_customers,
+        best_part_of_top_types_by_price,
+        lines_by_discount_band,
         price_density,
         price_density_by_status,
         price_box_by_flag,
@@ -403,11 +424,28 @@ ORACLES = {
         WITH counted AS (
             SELECT event_type, LEAST(CAST(FLOOR(value / 4.0::DOUBLE) AS BIGINT), 15) AS bin, COUNT(*) AS n
             FROM events WHERE value BETWEEN 0 AND 64 GROUP BY ALL),
-        kinds AS (SELECT DISTINCT event_type FROM counted)
+        kinds AS (SELECT DISTINCT event_type FROM events)
         SELECT k.event_type, CAST(b.bin AS BIGINT) AS bin, b.bin * 4.0::DOUBLE AS bin_lo,
                (b.bin + 1) * 4.0::DOUBLE AS bin_hi, COALESCE(c.n, 0) AS n
         FROM range(16) b(bin), kinds k
         LEFT JOIN counted c ON c.bin = b.bin AND c.event_type = k.event_type""",
+    "price_histogram_of_all_customers": """
+        WITH counted AS (
+            SELECT o_custkey, LEAST(CAST(FLOOR((o_totalprice - 1000) / 2000.0::DOUBLE) AS BIGINT), 3) AS bin, COUNT(*) AS n
+            FROM orders WHERE o_totalprice BETWEEN 1000 AND 9000 GROUP BY ALL),
+        kinds AS (SELECT DISTINCT o_custkey FROM orders)
+        SELECT k.o_custkey, CAST(b.bin AS BIGINT) AS bin, 1000 + b.bin * 2000.0::DOUBLE AS bin_lo,
+               1000 + (b.bin + 1) * 2000.0::DOUBLE AS bin_hi, COALESCE(c.n, 0) AS n
+        FROM range(4) b(bin), kinds k
+        LEFT JOIN counted c ON c.bin = b.bin AND c.o_custkey IS NOT DISTINCT FROM k.o_custkey""",
+    "best_part_of_top_types_by_price": """
+        SELECT p_type, p_partkey, p_size FROM (
+            SELECT *, ROW_NUMBER() OVER (PARTITION BY p_type ORDER BY p_size DESC, p_partkey) AS place FROM part)
+        WHERE place = 1 AND p_type IN (
+            SELECT p_type FROM part GROUP BY 1 ORDER BY MAX(p_retailprice) DESC, 1 LIMIT 5)""",
+    "lines_by_discount_band": """
+        SELECT (CAST(round(l_discount * 100) AS BIGINT) // 2 * 2) / 100.0::DOUBLE AS band, COUNT(*) AS n
+        FROM lineitem GROUP BY 1""",
     "price_density": _binned("o_totalprice", "orders", 12)
     + """SELECT bin, ROUND(CAST(n AS DOUBLE) / ((SELECT COUNT(*) FROM orders) * (bin_hi - bin_lo))
                 * 1e6, 6) AS density FROM filled""",

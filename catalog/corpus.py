@@ -206,6 +206,15 @@ def cases_default_reader(spark, sf):
     return read_cases(spark, path).select("uuid", "dataset", "complexity", F.md5("description").alias("description"))
 
 
+def cases_of_a_split(spark, sf):
+    """Two splits written side by side; one of them picked."""
+    path = new_path(spark, "splits")
+    cases = _cases(spark, sf)
+    write_cases(cases, path, "train")
+    write_cases(cases.where("complexity = 'WithPlotType'"), path, "test")
+    return filter_cases(read_cases(spark, path), split="test").select("uuid", "complexity", "split")
+
+
 def goldens_default_reader(spark, sf):
     """Records of every golden come back, their arrays included."""
     path = new_path(spark, "goldens")
@@ -284,6 +293,7 @@ QUERIES = {
         goldens_through_files,
         suppliers_through_csv,
         cases_default_reader,
+        cases_of_a_split,
         goldens_default_reader,
         flattened_arrays,
         large_integer_points,
@@ -379,6 +389,8 @@ ORACLES = {
         FROM supplier""",
     "cases_default_reader": f"""
         WITH {_CASES} SELECT uuid, dataset, complexity, md5(description) AS description FROM cases""",
+    "cases_of_a_split": f"""
+        WITH {_CASES} SELECT uuid, complexity, 'test' AS split FROM cases WHERE complexity = 'WithPlotType'""",
     "goldens_default_reader": """
         SELECT CAST(o_orderkey AS VARCHAR) AS case_id,
                concat_ws('|', o_orderstatus, o_orderpriority, o_orderstatus,

@@ -21,12 +21,16 @@ def _numbers(df: DataFrame, *cols: str) -> DataFrame:
     return df
 
 
-def _edges(df: DataFrame, col: str, bounds: Bounds | None) -> tuple[Column, Column]:
-    if bounds is not None:
-        return F.lit(float(bounds[0])), F.lit(float(bounds[1]))
-    number = F.col(col).cast("double")
-    ends = df.agg(F.struct(F.min(number).alias("lo"), F.max(number).alias("hi")).alias("ends"))
-    return ends.scalar()["lo"], ends.scalar()["hi"]
+def _edges(df: DataFrame, **bounds: Bounds | None) -> dict[str, tuple[Column, Column]]:
+    """Lowest and highest value of each column: as given, or all from one scan."""
+    edges = {c: (F.lit(float(b[0])), F.lit(float(b[1]))) for c, b in bounds.items() if b is not None}
+    open_ended = [c for c in bounds if c not in edges]
+    if open_ended:
+        number = {c: F.col(c).cast("double") for c in open_ended}
+        ends = [F.min(number[c]).alias(f"lo_{c}") for c in open_ended] + [F.max(number[c]).alias(f"hi_{c}") for c in open_ended]
+        row = df.agg(F.struct(*ends).alias("ends")).scalar()
+        edges |= {c: (row[f"lo_{c}"], row[f"hi_{c}"]) for c in open_ended}
+    return edges
 
 
 def histogram(
@@ -36,21 +40,19 @@ def histogram(
     by: str | None = None,
     bounds: Bounds | None = None,
 ) -> DataFrame:
-    """Rows per equal-width bin, over all rows or per ``by``, empty bins included.
+    """Rows per equal-width bin, over all rows or per ``by``, empty bins included, also all
+    bins of a group without any row inside.
 
     Bins share their edges across groups. Columns: [by], bin, bin_lo, bin_hi, n.
     """
     keys = [by] if by else []
-    rows = _numbers(df, col)
-    lo, hi = _edges(rows, col, bounds)
-    binned = rows.select(*keys, bin_index(F.col(col).cast("double"), lo, hi, bins).alias("bin"))
-    counted = (
-        binned.where(F.col("bin").isNotNull())
-        .groupBy(*keys, "bin")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    lo, hi = _edges(_numbers(df, col), **{col: bounds})[col]
+    value = F.col(col).cast("double")
+    index = F.when(~F.isnan(value), bin_index(value, lo, hi, bins))
+    counted = df.select(*keys, index.alias("bin")).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
     # a group's counts, one entry per bin it met, then spread over all its bins
-    met = F.map_from_entries(F.collect_list(F.struct("bin", "n")))
+    entry = F.when(F.col("bin").isNotNull(), F.struct("bin", "n"))
+    met = F.map_from_entries(F.collect_list(entry))
     every_bin = F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))
     filled = (
         counted.groupBy(*keys)
@@ -97,8 +99,8 @@ def grid_2d(
 ) -> DataFrame:
     """Rows per cell of an nx by ny grid; only cells that hold rows are returned."""
     rows = _numbers(df, x, y)
-    x_lo, x_hi = _edges(rows, x, x_bounds)
-    y_lo, y_hi = _edges(rows, y, y_bounds)
+    edges = _edges(rows, **{x: x_bounds, y: y_bounds})
+    (x_lo, x_hi), (y_lo, y_hi) = edges[x], edges[y]
     cells = rows.select(
         bin_index(F.col(x).cast("double"), x_lo, x_hi, nx).alias("x_bin"),
         bin_index(F.col(y).cast("double"), y_lo, y_hi, ny).alias("y_bin"),

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartmeter.operators.groups import Keys, as_list, measure_column
-from chartmeter.shared import SMALL_ROWS
 
 
 def _present(df: DataFrame, measure: str) -> DataFrame:
@@ -49,8 +48,8 @@ def topk_filter(
 ) -> DataFrame:
     """All rows of the k entities that rank highest by one measure, to show another.
 
-    The ranked side has k rows at most and is broadcast while k is small; null
-    entities rank like any other.
+    Whether the ranked side is broadcast is settled by its size in bytes, when it is
+    known; null entities rank like any other.
     """
     keys = as_list(entity)
     ranked = topk_groups(df, keys, k, fn, rank_by, asc, name="rank_value").select(
@@ -59,7 +58,7 @@ def topk_filter(
     same = F.lit(True)
     for c in keys:
         same = same & F.col(c).eqNullSafe(F.col(f"top_{c}"))
-    return df.join(F.broadcast(ranked) if k <= SMALL_ROWS else ranked, same, "left_semi")
+    return df.join(ranked, same, "left_semi")
 
 
 def topk_show(
@@ -88,11 +87,14 @@ def argmax_per_group(
     tie: str,
     show: Keys = (),
     top_groups: int | None = None,
+    groups_by: str = "count",
+    group_measure: str | Column | None = None,
 ) -> DataFrame:
     """The row with the highest measure in each group, ties by ``tie`` ascending.
 
-    With ``top_groups`` only the groups with most rows are kept. The best row is
-    a partial aggregate, so no group is gathered in one task.
+    With ``top_groups`` only the groups with most rows are kept, or with the highest
+    ``groups_by`` (sum, avg, ...) of ``group_measure``. The best row is a partial
+    aggregate, so no group is gathered in one task.
     """
     keys, shown = as_list(keys), as_list(show)
     rows = _present(df, measure)
@@ -105,16 +107,15 @@ def argmax_per_group(
         )
     )
     # groups rank by all their rows, whether or not the measure is present
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"))
     found = rows.groupBy(*keys).agg(best.alias("best"))
     if top_groups is not None:
-        top = topk_rows(counted, "n_rows", top_groups, keys).select(
+        top = topk_groups(df, keys, top_groups, groups_by, group_measure).select(
             *[F.col(c).alias(f"top_{c}") for c in keys]
         )
         same = F.lit(True)
         for c in keys:
             same = same & F.col(c).eqNullSafe(F.col(f"top_{c}"))
-        found = found.join(F.broadcast(top) if top_groups <= SMALL_ROWS else top, same, "left_semi")
+        found = found.join(top, same, "left_semi")
     return found.select(
         *keys,
         F.col("best.tie").alias(tie),

@@ -75,9 +75,11 @@ def read_cases(spark: SparkSession, path: str | list[str], lines: bool | None =
 
     Unless ``lines`` says which, the files are looked through to tell. An array file is
     read by one task; a corpus beyond a few GB should be lines, as ``write_cases`` writes.
+    What that wrote has its ``split`` as a further column.
     """
     names = [field.split()[0] for field in CASE_SCHEMA.split(", ")]
-    return _read_json(spark, path, CASE_SCHEMA, lines).select(*names)
+    read = _read_json(spark, path, CASE_SCHEMA, lines)
+    return read.select(*names, *(["split"] if "split" in read.columns else []))
 
 
 def read_goldens(spark: SparkSession, path: str | list[str], lines: bool | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from pathlib import Path
 import pytest
 
 import catalog
+from chartmeter.shared import run_scope, stage
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -39,3 +40,29 @@ def test_the_total_of_shares_reuses_the_shuffle(spark):
     df = catalog.queries()["share_of_flags"](spark, SF_DIR)
     df.collect()
     assert "ReusedExchange" in plan(df)
+
+
+def test_a_scope_leaves_nothing_behind(spark):
+    folder = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(folder.iterdir())
+    with run_scope(spark):
+        assert catalog.queries()["scored_orders"](spark, SF_DIR).count() > 0
+        assert set(folder.iterdir()) != before
+    assert set(folder.iterdir()) == before
+    with pytest.raises(ZeroDivisionError), run_scope(spark):
+        stage(spark.range(3), "kept")
+        raise ZeroDivisionError
+    assert set(folder.iterdir()) == before
+
+
+def test_pieces_do_not_carry_texts(spark):
+    from chartmeter.plans import matching
+
+    text = "struct<kind:string,num:double,str:string>"
+    row = ("c", "xy", "k", (None, None, None), ("str", None, "a" * 300), ("num", 1.0, None), 5, "k", "a" * 300)
+    names = f"case_id string, pair string, texts string, fixed {text}, k {text}, v {text}, pid long, side string, text string"
+    offered = spark.createDataFrame([row], names)
+    asked = matching._asked_pieces(offered.withColumnRenamed("pid", "gid"))
+    pieces = matching._offered_pieces(offered, asked)
+    assert pieces.columns == ["pid", "h"] and pieces.count() == 1  # all its pieces are alike
+    assert {r["size"] for r in asked.collect()} == {64}
