@@ -157,7 +157,7 @@ def _with_arrays(records: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
     return records.select(F.col(id_col).alias("case_id"), *arrays)
 
 
-def _zip(*keys: str, names: list[str]) -> Column:
+def zipped(*keys: str, names: list[str]) -> Column:
     """Arrays side by side, as long as the shortest one; NULL unless all are there."""
     n = F.least(*[F.size(key) for key in keys])
     together = F.arrays_zip(*[F.slice(key, 1, n) for key in keys])
@@ -186,7 +186,7 @@ def explode_points(
     pairs = list(pairs or PAIRS)
     arrays = _with_arrays(records, id_col, [key for pair in pairs for key in PAIRS[pair]])
     zips = [
-        F.struct(F.lit(pair).alias("pair"), _zip(*PAIRS[pair], names=["k", "v"]).alias("points"))
+        F.struct(F.lit(pair).alias("pair"), zipped(*PAIRS[pair], names=["k", "v"]).alias("points"))
         for pair in pairs
     ]
     return (
@@ -200,10 +200,10 @@ def explode_points(
 def explode_triples(records: DataFrame, id_col: str = "case_id") -> DataFrame:
     """One row per position of lat, lon and z: case_id, pos, k1, k2, v (tagged)."""
     names = ["k1", "k2", "v"]
-    zipped = _zip("lat", "lon", "z", names=names)
+    together = zipped("lat", "lon", "z", names=names)
     return (
         _with_arrays(records, id_col, ["lat", "lon", "z"])
-        .select("case_id", F.posexplode(zipped).alias("pos", "point"))
+        .select("case_id", F.posexplode(together).alias("pos", "point"))
         .transform(_tag_points, names)
     )
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartmeter.functions.values import comparison_form, values_match
+from chartmeter.functions.values import comparison_form, tag_variant, values_match
 from chartmeter.plans.figures import last_values
 from chartmeter.shared import broadcast_if_small, stage
 
@@ -69,6 +69,74 @@ def pairs_match_swapped(golden: DataFrame, predicted: DataFrame) -> DataFrame:
     return pairs_match(golden, swapped)
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _forms(zipped: Column, *names: str) -> Column:
+    """Points of a row in the form they are compared in; of a repeated key the last stays."""
+    keys = names[:-1]
+
+    def tagged(row: Column) -> Column:
+        return F.struct(*[tag_variant(row[name]).alias(name) for name in names])
+
+    def kept(points: Column) -> Column:
+        def last(point: Column, i: Column) -> Column:
+            same = F.lit(True)
+            later = F.slice(points, i + 2, F.size(points))
+            return ~F.exists(
+                later, lambda x: _all([x[key].eqNullSafe(point[key]) for key in keys], same)
+            )
+
+        return F.filter(points, last)
+
+    return _let(F.transform(zipped, tagged), kept)
+
+
+def _all(conditions: list[Column], start: Column) -> Column:
+    for condition in conditions:
+        start = start & condition
+    return start
+
+
+def _bad_keys(points: Column, *keys: str) -> Column:
+    return F.exists(points, lambda x: F.array_contains(F.array(*[x[key]["kind"] for key in keys]), "other"))
+
+
+def pairs_match_in_row(golden: Column, predicted: Column) -> Column:
+    """Outcome ``T``, ``F`` or ``E`` (a list as a key) of ``pairs_match`` for two short arrays
+    of (k, v) VARIANTs in one row. Tries all predicted points on each golden one."""
+
+    def compared(p: Column) -> Column:
+        def met(g: Column) -> Column:
+            return F.exists(
+                p["p"], lambda x: values_match(g["k"], x["k"]) & values_match(g["v"], x["v"])
+            )
+
+        bad = _bad_keys(p["g"], "k") | _bad_keys(p["p"], "k")
+        return F.when(bad, "E").when(F.forall(p["g"], met), "T").otherwise("F")
+
+    sides = F.struct(_forms(golden, "k", "v").alias("g"), _forms(predicted, "k", "v").alias("p"))
+    return _let(sides, compared)
+
+
+def triples_match_in_row(golden: Column, predicted: Column) -> Column:
+    """The same for ``triples_match`` of (k1, k2, v) VARIANTs."""
+
+    def compared(p: Column) -> Column:
+        def same(g: Column, x: Column) -> Column:
+            return g["k1"].eqNullSafe(x["k1"]) & g["k2"].eqNullSafe(x["k2"]) & values_match(g["v"], x["v"])
+
+        bad = _bad_keys(p["g"], "k1", "k2") | _bad_keys(p["p"], "k1", "k2")
+        # keys are unique on either side, so equal numbers of them are the same ones
+        met = F.forall(p["g"], lambda g: F.exists(p["p"], lambda x: same(g, x)))
+        return F.when(bad, "E").when((F.size(p["g"]) == F.size(p["p"])) & met, "T").otherwise("F")
+
+    names = ("k1", "k2", "v")
+    return _let(F.struct(_forms(golden, *names).alias("g"), _forms(predicted, *names).alias("p")), compared)
+
+
 def _compared(golden: DataFrame, predicted: DataFrame) -> DataFrame:
     """Distinct points in the form they are compared in, with the sides they are on.
 

@@ -14,13 +14,21 @@ from chartmeter.functions.values import canonical_json, round_cents
 from chartmeter.plans.figures import (
     FIGURE_KEYS,
     PAIRS,
+    elements,
     explode_points,
     explode_triples,
     field,
     figure_records,
+    zipped,
 )
-from chartmeter.plans.matching import pairs_match, pairs_match_swapped, triples_match
-from chartmeter.shared import broadcast_if_small, is_small, stage
+from chartmeter.plans.matching import (
+    pairs_match,
+    pairs_match_in_row,
+    pairs_match_swapped,
+    triples_match,
+    triples_match_in_row,
+)
+from chartmeter.shared import broadcast_if_small, stage
 from chartmeter.sources.corpus import WITHOUT_TYPE
 
 # Chart types, the pair of arrays each is drawn from, and the
@@ -41,6 +49,8 @@ CHART_TYPES = {
 _ARRAYS = ["x", "y", "lat", "lon", "z", "labels", "values"]
 _ATTRIBUTES = ["type", "xaxis", "yaxis", "xbingroup", "ybingroup", "subplot", "domain"]
 _FIGURES_PER_FILE = 20_000
+#: Arrays up to this length are compared inside their case's row.
+SHORT = 32
 #: Runs that one table of predictions may hold.
 MOST_RUNS = 10_000
 
@@ -180,53 +190,77 @@ def score_records(
     _one_each(predictions, "prediction")
     known = describe(goldens.withColumn("golden_ok", F.col("record").isNotNull()), "g")
     answers = describe(predictions, "p")
-    joined = cases.join(known, "uuid", "left").join(answers, "uuid", "left")
-    facts = stage(with_source(joined), "facts")
-    usable = facts.where((F.col("status") == "ok") & F.col("golden_ok"))
-
-    direct_needed = F.lit(False)
-    for pair, keys in PAIRS.items():
-        direct_needed = direct_needed | ((F.col("source") == pair) & _listed(*keys))
-    todo = usable.where(direct_needed).select("uuid").distinct()
-    # a filter that is worth having only while it does not shuffle the records
-    if is_small(todo):
-        mine = goldens.join(F.broadcast(todo), "uuid", "left_semi")
-        theirs = predictions.join(F.broadcast(todo), "uuid", "left_semi")
-    else:
-        mine, theirs = goldens, predictions.where(F.col("status") == "ok")
-    direct = stage(
-        _outcomes(pairs_match(explode_points(mine, "uuid"), explode_points(theirs, "uuid"))), "direct"
-    )
-    facts = _with_outcomes(facts, direct, PAIRS)
+    facts = with_source(cases.join(known, "uuid", "left").join(answers, "uuid", "left"))
+    facts = facts.join(_in_rows(facts, goldens, predictions), "uuid", "left")
+    facts = stage(facts, "facts")
+    long = stage(_usable(facts).where("not short").select("uuid", "source", "g", "p").distinct(), "long")
+    if not long.isEmpty():
+        for outcomes, pairs in _by_points(long, goldens, predictions):
+            facts = _with_outcomes(facts, outcomes, pairs)
+    return stage(_verdicts(facts, strict), "scored")
+
+
+def _usable(facts: DataFrame) -> DataFrame:
+    """Cases with a golden record and one to compare with it."""
+    return facts.where((F.col("status") == "ok") & F.col("golden_ok"))
+
+
+def _in_rows(facts: DataFrame, goldens: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Outcomes of all comparisons of data for cases whose arrays are all short, which needs
+    no points: both records of a case meet in one row. ``short`` tells these cases."""
+
+    def arrays(records: DataFrame, side: str) -> DataFrame:
+        found = [elements(field(F.col("record"), key)).alias(f"{side}_{key}") for key in _ARRAYS]
+        return records.select("uuid", *found)
+
+    both = arrays(goldens, "g").join(arrays(predictions.where("status = 'ok'"), "p"), "uuid")
+    sizes = [F.size(f"{side}_{key}") for side in "gp" for key in _ARRAYS]  # -1 for none
+    both = both.withColumn("short", F.greatest(*sizes) <= SHORT)
+
+    def points(side: str, keys: tuple[str, ...], names: list[str]) -> Column:
+        return zipped(*[f"{side}_{key}" for key in keys], names=names)
+
+    def outcome(compare, golden: tuple[str, ...], predicted: tuple[str, ...], names: list[str]) -> Column:
+        g, p = points("g", golden, names), points("p", predicted, names)
+        return F.when(F.col("short") & g.isNotNull() & p.isNotNull(), compare(g, p))
+
+    data = {f"data_{pair}": outcome(pairs_match_in_row, keys, keys, ["k", "v"]) for pair, keys in PAIRS.items()}
+    turned = outcome(pairs_match_in_row, ("x", "y"), ("y", "x"), ["k", "v"])
+    triple = ("lat", "lon", "z")
+    data["data_yx"] = F.when(data["data_xy"].eqNullSafe(F.lit("T")), F.lit(None)).otherwise(turned)
+    data["data_map"] = outcome(triples_match_in_row, triple, triple, ["k1", "k2", "v"])
+    return both.select("uuid", "short", *[column.alias(name) for name, column in data.items()])
+
+
+def _by_points(long: DataFrame, goldens: DataFrame, predictions: DataFrame):
+    """Outcomes of cases with long arrays, by joins of their points, and their pairs."""
+    side = broadcast_if_small(long.select("uuid"))
+    mine, theirs = (records.join(side, "uuid", "left_semi") for records in (goldens, predictions))
+    direct = pairs_match(explode_points(mine, "uuid"), explode_points(theirs, "uuid"))
+    direct = stage(_outcomes(direct), "direct")
+    yield direct, list(PAIRS)
 
     # exchanged axes, for the cases that x and y as they are did not settle
-    failed = (F.col("source") != "xy") | (F.col("data_xy") == "F")
-    again = stage(
-        facts.where((F.col("status") == "ok") & F.col("golden_ok"))
-        .where(_listed("x", "y") & failed)
-        .select("uuid")
-        .distinct(),
-        "again",
-    )
-    facts = facts.withColumn("data_yx", F.lit(None).cast("string"))
+    settled = direct.where("pair = 'xy' and outcome <> 'F'").select("uuid")
+    again = long.where(_listed("x", "y")).select("uuid").join(settled, "uuid", "left_anti")
+    again = stage(again, "again")
     if not again.isEmpty():
         side = broadcast_if_small(again)
-        mine = explode_points(goldens.join(side, "uuid", "left_semi"), "uuid", ["xy"])
-        theirs = explode_points(predictions.join(side, "uuid", "left_semi"), "uuid", ["xy"])
-        swapped = _outcomes(pairs_match_swapped(mine, theirs)).withColumn("pair", F.lit("yx"))
-        facts = _with_outcomes(facts.drop("data_yx"), swapped, ["yx"])
-
-    maps = usable.where((_is("g", "type") == '"densitymapbox"') & _listed("lat", "lon", "z"))
-    maps = stage(maps.select("uuid").distinct(), "maps")
-    facts = facts.withColumn("data_map", F.lit(None).cast("string"))
+        swapped = pairs_match_swapped(
+            explode_points(goldens.join(side, "uuid", "left_semi"), "uuid", ["xy"]),
+            explode_points(predictions.join(side, "uuid", "left_semi"), "uuid", ["xy"]),
+        )
+        yield _outcomes(swapped).withColumn("pair", F.lit("yx")), ["yx"]
+
+    maps = long.where((_is("g", "type") == '"densitymapbox"') & _listed("lat", "lon", "z"))
+    maps = stage(maps.select("uuid"), "maps")
     if not maps.isEmpty():
         side = broadcast_if_small(maps)
         triples = triples_match(
             explode_triples(goldens.join(side, "uuid", "left_semi"), "uuid"),
             explode_triples(predictions.join(side, "uuid", "left_semi"), "uuid"),
-        ).withColumn("pair", F.lit("map"))
-        facts = _with_outcomes(facts.drop("data_map"), _outcomes(triples), ["map"])
-    return stage(_verdicts(facts, strict), "scored")
+        )
+        yield _outcomes(triples.withColumn("pair", F.lit("map"))), ["map"]
 
 
 def _one_each(records: DataFrame, what: str) -> None:
@@ -267,11 +301,12 @@ def _outcomes(matches: DataFrame) -> DataFrame:
 
 
 def _with_outcomes(facts: DataFrame, outcomes: DataFrame, pairs) -> DataFrame:
-    """Add a data_<pair> column per pair."""
+    """Fill in the data_<pair> columns of cases that have none yet."""
     wide = outcomes.groupBy("uuid").agg(
-        *[F.max(F.when(F.col("pair") == pair, F.col("outcome"))).alias(f"data_{pair}") for pair in pairs]
+        *[F.max(F.when(F.col("pair") == pair, F.col("outcome"))).alias(f"new_{pair}") for pair in pairs]
     )
-    return facts.join(wide, "uuid", "left")
+    filled = {f"data_{pair}": F.coalesce(f"data_{pair}", f"new_{pair}") for pair in pairs}
+    return facts.join(wide, "uuid", "left").withColumns(filled).drop(*[f"new_{pair}" for pair in pairs])
 
 
 def with_outcomes(facts: DataFrame) -> DataFrame:
