@@ -74,12 +74,9 @@ def count_words(df: DataFrame) -> DataFrame:
 
     def count(batch, totals):
         for text, out in zip(texts(batch, "text"), batch.column("held_out").to_pylist()):
-            words = text.lower().split()
-            totals[0].update(words)
-            if not out:
-                totals[1].update(words)
+            totals[0 if out else 1].update(text.lower().split())
 
-    return _counted(df, count, ("n", "c"), "word")
+    return _counted(df, count, ("h", "c"), "word").select("word", (F.col("h") + F.col("c")).alias("n"), "c")
 
 
 def count_grams(words: DataFrame, order: int = ORDER) -> DataFrame:
