@@ -164,12 +164,30 @@ def test_repeated_cases_count_each_time(inputs):
     assert [r["pass"] for r in score_cases(twice, goldens, predictions).collect()] == [True, True]
 
 
-def test_many_cases_at_once(inputs, monkeypatch):
-    """The same verdicts with nothing counted as small."""
+@pytest.mark.parametrize("short", [32, 0])
+def test_many_cases_at_once(inputs, monkeypatch, short):
+    """The same verdicts with nothing counted as small, and with all arrays counted as long."""
     from chartmeter.plans import matching, scoring
 
+    monkeypatch.setattr(scoring, "SHORT", short)
     for module in (matching, scoring):
-        monkeypatch.setattr(module, "is_small", lambda df: False)
         monkeypatch.setattr(module, "broadcast_if_small", lambda df: df)
     found = {r.uuid: r.reason for r in score_cases(*inputs).collect()}
     assert found == {name: case[3] for name, case in CASES.items()}
+
+
+def test_runs_and_repeated_answers(spark, inputs):
+    cases, goldens, predictions = inputs
+    twice = predictions.withColumn("run_id", F.lit("a")).unionByName(predictions.limit(0).withColumn("run_id", F.lit("b")))
+    one = spark.createDataFrame([("same", "nope", "b")], "uuid string, figure_json string, run_id string")
+    both = twice.unionByName(one.select(twice.columns))
+    scored = score_cases(cases, goldens, both)
+    found = {(r.run_id, r.uuid): r.reason for r in scored.collect()}
+    assert {u: reason for (run, u), reason in found.items() if run == "a"} == {n: c[3] for n, c in CASES.items()}
+    assert found["b", "same"] == "bad_json" and len(found) == 2 * len(CASES)
+    report = failure_report(scored, goldens, both)
+    assert report.where("run_id = 'b' and uuid = 'same'").first().predicted == "nope"
+    with pytest.raises(ValueError, match="2 predictions"):
+        score_cases(cases, goldens, predictions.unionByName(predictions))
+    with pytest.raises(ValueError, match="goldens"):
+        score_cases(cases, goldens.unionByName(goldens), predictions)
