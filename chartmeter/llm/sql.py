@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from chartmeter.llm import quality_rules
+import math
+
+from chartmeter.llm import quality_rules, secret_scan
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -38,6 +40,55 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM marked"""
 
 
+def _quoted(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def _secret_scan() -> str:
+    """Spans from the lengths of matches and of what lies between them; the entropy of every
+    window counted on its own."""
+    patterns = (secret_scan.ASSIGN, secret_scan.ACCESS, secret_scan.HEX, secret_scan.CANDIDATE)
+    kinds = " UNION ALL ".join(
+        f"""SELECT r, {k} AS no, '{kind}' AS kind, regexp_extract_all(t, {_quoted(p)}, 0) AS hits,
+            string_split_regex(t, {_quoted(p)}) AS parts FROM docs"""
+        for k, (kind, p) in enumerate(zip(secret_scan.KINDS, patterns))
+    )
+    *allowed, _ = secret_scan.ALLOWED  # the last one, a repeated character, has a back reference
+    suppressed = " OR ".join(f"regexp_matches(h, {_quoted(p)})" for p in allowed) + " OR replace(h, h[1], '') = ''"
+    least = " ".join(
+        f"WHEN regexp_matches(h, {_quoted(p)}) THEN {'NULL' if bits == math.inf else bits}"
+        for _, p, bits in secret_scan.CLASSES
+    )
+    w = secret_scan.WINDOW
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+met AS ({kinds}),
+each AS (
+  SELECT r, no, kind, hits[i] AS h, CAST(list_sum(list_transform(parts[1:i], lambda x: length(x)))
+    + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+  FROM met, unnest(range(1, len(hits) + 1)) AS u(i)),
+found AS (SELECT *, s + length(h) AS e FROM each),
+base AS (
+  SELECT * FROM found
+  WHERE no IN (1, 2) OR (no = 0 AND length(regexp_extract(h, {_quoted(secret_scan.ASSIGN)}, 2)) >= {secret_scan.ASSIGN_VALUE})),
+candidates AS (
+  SELECT *, CASE WHEN {suppressed} THEN NULL ELSE CASE {least} END END AS least,
+    list_max(list_transform(range(1, length(h) - {w} + 2), lambda i: list_aggregate(string_split(h[i:i + {w - 1}], ''), 'entropy'))) AS bits
+  FROM found WHERE no = 3),
+added AS (
+  SELECT r, no, kind, h, s, e FROM candidates c WHERE bits >= least
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.r = c.r AND b.s < c.e AND c.s < b.e)),
+texts AS (
+  SELECT r, count(*) FILTER (no = 0) AS n_assign, count(*) FILTER (no = 1) AS n_access, count(*) FILTER (no = 2) AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) AS b FROM base GROUP BY r),
+alls AS (
+  SELECT r, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) AS a
+  FROM (SELECT * FROM base UNION ALL SELECT * FROM added) GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(b, '')) AS base_sha256, coalesce(a, '') AS spans
+FROM docs LEFT JOIN texts USING (r) LEFT JOIN alls USING (r)"""
+
+
 # Every shingle of every item in every document, by an equi-join: no sketches.
 _DECONTAMINATION = r"""
 WITH docs AS (
@@ -61,6 +112,7 @@ GROUP BY r, doc_id, q, item_id HAVING 5 * count(*) >= 4 * any_value(n)"""
 
 
 ORACLES = {
+    "op5_secret_scan": _secret_scan(),
     "op9_decontamination": _DECONTAMINATION,
     "op10_quality_rules": _quality_rules(),
 }
