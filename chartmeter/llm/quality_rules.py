@@ -21,7 +21,8 @@ RULES: dict[str, tuple[int, str]] = {
     "few_words": (0, "n_words < 50"),
     "repeated_windows": (1, "100 * n_repeat_words > 50 * n_words"),
     "symbols": (2, "100 * n_symbols > 10 * n_words"),
-    "duplicate_lines": (3, "100 * n_dup_lines > 30 * n_lines"),
+    # One repeated line is no fault in a text of two or three.
+    "duplicate_lines": (3, "n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines"),
     "short_words": (4, "10 * word_chars < 22 * n_words"),
     "long_words": (5, "10 * word_chars > 140 * n_words"),
     "shouting": (6, "100 * n_upper > 40 * word_chars"),
