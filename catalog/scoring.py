@@ -122,6 +122,22 @@ def segment_names_match(spark, sf):
     ).select("case_id", "n_golden", "matched")
 
 
+def document_pairs_match(spark, sf):
+    """One case per language: text keys, and whole documents as values."""
+    documents = table(spark, sf, "documents").select("doc_id", "lang", "text")
+    named = documents.withColumn("k", F.concat(F.lit("item "), "doc_id"))
+    cut = (F.col("lang") == "de") & (F.col("doc_id") % 3 == 0)
+    longer = named.select(
+        "doc_id",
+        "lang",
+        F.concat(F.lit("The "), "k", F.lit(".")).alias("k"),
+        F.when(cut, F.expr("substring(text, 2)")).otherwise(F.concat(F.lit("> "), F.lower("text"))).alias("text"),
+    )
+    return pairs_match(
+        _points(named, "lang", "doc_id", "k", "text"), _points(longer, "lang", "doc_id", "k", "text")
+    ).select("case_id", "n_golden", "matched")
+
+
 def source_texts_match(spark, sf):
     """Whole texts of each source, looked for in longer ones."""
     documents = table(spark, sf, "documents").select("doc_id", "source", "text")
@@ -426,6 +442,7 @@ QUERIES = {
         customer_pairs_match,
         customer_pairs_match_swapped,
         segment_names_match,
+        document_pairs_match,
         source_texts_match,
         conversation_turns_match,
         customer_records_match,
@@ -563,6 +580,13 @@ ORACLES = {
            FROM (SELECT *, c_mktsegment = 'MACHINERY' AND c_custkey % 7 = 0 AS lost FROM customer)""",
         f"{_holds('p.k', 'g.k')} AND {_holds('p.v', 'g.v')}",
     ),
+    "document_pairs_match": _pairs_sql(
+        "SELECT lang AS case_id, 'item ' || doc_id AS k, text AS v FROM documents",
+        """SELECT lang AS case_id, 'The item ' || doc_id || '.' AS k,
+                  CASE WHEN lang = 'de' AND doc_id % 3 = 0 THEN substring(text, 2) ELSE '> ' || lower(text) END AS v
+           FROM documents""",
+        f"{_holds('p.k', 'g.k')} AND {_holds('p.v', 'g.v')}",
+    ),
     "source_texts_match": _pairs_sql(
         "SELECT source AS case_id, doc_id AS k, text AS v FROM documents",
         """SELECT source AS case_id, doc_id AS k, CASE WHEN doc_id % 97 = 0 THEN substring(text, 2)
