@@ -21,8 +21,10 @@ from pyspark.sql import functions as F
 from chartmeter.llm.common import map_arrow, per_task, worker_cache
 
 SPACE = "▁"
-#: Cut pieces of a text that a task remembers, and the longest of these in characters.
-MEMO, MEMO_CHARS = 500_000, 48
+#: Cut pieces of a text that a worker remembers, and the longest of these in characters.
+MEMO, MEMO_CHARS = 200_000, 48
+#: Tested pairs that a worker remembers.
+PAIRS = 400_000
 
 _CUT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -110,7 +112,7 @@ class Encoder:
         memo = self.memo
         if len(memo) > MEMO:
             memo.clear()
-        if len(self.fits) > 4 * MEMO:
+        if len(self.fits) > PAIRS:
             self.fits.clear()
         cuts = _CUT.findall(SPACE + text.replace(" ", SPACE))
         extra = {}
