@@ -1,13 +1,15 @@
 """Language-model scores by prediction by partial matching, trained on the corpus.
 
 A text is its lower-cased words, each ended by a mark, and an end mark. A byte is predicted
-from the up to ``ORDER`` bytes before it in its word (the word's start counts as one). The
+from the up to ``ORDER`` bytes before it: in its word (the word's start counts as one), or with
+``across`` in the text, over the ends of earlier words. The
 trie of byte contexts is a table: a row for every context and symbol seen after it. Where a
 context has not seen the symbol, the model escapes to the context one byte shorter, with
 probability U / (T + U) for U different symbols among T (method C), and all symbols of the
 longer context are excluded there. Below the empty context all symbols are equally likely.
 
-A symbol's code length depends on its context alone, a word's on the word alone. So lengths
+A symbol's code length depends on its context alone, and within words a word's on the word
+alone; across words a text's is the sum over its different grams. So lengths
 are worked out once for every different run of context and symbol, summed once for every
 different word, and then summed over documents. Both sums look up frequent keys where they
 are needed and join the others; frequent means more than a fixed fraction of all, of which
@@ -20,6 +22,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -34,6 +37,8 @@ START, WORD_END, TEXT_END = b" ", b"\n", b"\r"  # none of them occurs in a word
 SYMBOLS = 256 - 6 + 2
 #: A key is frequent if it makes up more than 1 / FREQUENT of all; so many can be.
 FREQUENT = 1 << 18
+#: The same for the grams of whole texts, which are held as two arrays.
+FREQUENT_GRAMS = 1 << 22
 #: Different keys that a task counts before it hands the counts on.
 _FLUSH = 200_000
 
@@ -44,6 +49,54 @@ def grams(word: bytes, order: int = ORDER) -> list[bytes]:
     return [s[max(0, j - order) : j + 1] for j in range(1, len(s))]
 
 
+def text_grams(text: bytes, order: int = ORDER) -> np.ndarray:
+    """Every symbol of a text's words and marks after the ``order`` bytes before it, which may
+    lie in earlier words (before the text, starts), as big-endian numbers."""
+    if order > 6:
+        raise ValueError("an order of 6 at most")
+    s = START * order + b"".join(w + WORD_END for w in text.lower().split()) + TEXT_END
+    a = np.frombuffer(s, dtype=np.uint8).astype(np.int64)
+    n = len(a) - order
+    out = a[:n].copy()
+    for k in range(1, order + 1):
+        out <<= 8
+        out |= a[k : k + n]
+    return out
+
+
+def count_text_grams(df: DataFrame, order: int = ORDER) -> DataFrame:
+    """``key, uses, c``: texts (``text, held_out``) that hold the gram, and how often training ones do."""
+
+    def run(batches):
+        import pyarrow.compute  # noqa: F401
+
+        held, size = [], 0
+        for piece in slices(batches, "text"):
+            for text, out in zip(texts(piece, "text"), piece.column("held_out").to_pylist()):
+                keys, times = np.unique(text_grams(text, order), return_counts=True)
+                held.append((keys, np.ones_like(keys), np.zeros_like(keys) if out else times))
+                size += len(keys)
+                if size > 8 * _FLUSH:
+                    held = [merged(held)]
+                    size = len(held[0][0])
+                    if size > 4 * _FLUSH:
+                        yield batch(held.pop())
+                        size = 0
+        if held:
+            yield batch(merged(held))
+
+    def merged(held):
+        keys, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        sums = [np.bincount(at, np.concatenate([h[k] for h in held]), len(keys)).astype(np.int64) for k in (1, 2)]
+        return keys, *sums
+
+    def batch(columns):
+        return pa.record_batch([pa.array(x) for x in columns], ["key", "uses", "c"])
+
+    found = df.select("text", "held_out").mapInArrow(run, "key long, uses long, c long")
+    return found.groupBy("key").agg(F.sum("uses").alias("uses"), F.sum("c").alias("c"))
+
+
 def _counted(df: DataFrame, count, names: tuple[str, ...], key: str, text: str = "text") -> DataFrame:
     """``key`` and the sums of ``names``, over what ``count(batch)`` adds to its counters."""
 
@@ -182,9 +235,10 @@ def gram_lengths(asked: DataFrame, symbols: DataFrame, contexts: DataFrame) -> D
     return found.groupBy("gram").agg(F.collect_list(step).alias("steps")).select("gram", _log_probability(F.col("steps")).alias("p"))
 
 
-def summed(df: DataFrame, split, text: str, carried: list[str], table: DataFrame, key: str, uses: str, values: list[str]) -> DataFrame:
+def summed(df: DataFrame, split, text: str, carried: list[str], table: DataFrame, key: str, uses: str, values: list[str], far: DataFrame | None = None, order: int = ORDER) -> DataFrame:
     """``carried`` columns of every row of ``df``, with the sums of the table's ``values``
-    over the keys that ``split(text)`` counts (each occurrence adds).
+    over the keys that ``split(text)`` counts (each occurrence adds), and as ``p`` those over
+    the text's grams in ``far`` (``key, uses, p``) if there is one.
 
     Frequent keys, at most ``FREQUENT``, are sent to all tasks; the others are joined. A row
     is known by its task and place, which the written table holds on to.
@@ -194,12 +248,31 @@ def summed(df: DataFrame, split, text: str, carried: list[str], table: DataFrame
     columns = [often[v].to_pylist() for v in values]
     sent = df.sparkSession.sparkContext.broadcast(dict(zip(often[key].to_pylist(), zip(*columns))))
     width = len(values)
+    grams_sent = None
+    if far is not None:
+        all_of = far.agg(F.sum("uses")).first()[0] or 0
+        some = far.where(F.col("uses") * FREQUENT_GRAMS > all_of).select("key", "p").toArrow()
+        keys, lengths = some["key"].to_numpy(), some["p"].to_numpy()
+        at = np.argsort(keys)
+        grams_sent = df.sparkSession.sparkContext.broadcast((keys[at], lengths[at]))
+
+    def of_grams(data):
+        """The sum over the frequent grams, and the others with their times."""
+        known, lengths = grams_sent.value
+        keys, times = np.unique(text_grams(data, order), return_counts=True)
+        hit = np.zeros(len(keys), dtype=bool)
+        total = 0.0
+        if len(known):
+            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+            hit = known[at] == keys
+            total = float((times[hit] * lengths[at[hit]]).sum())
+        return total, [{"key": k, "times": n} for k, n in zip(keys[~hit].tolist(), times[~hit].tolist())]
 
     def task():
         frequent, at = sent.value, [TaskContext.get().partitionId() << 36]
 
         def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, sums, rare = [], [[] for _ in values], []
+            ids, sums, rare, far_sums, far_rare = [], [[] for _ in values], [], [], []
             for data in texts(batch, text):
                 own, left = [0.0] * width, []
                 for item, times in split(data).items():
@@ -214,21 +287,35 @@ def summed(df: DataFrame, split, text: str, carried: list[str], table: DataFrame
                 for k in range(width):
                     sums[k].append(own[k])
                 rare.append(left)
+                if grams_sent is not None:
+                    total, others = of_grams(data)
+                    far_sums.append(total)
+                    far_rare.append(others)
+            more, more_names = [], []
+            if grams_sent is not None:
+                of = pa.list_(pa.struct([("key", pa.int64()), ("times", pa.int64())]))
+                more, more_names = [pa.array(far_sums, pa.float64()), pa.array(far_rare, of)], ["p", "_grams"]
             kind = pa.list_(pa.struct([("key", pa.binary()), ("times", pa.int64())]))
             return pa.record_batch(
-                [*(batch.column(c) for c in carried), pa.array(ids, pa.int64()), *(pa.array(s, pa.float64()) for s in sums), pa.array(rare, kind)],
-                [*carried, "_row", *values, "_rare"],
+                [*(batch.column(c) for c in carried), pa.array(ids, pa.int64()), *(pa.array(s, pa.float64()) for s in sums), pa.array(rare, kind), *more],
+                [*carried, "_row", *values, "_rare", *more_names],
             )
 
         return rows
 
     fields = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried]
-    schema = ", ".join([*fields, "_row long", *(f"{v} double" for v in values), "_rare array<struct<key:binary,times:bigint>>"])
+    schema = ", ".join([*fields, "_row long", *(f"{v} double" for v in values), "_rare array<struct<key:binary,times:bigint>>", *(["p double", "_grams array<struct<key:bigint,times:bigint>>"] if far is not None else [])])
     known = stage(map_arrow(df, per_task(task), schema, text), "sums")
     rare = known.select("_row", F.explode("_rare").alias("x")).select("_row", F.col("x.key").alias(key), "x.times")
     others = table.where(F.col(uses) * FREQUENT <= total).select(key, *values)
     more = rare.join(others, key).groupBy("_row").agg(*(F.sum(F.col("times") * F.col(v)).alias(f"_{v}") for v in values))
     joined = known.drop("_rare").join(more, "_row", "left")
+    if far is not None:
+        asked = known.select("_row", F.explode("_grams").alias("x")).select("_row", "x.key", "x.times")
+        rest = far.where(F.col("uses") * FREQUENT_GRAMS <= all_of).select("key", F.col("p").alias("q"))
+        rest = asked.join(rest, "key").groupBy("_row").agg(F.sum(F.col("times") * F.col("q")).alias("_q"))
+        joined = joined.drop("_grams").join(rest, "_row", "left").withColumn("p", F.col("p") + F.coalesce("_q", F.lit(0.0)))
+        return joined.select(*carried, "p", *((F.col(v) + F.coalesce(f"_{v}", F.lit(0.0))).alias(v) for v in values))
     return joined.select(*carried, *((F.col(v) + F.coalesce(f"_{v}", F.lit(0.0))).alias(v) for v in values))
 
 
@@ -247,28 +334,47 @@ def word_lengths(words: DataFrame, order: int = ORDER, documents: int = 0) -> tu
     return stage(scored, "words"), p_end
 
 
+def text_gram_lengths(docs: DataFrame, order: int = ORDER) -> DataFrame:
+    """``key, uses, p`` of all grams of the whole texts, learnt from the training ones."""
+    counted = stage(count_text_grams(docs, order), "grams")
+    gram = F.unhex(F.lpad(F.hex("key"), 2 * (order + 1), "0")).alias("gram")
+    named = counted.select(gram, "uses", "c")
+    symbols, contexts = trie(named)
+    key = F.conv(F.hex("gram"), 16, 10).cast("long").alias("key")
+    return stage(named.join(gram_lengths(named, symbols, contexts), "gram").select(key, "uses", "p"), "lengths")
+
+
 def language_scores(
-    df: DataFrame, doc_id: str = "doc_id", text: str = "text", modulus: int = 7, remainder: int = 2, order: int = ORDER
+    df: DataFrame,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    modulus: int = 7,
+    remainder: int = 2,
+    order: int = ORDER,
+    across: bool = False,
 ) -> DataFrame:
     """For every row ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     The model learns from all rows outside the held-out fold, repeated ones as often as they
     come; rows without an id are not held out. ``score`` is the model's log10 probability of
     the text, ``base_score`` that of single words with one added to every count. A null text
-    is empty and has the end mark alone.
+    is empty and has the end mark alone. With ``across`` contexts run over the words' starts.
     """
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out(doc_id, modulus, remainder).alias("held_out"))
     words = stage(count_words(docs), "word-counts")
     n_docs = docs.where("NOT held_out").count()
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     n, v = sums[0] + n_docs, sums[1] + (n_docs > 0)
-    lengths, p_end = word_lengths(words, order, n_docs)
+    if across:
+        lengths, p_end, far = words, 0.0, text_gram_lengths(docs, order)
+    else:
+        (lengths, p_end), far = word_lengths(words, order, n_docs), None
 
     def base(count: Column) -> Column:
         return F.log10((count + 1) / F.lit(float(n + v + 1)))
 
-    table = lengths.select("word", "n", F.lit(1.0).alias("tokens"), (F.col("c") > 0).cast("double").alias("known"), base(F.col("c")).alias("base"), "p")
-    found = summed(docs, lambda t: Counter(t.lower().split()), "text", ["doc_id", "held_out"], table, "word", "n", ["tokens", "known", "base", "p"])
+    table = lengths.select("word", "n", F.lit(1.0).alias("tokens"), (F.col("c") > 0).cast("double").alias("known"), base(F.col("c")).alias("base"), *([] if across else ["p"]))
+    found = summed(docs, lambda t: Counter(t.lower().split()), "text", ["doc_id", "held_out"], table, "word", "n", ["tokens", "known", "base", *([] if across else ["p"])], far, order)
     return found.select(
         "doc_id",
         "held_out",

@@ -97,7 +97,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_language_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log probability of every document, by the word counts and by partial matching."""
-    return ppm.language_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return ppm.language_scores(_table(spark, sf_dir, "documents").select("doc_id", "text"), across=True)
 
 
 def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -517,6 +517,39 @@ def test_language_scores_by_brute_force(spark, frequent, monkeypatch):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
 
 
+@pytest.mark.parametrize("frequent", [ppm.FREQUENT_GRAMS, 40])
+def test_language_scores_across_words_by_brute_force(spark, frequent, monkeypatch):
+    monkeypatch.setattr(ppm, "FREQUENT_GRAMS", frequent)
+    rng = random.Random(10)
+    words = ["".join(rng.choice(("th", "er", "é", "in")) for _ in range(rng.randint(1, 3))) for _ in range(40)]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for i in range(40)]
+    docs += [(60, None), (61, "new ZZZ zq"), (62, " ".join(words[:9])), (63, " ".join(words[8::-1]))]
+    whole = {i: b" " + b"".join(w + b"\n" for w in (t or "").encode().lower().split()) + b"\r" for i, t in docs}
+    seen = defaultdict(Counter)
+    for i, s in whole.items():
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            for j in range(1, len(s)):
+                for k in range(max(0, j - ppm.ORDER), j + 1):
+                    seen[s[k:j]][s[j]] += 1
+
+    def length(context, symbol):
+        excluded, total = set(), 0.0
+        for k in range(len(context) + 1):
+            left = {s: c for s, c in seen.get(context[k:], {}).items() if s not in excluded}
+            if left:
+                all_of = sum(left.values()) + len(left)
+                if symbol in left:
+                    return total + math.log10(left[symbol] / all_of)
+                total += math.log10(len(left) / all_of)
+                excluded |= set(left)
+        return total - math.log10(ppm.SYMBOLS - len(excluded))
+
+    found = {r.doc_id: r.score for r in ppm.language_scores(spark.createDataFrame(docs, DOCS), across=True).collect()}
+    for i, s in whole.items():
+        assert found[i] == pytest.approx(sum(length(s[max(0, j - ppm.ORDER) : j], s[j]) for j in range(1, len(s))))
+    assert found[62] != pytest.approx(found[63])  # the order of words counts
+
+
 def test_language_scores_odd_rows(spark):
     found = ppm.language_scores(spark.createDataFrame([(*r, 1) for r in ODD], DOCS + ", n_tokens int")).collect()
     assert sorted(r.n_tokens for r in found) == [1, 1, 1, 6, 6, 6, 120_001]
