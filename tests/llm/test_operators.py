@@ -19,7 +19,6 @@ from chartmeter.llm import (
     decontaminate,
     html_text,
     id_coder,
-    near_copies,
     pieces,
     ppm,
     quality_rules,
@@ -134,51 +133,20 @@ def test_simhash_groups_are_those_of_all_pairs(spark, crowded):
     assert dict(rows(found, "doc_id", "component_id")) == expected
 
 
-@pytest.mark.parametrize("many", [32, 3])
-def test_near_copies_are_those_of_all_pairs_of_texts(spark, many, monkeypatch):
-    monkeypatch.setattr(near_copies, "MANY", many)
-    rng = random.Random(6)
-    base = [[f"w{rng.randint(0, 400)}" for _ in range(150)] for _ in range(5)]
-    passage, docs = [f"p{i}" for i in range(60)], []
-    for i in range(120):
-        words = list(rng.choice(base))
-        for _ in range(rng.choice((0, 1, 2, 3, 4, 60))):
-            words[rng.randrange(len(words))] = f"new{rng.randint(0, 999)}"
-        docs.append((1000 - i, " ".join(words)))
-    docs += [(2000 + i, " ".join([*passage, *(f"q{i}.{k}" for k in range(30))])) for i in range(50)]
-    docs += [(5000, None), (5001, ""), (5002, "Short one"), (5003, "short one"), (5004, "short"), (None, "short")]
-
-    def shingles(text):
-        words = (text or "").lower().split()
-        return {tuple(words[a : a + 5]) for a in range(max(1, len(words) - 4))}
-
-    own = {i: shingles(t) for i, t in docs if i}
-    root = {i: i for i in own}
+def test_pipeline_keeps_one_document_of_each_group(spark):
+    words = [f"w{i}" for i in range(400)]
+    near = [*words[:40], "x", *words[41:]]
+    texts = {1: words, 2: near, 3: words[200:]}
+    assert (_fingerprint(" ".join(words).encode()) ^ _fingerprint(" ".join(near).encode())).bit_count() <= 4
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in texts.items()], DOCS)
+    assert rows(corpus_pipeline.drop_near_duplicates(spark, docs, ""), "doc_id") == [(1,), (3,)]
 
-    def find(i):
-        return i if root[i] == i else find(root[i])
 
-    beyond = 0
-    for i in own:
-        for j in own:
-            if i < j and 5 * len(own[i] & own[j]) >= 4 * len(own[i] | own[j]):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-                beyond += (_fingerprint((dict(docs)[i] or "").encode()) ^ _fingerprint((dict(docs)[j] or "").encode())).bit_count() > 4
-    expected = {i: find(i) for i in own}
-    assert beyond > 20  # pairs that four bits of the fingerprints do not reach
-    table = spark.createDataFrame(docs, DOCS)
-    found = rows(near_copies.near_copies(table, 5, (4, 5)).where("doc_id IS NOT NULL"), "doc_id", "component_id")
-    assert dict(found) == expected
-    kept = simhash.keep_one(table, shingle=5, least=(4, 5))
-    assert {i for (i,) in rows(kept, "doc_id")} == {*expected.values(), None}
-
-
-def test_pipeline_keeps_no_near_copy_of_a_kept_text(spark):
-    words = [f"w{i}" for i in range(100)]
-    changed = [*words[:40], "x", "y", *words[42:]]  # 6 of 96 shingles differ
-    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words[50:]))], DOCS)
-    assert rows(corpus_pipeline.drop_near_duplicates(spark, docs, ""), "doc_id") == [(1,), (3,)]
+def test_a_clashing_id_loses_no_other_text(spark):
+    copy, other = "a b c d e f g", "something else altogether is here"
+    table = [(1, copy, "x"), (2, copy, "x"), (2, other, "x"), (7, "q r s", "z"), (7, "q r s", "y"), (7, "q r s", "y")]
+    kept = simhash.keep_one(spark.createDataFrame(table, DOCS + ", source string"))
+    assert rows(kept, "doc_id", "text", "source") == sorted([(1, copy, "x"), (2, other, "x"), (7, "q r s", "y")], key=str)
 
 
 def test_simhash_odd_rows(spark):
