@@ -16,6 +16,7 @@ from chartmeter.llm import (
     simhash,
     token_files,
     toxicity,
+    vector_codes,
 )
 from chartmeter.llm.common import held_out
 from chartmeter.shared import new_path
@@ -127,6 +128,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight-part code of every vector, and how far the codes are off."""
+    found = vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+    return found.select(
+        "vec_id", vector_codes.code_text(F.col("codes")).alias("code"), "error", "label_error", "codebooks_sha256"
+    )
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pieces": op2_pieces,
@@ -138,4 +147,5 @@ QUERIES = {
     "op8_html_text": op8_html_text,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_vector_codes": op11_vector_codes,
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from chartmeter.llm import quality_rules, secret_scan
+from chartmeter.llm import quality_rules, secret_scan, vector_codes
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
@@ -111,8 +111,49 @@ FROM held JOIN wanted USING (k, s) JOIN sizes USING (q)
 GROUP BY r, doc_id, q, item_id HAVING 5 * count(*) >= 4 * any_value(n)"""
 
 
+def _vector_codes() -> str:
+    """Every component of every part against every entry, in plain squared distances."""
+    n = vector_codes.PARTS
+
+    def assigned(k: int) -> str:
+        return f"""
+near{k} AS (
+  SELECT r, part, entry, d FROM (
+    SELECT r, part, entry, sum((x.v - e.v) * (x.v - e.v)) AS d
+    FROM cut AS x JOIN book{k} AS e USING (part, pos) GROUP BY r, part, entry)
+  QUALIFY row_number() OVER (PARTITION BY r, part ORDER BY d, entry) = 1)"""
+
+    rounds = "".join(
+        f"""{assigned(k)},
+mean{k} AS (
+  SELECT part, entry, pos, sum(v) AS s, count(*) AS c FROM cut JOIN near{k} USING (r, part) GROUP BY part, entry, pos),
+book{k + 1} AS (
+  SELECT part, entry, pos, CAST(coalesce((s - ((s % c) + c) % c) // c, v) AS BIGINT) AS v
+  FROM book{k} LEFT JOIN mean{k} USING (part, entry, pos)),"""
+        for k in range(vector_codes.ROUNDS)
+    )
+    last = vector_codes.ROUNDS
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {vector_codes.SCALE}) AS BIGINT))) - 1 AS r,
+    vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {vector_codes.SCALE}) AS BIGINT)) AS f
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+cut AS (
+  SELECT r, i // (len(f) // {n}) AS part, i % (len(f) // {n}) AS pos, f[i + 1] AS v
+  FROM kept, unnest(range(0, len(f))) AS t(i)),
+book0 AS (SELECT part, r AS entry, pos, v FROM cut WHERE r < {vector_codes.ENTRIES}),{rounds}{assigned(last)},
+coded AS (
+  SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
+  FROM near{last} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(v, ',' ORDER BY part, entry, pos)) FROM book{last}) AS codebooks_sha256
+FROM kept JOIN coded USING (r)"""
+
+
 ORACLES = {
     "op5_secret_scan": _secret_scan(),
     "op9_decontamination": _DECONTAMINATION,
     "op10_quality_rules": _quality_rules(),
+    "op11_vector_codes": _vector_codes(),
 }
