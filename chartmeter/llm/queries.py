@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chartmeter.llm import (
     decontaminate,
     html_text,
+    manifest,
     pieces,
     ppm,
     quality_rules,
@@ -136,6 +137,11 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and its check of every document."""
+    return manifest.manifest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_pieces": op2_pieces,
@@ -148,4 +154,5 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
     "op11_vector_codes": op11_vector_codes,
+    "op13_manifest": op13_manifest,
 }

@@ -151,9 +151,76 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 FROM kept JOIN coded USING (r)"""
 
 
+def _manifest() -> str:
+    """Level by level from a sorted list of leaves; ``HEIGHT`` levels are enough for 8^HEIGHT."""
+
+    def field(value: str) -> str:
+        return f"coalesce(octet_length(encode(CAST({value} AS VARCHAR))) || ':' || CAST({value} AS VARCHAR), '-')"
+
+    def leaf(text: str) -> str:
+        return "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+
+    def tree(name: str, first: str) -> str:
+        """Levels ``name0 .. nameH`` of nodes (t, i, h, c), and ``name_s0 ..``: the others of each run."""
+        parts = [f"{name}0 AS ({first})"]
+        for k in range(_HEIGHT):
+            parts.append(f"""{name}_s{k} AS (
+  SELECT t, i, CASE WHEN c = 1 THEN '' ELSE coalesce(string_agg(h, '') OVER (PARTITION BY t, i // 8 ORDER BY i
+    ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING EXCLUDE CURRENT ROW), '') END AS s FROM {name}{k})""")
+            parts.append(f"""{name}{k + 1} AS (
+  SELECT t, i // 8 AS i, CASE WHEN any_value(c) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h,
+    (any_value(c) + 7) // 8 AS c FROM {name}{k} GROUP BY t, i // 8)""")
+        return ",\n".join(parts)
+
+    def sides(name: str, t: str, i: str) -> str:
+        joins = [f"JOIN {name}_s{k} AS {name}j{k} ON {name}j{k}.t = {t} AND {name}j{k}.i = {i} // {8**k}" for k in range(_HEIGHT)]
+        joins += [f"JOIN {name}{k} AS {name}n{k} ON {name}n{k}.t = {t} AND {name}n{k}.i = {i} // {8**k}" for k in range(_HEIGHT)]
+        return " ".join(joins)
+
+    def steps(name: str, i: str, start: str) -> str:
+        """The digest that follows from ``start`` and the others, one level after another."""
+        out = start
+        for k in range(_HEIGHT):
+            at = f"64 * (({i} // {8**k}) % 8)"
+            s = f"{name}j{k}.s"
+            out = f"CASE WHEN {name}n{k}.c = 1 THEN {out} ELSE sha256({s}[1:{at}] || ({out}) || {s}[{at} + 1:]) END"
+        return out
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    # crc32 of the decimal digits: a step per digit and eight shifts after it.
+    crc = """xor(list_reduce(range(0, 9 * length(CAST(doc_id AS VARCHAR))), lambda a, j:
+      CASE WHEN j % 9 = 0 THEN xor(a, CAST(ascii(CAST(doc_id AS VARCHAR)[j // 9 + 1]) AS BIGINT))
+      ELSE xor(a >> 1, 3988292384 * (a & 1)) END, 4294967295), 4294967295)"""
+    return f"""
+WITH docs AS (
+  SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '+' || lang END AS t, {leaf("text")} AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND {crc} % 3 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS changed
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,
+    count(*) OVER (PARTITION BY t) AS c FROM docs),
+{tree("a", "SELECT t, i, leaf AS h, c FROM placed")},
+{tree("b", f"SELECT '' AS t, row_number() OVER (ORDER BY t) - 1 AS i, h, count(*) OVER () AS c FROM a{_HEIGHT}")},
+subs AS (SELECT t, h, row_number() OVER (ORDER BY t) - 1 AS b FROM a{_HEIGHT}),
+halfway AS (
+  SELECT p.doc_id, p.leaf, subs.h AS subroot, b, {" || ".join(f"aj{k}.s" for k in range(_HEIGHT))} AS sides,
+    {steps("a", "p.i", "p.changed")} AS up
+  FROM placed AS p JOIN subs USING (t) {sides("a", "p.t", "p.i")}),
+done AS (
+  SELECT doc_id, leaf, subroot, (SELECT h FROM b{_HEIGHT}) AS root,
+    sha256(sides || {" || ".join(f"bj{k}.s" for k in range(_HEIGHT))}) AS proof_sha256, {steps("b", "b", "up")} AS folded_root
+  FROM halfway {sides("b", "''", "b")})
+SELECT *, folded_root = root AS verified FROM done"""
+
+
+#: Levels of a tree in the SQL: enough for 262,144 leaves a language.
+_HEIGHT = 6
+
+
 ORACLES = {
     "op5_secret_scan": _secret_scan(),
     "op9_decontamination": _DECONTAMINATION,
     "op10_quality_rules": _quality_rules(),
     "op11_vector_codes": _vector_codes(),
+    "op13_manifest": _manifest(),
 }
