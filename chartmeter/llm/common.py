@@ -32,14 +32,14 @@ def held_out(doc_id: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(fold(doc_id, modulus) == remainder, F.lit(False))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], text: str, rows: int = ROWS) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds few rows and, unless one row alone is longer, few
     bytes of text; rows stay whole and in order."""
     for batch in batches:
         lengths = pa.compute.binary_length(batch.column(text)).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(lengths):
-            if i > start and (i - start >= ROWS or held + (n or 0) > BYTES):
+            if i > start and (i - start >= rows or held + (n or 0) > BYTES):
                 yield batch.slice(start, i - start)
                 start, held = i, 0
             held += n or 0

@@ -288,8 +288,7 @@ def manifest(df: DataFrame) -> DataFrame:
     """
     found = stage(leaves(df), "leaves")
     trees, subroots = grown(ranked(found), "doc_id", "tampered")
-    over = numbered(subroots.select("tree", "leaf"), "tree")
-    over = over.crossJoin(F.broadcast(over.agg(F.count("*").alias("total"))))  # one row
+    over = numbered(subroots.select("tree", "leaf"), "tree").withColumn("total", F.lit(subroots.count()).cast("long"))
     over = stage(over, "subroots")
     roof, root = grown(over.select(F.lit("").alias("tree"), "at", "total", "leaf"))
     above = root.select("tree", "at", F.array().cast(PATH).alias("path"), F.col("leaf").alias("subroot"), F.col("leaf").alias("root"))

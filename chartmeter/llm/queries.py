@@ -9,6 +9,7 @@ from chartmeter.llm import (
     decontaminate,
     html_text,
     manifest,
+    packing,
     pieces,
     ppm,
     quality_rules,
@@ -137,6 +138,12 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every document's pieces in sequences of 4,096 tokens."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), end=1)
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, roots, proof and its check of every document."""
     return manifest.manifest(_table(spark, sf_dir, "documents"))
@@ -154,5 +161,6 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
     "op11_vector_codes": op11_vector_codes,
+    "op12_packing": op12_packing,
     "op13_manifest": op13_manifest,
 }
