@@ -13,12 +13,17 @@ from chartmeter.functions.values import comparison_form, tag_variant, values_mat
 from chartmeter.plans.figures import last_values
 from chartmeter.shared import broadcast_if_small, stage
 
-#: Strings up to this length are looked up whole, longer ones by pieces of it.
-PIECE = 64
+#: Longest block that predicted strings are cut into; a power of two. Any stretch of twice
+#: its length less one that two strings share shows in a block of the predicted one.
+PIECE = 32
+#: Predicted strings up to this length are cut at every character.
+DENSE = 128
+#: Windows of a golden string that are compared for the rarest, at most.
+WINDOWS = 4
 #: Golden strings are tried on all predicted points in question up to this number.
 FEW = 64
-#: Predicted strings sharing one piece that are tried in one place; more are spread.
-CROWD = 10_000
+#: Strings of either side that are tried on one another in one place; more are spread.
+CROWD = 2048
 
 _GROUP = ["case_id", "pair"]
 
@@ -234,48 +239,75 @@ def _contained(points: DataFrame, undecided: DataFrame) -> DataFrame:
 
 
 def _looked_up(golden: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Golden points found by pieces of their strings.
-
-    A golden string can only occur in a predicted one that has all its pieces. Its pieces
-    are up to three, each as long as the largest power of two that it and PIECE allow, so
-    a predicted string is cut at no more than seven lengths. Only hashes of pieces and ids
-    of points move; a golden point's rarest piece names the predicted points whose texts
-    are fetched for the full test, which ends at the first that passes.
+    """Golden points found by blocks of the predicted strings.
+
+    Long predicted strings are cut into blocks of q characters, one after another. Wherever a
+    golden string lies in one, any window of 2q - 1 of its characters holds a whole block, at
+    one of q shifts. So a predicted string gives one hash per q characters, for the sizes q
+    that its case asks for, and a golden one the hashes of all shifts in a few windows. Points
+    with short strings only are ``dense``: they give blocks from every character on, and a
+    golden string asks for single blocks, which tell strings of one template apart. A window
+    without a hit settles the point; otherwise the window with the fewest hits names the
+    predicted points whose texts are fetched for the full test, which ends at the first that
+    passes. Only hashes and ids of points move before that.
     """
     keys = [*_GROUP, "texts", "fixed"]
-    golden = golden.withColumn("gid", F.xxhash64(*keys, "k", "v"))
-    predicted = stage(predicted.withColumn("pid", F.xxhash64(*keys, "k", "v")), "offered")
-    asked = stage(_asked_pieces(_by_text(golden)), "asked-pieces")
-    wanted = asked.select("h").distinct()
-    hits = stage(
-        _offered_pieces(_by_text(predicted), asked).join(broadcast_if_small(wanted), "h", "left_semi"), "hits"
-    )
+    golden = golden.withColumn("gid", F.xxhash64(*keys, "k", "v")).withColumn("short", _is_short())
+    predicted = predicted.withColumn("pid", F.xxhash64(*keys, "k", "v")).withColumn("dense", _is_short())
+    predicted = stage(predicted, "offered")
+    kinds = [r["dense"] for r in predicted.select("dense").distinct().collect()]  # two at most
+    asked = stage(_asked_pieces(_by_text(golden)).where(F.col("dense").isin(kinds)), "asked-pieces")
+    offered = _by_text(predicted)
+    small = F.col("size") < 8  # short golden strings have many hits, but are few themselves
+    hits = [
+        _offered_pieces(offered, part).join(broadcast_if_small(part.select("h").distinct()), "h", "left_semi")
+        for part in (asked.where(small), asked.where(~small))
+    ]
+    hits = stage(hits[0].unionByName(hits[1]), "hits")
     counted = hits.groupBy("h").agg(F.count("*").alias("n"))
-    seen = F.coalesce("n", F.lit(0))
-    rarest = (
-        asked.join(counted, "h", "left")
-        .groupBy("gid")
-        .agg(F.min(seen).alias("n"), F.min_by("h", seen).alias("h"))
-        # a piece that nobody has settles the point
-        .where("n > 0")
-    )
-    rarest = stage(rarest, "rarest")
-    # a piece that very many predicted strings have is spread over parts on their side
-    parts = F.ceil(F.col("n") / F.lit(CROWD)).cast("int")
-    named = rarest.groupBy("h").agg(F.first(parts).alias("parts"))
-    offers = (
-        hits.join(named, "h")
-        .withColumn("part", F.pmod("pid", F.col("parts")).cast("int"))
-        .select("h", "part", "pid")
-        .join(_theirs(predicted), "pid")
-        .withColumnsRenamed({"h": "their_h", "part": "their_part"})
-    )
-    asks = golden.join(rarest, "gid").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1)))
-    at = (F.col("h") == F.col("their_h")) & (F.col("part") == F.col("their_part"))
-    met = asks.join(offers, at & _same_group() & _accepted(), "left_semi")
+    # at most PIECE shifts of a window, and 2 * WINDOWS windows of a point
+    found = F.collect_list(F.when(F.col("n").isNotNull(), F.col("h")))
+    windows = asked.join(counted, "h", "left").groupBy("gid", "dense", "side", "window")
+    weighed = windows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), found.alias("hashes"))
+    rarest = weighed.groupBy("gid", "dense").agg(F.array_min(F.collect_list(F.struct("n", "hashes"))).alias("least"))
+    chosen = stage(rarest.where("least.n > 0").select("gid", F.explode("least.hashes").alias("h")), "rarest")
+    met = _met_in_cells(golden, predicted, chosen, hits.join(counted, "h"))
     return met.select(*_GROUP, "k", "v").distinct()
 
 
+def _is_short() -> Column:
+    lengths = [F.when(F.contains("texts", F.lit(side)), F.length(f"{side}.str")).otherwise(0) for side in ("k", "v")]
+    return F.greatest(*lengths) <= DENSE
+
+
+def _met_in_cells(golden: DataFrame, predicted: DataFrame, chosen: DataFrame, hits: DataFrame) -> DataFrame:
+    """Golden points that some predicted one with a hash in common contains.
+
+    The strings of either side that share a hash are dealt into parts of at most about CROWD
+    each, and every golden part meets every predicted part in a cell of its own, so that no
+    task tries more than one cell's strings on one another however common the hash is.
+    """
+
+    def parts(n: Column) -> Column:
+        return F.ceil(n / F.lit(CROWD)).cast("int")
+
+    def all_of(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    asking = chosen.groupBy("h").agg(F.count("*").alias("n_golden"))
+    cells = hits.join(asking, "h").select("h", "pid", parts(F.col("n")).alias("rows"), parts(F.col("n_golden")).alias("columns"))
+    cells = stage(cells, "cells")
+    offers = cells.select("h", "pid", F.pmod("pid", "rows").cast("int").alias("row"), all_of("columns").alias("column"))
+    offers = offers.join(_theirs(predicted), "pid").withColumnsRenamed({c: f"their_{c}" for c in ("h", "row", "column")})
+    named = cells.groupBy("h").agg(F.max("rows").alias("rows"), F.max("columns").alias("columns"))
+    asks = chosen.join(named, "h").withColumn("column", F.pmod("gid", "columns").cast("int"))
+    asks = asks.select("gid", "h", "column", all_of("rows").alias("row")).join(golden, "gid")
+    at = F.lit(True)
+    for c in ("h", "row", "column"):
+        at = at & (F.col(c) == F.col(f"their_{c}"))
+    return asks.join(offers, at & _same_group() & _accepted(), "left_semi")
+
+
 def _theirs(offered: DataFrame) -> DataFrame:
     """Predicted points, all columns but an id named ``their_``."""
     return offered.select(*[F.col(c).alias(c if c == "pid" else f"their_{c}") for c in offered.columns])
@@ -288,52 +320,66 @@ def _same_group() -> Column:
     return same
 
 
+def _sizes() -> list[int]:
+    return [1 << i for i in range(PIECE.bit_length())]
+
+
 def _piece_size(length: Column) -> Column:
-    """Largest power of two within ``length`` and PIECE; 0 for an empty string."""
+    """Largest block of which any string of this ``length`` holds a whole one: anywhere if
+    ``dense``, else wherever a row of blocks begins. 0 for an empty string."""
     size = F.when(length == 0, F.lit(0))
-    power = 1
-    while 2 * power <= PIECE:
-        size = size.when(length < 2 * power, F.lit(power))
-        power *= 2
-    return size.otherwise(F.lit(power))
+    for power in _sizes()[:-1]:
+        size = size.when(length < F.when(F.col("dense"), 2 * power).otherwise(4 * power - 1), F.lit(power))
+    return size.otherwise(F.lit(PIECE))
 
 
-def _piece_hash(piece: Column) -> Column:
-    """Hash of a piece together with what has to be the same for it to count."""
-    return F.xxhash64(*_GROUP, "texts", "fixed", "side", piece)
+def _of_group() -> Column:
+    """Hash of what has to be the same for a block to count."""
+    return F.xxhash64(*_GROUP, "texts", "fixed", "side", "dense")
 
 
 def _asked_pieces(texts: DataFrame) -> DataFrame:
-    """``gid, h`` for the pieces each golden string is looked up by, and their ``size``."""
+    """``gid, dense, window, h``: the hashes of all shifts in some windows of each golden
+    string, with the ``size`` of its blocks. Only short strings can lie in dense ones."""
     length, size = F.length("text"), F.col("size")
-    sized = texts.withColumn("size", _piece_size(length))
-    starts = F.array_distinct(
-        F.array(F.lit(1), F.floor((length - size) / 2).cast("int") + 1, length - size + 1)
+    kinds = F.when(F.col("short"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    by = [*_GROUP, "texts", "side", "dense"]
+    sized = texts.withColumn("dense", F.explode(kinds)).select(
+        *by, "gid", "text", _piece_size(length).alias("size"), _of_group().alias("of")
     )
-    hashes = F.transform(starts, lambda start: _piece_hash(F.substring("text", start, size)))
-    return sized.select(*_GROUP, "texts", "side", "size", "gid", F.explode(hashes).alias("h"))
+    width = F.when(F.col("dense"), size).otherwise(F.greatest(2 * size - 1, F.lit(0)))
+    places = F.when(F.col("dense"), length - width + 1).otherwise(F.ceil(length / F.greatest(width, F.lit(1))))
+    last = F.greatest(F.least(F.lit(WINDOWS), places.cast("int")) - 1, F.lit(0))
+    starts = F.transform(
+        F.sequence(F.lit(0), last), lambda i: F.floor((length - width) * i / F.greatest(last, F.lit(1))).cast("int") + 1
+    )
+    cut = F.transform(F.array_distinct(starts), lambda at: F.substring("text", at, width))
+    windows = sized.select(*by, "size", "gid", "of", F.posexplode(cut).alias("window", "part"))
+    shifts = F.sequence(F.lit(1), F.when(F.col("dense"), F.lit(1)).otherwise(F.greatest(size, F.lit(1))))
+    hashes = F.array_distinct(F.transform(shifts, lambda at: F.xxhash64("of", F.substring("part", at, size))))
+    return windows.select(*by, "size", "gid", "window", F.explode(hashes).alias("h"))
 
 
 def _offered_pieces(texts: DataFrame, asked: DataFrame) -> DataFrame:
-    """``h, pid`` for all pieces of the predicted strings, of the sizes asked for in their case."""
-    by = [*_GROUP, "texts", "side"]
-    # at most eight sizes per group
+    """``h, pid`` for the blocks of the predicted strings, of the sizes asked for in their case."""
+    by = [*_GROUP, "texts", "side", "dense"]
+    # at most seven sizes per group
     sizes = stage(asked.groupBy(*by).agg(F.collect_set("size").alias("sizes")), "sizes")
-    letters = texts.join(broadcast_if_small(sizes), by).withColumn("letters", F.split("text", ""))
-
-    def hashes(size: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.length("text") - size + 1)
-        cut = F.transform(
-            starts, lambda start: _piece_hash(F.array_join(F.slice("letters", start, size), ""))
-        )
-        return (
-            F.when(size > F.length("text"), F.array().cast("array<bigint>"))
-            .when(size == 0, F.array(_piece_hash(F.lit(""))))
-            .otherwise(F.array_distinct(cut))
-        )
-
-    every = F.flatten(F.transform("sizes", hashes))
-    return letters.select("pid", F.explode(every).alias("h"))
+    sized = texts.join(broadcast_if_small(sizes), by).select("pid", "text", "sizes", "dense", _of_group().alias("of"))
+
+    def hashes(size: int) -> Column:
+        if size == 0:
+            blocks = F.array(F.lit(""))
+        else:
+            starts = F.sequence(F.lit(1), F.greatest(F.length("text") - size + 1, F.lit(1)))
+            every = F.filter(F.transform(starts, lambda at: F.substring("text", at, size)), lambda x: F.length(x) == size)
+            in_row = F.regexp_extract_all("text", F.lit(f"(?s).{{{size}}}"), F.lit(0))
+            blocks = F.when(F.col("dense"), every).otherwise(in_row)
+        cut = F.transform(blocks, lambda block: F.xxhash64("of", block))
+        return F.when(F.array_contains("sizes", size), F.array_distinct(cut)).otherwise(F.array().cast("array<bigint>"))
+
+    every = F.concat(*map(hashes, [0, *_sizes()]))
+    return sized.select("pid", F.explode(every).alias("h"))
 
 
 def records_match(golden: DataFrame, predicted: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -186,8 +186,10 @@ def test_random_pairs(spark, monkeypatch, few):
     check_cases(spark, *random_cases(few, 500, 8, 6))
 
 
-def test_random_long_strings_with_nothing_counted_as_small(spark, monkeypatch):
+@pytest.mark.parametrize("dense", [128, 5])
+def test_random_long_strings_with_nothing_counted_as_small(spark, monkeypatch, dense):
     monkeypatch.setattr(matching, "FEW", 0)
+    monkeypatch.setattr(matching, "DENSE", dense)
     monkeypatch.setattr(matching, "PIECE", 4)
     monkeypatch.setattr(matching, "CROWD", 2)
     monkeypatch.setattr(matching, "broadcast_if_small", lambda df: df)
@@ -208,6 +210,42 @@ def test_one_case_with_most_points(spark):
     assert outcomes(pairs_match(longer, big)) == {0: False}
 
 
+@pytest.mark.parametrize("dense", [128, 0])
+def test_a_block_is_shared_wherever_a_text_lies(spark, monkeypatch, dense):
+    """Golden texts of many lengths at every place of longer predicted ones, with no other way
+    to be found."""
+    monkeypatch.setattr(matching, "FEW", 0)
+    monkeypatch.setattr(matching, "DENSE", dense)
+    rng = random.Random(7)
+    golden, predicted = {}, {}
+    for length in (1, 2, 3, 6, 7, 14, 15, 30, 31, 62, 63, 64, 130):
+        letters = "".join(rng.choice("abcdefgh𝄞é\n") for _ in range(length))
+        for i in range(66):
+            golden[f"{length} at {i}"] = [(letters, 1)]
+            predicted[f"{length} at {i}"] = [("-" * i + letters + "+" * rng.randint(0, 99), 1)]
+    assert set(outcomes(pairs_match(points(spark, golden), points(spark, predicted))).values()) == {True}
+
+
+def test_golden_and_predicted_texts_of_one_template_meet_in_cells(spark, monkeypatch):
+    """Texts of a hundred kinds that differ outside all windows: every one has the common hash."""
+    monkeypatch.setattr(matching, "CROWD", 16)
+    monkeypatch.setattr(matching, "DENSE", 0)
+    golden = {"c": [("s" * 300 + f"{i:03}" + "e" * 17, 1) for i in range(100)]}
+    predicted = {"c": [("<" + k + ">", 1) for k, _ in golden["c"]]}
+    seen = []
+    cells = matching._met_in_cells
+
+    def looked_at(golden, predicted, chosen, hits):
+        seen.append(chosen.groupBy("h").count().agg(F.max("count")).first()[0])
+        return cells(golden, predicted, chosen, hits)
+
+    monkeypatch.setattr(matching, "_met_in_cells", looked_at)
+    assert outcomes(pairs_match(points(spark, golden), points(spark, predicted))) == {"c": True}
+    assert seen[0] > 16
+    predicted["c"][5] = ("other", 1)
+    assert outcomes(pairs_match(points(spark, golden), points(spark, predicted))) == {"c": False}
+
+
 def test_exchanged_axes(spark):
     golden = {"turned": [("low", 1), ("high", 2)], "not turned": [("low", 1)]}
     predicted = {"turned": [(2, "highest"), (1, "lowest")], "not turned": [("low", 1)]}
