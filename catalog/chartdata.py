@@ -18,7 +18,10 @@ from chartmeter.operators import (
     density_1d,
     density_points,
     grid_2d,
+    hex_bins,
     histogram,
+    kernel_density,
+    kernel_density_2d,
     pairs,
     rate_by,
     row_filter,
@@ -179,6 +182,41 @@ def size_price_grid(spark, sf):
     return grid_2d(table(spark, sf, "part"), "p_size", "p_retailprice", 10, 8)
 
 
+def price_hexbins(spark, sf):
+    """Line items in hexagons of price and quantity, with their mean discount."""
+    lines = table(spark, sf, "lineitem")
+    df = hex_bins(lines, "l_extendedprice", "l_quantity", 12, fn="avg", measure=money("l_discount"))
+    return rounded(df, "x", "y", "value")
+
+
+def price_kernel_density(spark, sf):
+    df = kernel_density(table(spark, sf, "orders"), "o_totalprice", 100, by="o_orderstatus")
+    return df.select("o_orderstatus", "point", F.round("x", 4).alias("x"), F.round(F.col("density") * 1e6, 7).alias("density"))
+
+
+def size_kernel_density(spark, sf):
+    """At the sizes themselves, where nothing is lost by binning."""
+    df = kernel_density(table(spark, sf, "part"), "p_size", 50, by="p_brand", bounds=(1.0, 50.0))
+    return df.select("p_brand", "point", "x", F.round("density", 9).alias("density"))
+
+
+def balance_density_surface(spark, sf):
+    df = kernel_density_2d(table(spark, sf, "customer"), "c_nationkey", "c_acctbal", 25, 20)
+    return df.select("x_point", "y_point", rounded_x("x"), rounded_x("y"), F.round(F.col("density") * 1e6, 7).alias("density"))
+
+
+def value_box_with_infinities(spark, sf):
+    """Values of events, those of every fifth user without bounds."""
+    v = F.col("value")
+    far = F.when(F.col("user_id") % 10 == 0, F.lit(float("inf"))).when(F.col("user_id") % 10 == 5, F.lit(float("-inf")))
+    df = table(spark, sf, "events").select("event_type", F.coalesce(far, v).alias("value"))
+    return rounded(box_stats(df, "value", "event_type"), *_BOX)
+
+
+def rounded_x(name):
+    return F.round(name, 4).alias(name)
+
+
 def supplier_density_points(spark, sf):
     return density_points(table(spark, sf, "supplier"), "s_suppkey", "s_nationkey", "s_acctbal")
 
@@ -301,6 +339,11 @@ QUERIES = {
         price_box,
         value_box_by_event_type,
         size_price_grid,
+        price_hexbins,
+        price_kernel_density,
+        size_kernel_density,
+        balance_density_surface,
+        value_box_with_infinities,
         supplier_density_points,
         lowest_supplier_density_points,
         orders_per_month,
@@ -360,6 +403,65 @@ def _box(name: str, source: str, by: str = "") -> str:
         FROM {source} {join} {group}"""
 
 
+def _density_sql(name: str, source: str, points: int, by: str) -> str:
+    """Linear binning, then every grid point's weight at every other."""
+    return f"""
+        WITH ends AS (SELECT MIN({name}) AS lo, (MAX({name}) - MIN({name})) / {points - 1}.0::DOUBLE AS step FROM {source}),
+        u AS (SELECT {by}, ({name} - lo) / step AS u, LEAST(FLOOR(({name} - lo) / step), {points - 2}) AS i FROM {source}, ends),
+        w AS (
+            SELECT {by}, i, SUM(w) AS w FROM (
+                SELECT {by}, i, 1 - (u - i) AS w FROM u UNION ALL SELECT {by}, i + 1, u - i FROM u) GROUP BY 1, 2),
+        h AS (SELECT {by}, COUNT(*) AS n, stddev_samp(u) * pow(COUNT(*), -0.2) AS h FROM u GROUP BY 1)
+        SELECT {by}, CAST(j AS BIGINT) AS point, lo + j * step AS x,
+               SUM(w * exp(-0.5 * pow((j - i) / h, 2))) / (sqrt(2 * pi()) * ANY_VALUE(h) * ANY_VALUE(n) * ANY_VALUE(step)) AS density
+        FROM w JOIN h USING ({by}), range({points}) t(j), ends GROUP BY {by}, j, lo, step"""
+
+
+_SURFACE = """
+        WITH ends AS (
+            SELECT MIN(c_nationkey) AS xl, (MAX(c_nationkey) - MIN(c_nationkey)) / 24.0::DOUBLE AS xs,
+                   MIN(c_acctbal) AS yl, (MAX(c_acctbal) - MIN(c_acctbal)) / 19.0::DOUBLE AS ys FROM customer),
+        p AS (SELECT (c_nationkey - xl) / xs AS u, (c_acctbal - yl) / ys AS v FROM customer, ends),
+        c AS (SELECT u, v, LEAST(FLOOR(u), 23) AS i, LEAST(FLOOR(v), 18) AS j FROM p),
+        w AS (
+            SELECT i + a AS i, j + b AS j,
+                   SUM(CASE WHEN a = 1 THEN u - i ELSE 1 - (u - i) END * CASE WHEN b = 1 THEN v - j ELSE 1 - (v - j) END) AS w
+            FROM c, range(2) s(a), range(2) t(b) GROUP BY 1, 2),
+        h AS (
+            SELECT COUNT(*) AS n, stddev_samp(u) * pow(COUNT(*), -1.0::DOUBLE / 6) AS hx,
+                   stddev_samp(v) * pow(COUNT(*), -1.0::DOUBLE / 6) AS hy FROM p)
+        SELECT CAST(a AS BIGINT) AS x_point, CAST(b AS BIGINT) AS y_point, ROUND(xl + a * xs, 4) AS x, ROUND(yl + b * ys, 4) AS y,
+               ROUND(SUM(w * exp(-0.5 * (pow((a - i) / hx, 2) + pow((b - j) / hy, 2))))
+                   / (2 * pi() * hx * hy * n * xs * ys) * 1e6, 7) AS density
+        FROM w, h, ends, range(25) s(a), range(20) t(b) GROUP BY a, b, xl, xs, yl, ys, hx, hy, n"""
+
+# Quartiles from the sorted values themselves, as a library's may not take infinities.
+_INFINITE_BOX = """
+        WITH v AS (
+            SELECT event_type, CASE user_id % 10 WHEN 0 THEN 'Infinity'::DOUBLE WHEN 5 THEN '-Infinity'::DOUBLE ELSE value END AS value
+            FROM events),
+        r AS (
+            SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i,
+                   COUNT(*) OVER (PARTITION BY event_type) - 1 AS m FROM v),
+        e AS (
+            SELECT event_type, q, MAX(m * q) - FLOOR(MAX(m * q)) AS f,
+                   MAX(CASE WHEN i = FLOOR(m * q) THEN value END) AS lo, MAX(CASE WHEN i = CEIL(m * q) THEN value END) AS hi
+            FROM r, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE)) t(q) GROUP BY 1, 2),
+        q AS (
+            SELECT event_type, MAX(CASE WHEN q = 0.25 THEN x END) AS q1, MAX(CASE WHEN q = 0.5 THEN x END) AS median,
+                   MAX(CASE WHEN q = 0.75 THEN x END) AS q3
+            FROM (SELECT event_type, q, CASE WHEN lo = hi OR f = 0 THEN lo ELSE lo + (hi - lo) * f END AS x FROM e) GROUP BY 1),
+        f AS (
+            SELECT *, q1 - reach AS fence_lo, q3 + reach AS fence_hi
+            FROM (SELECT *, CASE WHEN q1 = q3 THEN 0 ELSE (q3 - q1) * 1.5 END AS reach FROM q))
+        SELECT event_type, COUNT(*) AS n, ROUND(MIN(value), 6) AS min, ROUND(ANY_VALUE(q1), 6) AS q1,
+               ROUND(ANY_VALUE(median), 6) AS median, ROUND(ANY_VALUE(q3), 6) AS q3, ROUND(MAX(value), 6) AS max,
+               ROUND(ANY_VALUE(fence_lo), 6) AS fence_lo, ROUND(ANY_VALUE(fence_hi), 6) AS fence_hi,
+               ROUND(MIN(CASE WHEN value >= fence_lo THEN value END), 6) AS whisker_lo,
+               ROUND(MAX(CASE WHEN value <= fence_hi THEN value END), 6) AS whisker_hi,
+               COUNT(CASE WHEN value < fence_lo OR value > fence_hi THEN 1 END) AS n_outliers
+        FROM v JOIN f USING (event_type) GROUP BY 1"""
+
 _MONTH = "CAST(CAST(date_trunc('month', o_orderdate) AS DATE) AS VARCHAR)"
 
 ORACLES = {
@@ -464,6 +566,31 @@ ORACLES = {
         SELECT LEAST(CAST(FLOOR((p_size - xl) / xw) AS BIGINT), 9) AS x_bin,
                LEAST(CAST(FLOOR((p_retailprice - yl) / yw) AS BIGINT), 7) AS y_bin, COUNT(*) AS n
         FROM part, e GROUP BY 1, 2""",
+    "price_hexbins": f"""
+        WITH e AS (
+            SELECT MIN(l_extendedprice) AS xl, (MAX(l_extendedprice) - MIN(l_extendedprice)) / 12.0::DOUBLE AS xw,
+                   MIN(l_quantity) AS yl, (MAX(l_quantity) - MIN(l_quantity)) / 6.0::DOUBLE AS yw FROM lineitem),
+        p AS (SELECT l_discount, xl, xw, yl, yw, (l_extendedprice - xl) / xw AS u, (l_quantity - yl) / yw AS v FROM lineitem, e),
+        d AS (
+            SELECT *, (u - FLOOR(u + 0.5)) * (u - FLOOR(u + 0.5)) + 3.0 * (v - FLOOR(v + 0.5)) * (v - FLOOR(v + 0.5))
+                <= (u - FLOOR(u) - 0.5) * (u - FLOOR(u) - 0.5) + 3.0 * (v - FLOOR(v) - 0.5) * (v - FLOOR(v) - 0.5) AS first FROM p),
+        c AS (
+            SELECT *, CAST(CASE WHEN first THEN 2 * FLOOR(u + 0.5) ELSE 2 * FLOOR(u) + 1 END AS BIGINT) AS hex_column,
+                   CAST(CASE WHEN first THEN 2 * FLOOR(v + 0.5) ELSE 2 * FLOOR(v) + 1 END AS BIGINT) AS hex_row FROM d)
+        SELECT hex_column, hex_row, ROUND(ANY_VALUE(xl) + hex_column / 2.0::DOUBLE * ANY_VALUE(xw), 6) AS x,
+               ROUND(ANY_VALUE(yl) + hex_row / 2.0::DOUBLE * ANY_VALUE(yw), 6) AS y, COUNT(*) AS n,
+               ROUND({avg_sql("l_discount")}, 6) AS value
+        FROM c GROUP BY 1, 2""",
+    "price_kernel_density": "SELECT o_orderstatus, point, ROUND(x, 4) AS x, ROUND(density * 1e6, 7) AS density FROM ("
+    + _density_sql("o_totalprice", "orders", 100, "o_orderstatus")
+    + ")",
+    "size_kernel_density": """
+        WITH h AS (SELECT p_brand, COUNT(*) AS n, stddev_samp(p_size) * pow(COUNT(*), -0.2) AS h FROM part GROUP BY 1)
+        SELECT p_brand, CAST(j AS BIGINT) AS point, 1.0::DOUBLE + j AS x,
+               ROUND(SUM(exp(-0.5 * pow((1 + j - p_size) / h, 2))) / (sqrt(2 * pi()) * ANY_VALUE(h) * ANY_VALUE(n)), 9) AS density
+        FROM part JOIN h USING (p_brand), range(50) t(j) GROUP BY p_brand, j""",
+    "balance_density_surface": _SURFACE,
+    "value_box_with_infinities": _INFINITE_BOX,
     "supplier_density_points": """
         SELECT s_suppkey AS lat, s_nationkey AS lon, s_acctbal AS z FROM supplier""",
     "lowest_supplier_density_points": """

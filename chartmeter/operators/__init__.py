@@ -17,6 +17,7 @@ from chartmeter.operators.rows import (
     unpivot_measures,
 )
 from chartmeter.operators.running import cumulative
+from chartmeter.operators.surfaces import hex_bins, kernel_density, kernel_density_2d
 
 __all__ = [
     "agg_by",
@@ -30,7 +31,10 @@ __all__ = [
     "density_1d",
     "density_points",
     "grid_2d",
+    "hex_bins",
     "histogram",
+    "kernel_density",
+    "kernel_density_2d",
     "pairs",
     "rate_by",
     "row_filter",

@@ -14,23 +14,23 @@ from chartmeter.functions.keys import bin_index
 Bounds = tuple[float, float]
 
 
-def _numbers(df: DataFrame, *cols: str) -> DataFrame:
+def numbers(df: DataFrame, *cols: str) -> DataFrame:
     """Rows whose binned columns are all present (neither null nor NaN)."""
     for c in cols:
         df = df.where(F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")))
     return df
 
 
-def _edges(df: DataFrame, **bounds: Bounds | None) -> dict[str, tuple[Column, Column]]:
+def edges(df: DataFrame, **bounds: Bounds | None) -> dict[str, tuple[Column, Column]]:
     """Lowest and highest value of each column: as given, or all from one scan."""
-    edges = {c: (F.lit(float(b[0])), F.lit(float(b[1]))) for c, b in bounds.items() if b is not None}
-    open_ended = [c for c in bounds if c not in edges]
+    found = {c: (F.lit(float(b[0])), F.lit(float(b[1]))) for c, b in bounds.items() if b is not None}
+    open_ended = [c for c in bounds if c not in found]
     if open_ended:
         number = {c: F.col(c).cast("double") for c in open_ended}
         ends = [F.min(number[c]).alias(f"lo_{c}") for c in open_ended] + [F.max(number[c]).alias(f"hi_{c}") for c in open_ended]
         row = df.agg(F.struct(*ends).alias("ends")).scalar()
-        edges |= {c: (row[f"lo_{c}"], row[f"hi_{c}"]) for c in open_ended}
-    return edges
+        found |= {c: (row[f"lo_{c}"], row[f"hi_{c}"]) for c in open_ended}
+    return found
 
 
 def histogram(
@@ -46,7 +46,7 @@ def histogram(
     Bins share their edges across groups. Columns: [by], bin, bin_lo, bin_hi, n.
     """
     keys = [by] if by else []
-    lo, hi = _edges(_numbers(df, col), **{col: bounds})[col]
+    lo, hi = edges(numbers(df, col), **{col: bounds})[col]
     value = F.col(col).cast("double")
     index = F.when(~F.isnan(value), bin_index(value, lo, hi, bins))
     counted = df.select(*keys, index.alias("bin")).groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
@@ -98,9 +98,9 @@ def grid_2d(
     y_bounds: Bounds | None = None,
 ) -> DataFrame:
     """Rows per cell of an nx by ny grid; only cells that hold rows are returned."""
-    rows = _numbers(df, x, y)
-    edges = _edges(rows, **{x: x_bounds, y: y_bounds})
-    (x_lo, x_hi), (y_lo, y_hi) = edges[x], edges[y]
+    rows = numbers(df, x, y)
+    ends = edges(rows, **{x: x_bounds, y: y_bounds})
+    (x_lo, x_hi), (y_lo, y_hi) = ends[x], ends[y]
     cells = rows.select(
         bin_index(F.col(x).cast("double"), x_lo, x_hi, nx).alias("x_bin"),
         bin_index(F.col(y).cast("double"), y_lo, y_hi, ny).alias("y_bin"),

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chartmeter.operators.running import running_total
-from chartmeter.shared import SMALL_ROWS, broadcast_if_small, stage
+from chartmeter.shared import broadcast_if_small, stage
 
 _QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 _OUTPUT = [
@@ -27,28 +26,24 @@ def _attach(rows: DataFrame, keys: list[str], per_group: DataFrame, name: str) -
 
 
 def _with_fences(quartiles: DataFrame) -> DataFrame:
-    reach = (F.col("q3") - F.col("q1")) * F.lit(1.5)
+    same = F.col("q1") == F.col("q3")  # infinities, too, have no distance then
+    reach = F.when(same, 0.0).otherwise((F.col("q3") - F.col("q1")) * F.lit(1.5))
     return quartiles.withColumn("fence_lo", F.col("q1") - reach).withColumn(
         "fence_hi", F.col("q3") + reach
     )
 
 
-def box_stats(
-    df: DataFrame,
-    measure: str,
-    by: str | None = None,
-    method: str = "exact",
-    accuracy: int = 10_000,
-    one_task_rows: int = SMALL_ROWS,
-) -> DataFrame:
+def box_stats(df: DataFrame, measure: str, by: str | None = None, method: str = "exact", accuracy: int = 10_000) -> DataFrame:
     """Minimum, quartiles, maximum, 1.5 IQR fences, whisker ends and outlier count.
 
-    Quartiles interpolate between neighbours. Null and NaN measures are left out.
+    Quartiles interpolate between neighbours, unless these are equal. Null and NaN measures
+    are left out; infinities count like other values.
 
-    ``exact`` takes two scans and never holds a group's values in one task: a
-    quantile sketch brackets each quartile and each fence, then values inside a
-    bracket are counted one by one and everything between brackets only as a
-    whole. ``approx`` takes the quartiles from the sketch as they are.
+    ``exact`` selects the quartiles' neighbours by radix: a histogram of the first 16 bits
+    of all values, then one of the next 16 bits of the values that share them with a
+    neighbour, and so on. No group's values are ever held or sorted, and a histogram has at
+    most 2^16 entries. ``approx`` takes the quartiles from a quantile sketch of the given
+    ``accuracy``.
     """
     if method not in ("exact", "approx"):
         raise ValueError(f"unknown method {method!r}")
@@ -56,125 +51,90 @@ def box_stats(
     value = F.col(measure).cast("double")
     rows = df.select(*keys, value.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     if method == "approx":
-        return _approx(rows, keys, accuracy)
-    return _exact(rows, keys, accuracy, one_task_rows)
-
-
-def _approx(rows: DataFrame, keys: list[str], accuracy: int) -> DataFrame:
-    sketch = rows.groupBy(*keys).agg(
-        F.percentile_approx("v", list(_QUARTILES.values()), accuracy).alias("q")
-    )
-    named = [F.col("q")[i].alias(name) for i, name in enumerate(_QUARTILES)]
-    quartiles = _with_fences(stage(sketch.select(*keys, *named), "quartiles"))
-    counted = rows.select(
-        *keys,
-        F.col("v").alias("lo"),
-        F.col("v").alias("hi"),
-        F.lit(1).cast("bigint").alias("n"),
-    )
-    return _summary(counted, quartiles, keys)
-
-
-def _exact(rows: DataFrame, keys: list[str], accuracy: int, one_task_rows: int) -> DataFrame:
-    # The sketch is off by n/accuracy ranks at most, so going three times that to
-    # either side leaves room for the neighbour a quartile interpolates with.
-    slack = 3.0 / accuracy
-    ends = [q + side * slack for q in _QUARTILES.values() for side in (-1, 1)]
-    sketch = rows.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("total"), F.percentile_approx("v", ends, accuracy).alias("e")
-    )
-    e = [F.col("e")[i] for i in range(len(ends))]
-    widest, narrowest = (e[5] - e[0]) * 1.5, (e[4] - e[1]) * 1.5
-    brackets = [
-        (e[0] - widest, e[1] - narrowest),  # lower fence
-        (e[0], e[1]),
-        (e[2], e[3]),
-        (e[4], e[5]),
-        (e[4] + narrowest, e[5] + widest),  # upper fence
-    ]
-    bounds = sketch.select(
-        *keys,
-        "total",
-        *[lo.alias(f"lo{i}") for i, (lo, _) in enumerate(brackets)],
-        *[hi.alias(f"hi{i}") for i, (_, hi) in enumerate(brackets)],
-    )
-    bounded = _attach(rows, keys, stage(bounds, "bounds"), "b")
-    v = F.col("v")
-    # groups too small for the slack to span whole ranks keep every value
-    alone = F.col("b.total") <= accuracy
-    passed = F.lit(0)
-    for i in range(len(brackets)):
-        alone = alone | v.between(F.col(f"b.lo{i}"), F.col(f"b.hi{i}"))
-        passed = passed + (v > F.col(f"b.hi{i}")).cast("int")
-    cells = (
-        bounded.groupBy(
-            *keys, F.when(alone, v).alias("value"), F.when(~alone, passed).alias("gap")
-        )
-        .agg(
-            F.count(F.lit(1)).alias("n"),
-            F.min("v").alias("lo"),
-            F.max("v").alias("hi"),
-            F.max("b.total").alias("total"),
-        )
-        .drop("value", "gap")
-    )
-    ranked = running_total(stage(cells, "cells"), keys, "lo", "n", one_task_rows)
-    quartiles = _with_fences(stage(_quartiles(ranked, keys), "quartiles"))
-    return _summary(ranked, quartiles, keys)
-
-
-def _quartiles(ranked: DataFrame, keys: list[str]) -> DataFrame:
-    before = F.col("running") - F.col("n")
-
-    def at_rank(rank: Column) -> Column:
-        held = (before <= rank) & (rank < F.col("running"))
-        found = (
-            F.when((rank == before) | (F.col("lo") == F.col("hi")), F.col("lo"))
-            .when(rank == F.col("running") - 1, F.col("hi"))
-            .otherwise(F.raise_error(F.lit("a quartile fell between the sketch's brackets")))
-        )
-        return F.max(F.when(held, found))
-
-    def spots(q: float) -> tuple[Column, Column]:
+        sketch = rows.groupBy(*keys).agg(F.percentile_approx("v", list(_QUARTILES.values()), accuracy).alias("q"))
+        quartiles = sketch.select(*keys, *[F.col("q")[i].alias(name) for i, name in enumerate(_QUARTILES)])
+    else:
+        quartiles = _quartiles(rows, keys)
+    return _summary(rows, stage(_with_fences(quartiles), "quartiles"), keys)
+
+
+def radix_key(value: Column) -> Column:
+    """A long that orders as the double does: its exponent, then its fraction, negated for a
+    negative one. Made of exact steps only."""
+    size = F.abs(value)
+    guess = F.greatest(F.floor(F.log2(size)), F.lit(-1022)).cast("double")
+    # the logarithm may be off by one next to a power of two
+    exponent = F.when(F.pow(F.lit(2.0), guess) > size, guess - 1).when(F.pow(F.lit(2.0), guess + 1) <= size, guess + 1).otherwise(guess)
+    exponent = F.least(F.greatest(exponent, F.lit(-1022.0)), F.lit(1023.0))
+    fraction = (size / F.pow(F.lit(2.0), exponent) * F.lit(2.0**52)).cast("bigint")
+    finite = (exponent + 1022).cast("bigint") * F.lit(1 << 52) + fraction
+    key = F.when(size == 0, F.lit(0).cast("bigint")).when(size == float("inf"), F.lit(2047 << 52)).otherwise(finite)
+    return F.when(value < 0, -key).otherwise(key)
+
+
+def _same(keys: list[str], other: str) -> Column:
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"{other}{c}"))
+    return same
+
+
+def _quartiles(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Quartiles per group, from the values at the ranks next to each."""
+    keyed = rows.select(*keys, "v", radix_key(F.col("v")).alias("key"))
+    targets = None
+    for shift in (48, 32, 16, 0):
+        digits = keyed.withColumn("prefix", F.shiftright("key", shift))
+        counted = digits.groupBy(*keys, "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        counted = stage(counted.withColumn("above", F.shiftright("prefix", 16) if targets else F.lit(0).cast("bigint")), "digits")
+        if targets is None:
+            totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
+            spots = [F.lit(q) * (F.col("total") - 1) for q in _QUARTILES.values()]
+            ranks = F.array(*[F.struct(F.lit(2 * i + k).alias("spot"), side(s).alias("rank")) for i, s in enumerate(spots) for k, side in enumerate((F.floor, F.ceil))])
+            targets = totals.select(*keys, F.lit(0).cast("bigint").alias("of"), F.inline(ranks).alias("spot", "rank"))
+        # at most 2^16 digits below one prefix
+        so_far = Window.partitionBy(*keys, "above").orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        running = counted.withColumn("after", F.sum("n").over(so_far)).withColumn("before", F.col("after") - F.col("n"))
+        asked = targets.select(*[F.col(c).alias(f"t_{c}") for c in keys], "of", "spot", "rank")
+        held = running.join(asked, _same(keys, "t_") & (F.col("above") == F.col("of")))
+        held = held.where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("after")))
+        found = stage(held.select(*keys, F.col("prefix").alias("of"), "spot", (F.col("rank") - F.col("before")).alias("rank"), "lo", "hi"), "found")
+        if found.where("lo <> hi").isEmpty():
+            break
+        targets = found.select(*keys, "of", "spot", "rank")
+        # six prefixes a group at most; all else is settled
+        left = targets.select(*[F.col(c).alias(f"t_{c}") for c in keys], "of").distinct()
+        near = keyed.join(broadcast_if_small(left), _same(keys, "t_") & (F.shiftright("key", shift) == F.col("of")), "left_semi")
+        keyed = stage(near, "candidates")
+    at = [F.max(F.when(F.col("spot") == i, F.col("lo"))).alias(f"at{i}") for i in range(6)]
+    ends = found.groupBy(*keys).agg(*at)
+    if keys:
+        ends = ends.join(totals.withColumnRenamed(keys[0], f"t_{keys[0]}"), _same(keys, "t_"))
+    else:
+        ends = ends.withColumn("total", totals.scalar())
+    picked = []
+    for i, (name, q) in enumerate(_QUARTILES.items()):
         spot = (F.col("total") - 1) * F.lit(q)
-        return F.floor(spot), F.ceil(spot)
-
-    picked = [F.max("total").alias("total")]
-    for name, q in _QUARTILES.items():
-        below, above = spots(q)
-        picked += [at_rank(below).alias(f"{name}_lo"), at_rank(above).alias(f"{name}_hi")]
-    found = ranked.groupBy(*keys).agg(*picked)
-    interpolated = []
-    for name, q in _QUARTILES.items():
-        spot = (F.col("total") - 1) * F.lit(q)
-        lo, hi = F.col(f"{name}_lo"), F.col(f"{name}_hi")
-        interpolated.append((lo + (hi - lo) * (spot - F.floor(spot))).alias(name))
-    return found.select(*keys, *interpolated)
-
+        lo, hi = F.col(f"at{2 * i}"), F.col(f"at{2 * i + 1}")
+        picked.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * (spot - F.floor(spot))).alias(name))
+    return ends.select(*keys, *picked)
 
-def _summary(counted: DataFrame, quartiles: DataFrame, keys: list[str]) -> DataFrame:
-    """Reduce counted values, or runs of them from ``lo`` to ``hi``, with known quartiles.
 
-    No run has a fence inside it.
-    """
-    lo, hi, fence_lo, fence_hi = (
-        F.col(c) for c in ("lo", "hi", "q.fence_lo", "q.fence_hi")
-    )
-    split = ((lo < fence_lo) & (hi >= fence_lo)) | ((lo <= fence_hi) & (hi > fence_hi))
-    inside = F.when(
-        split, F.raise_error(F.lit("a fence fell between the sketch's brackets")).cast("boolean")
-    ).otherwise((lo >= fence_lo) & (hi <= fence_hi))
+def _summary(rows: DataFrame, quartiles: DataFrame, keys: list[str]) -> DataFrame:
+    """One pass over the values with known quartiles."""
+    v = F.col("v")
+    inside = (v >= F.col("q.fence_lo")) & (v <= F.col("q.fence_hi"))
     facts = ("q1", "median", "q3", "fence_lo", "fence_hi")
     return (
-        _attach(counted, keys, quartiles, "q")
+        _attach(rows, keys, quartiles, "q")
         .groupBy(*keys)
         .agg(
-            F.sum("n").alias("n"),
-            F.min("lo").alias("min"),
-            F.max("hi").alias("max"),
-            F.min(F.when(inside, lo)).alias("whisker_lo"),
-            F.max(F.when(inside, hi)).alias("whisker_hi"),
-            F.sum(F.when(inside, 0).otherwise(F.col("n"))).alias("n_outliers"),
+            F.count(F.lit(1)).alias("n"),
+            F.min("v").alias("min"),
+            F.max("v").alias("max"),
+            F.min(F.when(inside, v)).alias("whisker_lo"),
+            F.max(F.when(inside, v)).alias("whisker_hi"),
+            F.count_if(~inside).alias("n_outliers"),
             *[F.max(f"q.{c}").alias(c) for c in facts],
         )
         .select(*keys, *_OUTPUT)

@@ -18,7 +18,10 @@ from chartmeter.operators import (
     density_1d,
     density_points,
     grid_2d,
+    hex_bins,
     histogram,
+    kernel_density,
+    kernel_density_2d,
     pairs,
     rate_by,
     row_filter,
@@ -31,6 +34,7 @@ from chartmeter.operators import (
     unpivot_measures,
 )
 from chartmeter.operators import rows as row_tests
+from chartmeter.operators.boxes import radix_key
 
 
 def got(df, *cols):
@@ -153,9 +157,35 @@ def boxes(values):
     return (len(v), v.min(), q1, q2, q3, v.max(), lo, hi, inside.min(), inside.max(), len(v) - len(inside))
 
 
-@pytest.mark.parametrize("accuracy, one_task_rows", [(10_000, 100_000), (50, 100_000), (50, 20)])
-def test_boxes_are_exact(spark, accuracy, one_task_rows):
-    rng = random.Random(accuracy)
+def test_radix_keys_order_as_doubles(spark):
+    rng = random.Random(8)
+    values = [0.0, -0.0, 5e-324, 1e-310, 2.0**-1022, math.nextafter(1, 0), 1.0, math.nextafter(1, 2), 1.7976931348623157e308, math.inf]
+    values += [math.nextafter(2.0**k, d) for k in range(-1073, 1024, 7) for d in (-math.inf, math.inf)] + [2.0**k for k in range(-1074, 1024, 5)]
+    values += [rng.uniform(-1, 1) * 10.0 ** rng.randint(-300, 300) for _ in range(3000)]
+    values += [-v for v in values]
+    df = spark.createDataFrame([(v,) for v in values], "x double").select("x", radix_key(F.col("x")).alias("k"))
+    found = sorted((r.x, r.k) for r in df.collect())
+    for (a, j), (b, k) in zip(found, found[1:]):
+        assert (a < b) == (j < k) and (a == b) == (j == k), (a, b)
+
+
+def test_boxes_with_infinities(spark):
+    inf = math.inf
+    groups = {
+        "above": [1.0, 2.0, 3.0, inf, inf], "below": [-inf, -inf, 0.0, 1.0, 1.5], "all": [inf] * 4,
+        "upper quarter": [float(i) for i in range(50)] + [inf] * 30, "both": [-inf, 0.0, inf],
+    }
+    df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g string, x double")
+    found = {r[0]: r for r in box_stats(df, "x", "g").collect()}
+    assert found["upper quarter"][2:6] == (0.0, 19.75, 39.5, inf) and found["upper quarter"].n_outliers == 0
+    assert found["all"][2:] == (inf,) * 9 + (0,)
+    assert found["above"][2:6] == (1.0, 2.0, 3.0, inf) and found["above"].fence_hi == inf
+    assert found["below"][2:6] == (-inf, -inf, 0.0, 1.0) and found["below"].whisker_lo == -inf
+    assert found["both"].median == 0.0
+
+
+def test_boxes_are_exact(spark):
+    rng = random.Random(4)
     groups = {
         "one": [4.0],
         "two": [1.0, 2.0],
@@ -164,18 +194,20 @@ def test_boxes_are_exact(spark, accuracy, one_task_rows):
         "heavy": [rng.paretovariate(1.1) for _ in range(2500)],
         "steps": [float(rng.randint(0, 4)) for _ in range(2000)],
         "edge": [rng.random() for _ in range(51)],
+        "close": [1 + rng.randint(0, 900) * 2.0**-52 for _ in range(700)],
+        "signs": [rng.choice((-1, 1)) * 10.0 ** rng.randint(-300, 300) for _ in range(700)],
         None: [rng.random() for _ in range(70)],
     }
     df = spark.createDataFrame([(g, x) for g, xs in groups.items() for x in xs], "g string, x double")
     found = {
         row[0]: tuple(row)[1:]
-        for row in box_stats(df, "x", "g", accuracy=accuracy, one_task_rows=one_task_rows).collect()
+        for row in box_stats(df, "x", "g").collect()
     }
     assert found.keys() == groups.keys()
     for group, values in groups.items():
         assert found[group] == pytest.approx(boxes(values)), group
     everything = [x for xs in groups.values() for x in xs]
-    total = box_stats(df, "x", accuracy=accuracy, one_task_rows=one_task_rows).first()
+    total = box_stats(df, "x").first()
     assert tuple(total) == pytest.approx(boxes(everything))
 
 
@@ -194,6 +226,73 @@ def test_grid(spark):
     assert got(grid_2d(df, "x", "y", 2, 2), "x_bin", "y_bin", "n") == [(0, 0, 1), (1, 1, 2)]
 
 
+def test_hexagons_by_all_centres(spark):
+    rng = random.Random(6)
+    table = [(rng.uniform(-3, 9), rng.gauss(0, 2), rng.randint(1, 5)) for _ in range(400)]
+    odd = [(None, 1.0, 1), (math.nan, 1.0, 1), (1.0, math.inf, 1)]
+    df = spark.createDataFrame(table + odd, "x double, y double, z int")
+    found = hex_bins(df, "x", "y", 7, ny=4, fn="sum", measure="z").collect()
+    (xs, ys, _) = zip(*table)
+    w, h = (max(xs) - min(xs)) / 7, (max(ys) - min(ys)) / 4
+    centres = [(i, j) for i in range(-1, 17) for j in range(-1, 11) if (i + j) % 2 == 0 and i % 2 == j % 2]
+    expected = {}
+    for x, y, z in table:
+        u, v = (x - min(xs)) / w, (y - min(ys)) / h
+        at = min(centres, key=lambda c: (u - c[0] / 2) ** 2 + 3 * (v - c[1] / 2) ** 2)
+        n, total = expected.get(at, (0, 0))
+        expected[at] = (n + 1, total + z)
+    assert {(r.hex_column, r.hex_row): (r.n, r.value) for r in found} == expected
+    for r in found:
+        assert (r.x, r.y) == pytest.approx((min(xs) + r.hex_column / 2 * w, min(ys) + r.hex_row / 2 * h))
+    one = spark.createDataFrame([(2.0, 3.0)] * 5, "x double, y double")
+    assert [tuple(r) for r in hex_bins(one, "x", "y", 3).collect()] == [(0, 0, 2.0, 3.0, 5)]
+    assert hex_bins(one.limit(0), "x", "y", 3).count() == 0
+    assert hex_bins(df, "x", "y", 5, x_bounds=(100, 200)).count() == 0
+
+
+def _kernel(at, values, width):
+    return np.exp(-0.5 * ((at[:, None] - values[None]) / width) ** 2).sum(1) / (len(values) * width * math.sqrt(2 * math.pi))
+
+
+def test_kernel_density_is_near_the_direct_sum(spark):
+    rng = np.random.default_rng(2)
+    groups = {"a": rng.normal(0, 1, 500), "b": rng.exponential(2, 300), None: rng.uniform(-1, 4, 200)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("a", None), ("a", math.nan), ("a", math.inf)]
+    rows += [("alone", 1.0), ("same", 2.0), ("same", 2.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    found = {}
+    for r in kernel_density(df, "x", 400, by="g").orderBy("point").collect():
+        found.setdefault(r.g, []).append((r.x, r.density))
+    assert found.keys() == {*groups, "alone", "same"} and all(len(v) == 400 for v in found.values())
+    for g, values in groups.items():
+        at, density = map(np.array, zip(*found[g]))
+        expected = _kernel(at, values, values.std(ddof=1) * len(values) ** -0.2)
+        assert np.abs(density - expected).max() < 0.002 * expected.max()
+    assert {d for g in ("alone", "same") for _, d in found[g]} == {None}
+    given = kernel_density(df.where("g = 'a'"), "x", 200, bounds=(-2, 2), bandwidth=0.5).orderBy("point").collect()
+    inside = groups["a"][np.abs(groups["a"]) <= 2]
+    expected = _kernel(np.linspace(-2, 2, 200), inside, 0.5)
+    assert np.abs(np.array([r.density for r in given]) - expected).max() < 0.002 * expected.max()
+    assert kernel_density(df.limit(0), "x").count() == 0
+
+
+def test_kernel_surface_is_near_the_direct_sum(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(0, 1, 400), rng.uniform(0, 9, 400)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)] + [(None, 1.0), (0.0, math.inf)], "x double, y double")
+    found = {(r.x_point, r.y_point): r for r in kernel_density_2d(df, "x", "y", 60, 50).collect()}
+    assert len(found) == 3000
+    wide, high = x.std(ddof=1) * 400 ** (-1 / 6), y.std(ddof=1) * 400 ** (-1 / 6)
+    expected = {
+        k: float(np.exp(-0.5 * (((r.x - x) / wide) ** 2 + ((r.y - y) / high) ** 2)).sum() / (400 * wide * high * 2 * math.pi))
+        for k, r in found.items()
+    }
+    assert max(abs(found[k].density - e) for k, e in expected.items()) < 0.01 * max(expected.values())
+    assert kernel_density_2d(df.limit(0), "x", "y").count() == 0
+    flat = kernel_density_2d(df.withColumn("y", F.lit(1.0)), "x", "y", 3, 3).collect()
+    assert flat and {r.density for r in flat} == {None}
+
+
 def test_density_points(cities):
     top = density_points(cities, "lat", "pop", "pop", k=2, tie="city")
     assert got(top, "lat", "z") == [(34.1, 39), (40.7, 84)]

@@ -3,6 +3,7 @@
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 import catalog
 from chartmeter.shared import run_scope, stage
@@ -59,10 +60,12 @@ def test_pieces_do_not_carry_texts(spark):
     from chartmeter.plans import matching
 
     text = "struct<kind:string,num:double,str:string>"
-    row = ("c", "xy", "k", (None, None, None), ("str", None, "a" * 300), ("num", 1.0, None), 5, "k", "a" * 300)
-    names = f"case_id string, pair string, texts string, fixed {text}, k {text}, v {text}, pid long, side string, text string"
+    row = ("c", "xy", "k", (None, None, None), ("str", None, "a" * 300), ("num", 1.0, None), 5, "k", "a" * 300, False)
+    names = f"case_id string, pair string, texts string, fixed {text}, k {text}, v {text}, pid long, side string, text string, dense boolean"
     offered = spark.createDataFrame([row], names)
-    asked = matching._asked_pieces(offered.withColumnRenamed("pid", "gid"))
+    asked = matching._asked_pieces(offered.withColumnsRenamed({"pid": "gid", "dense": "short"}))
     pieces = matching._offered_pieces(offered, asked)
     assert pieces.columns == ["pid", "h"] and pieces.count() == 1  # all its pieces are alike
-    assert {r["size"] for r in asked.collect()} == {64}
+    assert {r["size"] for r in asked.collect()} == {matching.PIECE}
+    changed = offered.withColumn("text", F.concat("text", F.sha2("text", 512), F.sha2(F.upper("text"), 512)))
+    assert 1 < matching._offered_pieces(changed, asked).count() <= (300 + 256) / 8
