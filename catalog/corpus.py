@@ -22,6 +22,7 @@ from chartmeter.sources import (
     filter_cases,
     read_cases,
     read_goldens,
+    count_misfits,
     read_source,
     write_cases,
     write_goldens,
@@ -264,6 +265,32 @@ def csv_with_missing_values(spark, sf):
     return read_source(spark, path).select("s_suppkey", F.col("cents").cast("bigint").alias("cents"), F.typeof("cents").alias("kind"))
 
 
+def _seats(spark, sf):
+    path = new_path(spark, "seats")
+    key = F.col("o_orderkey")
+    table(spark, sf, "orders").select(
+        key,
+        F.concat(F.col("o_custkey") % 40, F.when(key % 2 == 0, "D").otherwise("f")).alias("seat"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"),
+        (key.cast("decimal(38,0)") + F.lit(9223372036854775807).cast("decimal(38,0)")).alias("far"),
+    ).write.option("header", True).csv(path)
+    return path
+
+
+def seats_through_csv(spark, sf):
+    """Codes that look like numbers, months that look like days, and large whole numbers."""
+    read = read_source(spark, _seats(spark, sf))
+    kinds = F.concat_ws(",", *(F.typeof(c) for c in ("seat", "month", "day", "far")))
+    return read.select("o_orderkey", "seat", "month", F.col("day").cast("string").alias("day"), F.col("far").cast("string").alias("far"), kinds.alias("kinds"))
+
+
+def seat_misfits(spark, sf):
+    """What a schema of numbers and days would lose of the same file."""
+    schema = "o_orderkey bigint, seat double, month date, day date, far bigint"
+    return count_misfits(spark, _seats(spark, sf), schema)
+
+
 def suppliers_through_csv(spark, sf):
     """Suppliers with an accented name, through ISO-8859-1 CSV with inferred types."""
     path = new_path(spark, "suppliers")
@@ -298,6 +325,8 @@ QUERIES = {
         flattened_arrays,
         large_integer_points,
         csv_with_missing_values,
+        seats_through_csv,
+        seat_misfits,
     )
 }
 
@@ -408,6 +437,23 @@ ORACLES = {
         WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS HUGEINT) + 9007199254740992 AS big FROM orders)
         SELECT o_orderkey AS case_id, CAST(big AS VARCHAR) AS k, CAST(big AS VARCHAR) AS v FROM o
         UNION ALL SELECT o_orderkey, CAST(big + 1 AS VARCHAR), CAST(big + 1 AS VARCHAR) FROM o""",
+    "seats_through_csv": """
+        SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey,
+               (o_custkey % 40) || CASE WHEN o_orderkey % 2 = 0 THEN 'D' ELSE 'f' END AS seat,
+               strftime(o_orderdate, '%Y-%m') AS month, strftime(o_orderdate, '%Y-%m-%d') AS day,
+               CAST(CAST(o_orderkey AS HUGEINT) + 9223372036854775807 AS VARCHAR) AS far,
+               'string,string,date,decimal(38,0)' AS kinds
+        FROM orders""",
+    "seat_misfits": """
+        WITH s AS (
+            SELECT (o_custkey % 40) || CASE WHEN o_orderkey % 2 = 0 THEN 'D' ELSE 'f' END AS seat,
+                   strftime(o_orderdate, '%Y-%m') AS month, o_orderkey > 0 AS beyond,
+                   CAST(CAST(o_orderkey AS HUGEINT) + 9223372036854775807 AS VARCHAR) AS far FROM orders)
+        SELECT 'o_orderkey' AS "column", 0 AS n, NULL AS example
+        UNION ALL SELECT 'seat', COUNT(*), MIN(seat) FROM s
+        UNION ALL SELECT 'month', COUNT(*), MIN(month) FROM s
+        UNION ALL SELECT 'day', 0, NULL
+        UNION ALL SELECT 'far', COUNT(*), MIN(far) FROM s WHERE beyond""",
     "csv_with_missing_values": """
         SELECT CAST(s_suppkey AS INTEGER) AS s_suppkey,
                CASE WHEN s_suppkey % 5 > 2 THEN CAST(round(s_acctbal * 100) AS BIGINT) END AS cents, 'int' AS kind

@@ -8,12 +8,13 @@ from chartmeter.sources.corpus import (
     write_cases,
     write_goldens,
 )
-from chartmeter.sources.tables import read_source
+from chartmeter.sources.tables import count_misfits, read_source
 
 __all__ = [
     "CASE_SCHEMA",
     "build_cases",
     "corpus_summary",
+    "count_misfits",
     "filter_cases",
     "read_cases",
     "read_goldens",

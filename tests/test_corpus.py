@@ -11,6 +11,7 @@ from chartmeter.sources import (
     filter_cases,
     read_cases,
     read_goldens,
+    count_misfits,
     read_source,
     write_cases,
     write_goldens,
@@ -134,3 +135,39 @@ def test_csv(spark, tmp_path):
     assert kept[1].name == "None"
     typed = read_source(spark, str(file), "ISO-8859-1", "name string, elev double, note string")
     assert typed.first().elev == 3350.0
+
+
+# A column's values, and the type it gets.
+COLUMNS = [
+    (["1", "-2", "+3", " 4 "], "int"), (["1", "3000000000"], "bigint"), (["1", "9" * 30], "decimal(38,0)"), (["1", "9" * 50], "string"),
+    (["1", "2.5", ".5", "1e3", "-inf"], "double"), (["2.5", "9007199254740993"], "string"), (["2.5", "9007199254740992"], "double"),
+    (["12D", "14F"], "string"), (["1f", "2d"], "string"), (["0x1F", "1"], "string"), (["1_000", "2"], "string"),
+    (["2020-01-31", "2020-02-01"], "date"), (["2020-01", "2020-02"], "string"), (["2020", "2021"], "int"), (["2020-02-30"], "string"),
+    (["2020-01-31 10:00", "2020-01-31T10:00:01.5Z", "2020-01-31"], "string"), (["2020-01-31 10:00", "2020-01-31T10:00:01.5Z"], "timestamp"),
+    (["true", "False"], "boolean"), (["yes", "no"], "string"), (["NA", "7", ""], "int"), (["NA", ""], "string"),
+]
+
+
+def test_csv_types_are_those_all_values_are_spelled_in(spark, tmp_path):
+    most = max(len(values) for values, _ in COLUMNS)
+    lines = [",".join(f"c{i}" for i in range(len(COLUMNS)))]
+    lines += [",".join(v[k] if k < len(v) else "" for v, _ in COLUMNS) for k in range(most)]
+    (tmp_path / "t.csv").write_text("\n".join(lines) + "\n")
+    read = read_source(spark, str(tmp_path / "t.csv"))
+    assert [t for _, t in read.dtypes] == [t for _, t in COLUMNS]
+    rows = read.collect()
+    for i, (values, kind) in enumerate(COLUMNS):
+        if kind == "string":
+            assert [r[i] for r in rows][: len(values)] == [None if v in ("NA", "") else v for v in values]
+
+
+def test_csv_misfits_are_told(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n1,2.5\nx2,7\n3,9D\n,\n")
+    path, schema = str(tmp_path / "t.csv"), "a int, b double"
+    assert [tuple(r) for r in count_misfits(spark, path, schema).collect()] == [("a", 1, "x2"), ("b", 1, "9D")]
+    with pytest.raises(Exception, match="no int in column a: x2"):
+        read_source(spark, path, schema=schema).collect()
+    kept = read_source(spark, path, schema=schema, misfits="null").collect()
+    assert [tuple(r) for r in kept] == [(1, 2.5), (None, 7.0), (3, None), (None, None)]
+    with pytest.raises(ValueError):
+        read_source(spark, path, misfits="drop")
