@@ -382,7 +382,7 @@ def domain_outcomes(spark, sf):
 
 def _typed_inputs(spark, sf):
     """A case per order over all chart types, answered in seven ways; arrays are the type's own."""
-    orders = table(spark, sf, "orders").where("o_orderkey > 0")
+    orders = table(spark, sf, "orders")
     key, how = F.col("o_orderkey"), F.col("o_orderkey") % 7
     types = F.array(*map(F.lit, CHART_TYPES))
     at = (F.floor(key / 7) % len(CHART_TYPES)).cast("int")
@@ -535,7 +535,7 @@ _TYPED = """
         SELECT o_orderkey, o_orderkey % 7 AS how, o_custkey % 3 <> 0 AS w,
             (['scatter', 'bar', 'histogram', 'box', 'histogram2d', 'histogram2dcontour', 'scattergl',
               'scattergeo', 'pie', 'densitymapbox'])[1 + o_orderkey // 7 % 10] AS kind
-        FROM orders WHERE o_orderkey > 0),
+        FROM orders),
     placed AS (SELECT *, kind NOT IN ('scattergeo', 'pie', 'densitymapbox') AS xy, kind = 'densitymapbox' AND w AS m FROM typed),
     -- Without x and y on either side the xy test holds for every other type, so only a map
     -- that is compared as one, or an xy chart, can fail on its data.

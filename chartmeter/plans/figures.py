@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartmeter.functions.values import tag_variant
+from chartmeter.shared import dealt_out
 
 # The trace keys a golden record keeps. ``subplot`` is added here,
 # since the comparison of density maps asks for it.
@@ -80,7 +81,8 @@ def parse_figures(df: DataFrame, json_col: str) -> DataFrame:
         .otherwise("ok")
     )
     parsed = (
-        df.withColumn("_figure", F.try_parse_json(F.col(json_col)))
+        dealt_out(df)
+        .withColumn("_figure", F.try_parse_json(F.col(json_col)))
         .withColumn("_data", _get(figure, "data"))
         .withColumn("_traces", F.try_variant_get(data, "$", "array<variant>"))
     )

@@ -92,7 +92,9 @@ def _state(value: Column, shape: Column) -> Column:
 def _attribute(value: Column) -> Column:
     """Text that is equal for equal values, whatever they hold; NULL only where the key is
     missing."""
-    return canonical_json(F.to_json(value))
+    written = F.to_json(value)
+    # a string's JSON is canonical; only other values' tokens need to be looked at
+    return F.when(F.schema_of_variant(value) == "STRING", written).otherwise(canonical_json(written))
 
 
 def describe(records: DataFrame, name: str) -> DataFrame:
@@ -191,7 +193,7 @@ def score_records(
     known = describe(goldens.withColumn("golden_ok", F.col("record").isNotNull()), "g")
     answers = describe(predictions, "p")
     facts = with_source(cases.join(known, "uuid", "left").join(answers, "uuid", "left"))
-    facts = facts.join(_in_rows(facts, goldens, predictions), "uuid", "left")
+    facts = facts.join(_in_rows(goldens, predictions), "uuid", "left")
     facts = stage(facts, "facts")
     long = stage(_usable(facts).where("not short").select("uuid", "source", "g", "p").distinct(), "long")
     if not long.isEmpty():
@@ -205,7 +207,7 @@ def _usable(facts: DataFrame) -> DataFrame:
     return facts.where((F.col("status") == "ok") & F.col("golden_ok"))
 
 
-def _in_rows(facts: DataFrame, goldens: DataFrame, predictions: DataFrame) -> DataFrame:
+def _in_rows(goldens: DataFrame, predictions: DataFrame) -> DataFrame:
     """Outcomes of all comparisons of data for cases whose arrays are all short, which needs
     no points: both records of a case meet in one row. ``short`` tells these cases."""
 
@@ -220,15 +222,27 @@ def _in_rows(facts: DataFrame, goldens: DataFrame, predictions: DataFrame) -> Da
     def points(side: str, keys: tuple[str, ...], names: list[str]) -> Column:
         return zipped(*[f"{side}_{key}" for key in keys], names=names)
 
-    def outcome(compare, golden: tuple[str, ...], predicted: tuple[str, ...], names: list[str]) -> Column:
-        g, p = points("g", golden, names), points("p", predicted, names)
-        return F.when(F.col("short") & g.isNotNull() & p.isNotNull(), compare(g, p))
+    def side_by_side(pair: str, golden: tuple[str, ...], predicted: tuple[str, ...]) -> Column:
+        g, p = points("g", golden, ["k", "v"]), points("p", predicted, ["k", "v"])
+        return F.struct(F.lit(pair).alias("pair"), g.alias("g"), p.alias("p"))
 
-    data = {f"data_{pair}": outcome(pairs_match_in_row, keys, keys, ["k", "v"]) for pair, keys in PAIRS.items()}
-    turned = outcome(pairs_match_in_row, ("x", "y"), ("y", "x"), ["k", "v"])
-    triple = ("lat", "lon", "z")
+    def outcomes(compared: Column) -> Column:
+        """The comparison is spelled out once, for all pairs: it is a large expression."""
+
+        def one(c: Column) -> Column:
+            usable = F.col("short") & c["g"].isNotNull() & c["p"].isNotNull()
+            return F.when(usable, pairs_match_in_row(c["g"], c["p"]))
+
+        return F.transform(compared, one)
+
+    straight = F.array(*[side_by_side(pair, keys, keys) for pair, keys in PAIRS.items()])
+    both = both.withColumn("straight", outcomes(straight))
+    data = {f"data_{pair}": F.col("straight")[i] for i, pair in enumerate(PAIRS)}
+    turned = outcomes(F.array(side_by_side("yx", ("x", "y"), ("y", "x"))))[0]
     data["data_yx"] = F.when(data["data_xy"].eqNullSafe(F.lit("T")), F.lit(None)).otherwise(turned)
-    data["data_map"] = outcome(triples_match_in_row, triple, triple, ["k1", "k2", "v"])
+    triple, names = ("lat", "lon", "z"), ["k1", "k2", "v"]
+    g, p = points("g", triple, names), points("p", triple, names)
+    data["data_map"] = F.when(F.col("short") & g.isNotNull() & p.isNotNull(), triples_match_in_row(g, p))
     return both.select("uuid", "short", *[column.alias(name) for name, column in data.items()])
 
 

@@ -70,6 +70,13 @@ def stage(df: DataFrame, name: str, rows_per_file: int = 0) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt_out(df: DataFrame) -> DataFrame:
+    """A table in fewer files than there are cores, dealt over all cores: for work that costs
+    far more than moving the rows. A table in more files stays as it is."""
+    files, cores = len(df.inputFiles()), df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < files < cores else df
+
+
 def is_small(df: DataFrame, rows: int = SMALL_ROWS, size: int = SMALL_BYTES) -> bool:
     """Whether ``df`` has at most ``rows`` rows and ``size`` bytes of JSON.
 
