@@ -166,6 +166,19 @@ def last_figure_values(spark, sf):
     return _flat(last_values(explode_points(records), ["case_id", "pair", "k"]), "k", "v")
 
 
+def figures_without_numbers(spark, sf):
+    """Arrays that hold NaN and infinities, as numbers or quoted, and spellings of neither."""
+    key = F.col("o_orderkey")
+    values = F.array(*map(F.lit, ("NaN", "Infinity", "-Infinity", '"NaN"', "INF", "nan", "-NaN")))
+    y = F.concat(F.lit("["), F.get(values, (key % 7).cast("int")), F.lit(", 2]"))
+    text = F.concat(F.lit('{"data": [{"type": "bar", "x": [1, '), key.cast("string"), F.lit('], "y": '), y, F.lit("}]}"))
+    figures = table(spark, sf, "orders").select(key.alias("case_id"), text.alias("figure_json"))
+    parsed = figure_records(figures, "figure_json")
+    points = explode_points(parsed, "case_id", ["xy"]).select("case_id", "pos", "v")
+    first = points.where("pos = 0").select("case_id", F.col("v.kind").alias("kind"), F.coalesce(F.col("v.num").cast("string"), "v.str").alias("value"))
+    return parsed.select("case_id", "status").join(first, "case_id", "left")
+
+
 def map_points(spark, sf):
     """Suppliers as one density map each, with one more latitude than longitudes."""
     trace = _trace(
@@ -327,6 +340,7 @@ QUERIES = {
         csv_with_missing_values,
         seats_through_csv,
         seat_misfits,
+        figures_without_numbers,
     )
 }
 
@@ -437,6 +451,11 @@ ORACLES = {
         WITH o AS (SELECT o_orderkey, CAST(o_orderkey AS HUGEINT) + 9007199254740992 AS big FROM orders)
         SELECT o_orderkey AS case_id, CAST(big AS VARCHAR) AS k, CAST(big AS VARCHAR) AS v FROM o
         UNION ALL SELECT o_orderkey, CAST(big + 1 AS VARCHAR), CAST(big + 1 AS VARCHAR) FROM o""",
+    "figures_without_numbers": """
+        SELECT o_orderkey AS case_id, CASE WHEN o_orderkey % 7 < 4 THEN 'ok' ELSE 'bad_json' END AS status,
+               CASE WHEN o_orderkey % 7 < 3 THEN 'num' WHEN o_orderkey % 7 = 3 THEN 'str' END AS kind,
+               CASE o_orderkey % 7 WHEN 0 THEN 'NaN' WHEN 1 THEN 'Infinity' WHEN 2 THEN '-Infinity' WHEN 3 THEN 'NaN' END AS value
+        FROM orders""",
     "seats_through_csv": """
         SELECT CAST(o_orderkey AS INTEGER) AS o_orderkey,
                (o_custkey % 40) || CASE WHEN o_orderkey % 2 = 0 THEN 'D' ELSE 'f' END AS seat,

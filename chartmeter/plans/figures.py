@@ -65,8 +65,23 @@ def _once(df: DataFrame, **columns: Column) -> DataFrame:
 LARGE_BYTES = 64 << 20
 
 
+#: A quoted text, and a spelling of a number that is none but that the lenient reader takes.
+_QUOTED = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_NO_NUMBER = r"INF|\+ *(Infinity|NaN)|- *NaN"
+
+
+def _figure(text: Column) -> Column:
+    """JSON text as VARIANT; NaN, Infinity and -Infinity are numbers in it. Texts without
+    these tokens are read by the strict reader only."""
+    bare = F.regexp_replace(text, _QUOTED, "")
+    lenient = F.octet_length(text) < LARGE_BYTES
+    lenient = lenient & text.rlike("NaN|Infinity") & bare.rlike("NaN|Infinity") & ~bare.rlike(_NO_NUMBER)
+    loose = F.from_json(text, "variant", {"allowSingleQuotes": "false"})
+    return F.coalesce(F.try_parse_json(text), F.when(lenient, loose))
+
+
 def parse_figures(df: DataFrame, json_col: str) -> DataFrame:
-    """Add ``status`` and ``traces array<variant>``.
+    """Add ``status`` and ``traces array<variant>``. NaN and Infinity count as numbers.
 
     status: ``ok``, ``bad_json`` (not JSON, or none), ``too_large`` (no VARIANT can be made
     of so long a text), ``no_data`` (no data key) or ``bad_data`` (data is no array).
@@ -82,7 +97,7 @@ def parse_figures(df: DataFrame, json_col: str) -> DataFrame:
     )
     parsed = (
         dealt_out(df)
-        .withColumn("_figure", F.try_parse_json(F.col(json_col)))
+        .withColumn("_figure", _figure(F.col(json_col)))
         .withColumn("_data", _get(figure, "data"))
         .withColumn("_traces", F.try_variant_get(data, "$", "array<variant>"))
     )

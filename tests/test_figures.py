@@ -91,3 +91,23 @@ def test_last_value_of_a_key_stays(figures):
 def test_triples(figures):
     rows = explode_triples(figure_records(figures, "j")).orderBy("pos").collect()
     assert [(r.k1.num, r.k2.num, r.v.num) for r in rows] == [(1, 3, 1), (2, None, 2), (1, 3, 3)]
+
+
+# JSON text, and whether it is taken as JSON: that is what Python's reader takes, too.
+NUMBERS = [
+    '{"data": [{"x": [NaN, Infinity, -Infinity], "y": [1, 2, 3]}]}', '{"data": [NaN]}', '{"data": ["NaN, INF"], "a": NaN}', '{"data": ["\\"", NaN]}',
+    '{"data": [nan]}', '{"data": [INF]}', '{"data": [+Infinity]}', '{"data": [-NaN]}', "{'data': [NaN]}", '{"data": [NaN}', "{data: [NaN]}",
+]
+
+
+def test_numbers_that_are_none(spark):
+    def taken(text):
+        try:
+            return json.loads(text) is not None
+        except ValueError:
+            return False
+
+    df = parse_figures(spark.createDataFrame([(t,) for t in NUMBERS], "j string"), "j")
+    assert {r.j: r.status != "bad_json" for r in df.collect()} == {t: taken(t) for t in NUMBERS}
+    points = explode_points(figure_records(spark.createDataFrame([(1, NUMBERS[0])], "case_id int, j string"), "j"))
+    assert sorted(str(r.k.num) for r in points.collect()) == ["-inf", "inf", "nan"]

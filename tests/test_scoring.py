@@ -89,7 +89,7 @@ CASES = {
     "no answer": (BAR, None, WITH, "missing_prediction", False),
     "not JSON": (BAR, "nope", WITH, "bad_json", False),
     "no data": (BAR, '{"layout": {}}', WITH, "no_data", False),
-    "NaN": (BAR, '{"data": [{"x": [NaN]}]}', WITH, "bad_json", False),
+    "NaN": (BAR, '{"data": [{"x": [NaN]}]}', WITH, "error", False),
     "no traces": (BAR, '{"data": []}', WITHOUT, "data_mismatch", False),
     "two traces": (
         BAR,
