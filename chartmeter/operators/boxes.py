@@ -82,30 +82,33 @@ def _same(keys: list[str], other: str) -> Column:
 def _quartiles(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Quartiles per group, from the values at the ranks next to each."""
     keyed = rows.select(*keys, "v", radix_key(F.col("v")).alias("key"))
-    targets = None
-    for shift in (48, 32, 16, 0):
+    targets, before_that, shift = None, 64, 48
+    while True:
         digits = keyed.withColumn("prefix", F.shiftright("key", shift))
         counted = digits.groupBy(*keys, "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        counted = stage(counted.withColumn("above", F.shiftright("prefix", 16) if targets else F.lit(0).cast("bigint")), "digits")
+        counted = stage(counted.withColumn("above", F.shiftright("prefix", before_that - shift) if targets else F.lit(0).cast("bigint")), "digits")
         if targets is None:
             totals = counted.groupBy(*keys).agg(F.sum("n").alias("total"))
             spots = [F.lit(q) * (F.col("total") - 1) for q in _QUARTILES.values()]
             ranks = F.array(*[F.struct(F.lit(2 * i + k).alias("spot"), side(s).alias("rank")) for i, s in enumerate(spots) for k, side in enumerate((F.floor, F.ceil))])
             targets = totals.select(*keys, F.lit(0).cast("bigint").alias("of"), F.inline(ranks).alias("spot", "rank"))
-        # at most 2^16 digits below one prefix
+        # at most 2^16 entries below one prefix
         so_far = Window.partitionBy(*keys, "above").orderBy("prefix").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         running = counted.withColumn("after", F.sum("n").over(so_far)).withColumn("before", F.col("after") - F.col("n"))
         asked = targets.select(*[F.col(c).alias(f"t_{c}") for c in keys], "of", "spot", "rank")
         held = running.join(asked, _same(keys, "t_") & (F.col("above") == F.col("of")))
         held = held.where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("after")))
-        found = stage(held.select(*keys, F.col("prefix").alias("of"), "spot", (F.col("rank") - F.col("before")).alias("rank"), "lo", "hi"), "found")
-        if found.where("lo <> hi").isEmpty():
+        found = stage(held.select(*keys, F.col("prefix").alias("of"), "spot", (F.col("rank") - F.col("before")).alias("rank"), "n", "lo", "hi"), "found")
+        most = found.where("lo <> hi").agg(F.max("n")).first()[0]
+        if most is None:
             break
         targets = found.select(*keys, "of", "spot", "rank")
         # six prefixes a group at most; all else is settled
         left = targets.select(*[F.col(c).alias(f"t_{c}") for c in keys], "of").distinct()
         near = keyed.join(broadcast_if_small(left), _same(keys, "t_") & (F.shiftright("key", shift) == F.col("of")), "left_semi")
         keyed = stage(near, "candidates")
+        # prefixes of no more values than a histogram has entries are told apart by all the rest
+        before_that, shift = shift, 0 if most <= 1 << 16 else shift - 16
     at = [F.max(F.when(F.col("spot") == i, F.col("lo"))).alias(f"at{i}") for i in range(6)]
     ends = found.groupBy(*keys).agg(*at)
     if keys:

@@ -195,6 +195,7 @@ def test_boxes_are_exact(spark):
         "steps": [float(rng.randint(0, 4)) for _ in range(2000)],
         "edge": [rng.random() for _ in range(51)],
         "close": [1 + rng.randint(0, 900) * 2.0**-52 for _ in range(700)],
+        "many close": [1 + rng.randint(0, 1 << 20) * 2.0**-52 for _ in range(70_000)],
         "signs": [rng.choice((-1, 1)) * 10.0 ** rng.randint(-300, 300) for _ in range(700)],
         None: [rng.random() for _ in range(70)],
     }
