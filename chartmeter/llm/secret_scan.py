@@ -8,6 +8,7 @@ one, and the counts of its characters and their sum of ``c * log2 c`` are carrie
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,26 +49,68 @@ ALLOWED = (
 
 _SPAN = "array<struct<start:int,kind_no:int,kind:string,end:int,value:string>>"
 
+#: Elements of a block of ``_running``, and code points of a block of ``redact``.
+BLOCK, CHARACTERS = 128, 1024
+
+
+def _running(values: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """What ``merge`` gives from the first of some whole numbers, 0 or more, up to each one.
+
+    Goes by blocks, then over the blocks, as each step of an aggregate copies its array.
+    """
+
+    def last(array: Column) -> Column:
+        return F.coalesce(F.get(array, F.size(array) - 1), F.lit(0))
+
+    none = F.array().cast("array<int>")
+    starts = F.filter(F.sequence(F.lit(0), F.size(values)), lambda i: (i % BLOCK == 0) & (i < F.size(values)))
+    blocks = F.transform(
+        starts,
+        lambda i: F.aggregate(
+            F.slice(values, i + 1, BLOCK), none, lambda done, x: F.array_append(done, merge(last(done), x))
+        ),
+    )
+
+    def joined(inner: Column) -> Column:
+        carried = F.aggregate(
+            inner, none, lambda done, block: F.array_append(done, merge(last(done), last(block)))
+        )
+        return let(
+            carried,
+            lambda after: F.flatten(
+                F.transform(
+                    inner,
+                    lambda block, b: let(
+                        F.coalesce(F.get(after, b - 1), F.lit(0)),
+                        lambda before: F.transform(block, lambda x: merge(before, x)),
+                    ),
+                )
+            ),
+        )
+
+    return let(blocks, joined)
+
 
 def _found(text: Column, pattern: str, kind: str) -> Column:
     """Spans of the leftmost non-overlapping matches; what lies between them is ``parts``."""
 
     def spans(s: Column) -> Column:
-        def step(at: Column, i: Column) -> Column:
-            start = at["at"] + F.char_length(s["parts"][i])
-            end = start + F.char_length(s["hits"][i])
-            span = F.struct(
-                start.alias("start"),
-                F.lit(KINDS.index(kind)).alias("kind_no"),
-                F.lit(kind).alias("kind"),
-                end.alias("end"),
-                s["hits"][i].alias("value"),
+        widths = F.transform(s["hits"], lambda hit, i: F.char_length(s["parts"][i]) + F.char_length(hit))
+
+        def span(ends: Column) -> Column:
+            return F.transform(
+                s["hits"],
+                lambda hit, i: F.struct(
+                    (ends[i] - F.char_length(hit)).alias("start"),
+                    F.lit(KINDS.index(kind)).alias("kind_no"),
+                    F.lit(kind).alias("kind"),
+                    ends[i].alias("end"),
+                    hit.alias("value"),
+                ),
             )
-            return F.struct(end.alias("at"), F.concat(at["spans"], F.array(span)).cast(_SPAN).alias("spans"))
 
-        empty = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans"))
-        walked = F.aggregate(F.sequence(F.lit(0), F.size(s["hits"]) - 1), empty, step, lambda at: at["spans"])
-        return F.when(F.size(s["hits"]) == 0, F.array().cast(_SPAN)).otherwise(walked)
+        ends = let(widths, lambda w: _running(w, lambda before, x: before + x))
+        return let(ends, span).cast(_SPAN)
 
     parts = F.struct(
         F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"),
@@ -120,33 +163,50 @@ def _entropic(value: Column) -> Column:
     return let(least, lambda bits: F.when(bits == math.inf, F.lit(False)).otherwise(best_entropy(value) >= bits))
 
 
-def find_secrets(text: Column) -> tuple[Column, Column]:
-    """The spans of the fixed patterns, and those of high entropy that touch none of them."""
-    base = F.concat(
-        F.filter(
-            _found(text, ASSIGN, "assign"),
-            lambda s: F.char_length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_VALUE,
-        ),
-        _found(text, ACCESS, "access"),
-        _found(text, HEX, "hex"),
-    )
-    candidates = _found(text, CANDIDATE, "entropy")
-    return F.sort_array(base), F.filter(candidates, lambda s: _entropic(s["value"]))
+def _touches(span: Column, others: Column) -> Column:
+    """Whether ``span`` overlaps one of ``others``, which are in order and apart: the last of
+    those that start before its end, found by halving."""
+    steps = F.ceil(F.log2((F.size(others) + 1).cast("double"))).cast("int")
+    start = F.struct(F.lit(0).alias("low"), F.size(others).alias("high"))
+
+    def halve(at: Column, _: Column) -> Column:
+        middle = F.shiftright(at["low"] + at["high"], 1)
+        open_ = at["low"] < at["high"]
+        before = open_ & F.coalesce(F.get(others, middle)["start"] < span["end"], F.lit(False))
+        return F.struct(
+            F.when(before, middle + 1).otherwise(at["low"]).alias("low"),
+            F.when(open_ & ~before, middle).otherwise(at["high"]).alias("high"),
+        )
+
+    started = F.aggregate(F.sequence(F.lit(0), steps), start, halve, lambda at: at["low"])
+    return F.coalesce(F.get(others, started - 1)["end"] > span["start"], F.lit(False))
 
 
 def secrets_of(text: Column) -> Column:
     """``base`` and ``all``: the spans of the fixed patterns, and these with those of high
     entropy that overlap none of them, each sorted by start, then kind. Null is empty."""
-    base, found = find_secrets(F.coalesce(text, F.lit("")))
+    text = F.coalesce(text, F.lit(""))
+    assigned = F.filter(
+        _found(text, ASSIGN, "assign"),
+        lambda s: F.char_length(F.regexp_extract(s["value"], ASSIGN, 2)) >= ASSIGN_VALUE,
+    )
+    kinds = F.struct(
+        assigned.alias("assign"),
+        _found(text, ACCESS, "access").alias("access"),
+        _found(text, HEX, "hex").alias("hex"),
+        _found(text, CANDIDATE, "entropy").alias("found"),
+    )
 
-    def both(s: Column) -> Column:
-        added = F.filter(
-            s["found"],
-            lambda e: ~F.exists(s["base"], lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])),
-        )
-        return F.struct(s["base"].alias("base"), F.sort_array(F.concat(s["base"], added)).alias("all"))
+    def together(s: Column) -> Column:
+        def free(e: Column) -> Column:
+            touched = _touches(e, s["assign"]) | _touches(e, s["access"]) | _touches(e, s["hex"])
+            return F.when(touched, F.lit(False)).otherwise(_entropic(e["value"]))
+
+        base = F.concat(s["assign"], s["access"], s["hex"])
+        added = F.filter(s["found"], free)
+        return F.struct(F.sort_array(base).alias("base"), F.sort_array(F.concat(base, added)).alias("all"))
 
-    return let(F.struct(base.alias("base"), found.alias("found")), both)
+    return let(kinds, together)
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
@@ -185,21 +245,28 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """``text`` with every span, overlapping ones as one, replaced by ``mark``."""
+    """``text`` with every span, overlapping ones as one, replaced by ``mark``.
 
-    def step(at: Column, s: Column) -> Column:
-        fresh = s["start"] >= at["at"]
-        gap = F.substring(text, at["at"] + 1, F.greatest(s["start"] - at["at"], F.lit(0)))
-        return F.struct(
-            F.greatest(at["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(at["out"], F.array(gap, F.lit(mark)))).otherwise(at["out"]).alias("out"),
-        )
+    ``spans`` are in the order of their starts. What lies between them is cut from blocks
+    of the text, as a cut from the whole of it would count from its first character.
+    """
+
+    def pieces(s: Column) -> Column:
+        def cut(start: Column, end: Column) -> Column:
+            first = F.floor(start / CHARACTERS).cast("int")
+            blocks = F.slice(s["blocks"], first + 1, F.floor(end / CHARACTERS).cast("int") - first + 1)
+            return F.substring(F.array_join(blocks, ""), start - first * CHARACTERS + 1, end - start)
 
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    rest = F.aggregate(
-        spans,
-        start,
-        step,
-        lambda at: F.concat_ws("", F.concat(at["out"], F.array(F.substring(text, at["at"] + 1, F.char_length(text))))),
+        def one(span: Column, i: Column) -> Column:
+            before = F.coalesce(F.get(s["ends"], i - 1), F.lit(0))
+            return F.when(span["start"] >= before, F.concat(cut(before, span["start"]), F.lit(mark))).otherwise("")
+
+        rest = cut(F.get(s["ends"], F.size(spans) - 1), s["length"])
+        return F.concat(F.array_join(F.transform(spans, one), ""), rest)
+
+    parts = F.struct(
+        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHARACTERS}}}"), F.lit(0)).alias("blocks"),
+        _running(F.transform(spans, lambda s: s["end"]), F.greatest).alias("ends"),
+        F.char_length(text).alias("length"),
     )
-    return F.when(F.size(spans) == 0, text).otherwise(rest)
+    return F.when(F.size(spans) == 0, text).otherwise(let(parts, pieces))

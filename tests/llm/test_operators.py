@@ -361,6 +361,39 @@ def test_entropy_spans_and_what_is_allowed(spark):
     assert dict(rows(found, "text", "s")) == texts
 
 
+def test_thousands_of_secrets_in_one_text(spark):
+    """Spans over many blocks, of kinds that overlap, against Python's regular expressions."""
+    import time
+
+    rng = random.Random(5)
+    lines = []
+    for i in range(16000):
+        digest = "".join(rng.choices("0123456789abcdef", k=16))
+        lines.append(rng.choice([digest, f"é token={digest} 😀", f"secret: {digest}.{digest}", f"AKIA{digest.upper()}"]))
+    text = "\n".join(lines)
+    assert len(text) > 336_000
+    base = [(m.start(), 2, m.end()) for m in re.finditer(secret_scan.HEX, text)]
+    base += [(m.start(), 1, m.end()) for m in re.finditer(secret_scan.ACCESS, text)]
+    base += [(m.start(), 0, m.end()) for m in re.finditer(secret_scan.ASSIGN, text) if len(m[2]) >= secret_scan.ASSIGN_VALUE]
+    df = spark.createDataFrame([(1, text)], DOCS)
+    secret_scan.mask(df.limit(0)).count()
+    began = time.monotonic()
+    found, masked = secret_scan.scan(df).select("base_spans", "spans").first(), secret_scan.mask(df).first()
+    assert time.monotonic() - began < 20
+    assert [(s["start"], s.kind_no, s.end) for s in found.base_spans] == sorted(base)
+    spans = [(s["start"], s.kind_no, s.end) for s in found.spans]
+    assert [s for s in spans if s[1] < 3] == sorted(base) and spans == sorted(spans)
+    fixed = sorted((a, b) for a, _, b in base)
+    for a, _, b in (s for s in spans if s[1] == 3):
+        assert not any(x < b and a < y for x, y in fixed)
+    out, at = [], 0
+    for a, _, b in spans:
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, b)
+    assert masked.text == "".join(out) + text[at:]
+
+
 def test_secrets_odd_rows_and_masks(spark):
     docs = spark.createDataFrame([(*r, 0, 1) for r in ODD], DOCS + ", n_chars int, spans int")
     scanned = secret_scan.scan(docs)
