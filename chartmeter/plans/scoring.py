@@ -51,8 +51,6 @@ _ATTRIBUTES = ["type", "xaxis", "yaxis", "xbingroup", "ybingroup", "subplot", "d
 _FIGURES_PER_FILE = 20_000
 #: Arrays up to this length are compared inside their case's row.
 SHORT = 32
-#: Runs that one table of predictions may hold.
-MOST_RUNS = 10_000
 
 
 def _has(side: str, key: str) -> Column:
@@ -181,23 +179,40 @@ def score_records(
     ``vacuous`` marks a pass for which no data was compared; ``strict`` fails it.
     """
     if "run_id" in predictions.columns:
-        cases, goldens, predictions = _by_run(cases, goldens, predictions)
-    else:
-        cases = cases.select("uuid", F.struct("*").alias("case"))
+        kept = predictions.select("run_id", "uuid", "status", "record", F.lit(None).cast("string").alias("told"))
+        each, answers = _by_answer(cases, kept)
+        return _score_runs(each, goldens, answers, strict)
+    answers = predictions.withColumn("golden", F.col("uuid"))
+    cases = cases.select("uuid", F.col("uuid").alias("golden"), F.struct("*").alias("case"))
+    return _score(cases, goldens, answers, strict)
+
+
+def _score_runs(each: DataFrame, goldens: DataFrame, answers: DataFrame, strict: bool) -> DataFrame:
+    """``_score`` of cases of many runs: what a case asks of an answer is settled once."""
+    asked = F.to_json(F.array("golden", "uuid", F.col("case.complexity").cast("string"))).alias("asked")
+    each = stage(each.select("*", asked), "each")
+    once = each.select("uuid", "golden", F.struct("asked", "case.complexity").alias("case")).distinct()
+    scored = _score(once, goldens, answers, strict).select("asked", "pass", "reason", "vacuous")
+    return stage(each.select("asked", "case").join(scored, "asked").select("case.*", "pass", "reason", "vacuous"), "runs")
+
+
+def _score(cases: DataFrame, goldens: DataFrame, answers: DataFrame, strict: bool) -> DataFrame:
+    """Scores of cases (uuid, golden, case): ``golden`` is the uuid among ``goldens``, ``uuid``
+    that among ``answers`` (uuid, golden, status, record), of which each is compared once."""
     # read and parsed once; what follows goes over the stored records several times
     kept = F.map_filter("record", lambda key, _: key.isin(*FIGURE_KEYS)).alias("record")
-    goldens = stage(goldens.select("uuid", kept), "goldens", _FIGURES_PER_FILE)
-    predictions = stage(predictions.select("uuid", "status", kept), "predictions", _FIGURES_PER_FILE)
-    _one_each(goldens, "golden")
-    _one_each(predictions, "prediction")
+    goldens = stage(goldens.select(F.col("uuid").alias("golden"), kept), "goldens", _FIGURES_PER_FILE)
+    answers = stage(answers.select("uuid", "golden", "status", kept), "answers", _FIGURES_PER_FILE)
+    _one_each(goldens, ["golden"], "golden")
+    _one_each(answers, ["uuid"], "prediction")
     known = describe(goldens.withColumn("golden_ok", F.col("record").isNotNull()), "g")
-    answers = describe(predictions, "p")
-    facts = with_source(cases.join(known, "uuid", "left").join(answers, "uuid", "left"))
-    facts = facts.join(_in_rows(goldens, predictions), "uuid", "left")
+    given = describe(answers.drop("golden"), "p")
+    facts = with_source(cases.join(known, "golden", "left").join(given, "uuid", "left"))
+    facts = facts.join(_in_rows(goldens, answers), "uuid", "left")
     facts = stage(facts, "facts")
-    long = stage(_usable(facts).where("not short").select("uuid", "source", "g", "p").distinct(), "long")
+    long = stage(_usable(facts).where("not short").select("uuid", "golden", "source", "g", "p").distinct(), "long")
     if not long.isEmpty():
-        for outcomes, pairs in _by_points(long, goldens, predictions):
+        for outcomes, pairs in _by_points(long, goldens, answers):
             facts = _with_outcomes(facts, outcomes, pairs)
     return stage(_verdicts(facts, strict), "scored")
 
@@ -207,15 +222,15 @@ def _usable(facts: DataFrame) -> DataFrame:
     return facts.where((F.col("status") == "ok") & F.col("golden_ok"))
 
 
-def _in_rows(goldens: DataFrame, predictions: DataFrame) -> DataFrame:
-    """Outcomes of all comparisons of data for cases whose arrays are all short, which needs
-    no points: both records of a case meet in one row. ``short`` tells these cases."""
+def _in_rows(goldens: DataFrame, answers: DataFrame) -> DataFrame:
+    """Outcomes of all comparisons of data for answers where all arrays are short, which needs
+    no points: both records meet in one row. ``short`` tells these answers."""
 
     def arrays(records: DataFrame, side: str) -> DataFrame:
         found = [elements(field(F.col("record"), key)).alias(f"{side}_{key}") for key in _ARRAYS]
-        return records.select("uuid", *found)
+        return records.select(*records.columns[:-1], *found)
 
-    both = arrays(goldens, "g").join(arrays(predictions.where("status = 'ok'"), "p"), "uuid")
+    both = arrays(goldens, "g").join(arrays(answers.where("status = 'ok'").drop("status"), "p"), "golden")
     sizes = [F.size(f"{side}_{key}") for side in "gp" for key in _ARRAYS]  # -1 for none
     both = both.withColumn("short", F.greatest(*sizes) <= SHORT)
 
@@ -246,67 +261,76 @@ def _in_rows(goldens: DataFrame, predictions: DataFrame) -> DataFrame:
     return both.select("uuid", "short", *[column.alias(name) for name, column in data.items()])
 
 
-def _by_points(long: DataFrame, goldens: DataFrame, predictions: DataFrame):
-    """Outcomes of cases with long arrays, by joins of their points, and their pairs."""
-    side = broadcast_if_small(long.select("uuid"))
-    mine, theirs = (records.join(side, "uuid", "left_semi") for records in (goldens, predictions))
-    direct = pairs_match(explode_points(mine, "uuid"), explode_points(theirs, "uuid"))
+def _by_points(long: DataFrame, goldens: DataFrame, answers: DataFrame):
+    """Outcomes of answers with long arrays, by joins of their points, and their pairs."""
+
+    def sides(chosen: DataFrame, explode, *args) -> tuple[DataFrame, DataFrame]:
+        side = broadcast_if_small(chosen)
+        mine = goldens.join(side, "golden").select("uuid", "record")
+        theirs = answers.join(side.select("uuid"), "uuid", "left_semi")
+        return explode(mine, "uuid", *args), explode(theirs, "uuid", *args)
+
+    direct = pairs_match(*sides(long.select("uuid", "golden"), explode_points))
     direct = stage(_outcomes(direct), "direct")
     yield direct, list(PAIRS)
 
-    # exchanged axes, for the cases that x and y as they are did not settle
+    # exchanged axes, for the answers that x and y as they are did not settle
     settled = direct.where("pair = 'xy' and outcome <> 'F'").select("uuid")
-    again = long.where(_listed("x", "y")).select("uuid").join(settled, "uuid", "left_anti")
+    again = long.where(_listed("x", "y")).select("uuid", "golden").join(settled, "uuid", "left_anti")
     again = stage(again, "again")
     if not again.isEmpty():
-        side = broadcast_if_small(again)
-        swapped = pairs_match_swapped(
-            explode_points(goldens.join(side, "uuid", "left_semi"), "uuid", ["xy"]),
-            explode_points(predictions.join(side, "uuid", "left_semi"), "uuid", ["xy"]),
-        )
+        swapped = pairs_match_swapped(*sides(again, explode_points, ["xy"]))
         yield _outcomes(swapped).withColumn("pair", F.lit("yx")), ["yx"]
 
     maps = long.where((_is("g", "type") == '"densitymapbox"') & _listed("lat", "lon", "z"))
-    maps = stage(maps.select("uuid"), "maps")
+    maps = stage(maps.select("uuid", "golden"), "maps")
     if not maps.isEmpty():
-        side = broadcast_if_small(maps)
-        triples = triples_match(
-            explode_triples(goldens.join(side, "uuid", "left_semi"), "uuid"),
-            explode_triples(predictions.join(side, "uuid", "left_semi"), "uuid"),
-        )
+        triples = triples_match(*sides(maps, explode_triples))
         yield _outcomes(triples.withColumn("pair", F.lit("map"))), ["map"]
 
 
-def _one_each(records: DataFrame, what: str) -> None:
-    again = records.groupBy("uuid").agg(F.count("*").alias("n")).where("n > 1 AND uuid IS NOT NULL").first()
+def _one_each(records: DataFrame, keys: list[str], what: str) -> None:
+    *_, uuid = keys
+    again = records.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > 1).where(F.col(uuid).isNotNull())
+    again = again.first()
     if again:
-        raise ValueError(f"{again.n} {what}s for {again.uuid}")
-
-
-def _by_run(cases: DataFrame, goldens: DataFrame, predictions: DataFrame) -> tuple[DataFrame, ...]:
-    """Cases, goldens and predictions keyed by run and uuid; every run answers all cases."""
-    found = predictions.select("run_id").distinct().limit(MOST_RUNS + 1).collect()
-    if len(found) > MOST_RUNS:
-        raise ValueError(f"more than {MOST_RUNS} runs")
-    kind = predictions.schema["run_id"].dataType
-    runs = F.array(*[F.lit(row.run_id).cast(kind) for row in found]).cast(f"array<{kind.simpleString()}>")
-    key = F.to_json(F.array(F.col("run_id").cast("string"), "uuid")).alias("uuid")
-    each = cases.drop("run_id").withColumn("run_id", F.explode(runs))
-    return (
-        each.select(key, F.struct("*").alias("case")),
-        goldens.select("uuid", "record", F.explode(runs).alias("run_id")).select(key, "record"),
-        predictions.select(key, "status", "record"),
-    )
+        raise ValueError(f"{again.n} {what}s for {again[uuid]}")
+
+
+def _by_answer(cases: DataFrame, predictions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cases per run, as ``_score`` takes them, and the different answers of all runs.
+
+    predictions: run_id, uuid, told and any more. Those of one uuid with the same ``told``
+    are one answer, however many runs give it; one without is an answer of its own.
+    """
+    run = F.to_json(F.array(F.col("run_id").cast("string"))).alias("run")
+    # the row numbers are written, so they stay what they are
+    read = stage(predictions.withColumns({"run": run, "row": F.monotonically_increasing_id()}), "read", _FIGURES_PER_FILE)
+    _one_each(read, ["run", "uuid"], "prediction")
+    told = F.coalesce("told", F.col("row").cast("string")).alias("told")
+    first = stage(read.groupBy("uuid", told).agg(F.min("row").alias("row")), "first")
+    index = read.select("run", "uuid", told).join(first, ["uuid", "told"])
+    index = index.select("run", F.col("uuid").alias("golden"), F.col("row").cast("string").alias("uuid"))
+    answers = read.join(first.select("row"), "row", "left_semi").withColumn("golden", F.col("uuid"))
+    answers = answers.withColumn("uuid", F.col("row").cast("string")).drop("run_id", "run", "row", "told")
+    runs = read.agg(F.collect_set(F.struct("run_id"))).scalar()
+    each = cases.drop("run_id").withColumn("_of", F.explode(runs)).withColumn("run_id", F.col("_of.run_id")).drop("_of")
+    each = each.select(F.col("uuid").alias("golden"), run, F.struct("*").alias("case"))
+    return each.join(index, ["run", "golden"], "left").select("uuid", "golden", "case"), answers
 
 
 def score_cases(
     cases: DataFrame, goldens: DataFrame, predictions: DataFrame, strict: bool = False
 ) -> DataFrame:
     """``score_records`` of predictions that are figure JSON: uuid, figure_json and, if
-    there are several runs, run_id."""
-    kept = [c for c in predictions.columns if c in ("uuid", "run_id", "figure_json")]
-    figures = figure_records(predictions.select(*kept), "figure_json")
-    return score_records(cases, goldens, figures, strict)
+    there are several runs, run_id. An answer that several runs give to a case is parsed and
+    compared once."""
+    if "run_id" not in predictions.columns:
+        figures = figure_records(predictions.select("uuid", "figure_json"), "figure_json")
+        return score_records(cases, goldens, figures, strict)
+    told = F.coalesce(F.sha2("figure_json", 256), F.lit("")).alias("told")
+    each, answers = _by_answer(cases, predictions.select("run_id", "uuid", "figure_json", told))
+    return _score_runs(each, goldens, figure_records(answers, "figure_json"), strict)
 
 
 def _outcomes(matches: DataFrame) -> DataFrame:
@@ -398,13 +422,13 @@ def failure_report(scored: DataFrame, goldens: DataFrame, predictions: DataFrame
     """
     keys = [c for c in ("run_id", "uuid") if c in scored.columns and c in predictions.columns]
     failed = scored.where(~F.col("pass")).select(*keys, "reason")
+    side = broadcast_if_small(failed.select(*keys).distinct())
+    theirs = predictions.join(side, keys, "left_semi")
     if "record" in predictions.columns:
-        answers = predictions.select(*keys, F.to_json("record").alias("predicted"))
+        answers = theirs.select(*keys, F.to_json("record").alias("predicted"))
     else:
-        text = predictions.select(*keys, "figure_json", F.col("figure_json").alias("text"))
+        text = theirs.select(*keys, "figure_json", F.col("figure_json").alias("text"))
         shown = F.coalesce(F.to_json("record"), F.col("text")).alias("predicted")
         answers = figure_records(text, "figure_json").select(*keys, shown)
-    side = broadcast_if_small(failed.select(*keys).distinct())
-    theirs = answers.join(side, keys, "left_semi")
     mine = goldens.join(side.select("uuid"), "uuid", "left_semi").select("uuid", F.to_json("record").alias("golden"))
-    return failed.join(theirs, keys, "left").join(mine, "uuid", "left")
+    return failed.join(answers, keys, "left").join(mine, "uuid", "left")

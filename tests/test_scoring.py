@@ -3,7 +3,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from chartmeter.plans import failure_report, figure_records, pass_rate, score_cases
+from chartmeter.plans import failure_report, figure_records, pass_rate, score_cases, score_records
+from chartmeter.shared import stage
 
 BAR = {"type": "bar", "x": ["a", "b"], "y": [1, 2.5], "xaxis": "x", "yaxis": "y"}
 PIE = {
@@ -191,3 +192,43 @@ def test_runs_and_repeated_answers(spark, inputs):
         score_cases(cases, goldens, predictions.unionByName(predictions))
     with pytest.raises(ValueError, match="goldens"):
         score_cases(cases, goldens.unionByName(goldens), predictions)
+
+
+def test_fifty_runs_share_goldens_and_answers(spark, inputs, monkeypatch):
+    """Goldens are read once for all runs, and equal answers to a case are compared once."""
+    from chartmeter.plans import scoring
+
+    cases, goldens, predictions = inputs
+    sizes = {}
+
+    def counted(df, name, *args):
+        kept = stage(df, name, *args)
+        sizes[name] = kept.count()
+        return kept
+
+    monkeypatch.setattr(scoring, "stage", counted)
+    runs = predictions.withColumn("run_id", F.explode(F.sequence(F.lit(1), F.lit(50))))
+    wrong = (F.col("uuid") == "same") & (F.col("run_id") % 2 == 0)
+    runs = runs.withColumn("figure_json", F.when(wrong, "nope").otherwise(F.col("figure_json")))
+    nameless = runs.where("run_id = 1").withColumn("run_id", F.lit(None).cast("int"))
+    scored = score_cases(cases, goldens, runs.unionByName(nameless))
+    found = {(r.run_id, r.uuid): r.reason for r in scored.collect()}
+    assert len(found) == 51 * len(CASES)
+    for (run, name), reason in found.items():
+        assert reason == ("bad_json" if name == "same" and run and run % 2 == 0 else CASES[name][3]), (run, name)
+    assert sizes["goldens"] == goldens.count() and sizes["facts"] == len(CASES) + 1
+    assert sizes["answers"] == predictions.count() + 1
+
+
+def test_runs_of_records_and_repeated_cases(spark, inputs):
+    cases, goldens, predictions = inputs
+    figures = figure_records(predictions, "figure_json")
+    runs = figures.withColumn("run_id", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    twice = cases.unionByName(cases.where("uuid = 'same'"))
+    scored = score_records(twice, goldens, runs)
+    found = sorted((r.run_id, r.uuid, r.reason or "") for r in scored.collect())
+    names = [*CASES, "same"]
+    assert found == sorted((run, name, CASES[name][3] or "") for run in "ab" for name in names)
+    assert score_records(cases, goldens, runs.limit(0)).count() == 0
+    with pytest.raises(ValueError, match="2 predictions for same"):
+        score_records(cases, goldens, runs.unionByName(runs.where("uuid = 'same' and run_id = 'b'")))
