@@ -3,9 +3,10 @@
 The standard library's parser is fed a page piece by piece. Its events cut the page into
 blocks, the lines of the method; blocks of menus, forms, adverts, comments and the like are
 left out as they open. Each block has a ratio of text to tags; the ratios are smoothed by
-a Gaussian and clustered into two by their nearest mean. A container that holds content
-(``article``, ``main``) is content as a whole, so its short paragraphs stay; on a page
-without one, content blocks and what lies shortly between them are.
+a Gaussian and clustered into two by their nearest mean. In a container that holds content
+(``article``, ``main``) short paragraphs stay, but not three or more links in a row that the
+clusters put outside the content. On a page without one, content blocks stay, those near them
+whose own ratio is that of content, and what lies shortly between them.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from chartmeter.llm.common import map_arrow
 CHUNK = 1 << 16
 #: Spread of the Gaussian in blocks, and the gap that a content region bridges.
 SIGMA, GAP = 1.0, 2
+#: Share of its characters that makes a block one of links, and how many make a menu.
+LINKED, MENU = 0.9, 3
 
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = set(
@@ -72,6 +75,8 @@ class Blocks(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.blocks: list[tuple[str, int, int, int]] = []
         self.open: list[str] = []
+        self.depths: dict[str, list[int]] = {}  # of the open elements, by tag
+        self.ends: list[int] = []  # depths of those that matter for implied ends
         self.dropped_at: int | None = None  # depth of the element that is left out
         self.inside: list[int] = []  # numbers of the open containers
         self.containers = 0
@@ -90,18 +95,27 @@ class Blocks(HTMLParser):
             if tag in BLOCKS and self.dropped_at is None:
                 self.flush()
             self.open.pop()
+            self.depths[tag].pop()
+            if self.ends and self.ends[-1] == len(self.open):
+                self.ends.pop()
             if self.dropped_at is not None and len(self.open) <= self.dropped_at:
                 self.dropped_at = None
             if tag in CONTAINERS and self.inside:
                 self.inside.pop()
 
+    def _implied(self) -> list[int]:
+        """Depths, deepest first, of the elements in the innermost scope that may end unsaid."""
+        found = []
+        for depth in reversed(self.ends):
+            if self.open[depth] in SCOPES:
+                break
+            found.append(depth)
+        return found
+
     def handle_starttag(self, tag, attrs):
-        for depth in range(len(self.open) - 1, -1, -1):
-            above = self.open[depth]
-            if tag in CLOSED_BY.get(above, ()):
+        for depth in self._implied():
+            if tag in CLOSED_BY.get(self.open[depth], ()):
                 self._close(depth)
-            elif above in SCOPES:
-                break
         if self.dropped_at is None:
             if tag in BLOCKS:
                 self.flush()
@@ -118,6 +132,9 @@ class Blocks(HTMLParser):
             if not self.inside:
                 self.containers += 1
             self.inside.append(self.containers)
+        if tag in SCOPES or tag in CLOSED_BY:
+            self.ends.append(len(self.open))
+        self.depths.setdefault(tag, []).append(len(self.open))
         self.open.append(tag)
 
     def handle_startendtag(self, tag, attrs):
@@ -127,17 +144,17 @@ class Blocks(HTMLParser):
     def handle_endtag(self, tag):
         if self.dropped_at is None:
             self.tags += 1
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth] == tag:
-                self._close(depth)
-                return
-            if self.dropped_at is not None and depth <= self.dropped_at and tag not in SCOPES:
-                return  # a stray end inside does not end what is left out
+        if not self.depths.get(tag):
+            return
+        depth = self.depths[tag][-1]
+        # a stray end inside does not end what is left out
+        if self.dropped_at is None or depth >= self.dropped_at or tag in SCOPES:
+            self._close(depth)
 
     def handle_data(self, data):
         if self.dropped_at is None:
             self.text.append(data)
-            if "a" in self.open:
+            if self.depths.get("a"):
                 self.linked += len(data)
 
     def close(self):
@@ -154,27 +171,47 @@ def parse(html: str) -> list[tuple[str, int, int, int]]:
     return parser.blocks
 
 
-def content(blocks: list[tuple[str, int, int, int]]) -> np.ndarray:
-    """Which blocks are content: smoothed ratios, split at the middle of two means."""
+def content(blocks: list[tuple[str, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Which blocks are content by their smoothed ratios, split at the middle of two means,
+    and which have such a ratio of their own."""
     ratios = np.array([max(len(t) - linked, 0) / max(tags, 1) for t, tags, linked, _ in blocks], dtype=float)
     reach = int(np.ceil(3 * SIGMA))
     weights = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
-    around = np.convolve(np.ones(len(ratios)), weights, "same")[: len(ratios)] if len(ratios) >= len(weights) else None
-    if around is None:
+    if len(ratios) >= len(weights):
+        smooth = np.convolve(ratios, weights, "same") / np.convolve(np.ones(len(ratios)), weights, "same")
+    else:
         near = np.exp(-0.5 * ((np.arange(len(ratios))[:, None] - np.arange(len(ratios))[None, :]) / SIGMA) ** 2)
         smooth = near @ ratios / near.sum(1)
-    else:
-        smooth = np.convolve(ratios, weights, "same") / around
     low, high = smooth.min(), smooth.max()
     if high < 2 * low + 1:
-        return np.ones(len(ratios), dtype=bool)
+        return np.ones(len(ratios), dtype=bool), np.ones(len(ratios), dtype=bool)
     for _ in range(50):
         upper = smooth > (low + high) / 2
         new = smooth[~upper].mean(), smooth[upper].mean()
         if new == (low, high):
             break
         low, high = new
-    return smooth > (low + high) / 2
+    return smooth > (low + high) / 2, ratios > (low + high) / 2
+
+
+def regions(chosen: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """Chosen blocks with those near them that have the ratio of content, and all between."""
+    keep = np.zeros(len(chosen), dtype=bool)
+    at = np.flatnonzero(chosen | own)
+    for part in np.split(at, np.flatnonzero(np.diff(at) > GAP + 1) + 1):
+        if chosen[part].any():
+            keep[part[0] : part[-1] + 1] = True
+    return keep
+
+
+def menus(blocks: list[tuple[str, int, int, int]], chosen: np.ndarray) -> np.ndarray:
+    """Runs of blocks that are links and not chosen."""
+    links = ~chosen & np.array([linked >= LINKED * len(t) for t, _, linked, _ in blocks])
+    at = np.flatnonzero(links)
+    runs = np.split(at, np.flatnonzero(np.diff(at) > 1) + 1)
+    found = np.zeros(len(blocks), dtype=bool)
+    found[np.concatenate([run for run in runs if len(run) >= MENU] or [at[:0]])] = True
+    return found
 
 
 def main_text(html: str) -> str:
@@ -182,17 +219,13 @@ def main_text(html: str) -> str:
     blocks = parse(html)
     if not blocks:
         return ""
-    chosen = content(blocks)
+    chosen, own = content(blocks)
     inside = np.array([c for *_, c in blocks])
     if (inside >= 0).any():
         held = set(inside[chosen & (inside >= 0)].tolist()) or set(inside[inside >= 0].tolist())
-        keep = np.isin(inside, list(held))
+        keep = np.isin(inside, list(held)) & ~menus(blocks, chosen)
     else:
-        at = np.flatnonzero(chosen)
-        keep = chosen.copy()
-        for a, b in zip(at, at[1:]):
-            if b - a <= GAP + 1:
-                keep[a:b] = True
+        keep = regions(chosen, own)
     return "\n".join(t for (t, *_), k in zip(blocks, keep) if k)
 
 
