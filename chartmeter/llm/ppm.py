@@ -49,12 +49,12 @@ def grams(word: bytes, order: int = ORDER) -> list[bytes]:
     return [s[max(0, j - order) : j + 1] for j in range(1, len(s))]
 
 
-def text_grams(text: bytes, order: int = ORDER) -> np.ndarray:
+def text_grams(words: list[bytes], order: int = ORDER) -> np.ndarray:
     """Every symbol of a text's words and marks after the ``order`` bytes before it, which may
     lie in earlier words (before the text, starts), as big-endian numbers."""
     if order > 6:
         raise ValueError("an order of 6 at most")
-    s = START * order + b"".join(w + WORD_END for w in text.lower().split()) + TEXT_END
+    s = START * order + WORD_END.join([*words, TEXT_END])
     a = np.frombuffer(s, dtype=np.uint8).astype(np.int64)
     n = len(a) - order
     out = a[:n].copy()
@@ -64,37 +64,67 @@ def text_grams(text: bytes, order: int = ORDER) -> np.ndarray:
     return out
 
 
-def count_text_grams(df: DataFrame, order: int = ORDER) -> DataFrame:
-    """``key, uses, c``: texts (``text, held_out``) that hold the gram, and how often training ones do."""
+def split_words(text: bytes) -> list[bytes]:
+    return text.lower().split()
+
+
+def count_texts(df: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
+    """Words (``word, n, c``) and grams (``key, uses, c``) of whole texts (``text, held_out``),
+    from one pass over them and one shuffle.
+
+    ``n`` counts a word in all texts and ``uses`` the texts that hold a gram; ``c`` counts
+    either in training texts.
+    """
 
     def run(batches):
         import pyarrow.compute  # noqa: F401
 
-        held, size = [], 0
+        held, size, words, learnt = [], 0, Counter(), Counter()
         for piece in slices(batches, "text"):
             for text, out in zip(texts(piece, "text"), piece.column("held_out").to_pylist()):
-                keys, times = np.unique(text_grams(text, order), return_counts=True)
+                own = split_words(text)
+                words.update(own)
+                if not out:
+                    learnt.update(own)
+                keys, times = np.unique(text_grams(own, order), return_counts=True)
                 held.append((keys, np.ones_like(keys), np.zeros_like(keys) if out else times))
                 size += len(keys)
                 if size > 8 * _FLUSH:
                     held = [merged(held)]
                     size = len(held[0][0])
                     if size > 4 * _FLUSH:
-                        yield batch(held.pop())
+                        yield gram_rows(held.pop())
                         size = 0
+            if len(words) > _FLUSH:
+                yield word_rows(words, learnt)
         if held:
-            yield batch(merged(held))
+            yield gram_rows(merged(held))
+        if words:
+            yield word_rows(words, learnt)
 
     def merged(held):
-        keys, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
-        sums = [np.bincount(at, np.concatenate([h[k] for h in held]), len(keys)).astype(np.int64) for k in (1, 2)]
-        return keys, *sums
+        keys, *counts = (np.concatenate(column) for column in zip(*held))
+        at = np.argsort(keys)
+        keys = keys[at]
+        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+        return keys[first], *(np.add.reduceat(count[at], first) for count in counts)
 
-    def batch(columns):
-        return pa.record_batch([pa.array(x) for x in columns], ["key", "uses", "c"])
+    def gram_rows(columns):
+        keys, uses, c = map(pa.array, columns)
+        return pa.record_batch([keys, pa.nulls(len(keys), pa.binary()), uses, c], names)
 
-    found = df.select("text", "held_out").mapInArrow(run, "key long, uses long, c long")
-    return found.groupBy("key").agg(F.sum("uses").alias("uses"), F.sum("c").alias("c"))
+    def word_rows(words, learnt):
+        own = list(words)
+        n, c = pa.array(words.values(), pa.int64()), pa.array([learnt[w] for w in own], pa.int64())
+        words.clear()
+        learnt.clear()
+        return pa.record_batch([pa.nulls(len(own), pa.int64()), pa.array(own, pa.binary()), n, c], names)
+
+    names = ["key", "word", "n", "c"]
+    found = df.select("text", "held_out").mapInArrow(run, "key long, word binary, n long, c long")
+    counted = stage(found.groupBy("key", "word").agg(F.sum("n").alias("n"), F.sum("c").alias("c")), "counts")
+    grams_of = counted.where("key IS NOT NULL").select("key", F.col("n").alias("uses"), "c")
+    return counted.where("word IS NOT NULL").select("word", "n", "c"), grams_of
 
 
 def _counted(df: DataFrame, count, names: tuple[str, ...], key: str, text: str = "text") -> DataFrame:
@@ -127,7 +157,7 @@ def count_words(df: DataFrame) -> DataFrame:
 
     def count(batch, totals):
         for text, out in zip(texts(batch, "text"), batch.column("held_out").to_pylist()):
-            totals[0 if out else 1].update(text.lower().split())
+            totals[0 if out else 1].update(split_words(text))
 
     return _counted(df, count, ("h", "c"), "word").select("word", (F.col("h") + F.col("c")).alias("n"), "c")
 
@@ -158,12 +188,16 @@ def trie(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
     length = F.length("gram")
     context, symbol = F.substring("gram", F.lit(1), length - 1), F.substring("gram", length, F.lit(1))
     seen = counted.where("c > 0").select(context.alias("whole"), symbol.alias("symbol"), "c")
-    cut = F.explode(F.sequence(F.lit(0), F.length("whole")))
+    # A gram's whole context ends no other gram's, as it is of full length or begins with the
+    # only start: its counts are there already.
+    cut = F.explode(F.sequence(F.lit(1), F.length("whole")))
     symbols = stage(
-        seen.select("symbol", "c", "whole", cut.alias("k"))
+        seen.where(F.length("whole") > 0)
+        .select("symbol", "c", "whole", cut.alias("k"))
         .select(F.substring("whole", F.col("k") + 1, F.length("whole")).alias("context"), "symbol", "c")
         .groupBy("context", "symbol")
-        .agg(F.sum("c").alias("n")),
+        .agg(F.sum("c").alias("n"))
+        .unionByName(seen.select(F.col("whole").alias("context"), "symbol", F.col("c").alias("n"))),
         "trie",
     )
     shorter = F.substring("context", F.lit(2), F.length("context"))
@@ -214,13 +248,21 @@ def _log_probability(steps: Column) -> Column:
     return let(F.sort_array(steps), walk)
 
 
-def gram_lengths(asked: DataFrame, symbols: DataFrame, contexts: DataFrame) -> DataFrame:
-    """``gram, p``: log10 of the probability of the symbol in its context, for every gram."""
+def gram_lengths(counted: DataFrame, symbols: DataFrame, contexts: DataFrame) -> DataFrame:
+    """``gram, uses, p``: log10 of the probability of the symbol in its context, for every
+    counted gram (``gram, uses, c``).
+
+    A gram of the training texts is coded in its whole context, so one look-up is enough; the
+    others go down their contexts.
+    """
     length = F.length("gram")
-    steps = asked.select("gram", F.substring("gram", F.lit(1), length - 1).alias("whole"), F.substring("gram", length, F.lit(1)).alias("symbol")).select(
-        "gram", "symbol", "whole", F.explode(F.sequence(F.lit(0), F.length("whole"))).alias("k")
+    whole, symbol = F.substring("gram", F.lit(1), length - 1), F.substring("gram", length, F.lit(1))
+    learnt = counted.where("c > 0").select("gram", "uses", "c", whole.alias("context")).join(contexts, "context")
+    direct = learnt.select("gram", "uses", F.log10(F.col("c") / (F.col("t") + F.col("u"))).alias("p"))
+    steps = counted.where("c = 0").select("gram", "uses", whole.alias("whole"), symbol.alias("symbol")).select(
+        "gram", "uses", "symbol", "whole", F.explode(F.sequence(F.lit(0), F.length("whole"))).alias("k")
     )
-    steps = steps.select("gram", "symbol", "k", F.substring("whole", F.length("whole") - F.col("k") + 1, F.length("whole")).alias("context"))
+    steps = steps.select("gram", "uses", "symbol", "k", F.substring("whole", F.length("whole") - F.col("k") + 1, F.length("whole")).alias("context"))
 
     def looked_up(rows: DataFrame, which: Column, hint) -> DataFrame:
         by_symbol, by_context = symbols.where(which), contexts.where(which)
@@ -232,13 +274,14 @@ def gram_lengths(asked: DataFrame, symbols: DataFrame, contexts: DataFrame) -> D
         looked_up(steps.where("k > 1"), ~short, lambda x: x)
     )
     step = F.struct("k", "n", "t", "u", "d", "e")
-    return found.groupBy("gram").agg(F.collect_list(step).alias("steps")).select("gram", _log_probability(F.col("steps")).alias("p"))
+    walked = found.groupBy("gram").agg(F.max("uses").alias("uses"), F.collect_list(step).alias("steps"))
+    return direct.unionByName(walked.select("gram", "uses", _log_probability(F.col("steps")).alias("p")))
 
 
 def summed(df: DataFrame, split, text: str, carried: list[str], table: DataFrame, key: str, uses: str, values: list[str], far: DataFrame | None = None, order: int = ORDER) -> DataFrame:
     """``carried`` columns of every row of ``df``, with the sums of the table's ``values``
-    over the keys that ``split(text)`` counts (each occurrence adds), and as ``p`` those over
-    the text's grams in ``far`` (``key, uses, p``) if there is one.
+    over the keys that ``split(text)`` lists (each occurrence adds), and as ``p`` those over
+    the grams of these words in ``far`` (``key, uses, p``) if there is one.
 
     Frequent keys, at most ``FREQUENT``, are sent to all tasks; the others are joined. A row
     is known by its task and place, which the written table holds on to.
@@ -256,10 +299,10 @@ def summed(df: DataFrame, split, text: str, carried: list[str], table: DataFrame
         at = np.argsort(keys)
         grams_sent = df.sparkSession.sparkContext.broadcast((keys[at], lengths[at]))
 
-    def of_grams(data):
+    def of_grams(words):
         """The sum over the frequent grams, and the others with their times."""
         known, lengths = grams_sent.value
-        keys, times = np.unique(text_grams(data, order), return_counts=True)
+        keys, times = np.unique(text_grams(words, order), return_counts=True)
         hit = np.zeros(len(keys), dtype=bool)
         total = 0.0
         if len(known):
@@ -275,7 +318,8 @@ def summed(df: DataFrame, split, text: str, carried: list[str], table: DataFrame
             ids, sums, rare, far_sums, far_rare = [], [[] for _ in values], [], [], []
             for data in texts(batch, text):
                 own, left = [0.0] * width, []
-                for item, times in split(data).items():
+                items = split(data)
+                for item, times in Counter(items).items():
                     known = frequent.get(item)
                     if known is None:
                         left.append({"key": item, "times": times})
@@ -288,7 +332,7 @@ def summed(df: DataFrame, split, text: str, carried: list[str], table: DataFrame
                     sums[k].append(own[k])
                 rare.append(left)
                 if grams_sent is not None:
-                    total, others = of_grams(data)
+                    total, others = of_grams(items)
                     far_sums.append(total)
                     far_rare.append(others)
             more, more_names = [], []
@@ -328,20 +372,19 @@ def word_lengths(words: DataFrame, order: int = ORDER, documents: int = 0) -> tu
         "grams",
     )
     symbols, contexts = trie(counted)
-    known = stage(counted.select("gram", "uses").join(gram_lengths(counted, symbols, contexts), "gram"), "lengths")
+    known = stage(gram_lengths(counted, symbols, contexts), "lengths")
     p_end = known.where(F.col("gram") == F.lit(end)).select("p").first()[0]
-    scored = summed(words, lambda w: Counter(grams(w, order)), "word", ["word", "n", "c"], known, "gram", "uses", ["p"])
+    scored = summed(words, lambda w: grams(w, order), "word", ["word", "n", "c"], known, "gram", "uses", ["p"])
     return stage(scored, "words"), p_end
 
 
-def text_gram_lengths(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """``key, uses, p`` of all grams of the whole texts, learnt from the training ones."""
-    counted = stage(count_text_grams(docs, order), "grams")
+def text_gram_lengths(counted: DataFrame, order: int = ORDER) -> DataFrame:
+    """``key, uses, p`` of all counted grams (``key, uses, c``) of whole texts."""
     gram = F.unhex(F.lpad(F.hex("key"), 2 * (order + 1), "0")).alias("gram")
     named = counted.select(gram, "uses", "c")
     symbols, contexts = trie(named)
     key = F.conv(F.hex("gram"), 16, 10).cast("long").alias("key")
-    return stage(named.join(gram_lengths(named, symbols, contexts), "gram").select(key, "uses", "p"), "lengths")
+    return stage(gram_lengths(named, symbols, contexts).select(key, "uses", "p"), "lengths")
 
 
 def language_scores(
@@ -361,12 +404,15 @@ def language_scores(
     is empty and has the end mark alone. With ``across`` contexts run over the words' starts.
     """
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out(doc_id, modulus, remainder).alias("held_out"))
-    words = stage(count_words(docs), "word-counts")
+    if across:
+        words, counted = count_texts(docs, order)
+    else:
+        words = stage(count_words(docs), "word-counts")
     n_docs = docs.where("NOT held_out").count()
     sums = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     n, v = sums[0] + n_docs, sums[1] + (n_docs > 0)
     if across:
-        lengths, p_end, far = words, 0.0, text_gram_lengths(docs, order)
+        lengths, p_end, far = words, 0.0, text_gram_lengths(counted, order)
     else:
         (lengths, p_end), far = word_lengths(words, order, n_docs), None
 
@@ -374,7 +420,7 @@ def language_scores(
         return F.log10((count + 1) / F.lit(float(n + v + 1)))
 
     table = lengths.select("word", "n", F.lit(1.0).alias("tokens"), (F.col("c") > 0).cast("double").alias("known"), base(F.col("c")).alias("base"), *([] if across else ["p"]))
-    found = summed(docs, lambda t: Counter(t.lower().split()), "text", ["doc_id", "held_out"], table, "word", "n", ["tokens", "known", "base", *([] if across else ["p"])], far, order)
+    found = summed(docs, split_words, "text", ["doc_id", "held_out"], table, "word", "n", ["tokens", "known", "base", *([] if across else ["p"])], far, order)
     return found.select(
         "doc_id",
         "held_out",
