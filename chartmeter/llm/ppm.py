@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -68,57 +69,64 @@ def split_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def _summed_runs(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, ascending, each with the sum of its counts."""
+    at = np.argsort(keys)
+    keys = keys[at]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(counts[at], first)
+
+
 def count_texts(df: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
     """Words (``word, n, c``) and grams (``key, uses, c``) of whole texts (``text, held_out``),
     from one pass over them and one shuffle.
 
-    ``n`` counts a word in all texts and ``uses`` the texts that hold a gram; ``c`` counts
-    either in training texts.
+    ``n`` and ``uses`` count a word or gram in all texts, ``c`` in training ones.
     """
 
     def run(batches):
         import pyarrow.compute  # noqa: F401
 
-        held, size, words, learnt = [], 0, Counter(), Counter()
+        raw, size, held, words = [], 0, None, (Counter(), Counter())
         for piece in slices(batches, "text"):
             for text, out in zip(texts(piece, "text"), piece.column("held_out").to_pylist()):
                 own = split_words(text)
-                words.update(own)
-                if not out:
-                    learnt.update(own)
-                keys, times = np.unique(text_grams(own, order), return_counts=True)
-                held.append((keys, np.ones_like(keys), np.zeros_like(keys) if out else times))
-                size += len(keys)
-                if size > 8 * _FLUSH:
-                    held = [merged(held)]
-                    size = len(held[0][0])
-                    if size > 4 * _FLUSH:
-                        yield gram_rows(held.pop())
-                        size = 0
-            if len(words) > _FLUSH:
-                yield word_rows(words, learnt)
-        if held:
-            yield gram_rows(merged(held))
-        if words:
-            yield word_rows(words, learnt)
-
-    def merged(held):
-        keys, *counts = (np.concatenate(column) for column in zip(*held))
-        at = np.argsort(keys)
-        keys = keys[at]
-        first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-        return keys[first], *(np.add.reduceat(count[at], first) for count in counts)
-
-    def gram_rows(columns):
-        keys, uses, c = map(pa.array, columns)
-        return pa.record_batch([keys, pa.nulls(len(keys), pa.binary()), uses, c], names)
-
-    def word_rows(words, learnt):
-        own = list(words)
-        n, c = pa.array(words.values(), pa.int64()), pa.array([learnt[w] for w in own], pa.int64())
-        words.clear()
+                words[out].update(own)
+                raw.append((text_grams(own, order) << 1) | out)
+                size += len(raw[-1])
+                if size > 16 * _FLUSH:
+                    held = compacted(raw, held)
+                    raw, size = [], 0
+                    if len(held[0]) > 8 * _FLUSH:
+                        yield gram_rows(*held)
+                        held = None
+            if max(map(len, words)) > _FLUSH:
+                yield word_rows(*words)
+        if raw or held is not None:
+            yield gram_rows(*compacted(raw, held))
+        if any(words):
+            yield word_rows(*words)
+
+    def compacted(raw, held):
+        if not raw:
+            return held
+        codes, counts = np.unique(np.concatenate(raw), return_counts=True)
+        if held is None:
+            return codes, counts
+        return _summed_runs(np.concatenate((held[0], codes)), np.concatenate((held[1], counts)))
+
+    def gram_rows(codes, counts):
+        learnt = pa.array(np.where(codes & 1, 0, counts))
+        return pa.record_batch([pa.array(codes >> 1), pa.nulls(len(codes), pa.binary()), pa.array(counts), learnt], names)
+
+    def word_rows(learnt, others):
+        own = list(learnt.keys() | others.keys())
+        c = [learnt[w] for w in own]
+        n = [x + others[w] for x, w in zip(c, own)]
         learnt.clear()
-        return pa.record_batch([pa.nulls(len(own), pa.int64()), pa.array(own, pa.binary()), n, c], names)
+        others.clear()
+        columns = [pa.nulls(len(own), pa.int64()), pa.array(own, pa.binary()), pa.array(n, pa.int64()), pa.array(c, pa.int64())]
+        return pa.record_batch(columns, names)
 
     names = ["key", "word", "n", "c"]
     found = df.select("text", "held_out").mapInArrow(run, "key long, word binary, n long, c long")
@@ -127,6 +135,38 @@ def count_texts(df: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame
     return counted.where("word IS NOT NULL").select("word", "n", "c"), grams_of
 
 
+#: An odd number whose multiples are spread evenly.
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram_table(keys: np.ndarray, values: np.ndarray) -> tuple:
+    """Grams with a number each, for ``find_grams``: in the order of their spread keys, behind a
+    directory of the first bits of these, so that a look-up reads one entry or a few."""
+    spread = keys.astype(np.uint64) * _SPREAD
+    at = np.argsort(spread)
+    bits = max(1, len(keys)).bit_length()
+    spread, shift = spread[at], 64 - bits
+    sizes = np.bincount((spread >> np.uint64(shift)).astype(np.int64), minlength=1 << bits)
+    return spread, values[at], shift, np.append(0, np.cumsum(sizes)).astype(np.int32)
+
+
+def find_grams(table: tuple, keys: np.ndarray) -> np.ndarray:
+    """Where in the table's values the grams' numbers stand; -1 for grams that are not there."""
+    entries, _, shift, first = table
+    spread = keys.astype(np.uint64) * _SPREAD
+    slot = (spread >> np.uint64(shift)).astype(np.int64)
+    at, end = first[slot], first[slot + 1]
+    place = np.full(len(keys), -1, dtype=np.int32)
+    left = np.flatnonzero(at < end)
+    while len(left):
+        now = at[left]
+        hit = entries[now] == spread[left]
+        place[left[hit]] = now[hit]
+        at[left] += 1
+        left = left[~hit & (at[left] < end[left])]
+    return place
+
+
 def _counted(df: DataFrame, count, names: tuple[str, ...], key: str, text: str = "text") -> DataFrame:
     """``key`` and the sums of ``names``, over what ``count(batch)`` adds to its counters."""
 
@@ -288,60 +328,52 @@ def summed(df: DataFrame, split, text: str, carried: list[str], table: DataFrame
     """
     total = table.agg(F.sum(uses)).first()[0] or 0
     often = table.where(F.col(uses) * FREQUENT > total).select(key, *values).toArrow()
-    columns = [often[v].to_pylist() for v in values]
-    sent = df.sparkSession.sparkContext.broadcast(dict(zip(often[key].to_pylist(), zip(*columns))))
-    width = len(values)
+    numbers = np.array([often[v].to_numpy() for v in values], dtype=np.float64).reshape(len(values), -1).T
+    sent = df.sparkSession.sparkContext.broadcast(({k: n for n, k in enumerate(often[key].to_pylist())}, numbers))
     grams_sent = None
     if far is not None:
         all_of = far.agg(F.sum("uses")).first()[0] or 0
         some = far.where(F.col("uses") * FREQUENT_GRAMS > all_of).select("key", "p").toArrow()
-        keys, lengths = some["key"].to_numpy(), some["p"].to_numpy()
-        at = np.argsort(keys)
-        grams_sent = df.sparkSession.sparkContext.broadcast((keys[at], lengths[at]))
+        grams_sent = df.sparkSession.sparkContext.broadcast(gram_table(some["key"].to_numpy(), some["p"].to_numpy()))
 
     def of_grams(words):
         """The sum over the frequent grams, and the others with their times."""
-        known, lengths = grams_sent.value
-        keys, times = np.unique(text_grams(words, order), return_counts=True)
-        hit = np.zeros(len(keys), dtype=bool)
-        total = 0.0
-        if len(known):
-            at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-            hit = known[at] == keys
-            total = float((times[hit] * lengths[at[hit]]).sum())
-        return total, [{"key": k, "times": n} for k, n in zip(keys[~hit].tolist(), times[~hit].tolist())]
+        keys = text_grams(words, order)
+        at = find_grams(grams_sent.value, keys)
+        known = at >= 0
+        return float(grams_sent.value[1][at[known]].sum()), np.unique(keys[~known], return_counts=True)
 
     def task():
-        frequent, at = sent.value, [TaskContext.get().partitionId() << 36]
+        (frequent, numbers), at = sent.value, [TaskContext.get().partitionId() << 36]
+
+        def listed(parts: list, key_type: pa.DataType) -> pa.ListArray:
+            ends = np.cumsum([0] + [len(keys) for keys, _ in parts], dtype=np.int32)
+            keys = pa.concat_arrays([pa.array(keys, key_type) for keys, _ in parts] or [pa.array([], key_type)])
+            times = pa.concat_arrays([pa.array(times, pa.int64()) for _, times in parts] or [pa.array([], pa.int64())])
+            return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([keys, times], ["key", "times"]))
 
         def rows(batch: pa.RecordBatch) -> pa.RecordBatch:
-            ids, sums, rare, far_sums, far_rare = [], [[] for _ in values], [], [], []
+            sums, rare, far_sums, far_rare = [], [], [], []
             for data in texts(batch, text):
-                own, left = [0.0] * width, []
                 items = split(data)
-                for item, times in Counter(items).items():
-                    known = frequent.get(item)
-                    if known is None:
-                        left.append({"key": item, "times": times})
-                    else:
-                        for k in range(width):
-                            own[k] += times * known[k]
-                ids.append(at[0])
-                at[0] += 1
-                for k in range(width):
-                    sums[k].append(own[k])
-                rare.append(left)
+                counts = Counter(items)
+                known = np.fromiter(map(frequent.get, counts, repeat(-1)), np.int64, len(counts))
+                times = np.fromiter(counts.values(), np.int64, len(counts))
+                hit = known >= 0
+                sums.append(times[hit] @ numbers[known[hit]])
+                rare.append((list(compress(counts, ~hit)), times[~hit]))
                 if grams_sent is not None:
                     total, others = of_grams(items)
                     far_sums.append(total)
                     far_rare.append(others)
+            ids = np.arange(at[0], at[0] + len(sums))
+            at[0] += len(sums)
             more, more_names = [], []
             if grams_sent is not None:
-                of = pa.list_(pa.struct([("key", pa.int64()), ("times", pa.int64())]))
-                more, more_names = [pa.array(far_sums, pa.float64()), pa.array(far_rare, of)], ["p", "_grams"]
-            kind = pa.list_(pa.struct([("key", pa.binary()), ("times", pa.int64())]))
+                more, more_names = [pa.array(far_sums, pa.float64()), listed(far_rare, pa.int64())], ["p", "_grams"]
+            columns = np.array(sums, dtype=np.float64).reshape(-1, len(values)).T
             return pa.record_batch(
-                [*(batch.column(c) for c in carried), pa.array(ids, pa.int64()), *(pa.array(s, pa.float64()) for s in sums), pa.array(rare, kind), *more],
+                [*(batch.column(c) for c in carried), pa.array(ids), *map(pa.array, columns), listed(rare, pa.binary()), *more],
                 [*carried, "_row", *values, "_rare", *more_names],
             )
 

@@ -518,6 +518,26 @@ def test_language_scores_by_brute_force(spark, frequent, monkeypatch):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2)
 
 
+def test_gram_table_finds_what_it_holds():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 1000):
+        keys = np.unique(rng.integers(0, 1 << 48, n))
+        table = ppm.gram_table(keys, keys * 0.5)
+        asked = np.concatenate((keys, keys + 1, rng.integers(0, 1 << 48, 50)))
+        at = ppm.find_grams(table, asked)
+        held = np.isin(asked, keys)
+        assert ((at >= 0) == held).all() and (table[1][at[held]] == asked[held] * 0.5).all()
+
+
+def test_language_scores_across_words_of_empty_and_repeated_rows(spark):
+    assert ppm.language_scores(spark.createDataFrame([], "doc_id long, text string"), across=True).count() == 0
+    rows = [(2, None, "x"), (2, "", "y"), (2, "a b", "z"), (2, "a b", "z"), (None, " ", "z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
+    found = sorted((r.doc_id or 0, r.n_tokens, r.train_tokens, round(r.score, 9)) for r in ppm.language_scores(df, across=True).collect())
+    assert [f[:3] for f in found] == [(0, 1, 9), (2, 1, 9), (2, 1, 9), (2, 3, 9), (2, 3, 9)]
+    assert found[0][3] == found[1][3] == found[2][3] and found[3] == found[4]
+
+
 @pytest.mark.parametrize("frequent", [ppm.FREQUENT_GRAMS, 40])
 def test_language_scores_across_words_by_brute_force(spark, frequent, monkeypatch):
     monkeypatch.setattr(ppm, "FREQUENT_GRAMS", frequent)
