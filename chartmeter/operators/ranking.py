@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chartmeter.operators.groups import Keys, as_list, measure_column
@@ -52,13 +52,8 @@ def topk_filter(
     known; null entities rank like any other.
     """
     keys = as_list(entity)
-    ranked = topk_groups(df, keys, k, fn, rank_by, asc, name="rank_value").select(
-        *[F.col(c).alias(f"top_{c}") for c in keys]
-    )
-    same = F.lit(True)
-    for c in keys:
-        same = same & F.col(c).eqNullSafe(F.col(f"top_{c}"))
-    return df.join(ranked, same, "left_semi")
+    ranked = topk_groups(df, keys, k, fn, rank_by, asc, name="rank_value")
+    return df.join(ranked.select(*_named(keys, "top")), _same(keys, "top"), "left_semi")
 
 
 def topk_show(
@@ -90,35 +85,35 @@ def argmax_per_group(
     groups_by: str = "count",
     group_measure: str | Column | None = None,
 ) -> DataFrame:
-    """The row with the highest measure in each group, ties by ``tie`` ascending.
+    """The row with the highest measure in each group, ties by ``tie`` and then the shown
+    columns, ascending.
 
     With ``top_groups`` only the groups with most rows are kept, or with the highest
-    ``groups_by`` (sum, avg, ...) of ``group_measure``. The best row is a partial
-    aggregate, so no group is gathered in one task.
+    ``groups_by`` (sum, avg, ...) of ``group_measure``. The highest measures are a hash
+    aggregate, and only rows that have them are put in order, one a group and task before
+    they move: no group is gathered in one task.
     """
     keys, shown = as_list(keys), as_list(show)
-    rows = _present(df, measure)
-    best = F.min(
-        F.struct(
-            (-F.col(measure)).alias("rank"),
-            F.col(tie).alias("tie"),
-            F.col(measure).alias("best"),
-            *[F.col(c) for c in shown],
-        )
-    )
+    rows = _present(df, measure).select(*dict.fromkeys([*keys, tie, measure, *shown]))
+    highest = rows.groupBy(*keys).agg(F.max(measure).alias("best_measure"))
     # groups rank by all their rows, whether or not the measure is present
-    found = rows.groupBy(*keys).agg(best.alias("best"))
     if top_groups is not None:
-        top = topk_groups(df, keys, top_groups, groups_by, group_measure).select(
-            *[F.col(c).alias(f"top_{c}") for c in keys]
-        )
-        same = F.lit(True)
-        for c in keys:
-            same = same & F.col(c).eqNullSafe(F.col(f"top_{c}"))
-        found = found.join(top, same, "left_semi")
-    return found.select(
-        *keys,
-        F.col("best.tie").alias(tie),
-        F.col("best.best").alias(measure),
-        *[F.col(f"best.{c}").alias(c) for c in shown],
-    )
+        top = topk_groups(df, keys, top_groups, groups_by, group_measure)
+        highest = highest.join(top.select(*_named(keys, "top")), _same(keys, "top"), "left_semi")
+    highest = highest.select(*_named(keys, "best"), "best_measure")
+    tied = rows.join(highest, _same(keys, "best") & (F.col(measure) == F.col("best_measure")), "left_semi")
+    order = Window.partitionBy(*keys).orderBy(*dict.fromkeys([tie, *shown]))
+    first = tied.withColumn("place", F.row_number().over(order)).where("place = 1")
+    return first.select(*keys, tie, measure, *shown)
+
+
+def _named(keys: list[str], side: str) -> list[Column]:
+    return [F.col(c).alias(f"{side}_{c}") for c in keys]
+
+
+def _same(keys: list[str], side: str) -> Column:
+    """Whether two sides have the same keys, nulls included."""
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"{side}_{c}"))
+    return same

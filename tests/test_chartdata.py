@@ -121,6 +121,10 @@ def test_best_row_per_group(cities, spark):
     assert got(argmax_per_group(cities, "state", "pop", "city", top_groups=1), "state") == [("CA",)]
     tied = spark.createDataFrame([("a", "y", 1), ("a", "x", 1)], "g string, k string, v int")
     assert got(argmax_per_group(tied, "g", "v", "k"), "k") == [("x",)]
+    rows = [(None, 2, "2020-01-02", "p"), (None, 1, "2020-01-02", "q"), (None, 1, "2020-01-02", "o"), ("a", 1, None, "p"), ("b", 3, "2019-01-01", "r")]
+    dates = spark.createDataFrame(rows, "g string, k int, d string, s string").withColumn("d", F.to_date("d"))
+    best = {r.g: (r.k, str(r.d), r.s) for r in argmax_per_group(dates, "g", "d", "k", "s").collect()}
+    assert best == {None: (1, "2020-01-02", "o"), "b": (3, "2019-01-01", "r")}
 
 
 def test_histogram(spark):

@@ -37,6 +37,13 @@ def test_groups_are_reduced_before_the_shuffle(spark):
         assert "partial_" in text.split("Exchange")[-1]
 
 
+def test_best_rows_are_found_without_sorting_all(spark):
+    for name in ("best_order_per_customer", "best_part_of_top_types", "best_part_of_top_types_by_price"):
+        text = plan(catalog.queries()[name](spark, SF_DIR))
+        assert "SortAggregate" not in text and "HashAggregate" in text
+        assert "WindowGroupLimit" in text and "Partial" in text
+
+
 def test_the_total_of_shares_reuses_the_shuffle(spark):
     df = catalog.queries()["share_of_flags"](spark, SF_DIR)
     df.collect()
