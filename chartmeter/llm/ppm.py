@@ -38,8 +38,9 @@ START, WORD_END, TEXT_END = b" ", b"\n", b"\r"  # none of them occurs in a word
 SYMBOLS = 256 - 6 + 2
 #: A key is frequent if it makes up more than 1 / FREQUENT of all; so many can be.
 FREQUENT = 1 << 18
-#: The same for the grams of whole texts, which are held as two arrays.
-FREQUENT_GRAMS = 1 << 22
+#: Of the grams of whole texts the most frequent are, which are held as arrays: so many at
+#: most, with 40 bytes each.
+FREQUENT_GRAMS = 1 << 20
 #: Different keys that a task counts before it hands the counts on.
 _FLUSH = 200_000
 
@@ -144,7 +145,7 @@ def gram_table(keys: np.ndarray, values: np.ndarray) -> tuple:
     directory of the first bits of these, so that a look-up reads one entry or a few."""
     spread = keys.astype(np.uint64) * _SPREAD
     at = np.argsort(spread)
-    bits = max(1, len(keys)).bit_length()
+    bits = len(keys).bit_length() + 1
     spread, shift = spread[at], 64 - bits
     sizes = np.bincount((spread >> np.uint64(shift)).astype(np.int64), minlength=1 << bits)
     return spread, values[at], shift, np.append(0, np.cumsum(sizes)).astype(np.int32)
@@ -318,6 +319,24 @@ def gram_lengths(counted: DataFrame, symbols: DataFrame, contexts: DataFrame) ->
     return direct.unionByName(walked.select("gram", "uses", _log_probability(F.col("steps")).alias("p")))
 
 
+def least_uses(far: DataFrame) -> int:
+    """Uses from which grams are frequent: the fewest that at most ``FREQUENT_GRAMS`` reach.
+
+    Found from a histogram with steps of an eighth of a power of two above 8.
+    """
+    uses = F.col("uses")
+    step = F.pow(F.lit(2.0), F.greatest(F.floor(F.log2("uses")) - 3, F.lit(0)))
+    lower = (F.floor(uses / step) * step).cast("long")
+    sizes = far.groupBy(lower.alias("lower")).agg(F.count("*").alias("n")).orderBy(F.desc("lower")).collect()
+    least, n = (sizes[0]["lower"] + (1 << 60) if sizes else 1), 0
+    for row in sizes:
+        n += row["n"]
+        if n > FREQUENT_GRAMS:
+            break
+        least = row["lower"]
+    return least
+
+
 def summed(df: DataFrame, split, text: str, carried: list[str], table: DataFrame, key: str, uses: str, values: list[str], far: DataFrame | None = None, order: int = ORDER) -> DataFrame:
     """``carried`` columns of every row of ``df``, with the sums of the table's ``values``
     over the keys that ``split(text)`` lists (each occurrence adds), and as ``p`` those over
@@ -332,16 +351,16 @@ def summed(df: DataFrame, split, text: str, carried: list[str], table: DataFrame
     sent = df.sparkSession.sparkContext.broadcast(({k: n for n, k in enumerate(often[key].to_pylist())}, numbers))
     grams_sent = None
     if far is not None:
-        all_of = far.agg(F.sum("uses")).first()[0] or 0
-        some = far.where(F.col("uses") * FREQUENT_GRAMS > all_of).select("key", "p").toArrow()
+        least = least_uses(far)
+        some = far.where(F.col("uses") >= least).select("key", "p").toArrow()
         grams_sent = df.sparkSession.sparkContext.broadcast(gram_table(some["key"].to_numpy(), some["p"].to_numpy()))
 
     def of_grams(words):
         """The sum over the frequent grams, and the others with their times."""
-        keys = text_grams(words, order)
+        keys, times = np.unique(text_grams(words, order), return_counts=True)
         at = find_grams(grams_sent.value, keys)
         known = at >= 0
-        return float(grams_sent.value[1][at[known]].sum()), np.unique(keys[~known], return_counts=True)
+        return float(times[known] @ grams_sent.value[1][at[known]]), (keys[~known], times[~known])
 
     def task():
         (frequent, numbers), at = sent.value, [TaskContext.get().partitionId() << 36]
@@ -388,7 +407,7 @@ def summed(df: DataFrame, split, text: str, carried: list[str], table: DataFrame
     joined = known.drop("_rare").join(more, "_row", "left")
     if far is not None:
         asked = known.select("_row", F.explode("_grams").alias("x")).select("_row", "x.key", "x.times")
-        rest = far.where(F.col("uses") * FREQUENT_GRAMS <= all_of).select("key", F.col("p").alias("q"))
+        rest = far.where(F.col("uses") < least).select("key", F.col("p").alias("q"))
         rest = asked.join(rest, "key").groupBy("_row").agg(F.sum(F.col("times") * F.col("q")).alias("_q"))
         joined = joined.drop("_grams").join(rest, "_row", "left").withColumn("p", F.col("p") + F.coalesce("_q", F.lit(0.0)))
         return joined.select(*carried, "p", *((F.col(v) + F.coalesce(f"_{v}", F.lit(0.0))).alias(v) for v in values))
