@@ -136,7 +136,11 @@ def values_match(golden: Column, predicted: Column) -> Column:
     Numbers agree to two decimals; a golden string only has to occur in the
     predicted one, ignoring case; anything else has to be equal.
     """
-    g, p = comparison_form(golden), comparison_form(predicted)
+    return forms_match(comparison_form(golden), comparison_form(predicted))
+
+
+def forms_match(g: Column, p: Column) -> Column:
+    """``values_match`` of values that are in their ``comparison_form`` already."""
     same_kind = g["kind"] == p["kind"]
     return (
         F.when(~same_kind, F.lit(False))
@@ -148,3 +152,58 @@ def values_match(golden: Column, predicted: Column) -> Column:
         .when(g["kind"] == "null", F.lit(True))
         .otherwise(g["str"] == p["str"])
     )
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def with_form(tag: Column) -> Column:
+    """A tagged value, computed once, and its ``comparison_form``: ``tag`` and ``form``."""
+    return let(tag, lambda t: F.struct(t.alias("tag"), comparison_form(t).alias("form")))
+
+
+def tagged_elements(others: Column) -> Column:
+    """``with_form`` of each of these VARIANTs."""
+
+    def one(x: Column) -> Column:
+        return with_form(let(F.schema_of_variant(x), lambda s: tag_variant(x, s)))
+
+    return F.transform(others, one)
+
+
+def flat_elements(v: Column, others: Column, longest: int) -> Column:
+    """What iterating over a VARIANT gives: ``size``, and ``flat`` if it is a plain array, that is
+    up to ``longest`` strings (``s``) or numbers that doubles hold exactly (``n``), in the form
+    values are compared in. ``alone`` tells whether they differ as they are written. ``others``
+    are the elements of what is no such array; NULL if there are none."""
+
+    def plain(array: Column, ok: Column, texts: Column, numbers: Column) -> Column:
+        size = F.size(array)
+        flat = F.when((size <= longest) & ok, F.struct(texts.alias("s"), numbers.alias("n")))
+        return F.struct(size.alias("size"), flat.alias("flat"), (F.size(F.array_distinct(array)) == size).alias("alone"))
+
+    def of_texts(texts: Column) -> Column:
+        none = F.lit(None).cast("array<double>")
+        return plain(texts, F.forall(texts, lambda s: s.isNotNull()), F.transform(texts, F.lower), none)
+
+    def of_numbers(numbers: Column) -> Column:
+        small = F.forall(numbers, lambda d: F.coalesce(F.abs(d) < _EXACT_FROM, F.lit(False)))
+        return plain(numbers, small, F.lit(None).cast("array<string>"), F.transform(numbers, round_cents))
+
+    def of_shape(shape: Column) -> Column:
+        numeric = shape.isin("ARRAY<BIGINT>", "ARRAY<DOUBLE>") | shape.startswith("ARRAY<DECIMAL(")
+        # adding 0.0 turns -0.0 into 0.0, which it equals
+        numbers = F.transform(F.try_variant_get(v, "$", "array<double>"), lambda d: d + F.lit(0.0))
+        size, none = F.size(others), F.lit(None)
+        other = F.struct(
+            size.alias("size"), none.cast("struct<s:array<string>,n:array<double>>").alias("flat"), F.lit(False).alias("alone")
+        )
+        return (
+            F.when(shape == "ARRAY<STRING>", let(F.try_variant_get(v, "$", "array<string>"), of_texts))
+            .when(numeric, let(numbers, of_numbers))
+            .otherwise(other)
+        )
+
+    return F.when(v.isNotNull(), let(F.schema_of_variant(v), of_shape))

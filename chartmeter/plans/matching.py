@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartmeter.functions.values import comparison_form, tag_variant, values_match
+from chartmeter.functions.values import comparison_form, forms_match, let, values_match
 from chartmeter.plans.figures import last_values
 from chartmeter.shared import broadcast_if_small, stage
 
@@ -74,72 +74,119 @@ def pairs_match_swapped(golden: DataFrame, predicted: DataFrame) -> DataFrame:
     return pairs_match(golden, swapped)
 
 
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.transform(F.array(value), body)[0]
+def _all(conditions: list[Column], start: Column) -> Column:
+    for condition in conditions:
+        start = start & condition
+    return start
 
 
-def _forms(zipped: Column, *names: str) -> Column:
-    """Points of a row in the form they are compared in; of a repeated key the last stays."""
+def points_in_row(*arrays: Column) -> Column:
+    """Points of short arrays that lie side by side in a row, as ``tagged_elements`` gives them:
+    structs of k and v (k1, k2, v of three arrays) in the form values are compared in. Of a
+    repeated key the last stays, keys being compared as they are written. NULL unless all
+    arrays are there."""
+    names = ["k", "v"] if len(arrays) == 2 else ["k1", "k2", "v"]
     keys = names[:-1]
 
-    def tagged(row: Column) -> Column:
-        return F.struct(*[tag_variant(row[name]).alias(name) for name in names])
-
     def kept(points: Column) -> Column:
         def last(point: Column, i: Column) -> Column:
-            same = F.lit(True)
             later = F.slice(points, i + 2, F.size(points))
             return ~F.exists(
-                later, lambda x: _all([x[key].eqNullSafe(point[key]) for key in keys], same)
+                later, lambda x: _all([x[key]["tag"].eqNullSafe(point[key]["tag"]) for key in keys], F.lit(True))
             )
 
-        return F.filter(points, last)
+        # equal keys have equal hashes, so only points with a repeated hash need to be looked at
+        hashes = F.transform(points, lambda x: F.xxhash64(*[x[key]["tag"] for key in keys]))
+        alone = F.size(F.array_distinct(hashes)) == F.size(points)
+        return F.when(alone, points).otherwise(F.filter(points, last))
+
+    n = F.least(*[F.size(array) for array in arrays])
+    rows = F.transform(
+        F.slice(arrays[0], 1, n),
+        lambda first, i: F.struct(
+            first.alias(names[0]), *[F.get(array, i).alias(name) for array, name in zip(arrays[1:], names[1:])]
+        ),
+    )
+    forms = F.transform(
+        let(rows, kept),
+        # keys of triples are compared as they are written
+        lambda x: F.struct(*[x[name]["form" if name in ("k", "v") else "tag"].alias(name) for name in names]),
+    )
+    return F.when(_all([array.isNotNull() for array in arrays], F.lit(True)), forms)
+
 
-    return _let(F.transform(zipped, tagged), kept)
+def flat_points(k: Column, v: Column) -> Column:
+    """``points_in_row`` of two plain arrays (``flat_elements``) of which the keys differ."""
+    none_num, none_str = F.lit(None).cast("double"), F.lit(None).cast("string")
 
+    def form(array: Column, i: Column) -> Column:
+        def value(kind: str, num: Column, text: Column) -> Column:
+            return F.struct(F.lit(kind).alias("kind"), num.alias("num"), text.alias("str"))
 
-def _all(conditions: list[Column], start: Column) -> Column:
-    for condition in conditions:
-        start = start & condition
-    return start
+        text = value("str", none_num, F.get(array["s"], i))
+        return F.when(array["s"].isNotNull(), text).otherwise(value("num", F.get(array["n"], i), none_str))
+
+    size = F.least(_flat_size(k), _flat_size(v))
+    places = F.when(size > 0, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
+    points = F.transform(places, lambda i: F.struct(form(k, i).alias("k"), form(v, i).alias("v")))
+    return F.when(k.isNotNull() & v.isNotNull(), points)
+
+
+def _flat_size(array: Column) -> Column:
+    return F.when(array["s"].isNotNull(), F.size(array["s"])).otherwise(F.size(array["n"]))
+
+
+def flat_match_in_row(gk: Column, gv: Column, pk: Column, pv: Column) -> Column:
+    """``pairs_match_in_row`` of plain arrays, keys and values of either side, without points."""
+
+    def met(g: Column, i: Column, p: Column, j: Column) -> Column:
+        inside = F.contains(F.get(p["s"], j), F.get(g["s"], i))
+        return F.coalesce(F.when(g["s"].isNotNull(), inside).otherwise(F.get(g["n"], i) == F.get(p["n"], j)), F.lit(False))
+
+    def compared(n: Column) -> Column:
+        def found(i: Column) -> Column:
+            return F.exists(F.sequence(F.lit(0), n["p"] - 1), lambda j: met(gk, i, pk, j) & met(gv, i, pv, j))
+
+        all_found = F.forall(F.sequence(F.lit(0), n["g"] - 1), found)
+        return F.when(n["g"] == 0, "T").when(n["p"] == 0, "F").when(all_found, "T").otherwise("F")
+
+    sizes = F.struct(
+        F.least(_flat_size(gk), _flat_size(gv)).alias("g"), F.least(_flat_size(pk), _flat_size(pv)).alias("p")
+    )
+    return let(sizes, compared)
 
 
 def _bad_keys(points: Column, *keys: str) -> Column:
-    return F.exists(points, lambda x: F.array_contains(F.array(*[x[key]["kind"] for key in keys]), "other"))
+    def bad(x: Column) -> Column:
+        found = F.lit(False)
+        for key in keys:
+            found = found | (x[key]["kind"] == "other")
+        return found
 
+    return F.exists(points, bad)
 
-def pairs_match_in_row(golden: Column, predicted: Column) -> Column:
-    """Outcome ``T``, ``F`` or ``E`` (a list as a key) of ``pairs_match`` for two short arrays
-    of (k, v) VARIANTs in one row. Tries all predicted points on each golden one."""
 
-    def compared(p: Column) -> Column:
-        def met(g: Column) -> Column:
-            return F.exists(
-                p["p"], lambda x: values_match(g["k"], x["k"]) & values_match(g["v"], x["v"])
-            )
+def pairs_match_in_row(golden: Column, predicted: Column) -> Column:
+    """Outcome ``T``, ``F`` or ``E`` (a list as a key) of ``pairs_match`` for the
+    ``points_in_row`` of both sides. Tries all predicted points on each golden one."""
 
-        bad = _bad_keys(p["g"], "k") | _bad_keys(p["p"], "k")
-        return F.when(bad, "E").when(F.forall(p["g"], met), "T").otherwise("F")
+    def met(g: Column) -> Column:
+        return F.exists(predicted, lambda x: forms_match(g["k"], x["k"]) & forms_match(g["v"], x["v"]))
 
-    sides = F.struct(_forms(golden, "k", "v").alias("g"), _forms(predicted, "k", "v").alias("p"))
-    return _let(sides, compared)
+    bad = _bad_keys(golden, "k") | _bad_keys(predicted, "k")
+    return F.when(bad, "E").when(F.forall(golden, met), "T").otherwise("F")
 
 
 def triples_match_in_row(golden: Column, predicted: Column) -> Column:
-    """The same for ``triples_match`` of (k1, k2, v) VARIANTs."""
-
-    def compared(p: Column) -> Column:
-        def same(g: Column, x: Column) -> Column:
-            return g["k1"].eqNullSafe(x["k1"]) & g["k2"].eqNullSafe(x["k2"]) & values_match(g["v"], x["v"])
+    """The same for ``triples_match``."""
 
-        bad = _bad_keys(p["g"], "k1", "k2") | _bad_keys(p["p"], "k1", "k2")
-        # keys are unique on either side, so equal numbers of them are the same ones
-        met = F.forall(p["g"], lambda g: F.exists(p["p"], lambda x: same(g, x)))
-        return F.when(bad, "E").when((F.size(p["g"]) == F.size(p["p"])) & met, "T").otherwise("F")
+    def same(g: Column, x: Column) -> Column:
+        return g["k1"].eqNullSafe(x["k1"]) & g["k2"].eqNullSafe(x["k2"]) & forms_match(g["v"], x["v"])
 
-    names = ("k1", "k2", "v")
-    return _let(F.struct(_forms(golden, *names).alias("g"), _forms(predicted, *names).alias("p")), compared)
+    bad = _bad_keys(golden, "k1", "k2") | _bad_keys(predicted, "k1", "k2")
+    # keys are unique on either side, so equal numbers of them are the same ones
+    met = F.forall(golden, lambda g: F.exists(predicted, lambda x: same(g, x)))
+    return F.when(bad, "E").when((F.size(golden) == F.size(predicted)) & met, "T").otherwise("F")
 
 
 def _compared(golden: DataFrame, predicted: DataFrame) -> DataFrame:

@@ -10,21 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartmeter.functions.values import canonical_json, round_cents
+from chartmeter.functions.values import canonical_json, flat_elements, let, round_cents, tagged_elements
 from chartmeter.plans.figures import (
-    FIGURE_KEYS,
     PAIRS,
     elements,
     explode_points,
     explode_triples,
     field,
     figure_records,
-    zipped,
 )
 from chartmeter.plans.matching import (
+    flat_match_in_row,
+    flat_points,
     pairs_match,
     pairs_match_in_row,
     pairs_match_swapped,
+    points_in_row,
     triples_match,
     triples_match_in_row,
 )
@@ -70,6 +71,13 @@ def with_source(facts: DataFrame) -> DataFrame:
     return facts.withColumn("source", F.expr(f"CASE g.is.type {kinds} END"))
 
 
+def _all_of(conditions: list[Column]) -> Column:
+    met = F.lit(True)
+    for condition in conditions:
+        met = met & condition
+    return met
+
+
 def _listed(*keys: str) -> Column:
     """Whether both records hold all these arrays."""
     listed = F.lit(True)
@@ -90,22 +98,76 @@ def _state(value: Column, shape: Column) -> Column:
 def _attribute(value: Column) -> Column:
     """Text that is equal for equal values, whatever they hold; NULL only where the key is
     missing."""
-    written = F.to_json(value)
-    # a string's JSON is canonical; only other values' tokens need to be looked at
-    return F.when(F.schema_of_variant(value) == "STRING", written).otherwise(canonical_json(written))
+    # a string is equal to no other value's JSON, which needs to have its tokens looked at
+    text = F.concat(F.lit('"'), F.try_variant_get(value, "$", "string"), F.lit('"'))
+    other = canonical_json(F.to_json(value))
+    return F.when(value.isNotNull(), F.when(F.schema_of_variant(value) == "STRING", text).otherwise(other))
 
 
 def describe(records: DataFrame, name: str) -> DataFrame:
     """Replace ``record`` by struct ``name``: what a verdict needs besides its points."""
     kept = [c for c in records.columns if c != "record"]
-    keys = [*_ARRAYS, *_ATTRIBUTES]
-    values = records.select(
-        *kept, *[field(F.col("record"), key).alias(f"_{key}") for key in keys]
-    )
-    shaped = values.withColumns({f"_{key}_shape": F.schema_of_variant(f"_{key}") for key in _ARRAYS})
-    has = F.struct(*[_state(F.col(f"_{key}"), F.col(f"_{key}_shape")).alias(key) for key in _ARRAYS])
-    attributes = F.struct(*[_attribute(F.col(f"_{key}")).alias(key) for key in _ATTRIBUTES])
-    return shaped.select(*kept, F.struct(has.alias("has"), attributes.alias("is")).alias(name))
+    return records.select(*kept, _described(F.col("record")).alias(name))
+
+
+def _described(record: Column) -> Column:
+    """``has``, the states of the arrays, and ``is``, the attributes, of a record. The
+    functions of an array or an attribute are spelled out once, for all of them."""
+
+    def state(value: Column) -> Column:
+        return F.when(value.isNull(), "none").otherwise(let(F.schema_of_variant(value), lambda s: _state(value, s)))
+
+    def all_of(keys: list[str], made) -> Column:
+        found = F.transform(F.array(*[field(record, key) for key in keys]), made)
+        return let(found, lambda all: F.struct(*[all[i].alias(key) for i, key in enumerate(keys)]))
+
+    return F.struct(all_of(_ARRAYS, state).alias("has"), all_of(_ATTRIBUTES, _attribute).alias("is"))
+
+
+def _short_points(records: DataFrame, name: str, turned: bool) -> DataFrame:
+    """Add struct ``name``: what the data of ``record`` is compared by inside a row. ``flat`` has
+    its plain arrays (``flat_elements``), by key; pairs of arrays that are not both plain, or
+    whose keys repeat, have points, also with axes exchanged if that is asked for (``turned``).
+    NULL where an array is longer than SHORT; ``size`` is the longest's."""
+    record = F.col("record")
+
+    def made(found: Column) -> Column:
+        def of(key: str) -> Column:
+            return found[_ARRAYS.index(key)]
+
+        def asked(k: str, v: str) -> Column:
+            plain = of(k)["flat"].isNotNull() & of(v)["flat"].isNotNull() & of(k)["alone"]
+            return ~F.coalesce(plain, F.lit(False)) & short(k, v)
+
+        def short(*keys: str) -> Column:
+            return _all_of([of(key)["size"] <= SHORT for key in keys])
+
+        def values(wanted: Column, *keys: str) -> Column:
+            return F.when(wanted, F.array(*[field(record, key) for key in keys]))
+
+        def points(n: int, wanted: list[Column]) -> Column:
+            """Spelled out once, as it is a large expression; NULL for those not wanted."""
+
+            def tagged(arrays: Column) -> Column:
+                all = F.transform(arrays, lambda v: tagged_elements(elements(v)))
+                return F.when(arrays.isNotNull(), let(all, lambda t: points_in_row(*[t[i] for i in range(n)])))
+
+            return F.transform(F.array(*wanted), tagged)
+
+        sides = [*PAIRS.values(), *([("y", "x")] if turned else [])]
+        triple = "lat", "lon", "z"
+        straight = points(2, [values(asked(k, v), k, v) for k, v in sides])
+        return F.struct(
+            F.greatest(*[of(key)["size"] for key in _ARRAYS]).alias("size"),
+            F.struct(*[of(key)["flat"].alias(key) for key in _ARRAYS]).alias("flat"),
+            let(straight, lambda made: F.struct(*[made[i].alias(name) for i, name in enumerate([*PAIRS, "yx"][: len(sides)])])).alias("pairs"),
+            points(3, [values(short(*triple), *triple)])[0].alias("map"),
+        )
+
+    # one expression that is not made into code: as code it is too long to be compiled
+    arrays = F.array(*[field(record, key) for key in _ARRAYS])
+    found = F.transform(arrays, lambda v: flat_elements(v, elements(v), SHORT))
+    return records.withColumn(name, let(found, made))
 
 
 def type_match() -> Column:
@@ -182,9 +244,7 @@ def score_records(
         kept = predictions.select("run_id", "uuid", "status", "record", F.lit(None).cast("string").alias("told"))
         each, answers = _by_answer(cases, kept)
         return _score_runs(each, goldens, answers, strict)
-    answers = predictions.withColumn("golden", F.col("uuid"))
-    cases = cases.select("uuid", F.col("uuid").alias("golden"), F.struct("*").alias("case"))
-    return _score(cases, goldens, answers, strict)
+    return _score(cases.select("uuid", F.struct("*").alias("case")), goldens, predictions, strict)
 
 
 def _score_runs(each: DataFrame, goldens: DataFrame, answers: DataFrame, strict: bool) -> DataFrame:
@@ -197,22 +257,26 @@ def _score_runs(each: DataFrame, goldens: DataFrame, answers: DataFrame, strict:
 
 
 def _score(cases: DataFrame, goldens: DataFrame, answers: DataFrame, strict: bool) -> DataFrame:
-    """Scores of cases (uuid, golden, case): ``golden`` is the uuid among ``goldens``, ``uuid``
-    that among ``answers`` (uuid, golden, status, record), of which each is compared once."""
-    # read and parsed once; what follows goes over the stored records several times
-    kept = F.map_filter("record", lambda key, _: key.isin(*FIGURE_KEYS)).alias("record")
-    goldens = stage(goldens.select(F.col("uuid").alias("golden"), kept), "goldens", _FIGURES_PER_FILE)
-    answers = stage(answers.select("uuid", "golden", "status", kept), "answers", _FIGURES_PER_FILE)
-    _one_each(goldens, ["golden"], "golden")
+    """Scores of cases (uuid, case): ``uuid`` is that among ``answers`` (uuid, status, record), of
+    which each is compared once, and that among ``goldens`` unless a column ``golden`` names it."""
+    # read, parsed and put in the form of comparison once; what follows goes over the stored rows
+    # several times. The arrays themselves are read again where they are long only.
+    name = "golden" if "golden" in cases.columns else "uuid"
+    arrays = F.map_filter("record", lambda key, _: key.isin(*_ARRAYS))
+    described = _described(F.col("record"))
+    known = goldens.select(F.col("uuid").alias(name), F.col("record").isNotNull().alias("golden_ok"), described.alias("g"), "record")
+    given = answers.select("uuid", "status", described.alias("p"), "record")
+    goldens = stage(_short_points(known, "g_points", False).withColumn("record", arrays), "goldens", _FIGURES_PER_FILE)
+    answers = stage(_short_points(given, "p_points", True).withColumn("record", arrays), "answers", _FIGURES_PER_FILE)
+    _one_each(goldens, [name], "golden")
     _one_each(answers, ["uuid"], "prediction")
-    known = describe(goldens.withColumn("golden_ok", F.col("record").isNotNull()), "g")
-    given = describe(answers.drop("golden"), "p")
-    facts = with_source(cases.join(known, "golden", "left").join(given, "uuid", "left"))
-    facts = facts.join(_in_rows(goldens, answers), "uuid", "left")
-    facts = stage(facts, "facts")
+    facts = cases.join(goldens.drop("record"), name, "left").join(answers.drop("record"), "uuid", "left")
+    facts = facts if name == "golden" else facts.withColumn("golden", F.col("uuid"))
+    facts = stage(_in_rows(with_source(facts)), "facts")
     long = stage(_usable(facts).where("not short").select("uuid", "golden", "source", "g", "p").distinct(), "long")
     if not long.isEmpty():
-        for outcomes, pairs in _by_points(long, goldens, answers):
+        goldens = goldens.select(F.col(name).alias("golden"), "record")
+        for outcomes, pairs in _by_points(long, goldens, answers.select("uuid", "record")):
             facts = _with_outcomes(facts, outcomes, pairs)
     return stage(_verdicts(facts, strict), "scored")
 
@@ -222,43 +286,42 @@ def _usable(facts: DataFrame) -> DataFrame:
     return facts.where((F.col("status") == "ok") & F.col("golden_ok"))
 
 
-def _in_rows(goldens: DataFrame, answers: DataFrame) -> DataFrame:
-    """Outcomes of all comparisons of data for answers where all arrays are short, which needs
-    no points: both records meet in one row. ``short`` tells these answers."""
-
-    def arrays(records: DataFrame, side: str) -> DataFrame:
-        found = [elements(field(F.col("record"), key)).alias(f"{side}_{key}") for key in _ARRAYS]
-        return records.select(*records.columns[:-1], *found)
-
-    both = arrays(goldens, "g").join(arrays(answers.where("status = 'ok'").drop("status"), "p"), "golden")
-    sizes = [F.size(f"{side}_{key}") for side in "gp" for key in _ARRAYS]  # -1 for none
-    both = both.withColumn("short", F.greatest(*sizes) <= SHORT)
-
-    def points(side: str, keys: tuple[str, ...], names: list[str]) -> Column:
-        return zipped(*[f"{side}_{key}" for key in keys], names=names)
+def _in_rows(facts: DataFrame) -> DataFrame:
+    """Replace ``g_points`` and ``p_points`` by the outcomes of all comparisons of data for
+    answers where all arrays are short. ``short`` tells these answers."""
+    g, p = F.col("g_points"), F.col("p_points")
+    facts = facts.withColumn("short", F.greatest(g["size"], p["size"]) <= SHORT)
 
-    def side_by_side(pair: str, golden: tuple[str, ...], predicted: tuple[str, ...]) -> Column:
-        g, p = points("g", golden, ["k", "v"]), points("p", predicted, ["k", "v"])
-        return F.struct(F.lit(pair).alias("pair"), g.alias("g"), p.alias("p"))
+    def sides(golden: tuple[str, str], predicted: tuple[str, str], pair: str) -> Column:
+        arrays = {"gk": g["flat"][golden[0]], "gv": g["flat"][golden[1]], "pk": p["flat"][predicted[0]], "pv": p["flat"][predicted[1]]}
+        points = {"g": g["pairs"]["xy" if pair == "yx" else pair], "p": p["pairs"][pair]}
+        return F.struct(*[column.alias(name) for name, column in (arrays | points).items()])
 
-    def outcomes(compared: Column) -> Column:
+    def outcomes(compared: list[Column]) -> Column:
         """The comparison is spelled out once, for all pairs: it is a large expression."""
 
         def one(c: Column) -> Column:
-            usable = F.col("short") & c["g"].isNotNull() & c["p"].isNotNull()
-            return F.when(usable, pairs_match_in_row(c["g"], c["p"]))
-
-        return F.transform(compared, one)
-
-    straight = F.array(*[side_by_side(pair, keys, keys) for pair, keys in PAIRS.items()])
-    both = both.withColumn("straight", outcomes(straight))
-    data = {f"data_{pair}": F.col("straight")[i] for i, pair in enumerate(PAIRS)}
-    turned = outcomes(F.array(side_by_side("yx", ("x", "y"), ("y", "x"))))[0]
-    data["data_yx"] = F.when(data["data_xy"].eqNullSafe(F.lit("T")), F.lit(None)).otherwise(turned)
-    triple, names = ("lat", "lon", "z"), ["k1", "k2", "v"]
-    g, p = points("g", triple, names), points("p", triple, names)
-    data["data_map"] = F.when(F.col("short") & g.isNotNull() & p.isNotNull(), triples_match_in_row(g, p))
-    return both.select("uuid", "short", *[column.alias(name) for name, column in data.items()])
+            plain = F.lit(True)
+            for name in ("gk", "gv", "pk", "pv"):
+                plain = plain & c[name].isNotNull()
+            golden = F.coalesce(c["g"], flat_points(c["gk"], c["gv"]))
+            predicted = F.coalesce(c["p"], flat_points(c["pk"], c["pv"]))
+            general = let(
+                F.struct(golden.alias("g"), predicted.alias("p")),
+                lambda x: F.when(x["g"].isNotNull() & x["p"].isNotNull(), pairs_match_in_row(x["g"], x["p"])),
+            )
+            plain = plain & c["g"].isNull() & c["p"].isNull()
+            return F.when(plain, flat_match_in_row(c["gk"], c["gv"], c["pk"], c["pv"])).when(F.col("short"), general)
+
+        return F.transform(F.array(*compared), one)
+
+    facts = facts.withColumn("straight", outcomes([sides(keys, keys, pair) for pair, keys in PAIRS.items()]))
+    data = {f"data_{pair}": F.when(F.col("short"), F.col("straight")[i]) for i, pair in enumerate(PAIRS)}
+    turned = F.when(F.col("short"), outcomes([sides(("x", "y"), ("y", "x"), "yx")])[0])
+    data["data_yx"] = F.when(~F.col("straight")[0].eqNullSafe(F.lit("T")), turned)
+    both = F.col("short") & g["map"].isNotNull() & p["map"].isNotNull()
+    data["data_map"] = F.when(both, triples_match_in_row(g["map"], p["map"]))
+    return facts.withColumns(data).drop("g_points", "p_points", "straight")
 
 
 def _by_points(long: DataFrame, goldens: DataFrame, answers: DataFrame):

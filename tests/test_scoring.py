@@ -232,3 +232,36 @@ def test_runs_of_records_and_repeated_cases(spark, inputs):
     assert score_records(cases, goldens, runs.limit(0)).count() == 0
     with pytest.raises(ValueError, match="2 predictions for same"):
         score_records(cases, goldens, runs.unionByName(runs.where("uuid = 'same' and run_id = 'b'")))
+
+
+def test_plain_arrays_are_compared_without_points(spark, monkeypatch):
+    """Described and put in the form of comparison as they are stored; odd arrays have the
+    verdicts of long ones."""
+    from chartmeter.plans import scoring
+
+    x = ['["a", "B", "a"]', '[0.0, -0.0e0, 1]', "[NaN, 1, 2]", "[9007199254740993, 1, 2]", '["a", null, 3]',
+         "[null, true, 2.675]", '["ab", "b", ""]', "[]", '"abc"', "[1e3, 2, 3.001]", '[[1], 2, 3]', "[3, 1, 2]"]
+    rows = [
+        (f"{i} {j}", *['{"data": [{"type": "bar", "x": %s, "y": %s, "xaxis": "x", "yaxis": "y"}]}' % side for side in sides])
+        for i, a in enumerate(x)
+        for j, b in enumerate(x)
+        for sides in [((a, x[-1]), (b, x[-1])), ((a, x[(i + 4) % 12]), (x[(i + 4) % 12], b))][(i + j) % 2 :][:1]
+    ]
+    df = spark.createDataFrame(rows, "uuid string, golden string, figure_json string").repartition(2)
+    cases = df.select("uuid", F.lit(WITH).alias("complexity"))
+    goldens = figure_records(df.select("uuid", "golden"), "golden").select("uuid", "record")
+    kept = {}
+
+    def seen(df, name, *args):
+        kept[name] = stage(df, name, *args)
+        return kept[name]
+
+    def verdicts(short):
+        monkeypatch.setattr(scoring, "SHORT", short)
+        return {r.uuid: (r.reason, r.vacuous) for r in score_cases(cases, goldens, df.select("uuid", "figure_json")).collect()}
+
+    monkeypatch.setattr(scoring, "stage", seen)
+    found = verdicts(32)
+    points = kept["goldens"].where("uuid = '11 11'").first()["g_points"]
+    assert points["flat"]["x"]["n"] == [3.0, 1.0, 2.0] and points["pairs"]["xy"] is None
+    assert found == verdicts(0) and len(set(found.values())) > 2
