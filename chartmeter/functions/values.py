@@ -173,37 +173,43 @@ def tagged_elements(others: Column) -> Column:
     return F.transform(others, one)
 
 
-def flat_elements(v: Column, others: Column, longest: int) -> Column:
-    """What iterating over a VARIANT gives: ``size``, and ``flat`` if it is a plain array, that is
-    up to ``longest`` strings (``s``) or numbers that doubles hold exactly (``n``), in the form
-    values are compared in. ``alone`` tells whether they differ as they are written. ``others``
-    are the elements of what is no such array; NULL if there are none."""
+def plain_elements(v: Column, shape: Column) -> Column:
+    """Elements of a VARIANT of this ``shape`` that is an array of texts (``s``) or of numbers
+    (``n``) only; NULL for any other."""
+    texts = F.when(shape == "ARRAY<STRING>", F.try_variant_get(v, "$", "array<string>"))
+    numbers = F.when(_all_numbers(shape), F.try_variant_get(v, "$", "array<double>"))
+    # adding 0.0 turns -0.0 into 0.0, which it equals
+    both = F.struct(texts.alias("s"), F.transform(numbers, lambda d: d + F.lit(0.0)).alias("n"))
+    return F.when((shape == "ARRAY<STRING>") | _all_numbers(shape), both)
 
-    def plain(array: Column, ok: Column, texts: Column, numbers: Column) -> Column:
+
+def _all_numbers(shape: Column) -> Column:
+    return shape.isin("ARRAY<BIGINT>", "ARRAY<DOUBLE>") | shape.startswith("ARRAY<DECIMAL(")
+
+
+def flat_elements(plain: Column, v: Column, shape: Column, others: Column, longest: int) -> Column:
+    """What iterating over a VARIANT gives: ``size``, and ``flat`` if it is a plain array
+    (``plain_elements``), that is up to ``longest`` strings (``s``) or numbers that doubles hold
+    exactly (``n``), in the form values are compared in. ``alone`` tells whether they differ as
+    they are written. ``others`` are the elements of what is no such array; NULL if there are none."""
+
+    def made(array: Column, ok: Column, texts: Column, numbers: Column) -> Column:
         size = F.size(array)
         flat = F.when((size <= longest) & ok, F.struct(texts.alias("s"), numbers.alias("n")))
         return F.struct(size.alias("size"), flat.alias("flat"), (F.size(F.array_distinct(array)) == size).alias("alone"))
 
-    def of_texts(texts: Column) -> Column:
-        none = F.lit(None).cast("array<double>")
-        return plain(texts, F.forall(texts, lambda s: s.isNotNull()), F.transform(texts, F.lower), none)
-
-    def of_numbers(numbers: Column) -> Column:
-        small = F.forall(numbers, lambda d: F.coalesce(F.abs(d) < _EXACT_FROM, F.lit(False)))
-        return plain(numbers, small, F.lit(None).cast("array<string>"), F.transform(numbers, round_cents))
-
-    def of_shape(shape: Column) -> Column:
-        numeric = shape.isin("ARRAY<BIGINT>", "ARRAY<DOUBLE>") | shape.startswith("ARRAY<DECIMAL(")
-        # adding 0.0 turns -0.0 into 0.0, which it equals
-        numbers = F.transform(F.try_variant_get(v, "$", "array<double>"), lambda d: d + F.lit(0.0))
-        size, none = F.size(others), F.lit(None)
-        other = F.struct(
-            size.alias("size"), none.cast("struct<s:array<string>,n:array<double>>").alias("flat"), F.lit(False).alias("alone")
-        )
-        return (
-            F.when(shape == "ARRAY<STRING>", let(F.try_variant_get(v, "$", "array<string>"), of_texts))
-            .when(numeric, let(numbers, of_numbers))
-            .otherwise(other)
-        )
-
-    return F.when(v.isNotNull(), let(F.schema_of_variant(v), of_shape))
+    texts, numbers, none = plain["s"], plain["n"], F.lit(None)
+    small = F.forall(numbers, lambda d: F.coalesce(F.abs(d) < _EXACT_FROM, F.lit(False)))
+    # whole numbers, and decimals of up to two places, are what they would be rounded to
+    cents = (shape == "ARRAY<BIGINT>") | shape.endswith(",0)>") | shape.endswith(",1)>") | shape.endswith(",2)>")
+    rounded = F.when(cents, numbers).otherwise(F.transform(numbers, round_cents))
+    other = F.struct(
+        F.size(others).alias("size"), none.cast("struct<s:array<string>,n:array<double>>").alias("flat"), F.lit(False).alias("alone")
+    )
+    all_there = F.forall(texts, lambda s: s.isNotNull())
+    return F.when(
+        v.isNotNull(),
+        F.when(shape == "ARRAY<STRING>", made(texts, all_there, F.transform(texts, F.lower), none.cast("array<double>")))
+        .when(_all_numbers(shape), made(numbers, small, none.cast("array<string>"), rounded))
+        .otherwise(other),
+    )

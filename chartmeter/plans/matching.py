@@ -143,17 +143,21 @@ def flat_match_in_row(gk: Column, gv: Column, pk: Column, pv: Column) -> Column:
         inside = F.contains(F.get(p["s"], j), F.get(g["s"], i))
         return F.coalesce(F.when(g["s"].isNotNull(), inside).otherwise(F.get(g["n"], i) == F.get(p["n"], j)), F.lit(False))
 
-    def compared(n: Column) -> Column:
+    def tried(n: Column) -> Column:
         def found(i: Column) -> Column:
             return F.exists(F.sequence(F.lit(0), n["p"] - 1), lambda j: met(gk, i, pk, j) & met(gv, i, pv, j))
 
-        all_found = F.forall(F.sequence(F.lit(0), n["g"] - 1), found)
-        return F.when(n["g"] == 0, "T").when(n["p"] == 0, "F").when(all_found, "T").otherwise("F")
+        return F.when(F.forall(F.sequence(F.lit(0), n["g"] - 1), found), "T").otherwise("F")
 
-    sizes = F.struct(
-        F.least(_flat_size(gk), _flat_size(gv)).alias("g"), F.least(_flat_size(pk), _flat_size(pv)).alias("p")
+    n_golden, n_predicted = F.least(_flat_size(gk), _flat_size(gv)), F.least(_flat_size(pk), _flat_size(pv))
+    # most are settled as wholes: equal arrays match, texts and numbers never do
+    same = gk.eqNullSafe(pk) & gv.eqNullSafe(pv)
+    alike = (gk["s"].isNull() == pk["s"].isNull()) & (gv["s"].isNull() == pv["s"].isNull())
+    return (
+        F.when((n_golden == 0) | same, "T")
+        .when((n_predicted == 0) | ~alike, "F")
+        .otherwise(let(F.struct(n_golden.alias("g"), n_predicted.alias("p")), tried))
     )
-    return let(sizes, compared)
 
 
 def _bad_keys(points: Column, *keys: str) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartmeter.functions.values import canonical_json, flat_elements, let, round_cents, tagged_elements
+from chartmeter.functions.values import canonical_json, flat_elements, let, plain_elements, round_cents, tagged_elements
 from chartmeter.plans.figures import (
     PAIRS,
     elements,
@@ -95,79 +95,100 @@ def _state(value: Column, shape: Column) -> Column:
     )
 
 
-def _attribute(value: Column) -> Column:
+def _attribute(value: Column, shape: Column) -> Column:
     """Text that is equal for equal values, whatever they hold; NULL only where the key is
     missing."""
     # a string is equal to no other value's JSON, which needs to have its tokens looked at
     text = F.concat(F.lit('"'), F.try_variant_get(value, "$", "string"), F.lit('"'))
     other = canonical_json(F.to_json(value))
-    return F.when(value.isNotNull(), F.when(F.schema_of_variant(value) == "STRING", text).otherwise(other))
+    return F.when(value.isNotNull(), F.when(shape == "STRING", text).otherwise(other))
 
 
-def describe(records: DataFrame, name: str) -> DataFrame:
-    """Replace ``record`` by struct ``name``: what a verdict needs besides its points."""
-    kept = [c for c in records.columns if c != "record"]
-    return records.select(*kept, _described(F.col("record")).alias(name))
+def _value(key: str) -> Column:
+    """Value of a key of a row's record, once ``_laid_out`` has been called."""
+    return F.col(f"_value_{key}")
+
+
+def _shape(key: str) -> Column:
+    return F.col(f"_shape_{key}")
+
 
+def _laid_out(records: DataFrame) -> DataFrame:
+    """Add the values of ``record`` that a verdict needs and their shapes, in columns of their
+    own: each is worked out once, and by compiled code, which what is inside the functions of
+    arrays is not."""
+    keys = [*_ARRAYS, *_ATTRIBUTES]
+    records = records.withColumns({f"_value_{key}": field(F.col("record"), key) for key in keys})
+    return records.withColumns({f"_shape_{key}": F.schema_of_variant(_value(key)) for key in keys})
 
-def _described(record: Column) -> Column:
-    """``has``, the states of the arrays, and ``is``, the attributes, of a record. The
-    functions of an array or an attribute are spelled out once, for all of them."""
 
-    def state(value: Column) -> Column:
-        return F.when(value.isNull(), "none").otherwise(let(F.schema_of_variant(value), lambda s: _state(value, s)))
+def _without(records: DataFrame) -> DataFrame:
+    """Drop the columns that were added on the way."""
+    return records.select(*[c for c in records.columns if not c.startswith(("_value_", "_shape_", "_plain_", "_flat_", "_points_"))])
+
+
+def describe(records: DataFrame, name: str) -> DataFrame:
+    """Replace ``record`` by struct ``name``: what a verdict needs besides its points."""
+    return _without(_laid_out(records).withColumn(name, _described())).drop("record")
 
-    def all_of(keys: list[str], made) -> Column:
-        found = F.transform(F.array(*[field(record, key) for key in keys]), made)
-        return let(found, lambda all: F.struct(*[all[i].alias(key) for i, key in enumerate(keys)]))
 
-    return F.struct(all_of(_ARRAYS, state).alias("has"), all_of(_ATTRIBUTES, _attribute).alias("is"))
+def _described() -> Column:
+    """``has``, the states of the arrays, and ``is``, the attributes, of a record."""
+    has = F.struct(*[_state(_value(key), _shape(key)).alias(key) for key in _ARRAYS])
+    attributes = F.struct(*[_attribute(_value(key), _shape(key)).alias(key) for key in _ATTRIBUTES])
+    return F.struct(has.alias("has"), attributes.alias("is"))
 
 
 def _short_points(records: DataFrame, name: str, turned: bool) -> DataFrame:
-    """Add struct ``name``: what the data of ``record`` is compared by inside a row. ``flat`` has
-    its plain arrays (``flat_elements``), by key; pairs of arrays that are not both plain, or
-    whose keys repeat, have points, also with axes exchanged if that is asked for (``turned``).
-    NULL where an array is longer than SHORT; ``size`` is the longest's."""
-    record = F.col("record")
+    """Add struct ``name``: what the data of ``record`` (``_laid_out``) is compared by inside a
+    row. ``flat`` has its plain arrays (``flat_elements``), by key; pairs of arrays that are not
+    both plain, or whose keys repeat, have points, also with axes exchanged if that is asked for
+    (``turned``). NULL where an array is longer than SHORT; ``size`` is the longest's."""
 
-    def made(found: Column) -> Column:
-        def of(key: str) -> Column:
-            return found[_ARRAYS.index(key)]
+    def of(key: str) -> Column:
+        return F.col(f"_flat_{key}")
 
-        def asked(k: str, v: str) -> Column:
-            plain = of(k)["flat"].isNotNull() & of(v)["flat"].isNotNull() & of(k)["alone"]
-            return ~F.coalesce(plain, F.lit(False)) & short(k, v)
+    def asked(k: str, v: str) -> Column:
+        plain = of(k)["flat"].isNotNull() & of(v)["flat"].isNotNull() & of(k)["alone"]
+        return ~F.coalesce(plain, F.lit(False)) & short(k, v)
 
-        def short(*keys: str) -> Column:
-            return _all_of([of(key)["size"] <= SHORT for key in keys])
+    def short(*keys: str) -> Column:
+        return _all_of([of(key)["size"] <= SHORT for key in keys])
 
-        def values(wanted: Column, *keys: str) -> Column:
-            return F.when(wanted, F.array(*[field(record, key) for key in keys]))
+    def values(wanted: Column, *keys: str) -> Column:
+        return F.when(wanted, F.array(*map(_value, keys)))
 
-        def points(n: int, wanted: list[Column]) -> Column:
-            """Spelled out once, as it is a large expression; NULL for those not wanted."""
+    def points(n: int, wanted: list[Column]) -> Column:
+        """Spelled out once, as it is a large expression; NULL for those not wanted."""
 
-            def tagged(arrays: Column) -> Column:
-                all = F.transform(arrays, lambda v: tagged_elements(elements(v)))
-                return F.when(arrays.isNotNull(), let(all, lambda t: points_in_row(*[t[i] for i in range(n)])))
+        def tagged(arrays: Column) -> Column:
+            all = F.transform(arrays, lambda v: tagged_elements(elements(v)))
+            return F.when(arrays.isNotNull(), let(all, lambda t: points_in_row(*[t[i] for i in range(n)])))
 
-            return F.transform(F.array(*wanted), tagged)
+        return F.transform(F.array(*wanted), tagged)
 
-        sides = [*PAIRS.values(), *([("y", "x")] if turned else [])]
-        triple = "lat", "lon", "z"
-        straight = points(2, [values(asked(k, v), k, v) for k, v in sides])
-        return F.struct(
+    sides = [*PAIRS.values(), *([("y", "x")] if turned else [])]
+    names = [*PAIRS, "yx"][: len(sides)]
+    triple = "lat", "lon", "z"
+    records = records.withColumns({f"_plain_{key}": plain_elements(_value(key), _shape(key)) for key in _ARRAYS})
+    records = records.withColumns(
+        {f"_flat_{key}": flat_elements(F.col(f"_plain_{key}"), _value(key), _shape(key), elements(_value(key)), SHORT) for key in _ARRAYS}
+    )
+    straight, maps = F.col("_points_straight"), F.col("_points_map")
+    return records.withColumns(
+        {
+            "_points_straight": points(2, [values(asked(k, v), k, v) for k, v in sides]),
+            "_points_map": points(3, [values(short(*triple), *triple)]),
+        }
+    ).withColumn(
+        name,
+        F.struct(
             F.greatest(*[of(key)["size"] for key in _ARRAYS]).alias("size"),
             F.struct(*[of(key)["flat"].alias(key) for key in _ARRAYS]).alias("flat"),
-            let(straight, lambda made: F.struct(*[made[i].alias(name) for i, name in enumerate([*PAIRS, "yx"][: len(sides)])])).alias("pairs"),
-            points(3, [values(short(*triple), *triple)])[0].alias("map"),
-        )
-
-    # one expression that is not made into code: as code it is too long to be compiled
-    arrays = F.array(*[field(record, key) for key in _ARRAYS])
-    found = F.transform(arrays, lambda v: flat_elements(v, elements(v), SHORT))
-    return records.withColumn(name, let(found, made))
+            F.struct(*[straight[i].alias(pair) for i, pair in enumerate(names)]).alias("pairs"),
+            maps[0].alias("map"),
+        ),
+    )
 
 
 def type_match() -> Column:
@@ -262,12 +283,15 @@ def _score(cases: DataFrame, goldens: DataFrame, answers: DataFrame, strict: boo
     # read, parsed and put in the form of comparison once; what follows goes over the stored rows
     # several times. The arrays themselves are read again where they are long only.
     name = "golden" if "golden" in cases.columns else "uuid"
-    arrays = F.map_filter("record", lambda key, _: key.isin(*_ARRAYS))
-    described = _described(F.col("record"))
-    known = goldens.select(F.col("uuid").alias(name), F.col("record").isNotNull().alias("golden_ok"), described.alias("g"), "record")
-    given = answers.select("uuid", "status", described.alias("p"), "record")
-    goldens = stage(_short_points(known, "g_points", False).withColumn("record", arrays), "goldens", _FIGURES_PER_FILE)
-    answers = stage(_short_points(given, "p_points", True).withColumn("record", arrays), "answers", _FIGURES_PER_FILE)
+    def prepared(records: DataFrame, side: str) -> DataFrame:
+        arrays = F.map_filter("record", lambda key, _: key.isin(*_ARRAYS))
+        points = _short_points(_laid_out(records).withColumn(side, _described()), f"{side}_points", side == "p")
+        return _without(points.withColumn("record", arrays))
+
+    known = goldens.select(F.col("uuid").alias(name), F.col("record").isNotNull().alias("golden_ok"), "record")
+    given = answers.select("uuid", "status", "record")
+    goldens = stage(prepared(known, "g"), "goldens", _FIGURES_PER_FILE)
+    answers = stage(prepared(given, "p"), "answers", _FIGURES_PER_FILE)
     _one_each(goldens, [name], "golden")
     _one_each(answers, ["uuid"], "prediction")
     facts = cases.join(goldens.drop("record"), name, "left").join(answers.drop("record"), "uuid", "left")
@@ -292,36 +316,51 @@ def _in_rows(facts: DataFrame) -> DataFrame:
     g, p = F.col("g_points"), F.col("p_points")
     facts = facts.withColumn("short", F.greatest(g["size"], p["size"]) <= SHORT)
 
-    def sides(golden: tuple[str, str], predicted: tuple[str, str], pair: str) -> Column:
-        arrays = {"gk": g["flat"][golden[0]], "gv": g["flat"][golden[1]], "pk": p["flat"][predicted[0]], "pv": p["flat"][predicted[1]]}
-        points = {"g": g["pairs"]["xy" if pair == "yx" else pair], "p": p["pairs"][pair]}
-        return F.struct(*[column.alias(name) for name, column in (arrays | points).items()])
+    def arrays(golden: tuple[str, str], predicted: tuple[str, str]) -> list[Column]:
+        return [g["flat"][golden[0]], g["flat"][golden[1]], p["flat"][predicted[0]], p["flat"][predicted[1]]]
+
+    def points(pair: str) -> tuple[Column, Column]:
+        return g["pairs"]["xy" if pair == "yx" else pair], p["pairs"][pair]
+
+    def plain(pair: str, *sides: tuple[str, str]) -> Column:
+        """Outcome of arrays that are all plain; NULL for others."""
+        mine, theirs = points(pair)
+        found = [array.isNotNull() for array in arrays(*sides)]
+        return F.when(_all_of([*found, mine.isNull(), theirs.isNull()]), flat_match_in_row(*arrays(*sides)))
+
+    def asked(pair: str, *sides: tuple[str, str]) -> Column:
+        """What arrays with others among them are compared by; NULL where a side has none."""
+        mine, theirs = points(pair)
+        gk, gv, pk, pv = arrays(*sides)
+        there = (mine.isNotNull() | (gk.isNotNull() & gv.isNotNull())) & (theirs.isNotNull() | (pk.isNotNull() & pv.isNotNull()))
+        columns = {"gk": gk, "gv": gv, "pk": pk, "pv": pv, "g": mine, "p": theirs}
+        wanted = F.col("short") & there & F.col(f"plain_{pair}").isNull()
+        return F.when(wanted, F.struct(*[column.alias(name) for name, column in columns.items()]))
 
     def outcomes(compared: list[Column]) -> Column:
         """The comparison is spelled out once, for all pairs: it is a large expression."""
 
         def one(c: Column) -> Column:
-            plain = F.lit(True)
-            for name in ("gk", "gv", "pk", "pv"):
-                plain = plain & c[name].isNotNull()
             golden = F.coalesce(c["g"], flat_points(c["gk"], c["gv"]))
             predicted = F.coalesce(c["p"], flat_points(c["pk"], c["pv"]))
-            general = let(
-                F.struct(golden.alias("g"), predicted.alias("p")),
-                lambda x: F.when(x["g"].isNotNull() & x["p"].isNotNull(), pairs_match_in_row(x["g"], x["p"])),
-            )
-            plain = plain & c["g"].isNull() & c["p"].isNull()
-            return F.when(plain, flat_match_in_row(c["gk"], c["gv"], c["pk"], c["pv"])).when(F.col("short"), general)
+            general = let(F.struct(golden.alias("g"), predicted.alias("p")), lambda x: pairs_match_in_row(x["g"], x["p"]))
+            return F.when(c.isNotNull(), general)
 
         return F.transform(F.array(*compared), one)
 
-    facts = facts.withColumn("straight", outcomes([sides(keys, keys, pair) for pair, keys in PAIRS.items()]))
-    data = {f"data_{pair}": F.when(F.col("short"), F.col("straight")[i]) for i, pair in enumerate(PAIRS)}
-    turned = F.when(F.col("short"), outcomes([sides(("x", "y"), ("y", "x"), "yx")])[0])
-    data["data_yx"] = F.when(~F.col("straight")[0].eqNullSafe(F.lit("T")), turned)
+    turned = "yx", ("x", "y"), ("y", "x")
+    facts = facts.withColumns({f"plain_{pair}": plain(pair, keys, keys) for pair, keys in PAIRS.items()})
+    facts = facts.withColumn("general", outcomes([asked(pair, keys, keys) for pair, keys in PAIRS.items()]))
+    found = {pair: F.coalesce(f"plain_{pair}", F.col("general")[i]) for i, pair in enumerate(PAIRS)}
+    data = {f"data_{pair}": F.when(F.col("short"), outcome) for pair, outcome in found.items()}
+    facts = facts.withColumns(data)
+    again = F.col("short") & ~F.col("data_xy").eqNullSafe(F.lit("T"))
+    facts = facts.withColumn("plain_yx", F.when(again, plain(*turned)))
+    data = {"data_yx": F.when(again, F.coalesce("plain_yx", outcomes([F.when(again, asked(*turned))])[0]))}
     both = F.col("short") & g["map"].isNotNull() & p["map"].isNotNull()
     data["data_map"] = F.when(both, triples_match_in_row(g["map"], p["map"]))
-    return facts.withColumns(data).drop("g_points", "p_points", "straight")
+    facts = facts.withColumns(data).drop("g_points", "p_points", "general", "plain_yx")
+    return facts.drop(*[f"plain_{pair}" for pair in PAIRS])
 
 
 def _by_points(long: DataFrame, goldens: DataFrame, answers: DataFrame):

@@ -265,3 +265,45 @@ def test_plain_arrays_are_compared_without_points(spark, monkeypatch):
     points = kept["goldens"].where("uuid = '11 11'").first()["g_points"]
     assert points["flat"]["x"]["n"] == [3.0, 1.0, 2.0] and points["pairs"]["xy"] is None
     assert found == verdicts(0) and len(set(found.values())) > 2
+
+
+def test_shapes_are_found_by_compiled_code(spark):
+    # functions of arrays are interpreted: a value's shape must not be looked up inside of one
+    from chartmeter.plans import figure_records
+    from chartmeter.plans.scoring import describe
+
+    figures = spark.createDataFrame([("a", '{"data": [{"type": "bar", "x": [1]}]}')], "uuid string, figure_json string")
+    described = describe(figure_records(figures, "figure_json"), "g")
+    assert described.columns == ["uuid", "status", "g"]
+    assert "schema_of_variant(" in str(described._jdf.queryExecution().analyzed())
+    assert "schema_of_variant(lambda" not in str(described._jdf.queryExecution().analyzed())
+
+
+@pytest.mark.parametrize(
+    "golden, predicted, outcome",
+    [
+        ('{"x": [1, 2], "y": [3.25, 4]}', '{"x": [1, 2], "y": [3.25, 4]}', None),
+        ('{"x": [1, 2], "y": [3.25, 4]}', '{"x": [2, 1], "y": [4, 3.25]}', None),
+        ('{"x": [1, 2], "y": [3.25, 4]}', '{"x": [1, 2], "y": [3.251, 4.004]}', None),
+        ('{"x": [1, 2], "y": [3.25, 4]}', '{"x": [1, 2], "y": [3.26, 4]}', "data_mismatch"),
+        ('{"x": [-0.0, 2], "y": [0, 4]}', '{"x": [0, 2], "y": [-0.0, 4]}', None),
+        ('{"x": ["a", "b"], "y": [1, 2]}', '{"x": ["A", "xbx"], "y": [1, 2]}', None),
+        ('{"x": ["a", "b"], "y": [1, 2]}', '{"x": [1, 2], "y": ["a", "b"]}', None),
+        ('{"x": ["a", "b"], "y": [1, 2]}', '{"x": [1, 2], "y": [1, 2]}', "data_mismatch"),
+        ('{"x": [], "y": [1]}', '{"x": ["a"], "y": ["b"]}', None),
+        ('{"x": ["a"], "y": [1]}', '{"x": [], "y": []}', "data_mismatch"),
+        ('{"x": ["a", 1], "y": [1, 2]}', '{"x": [1, "a"], "y": [2, 1]}', None),
+        ('{"x": ["a", "a"], "y": [1, 2]}', '{"x": ["a"], "y": [2]}', None),
+    ],
+)
+def test_plain_arrays_settled_as_wholes(spark, golden, predicted, outcome):
+    from chartmeter.plans import figure_records, score_cases
+
+    def figure(arrays):
+        return '{"data": [{"type": "bar", "xaxis": "x", "yaxis": "y", ' + arrays[1:] + "]}"
+
+    cases = spark.createDataFrame([("a", "WithPlotType")], "uuid string, complexity string")
+    answers = spark.createDataFrame([("a", figure(predicted))], "uuid string, figure_json string")
+    goldens = spark.createDataFrame([("a", figure(golden))], "uuid string, figure_json string")
+    goldens = figure_records(goldens, "figure_json").select("uuid", "record")
+    assert [row.reason for row in score_cases(cases, goldens, answers).collect()] == [outcome]
