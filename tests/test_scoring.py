@@ -269,7 +269,6 @@ def test_plain_arrays_are_compared_without_points(spark, monkeypatch):
 
 def test_shapes_are_found_by_compiled_code(spark):
     # functions of arrays are interpreted: a value's shape must not be looked up inside of one
-    from chartmeter.plans import figure_records
     from chartmeter.plans.scoring import describe
 
     figures = spark.createDataFrame([("a", '{"data": [{"type": "bar", "x": [1]}]}')], "uuid string, figure_json string")
@@ -279,9 +278,8 @@ def test_shapes_are_found_by_compiled_code(spark):
     assert "schema_of_variant(lambda" not in str(described._jdf.queryExecution().analyzed())
 
 
-@pytest.mark.parametrize(
-    "golden, predicted, outcome",
-    [
+def test_plain_arrays_settled_as_wholes(spark):
+    said = [
         ('{"x": [1, 2], "y": [3.25, 4]}', '{"x": [1, 2], "y": [3.25, 4]}', None),
         ('{"x": [1, 2], "y": [3.25, 4]}', '{"x": [2, 1], "y": [4, 3.25]}', None),
         ('{"x": [1, 2], "y": [3.25, 4]}', '{"x": [1, 2], "y": [3.251, 4.004]}', None),
@@ -294,16 +292,14 @@ def test_shapes_are_found_by_compiled_code(spark):
         ('{"x": ["a"], "y": [1]}', '{"x": [], "y": []}', "data_mismatch"),
         ('{"x": ["a", 1], "y": [1, 2]}', '{"x": [1, "a"], "y": [2, 1]}', None),
         ('{"x": ["a", "a"], "y": [1, 2]}', '{"x": ["a"], "y": [2]}', None),
-    ],
-)
-def test_plain_arrays_settled_as_wholes(spark, golden, predicted, outcome):
-    from chartmeter.plans import figure_records, score_cases
-
-    def figure(arrays):
-        return '{"data": [{"type": "bar", "xaxis": "x", "yaxis": "y", ' + arrays[1:] + "]}"
-
-    cases = spark.createDataFrame([("a", "WithPlotType")], "uuid string, complexity string")
-    answers = spark.createDataFrame([("a", figure(predicted))], "uuid string, figure_json string")
-    goldens = spark.createDataFrame([("a", figure(golden))], "uuid string, figure_json string")
-    goldens = figure_records(goldens, "figure_json").select("uuid", "record")
-    assert [row.reason for row in score_cases(cases, goldens, answers).collect()] == [outcome]
+    ]
+
+    def figures(side):
+        head = '{"data": [{"type": "bar", "xaxis": "x", "yaxis": "y", '
+        rows = [(str(i), head + one[side][1:] + "]}") for i, one in enumerate(said)]
+        return spark.createDataFrame(rows, "uuid string, figure_json string")
+
+    cases = figures(0).select("uuid", F.lit("WithPlotType").alias("complexity"))
+    goldens = figure_records(figures(0), "figure_json").select("uuid", "record")
+    found = {row.uuid: row.reason for row in score_cases(cases, goldens, figures(1)).collect()}
+    assert found == {str(i): reason for i, (_, _, reason) in enumerate(said)}
