@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chartmeter.functions.values import comparison_form, forms_match, let, values_match
+from chartmeter.functions.values import forms_match, let, round_cents, values_match
 from chartmeter.plans.figures import last_values
-from chartmeter.shared import broadcast_if_small, stage
+from chartmeter.shared import broadcast_if_small, is_small, stage
 
 #: Longest block that predicted strings are cut into; a power of two. Any stretch of twice
 #: its length less one that two strings share shows in a block of the predicted one.
@@ -22,10 +22,18 @@ DENSE = 128
 WINDOWS = 4
 #: Golden strings are tried on all predicted points in question up to this number.
 FEW = 64
+#: Predicted points that a window names for one golden one, up to which these go by pairs; and
+#: pairs of all the others, per point, up to which they do, too.
+HITS, PAIRS = 16, 4
+#: Characters that a long string's digest goes with, and places in a predicted string that a
+#: golden one is looked for at by its digest.
+HEAD, SLACK = 16, 1024
 #: Strings of either side that are tried on one another in one place; more are spread.
 CROWD = 2048
 
 _GROUP = ["case_id", "pair"]
+_CUT = [*_GROUP, "texts", "side", "dense"]
+_PAIR = [*_GROUP, "texts", "gid", "k", "v", "their_pid", "their_k", "their_v"]
 
 
 def _is_nan(value: Column) -> Column:
@@ -42,6 +50,9 @@ def pairs_match(golden: DataFrame, predicted: DataFrame) -> DataFrame:
 
     Inputs: case_id, pair, pos, k, v. Output, per case and pair met on either
     side: n_golden, bad_keys (a key is an array or object), matched.
+
+    Both inputs are read again for the texts that a test needs; before that a long text is
+    its length and its digest.
     """
     points = stage(_compared(golden, predicted), "points")
     left = F.col("in_golden") & ~F.col("in_predicted")
@@ -61,7 +72,7 @@ def pairs_match(golden: DataFrame, predicted: DataFrame) -> DataFrame:
         n_found = F.lit(0)
         decided = counts
     else:
-        found = _contained(points, undecided).groupBy(*_GROUP).agg(F.count("*").alias("n_found"))
+        found = _contained(points, undecided, golden, predicted).groupBy(*_GROUP).agg(F.count("*").alias("n_found"))
         decided = counts.join(found, _GROUP, "left")
         n_found = F.coalesce("n_found", F.lit(0))
     matched = (F.col("n_left") == n_found) & ~F.col("bad_keys")
@@ -193,6 +204,36 @@ def triples_match_in_row(golden: Column, predicted: Column) -> Column:
     return F.when(bad, "E").when((F.size(golden) == F.size(predicted)) & met, "T").otherwise("F")
 
 
+def _written(points: DataFrame) -> DataFrame:
+    """Points in the form they are compared in, long strings as length, beginning and digest,
+    with the whole strings in ``k_text`` and ``v_text``; ``raw`` is the key as it is written."""
+
+    def form(name: str) -> Column:
+        value, text = F.col(name), F.col(f"{name}_text")
+        length = F.length(text)
+        long = length > DENSE
+        return F.struct(
+            value["kind"].alias("kind"),
+            F.when(value["kind"] == "num", round_cents(value["num"])).alias("num"),
+            F.when(~long, text).alias("str"),
+            F.when(long, length).alias("size"),
+            F.when(long, F.substring(text, 1, HEAD)).alias("head"),
+            F.when(long, F.unhex(F.sha2(text, 256))).alias("sha"),
+        )
+
+    def lowered(name: str) -> Column:
+        value = F.col(name)
+        return F.when(value["kind"] == "str", F.lower(value["str"])).otherwise(value["str"]).alias(f"{name}_text")
+
+    key = F.col("k.str")
+    long_key = F.length(key) > DENSE
+    raw = F.struct(
+        "k.kind", "k.num", F.when(~long_key, key).alias("str"), F.when(long_key, F.unhex(F.sha2(key, 256))).alias("sha")
+    )
+    texts = points.select(*_GROUP, "pos", "k", "v", lowered("k"), lowered("v"))
+    return texts.select(*_GROUP, "pos", raw.alias("raw"), form("k").alias("k"), form("v").alias("v"), "k_text", "v_text")
+
+
 def _compared(golden: DataFrame, predicted: DataFrame) -> DataFrame:
     """Distinct points in the form they are compared in, with the sides they are on.
 
@@ -200,10 +241,11 @@ def _compared(golden: DataFrame, predicted: DataFrame) -> DataFrame:
     """
 
     def side(points: DataFrame, is_golden: bool) -> DataFrame:
-        return last_values(points, [*_GROUP, "k"]).select(
+        last = last_values(_written(points), [*_GROUP, "raw", "k"])
+        return last.select(
             *_GROUP,
-            comparison_form(F.col("k")).alias("k"),
-            comparison_form(F.col("v")).alias("v"),
+            "k",
+            F.struct(*[f"v.{name}" for name in ("kind", "num", "str", "size", "head", "sha")]).alias("v"),
             F.lit(is_golden).alias("in_golden"),
             F.lit(not is_golden).alias("in_predicted"),
         )
@@ -221,114 +263,254 @@ def _compared(golden: DataFrame, predicted: DataFrame) -> DataFrame:
     )
 
 
-def _grouped(points: DataFrame) -> DataFrame:
+def _grouped(points: DataFrame, name: str) -> DataFrame:
     """Add what a point's possible matches have in common with it: ``texts``, the sides
-    that are strings, and ``fixed``, the other side if there is one."""
+    that are strings, and ``fixed``, the other side if there is one; and an id ``name``."""
     k, v = F.col("k"), F.col("v")
     nothing = F.struct(
         F.lit("").alias("kind"),
         F.lit(None).cast("double").alias("num"),
         F.lit(None).cast("string").alias("str"),
+        F.lit(None).cast("int").alias("size"),
+        F.lit(None).cast("string").alias("head"),
+        F.lit(None).cast("binary").alias("sha"),
     )
     both = _is_text(k) & _is_text(v)
     texts = F.when(both, "kv").when(_is_text(k), "k").when(_is_text(v), "v")
     fixed = F.when(both, nothing).when(_is_text(k), v).otherwise(k)
-    return points.where(_is_text(k) | _is_text(v)).select(
-        *_GROUP, texts.alias("texts"), fixed.alias("fixed"), "k", "v"
+    whole = [c for c in ("k_text", "v_text") if c in points.columns]
+    grouped = points.where(_is_text(k) | _is_text(v)).select(
+        *_GROUP, texts.alias("texts"), fixed.alias("fixed"), "k", "v", *whole
     )
+    return grouped.withColumn(name, F.xxhash64(*_GROUP, "texts", "fixed", "k", "v"))
+
+
+def _source(points: DataFrame, groups: DataFrame, name: str) -> DataFrame:
+    """The points of some groups as they are given, with their whole strings."""
+    return _grouped(_written(points.join(broadcast_if_small(groups), _GROUP, "left_semi")), name)
 
 
 def _by_text(grouped: DataFrame) -> DataFrame:
-    """One row per string side of a point: ``side`` and ``text``."""
-    sides = F.array(
-        F.when(
-            F.contains("texts", F.lit("k")),
-            F.struct(F.lit("k").alias("side"), F.col("k.str").alias("text")),
-        ),
-        F.when(
-            F.contains("texts", F.lit("v")),
-            F.struct(F.lit("v").alias("side"), F.col("v.str").alias("text")),
-        ),
+    """One row per string side of a point: ``side`` and ``text``, and whether it is ``short``.
+    Where there are no whole strings, only sides that are."""
+
+    def one(side: str) -> Column:
+        text = f"{side}_text" if f"{side}_text" in grouped.columns else f"{side}.str"
+        short = F.col(f"{side}.size").isNull()
+        return F.when(
+            F.contains("texts", F.lit(side)) & F.col(text).isNotNull(),
+            F.struct(F.lit(side).alias("side"), F.col(text).alias("text"), short.alias("short")),
+        )
+
+    kept = [c for c in grouped.columns if c not in ("k_text", "v_text")]
+    return grouped.select(*kept, F.explode(F.array_compact(F.array(one("k"), one("v")))).alias("s")).select(
+        *kept, "s.side", "s.text", "s.short"
     )
-    return grouped.select("*", F.explode(F.array_compact(sides)).alias("s")).select(
-        *grouped.columns, "s.side", "s.text"
+
+
+def _sides(met) -> Column:
+    """Whether ``met(golden, predicted, side)`` holds for all sides that are strings; other
+    sides are equal by ``fixed`` already."""
+    return _all(
+        [~F.contains("texts", F.lit(s)) | met(F.col(s), F.col(f"their_{s}"), s) for s in ("k", "v")], F.lit(True)
     )
 
 
-def _accepted() -> Column:
-    """Golden k, v inside predicted their_k, their_v; sides that are no strings are
-    equal by ``fixed`` already."""
-    inside = F.lit(True)
-    for side in ("k", "v"):
-        holds = F.contains(F.col(f"their_{side}.str"), F.col(f"{side}.str"))
-        inside = inside & (~F.contains("texts", F.lit(side)) | holds)
-    return inside
+def _possible() -> Column:
+    """Whether golden k, v lie in predicted their_k, their_v, as far as short strings and
+    lengths tell."""
+
+    def met(golden: Column, predicted: Column, side: str) -> Column:
+        short = golden["size"].isNull()
+        return (
+            F.when(predicted["size"].isNull(), short & F.contains(predicted["str"], golden["str"]))
+            .when(short, F.lit(True))
+            .otherwise(golden["size"] <= predicted["size"])
+        )
+
+    return _sides(met)
+
 
+def _is_long(prefix: str = "") -> Column:
+    """Whether a point has a string that is not in its row."""
+    long = [F.contains("texts", F.lit(s)) & F.col(f"{prefix}{s}.size").isNotNull() for s in ("k", "v")]
+    return long[0] | long[1]
 
-def _contained(points: DataFrame, undecided: DataFrame) -> DataFrame:
+
+def _contained(points: DataFrame, undecided: DataFrame, golden: DataFrame, predicted: DataFrame) -> DataFrame:
     """Unmatched golden points that some predicted point contains.
 
     Where few predicted points come into question, all are tried. Elsewhere
     containment becomes equality, see ``_looked_up``.
     """
     some = points.join(broadcast_if_small(undecided), _GROUP, "left_semi")
-    offered = _grouped(some.where("in_predicted"))
+    offered = _grouped(some.where("in_predicted"), "pid")
     keys = [*_GROUP, "texts", "fixed"]
     sizes = offered.groupBy(*keys).agg(F.count("*").alias("n_offered"))
     # inner: without any predicted point of its group there is no match
-    asked = _grouped(some.where("in_golden and not in_predicted")).join(sizes, keys)
+    asked = _grouped(some.where("in_golden and not in_predicted"), "gid").join(sizes, keys)
     asked = stage(asked, "asked")
 
     few = asked.where(F.col("n_offered") <= FEW).drop("n_offered")
-    matched = few.join(_theirs(offered), _same_group() & _accepted(), "left_semi").select(*_GROUP, "k", "v")
+    short = few.join(_theirs(offered.where(~_is_long())), _same_group() & _possible(), "left_semi")
+    matched = short.select(*_GROUP, "k", "v")
+    pairs = few.join(_theirs(offered.where(_is_long())), _same_group() & _possible()).select(*_PAIR)
     many = asked.where(F.col("n_offered") > FEW).drop("n_offered")
-    if many.isEmpty():
-        return matched
-    crowds = many.select(*keys).distinct()
-    crowded = offered.join(broadcast_if_small(crowds), keys, "left_semi")
-    return matched.unionByName(_looked_up(many, crowded))
+    if not many.isEmpty():
+        named, met = _looked_up(many, offered, undecided, golden, predicted)
+        pairs, matched = pairs.unionByName(named), matched.unionByName(met)
+    return matched.unionByName(_tried(pairs, undecided, golden, predicted)).distinct()
+
 
+def _tried(pairs: DataFrame, undecided: DataFrame, golden: DataFrame, predicted: DataFrame) -> DataFrame:
+    """Golden points of the pairs that hold.
 
-def _looked_up(golden: DataFrame, predicted: DataFrame) -> DataFrame:
-    """Golden points found by blocks of the predicted strings.
+    Only the predicted strings come to the pairs, once. A golden one that is hardly shorter is
+    its digest there: few places of the predicted one can hold it. Others come whole.
+    """
+    pairs = stage(pairs, "pairs")
+    matched = pairs.where(~_is_long("their_"))
+    pairs = pairs.where(_is_long("their_"))
+    if not pairs.isEmpty():
+        near = _sides(lambda g, p, s: F.coalesce(p["size"] - g["size"] <= SLACK, F.lit(True)))
+        theirs = _theirs(_fetched(predicted, undecided, pairs.select(F.col("their_pid").alias("pid")), "pid"))
+        # names of their own, as both sides have the column
+        theirs, same = theirs.withColumnRenamed("their_pid", "of"), F.col("their_pid") == F.col("of")
+
+        def by_digest(g: Column, p: Column, side: str) -> Column:
+            text = F.col(f"their_{side}_text")
+
+            def at(place: Column) -> Column:
+                begins = F.substring(text, place, F.length(g["head"])) == g["head"]
+                return begins & (F.unhex(F.sha2(F.substring(text, place, g["size"]), 256)) == g["sha"])
+
+            found = F.exists(F.sequence(F.lit(1), p["size"] - g["size"] + 1), at)
+            return p["size"].isNull() | F.when(g["size"].isNull(), F.contains(text, g["str"])).otherwise(found)
+
+        def by_text(g: Column, p: Column, side: str) -> Column:
+            return p["size"].isNull() | F.contains(f"their_{side}_text", F.coalesce(f"{side}_text", g["str"]))
+
+        matched = matched.unionByName(pairs.where(near).join(theirs, same & _sides(by_digest), "left_semi"))
+        far = pairs.where(~near)
+        if not far.isEmpty():
+            far = far.join(_fetched(golden, undecided, far, "gid").dropDuplicates(["gid"]), "gid", "left")
+            matched = matched.unionByName(far.join(theirs, same & _sides(by_text), "left_semi").select(*_PAIR))
+    return matched.select(*_GROUP, "k", "v")
+
+
+def _fetched(points: DataFrame, undecided: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """The long strings of points with an id in ``wanted``, if these are few; of all otherwise."""
+    long = _source(points, undecided, name).where(_is_long())
+    texts = [F.when(F.col(f"{s}.size").isNotNull(), F.col(f"{s}_text")).alias(f"{s}_text") for s in ("k", "v")]
+    ids = wanted.select(name).distinct()
+    if is_small(ids):
+        long = long.join(F.broadcast(ids), name, "left_semi")
+    return long.select(name, *texts)
+
+
+def _looked_up(
+    golden: DataFrame, predicted: DataFrame, undecided: DataFrame, golden_points: DataFrame, predicted_points: DataFrame
+) -> tuple[DataFrame, DataFrame]:
+    """Pairs of golden points and predicted ones that may hold them, and golden points found.
 
     Long predicted strings are cut into blocks of q characters, one after another. Wherever a
     golden string lies in one, any window of 2q - 1 of its characters holds a whole block, at
     one of q shifts. So a predicted string gives one hash per q characters, for the sizes q
-    that its case asks for, and a golden one the hashes of all shifts in a few windows. Points
-    with short strings only are ``dense``: they give blocks from every character on, and a
-    golden string asks for single blocks, which tell strings of one template apart. A window
-    without a hit settles the point; otherwise the window with the fewest hits names the
-    predicted points whose texts are fetched for the full test, which ends at the first that
-    passes. Only hashes and ids of points move before that.
+    that its case asks for, and a golden one the hashes of all shifts in a few windows. Short
+    strings are ``dense``: they give blocks from every character on, and a golden string asks
+    for single blocks, which tell strings of one template apart.
+
+    Short sides are asked first; a long side only for golden points of which these name many
+    predicted ones, or none can be asked. A window without a hit settles the point; otherwise
+    the window with the fewest hits names the predicted points to try. A few make pairs;
+    many meet in cells. Only hashes and ids of points move before that.
     """
-    keys = [*_GROUP, "texts", "fixed"]
-    golden = golden.withColumn("gid", F.xxhash64(*keys, "k", "v")).withColumn("short", _is_short())
-    predicted = predicted.withColumn("pid", F.xxhash64(*keys, "k", "v")).withColumn("dense", _is_short())
+    golden = golden.withColumn("short", _short_sides())
     predicted = stage(predicted, "offered")
-    kinds = [r["dense"] for r in predicted.select("dense").distinct().collect()]  # two at most
-    asked = stage(_asked_pieces(_by_text(golden)).where(F.col("dense").isin(kinds)), "asked-pieces")
-    offered = _by_text(predicted)
+    # the sides that are short: at most none, k, v or both
+    kinds = [r[0] for r in predicted.select(_short_sides().alias("kind")).distinct().collect()]
+
+    inline = _by_text(golden.drop("short")).where("short").where(F.col("side").isin(*"".join(kinds)))
+    asked = stage(_asked_pieces(inline, F.array(F.lit(True))), "asked-pieces")
+    offered = _by_text(predicted).withColumn("dense", F.lit(True))
+    hits, weighed = _weighed(asked, offered)
+
+    fits = [F.when(_all([F.contains("short", F.lit(s)) for s in kind], F.lit(True)), kind) for kind in kinds]
+    wanted = golden.select("gid", "texts", F.explode(F.array_compact(F.array(*fits))).alias("kind"))
+    least = _least(weighed, kinds)
+    crowded = wanted.join(least, ["gid", "kind"], "left").where(F.coalesce(F.col("least.n") > HITS, F.lit(True)))
+    long = [F.when(F.contains("texts", F.lit(s)) & ~F.contains("kind", F.lit(s)), s) for s in ("k", "v")]
+    pending = crowded.select("gid", F.explode(F.array_compact(F.array(*long))).alias("side"))
+    pending = stage(pending.distinct(), "pending")
+    if not pending.isEmpty():
+        windows = _windows(_by_text(_source(golden_points, undecided, "gid")), F.array(F.lit(False)))
+        # inner, so that windows are cut before anything moves
+        asked = stage(_shifts(windows.join(broadcast_if_small(pending), ["gid", "side"])), "asked-pieces")
+        long = _by_text(_source(predicted_points, undecided, "pid")).where("not short").withColumn("dense", F.lit(False))
+        more, also = _weighed(asked, long)
+        hits, weighed = hits.unionByName(more), weighed.unionByName(also)
+        least = _least(weighed, kinds)
+    chosen = least.where("least.n > 0").select("gid", "least.n", F.explode("least.hashes").alias("h"))
+    chosen = stage(chosen, "rarest")
+    n_pairs = chosen.where(F.col("n") > HITS).select("gid", "n").distinct().agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    by_pairs = F.col("n") <= HITS
+    if n_pairs <= PAIRS * predicted.count():
+        by_pairs = F.lit(True)
+    named = chosen.where(by_pairs).join(hits, "h").select("gid", "pid").distinct()
+    named = named.join(golden.drop("short"), "gid").join(_theirs(predicted), F.col("pid") == F.col("their_pid"))
+    pairs = named.where(_same_group() & _possible()).select(*_PAIR)
+
+    crowd = chosen.where(~by_pairs).select("gid", "h").distinct()
+    if crowd.isEmpty():
+        return pairs, golden.select(*_GROUP, "k", "v").limit(0)
+    counted = hits.groupBy("h").agg(F.count("*").alias("n"))
+    asking = golden.drop("short").join(crowd.select("gid").distinct(), "gid", "left_semi")
+    asking = _with_texts(asking, "gid", _fetched(golden_points, undecided, asking, "gid"))
+    named = hits.join(crowd.select("h").distinct(), "h", "left_semi").select("pid")
+    whole = _with_texts(predicted, "pid", _fetched(predicted_points, undecided, named, "pid"))
+    met = _met_in_cells(asking, whole, crowd, hits.join(counted, "h"))
+    return pairs, met.select(*_GROUP, "k", "v").distinct()
+
+
+def _short_sides() -> Column:
+    """Names of the sides that are short strings."""
+    short = [F.when(F.contains("texts", F.lit(s)) & F.col(f"{s}.size").isNull(), s).otherwise("") for s in ("k", "v")]
+    return F.concat(*short)
+
+
+def _weighed(asked: DataFrame, offered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The offered blocks that are asked for, and of each window its hashes among them and how
+    many points have one."""
     small = F.col("size") < 8  # short golden strings have many hits, but are few themselves
     hits = [
         _offered_pieces(offered, part).join(broadcast_if_small(part.select("h").distinct()), "h", "left_semi")
         for part in (asked.where(small), asked.where(~small))
     ]
-    hits = stage(hits[0].unionByName(hits[1]), "hits")
+    # rows that are given twice, or whose key comes again, are one point
+    hits = stage(hits[0].unionByName(hits[1]).distinct(), "hits")
     counted = hits.groupBy("h").agg(F.count("*").alias("n"))
     # at most PIECE shifts of a window, and 2 * WINDOWS windows of a point
-    found = F.collect_list(F.when(F.col("n").isNotNull(), F.col("h")))
+    found = F.array_distinct(F.collect_list(F.when(F.col("n").isNotNull(), F.col("h"))))
+    asked = asked.select("h", "gid", "dense", "side", "window")
     windows = asked.join(counted, "h", "left").groupBy("gid", "dense", "side", "window")
     weighed = windows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), found.alias("hashes"))
-    rarest = weighed.groupBy("gid", "dense").agg(F.array_min(F.collect_list(F.struct("n", "hashes"))).alias("least"))
-    chosen = stage(rarest.where("least.n > 0").select("gid", F.explode("least.hashes").alias("h")), "rarest")
-    met = _met_in_cells(golden, predicted, chosen, hits.join(counted, "h"))
-    return met.select(*_GROUP, "k", "v").distinct()
+    return hits, stage(weighed, "weighed")
+
 
+def _least(weighed: DataFrame, kinds: list[str]) -> DataFrame:
+    """The window with the fewest hits among predicted points of each kind: any window of a side
+    finds all of them whose side is cut as the window asks for."""
+    by = [F.when(F.contains(F.lit(c), F.col("side")) == F.col("dense"), c) for c in kinds]
+    of_kind = weighed.select("*", F.explode(F.array_compact(F.array(*by))).alias("kind"))
+    return of_kind.groupBy("gid", "kind").agg(F.min(F.struct("n", "hashes")).alias("least"))
 
-def _is_short() -> Column:
-    lengths = [F.when(F.contains("texts", F.lit(side)), F.length(f"{side}.str")).otherwise(0) for side in ("k", "v")]
-    return F.greatest(*lengths) <= DENSE
+
+def _with_texts(points: DataFrame, name: str, texts: DataFrame) -> DataFrame:
+    """Points with their whole strings, the long ones out of ``texts``."""
+    sides = [F.coalesce(f"{s}_text", f"{s}.str").alias(f"{s}_text") for s in ("k", "v")]
+    whole = points.where(~_is_long()).select("*", *[F.col(f"{s}.str").alias(f"{s}_text") for s in ("k", "v")])
+    long = points.where(_is_long()).join(texts.dropDuplicates([name]), name).select(*points.columns, *sides)
+    return whole.unionByName(long)
 
 
 def _met_in_cells(golden: DataFrame, predicted: DataFrame, chosen: DataFrame, hits: DataFrame) -> DataFrame:
@@ -349,19 +531,21 @@ def _met_in_cells(golden: DataFrame, predicted: DataFrame, chosen: DataFrame, hi
     cells = hits.join(asking, "h").select("h", "pid", parts(F.col("n")).alias("rows"), parts(F.col("n_golden")).alias("columns"))
     cells = stage(cells, "cells")
     offers = cells.select("h", "pid", F.pmod("pid", "rows").cast("int").alias("row"), all_of("columns").alias("column"))
-    offers = offers.join(_theirs(predicted), "pid").withColumnsRenamed({c: f"their_{c}" for c in ("h", "row", "column")})
+    offers = offers.withColumnsRenamed({c: f"their_{c}" for c in ("h", "row", "column", "pid")})
+    offers = offers.join(_theirs(predicted), "their_pid")
     named = cells.groupBy("h").agg(F.max("rows").alias("rows"), F.max("columns").alias("columns"))
     asks = chosen.join(named, "h").withColumn("column", F.pmod("gid", "columns").cast("int"))
     asks = asks.select("gid", "h", "column", all_of("rows").alias("row")).join(golden, "gid")
     at = F.lit(True)
     for c in ("h", "row", "column"):
         at = at & (F.col(c) == F.col(f"their_{c}"))
-    return asks.join(offers, at & _same_group() & _accepted(), "left_semi")
+    accepted = _sides(lambda g, p, side: F.contains(f"their_{side}_text", F.col(f"{side}_text")))
+    return asks.join(offers, at & _same_group() & accepted, "left_semi")
 
 
 def _theirs(offered: DataFrame) -> DataFrame:
-    """Predicted points, all columns but an id named ``their_``."""
-    return offered.select(*[F.col(c).alias(c if c == "pid" else f"their_{c}") for c in offered.columns])
+    """Predicted points, all columns named ``their_``."""
+    return offered.select(*[F.col(c).alias(f"their_{c}") for c in offered.columns])
 
 
 def _same_group() -> Column:
@@ -389,34 +573,48 @@ def _of_group() -> Column:
     return F.xxhash64(*_GROUP, "texts", "fixed", "side", "dense")
 
 
-def _asked_pieces(texts: DataFrame) -> DataFrame:
+def _asked_pieces(texts: DataFrame, ways: Column | None = None) -> DataFrame:
     """``gid, dense, window, h``: the hashes of all shifts in some windows of each golden
     string, with the ``size`` of its blocks. Only short strings can lie in dense ones."""
-    length, size = F.length("text"), F.col("size")
-    kinds = F.when(F.col("short"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
-    by = [*_GROUP, "texts", "side", "dense"]
-    sized = texts.withColumn("dense", F.explode(kinds)).select(
-        *by, "gid", "text", _piece_size(length).alias("size"), _of_group().alias("of")
-    )
-    width = F.when(F.col("dense"), size).otherwise(F.greatest(2 * size - 1, F.lit(0)))
-    places = F.when(F.col("dense"), length - width + 1).otherwise(F.ceil(length / F.greatest(width, F.lit(1))))
-    last = F.greatest(F.least(F.lit(WINDOWS), places.cast("int")) - 1, F.lit(0))
-    starts = F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.floor((length - width) * i / F.greatest(last, F.lit(1))).cast("int") + 1
+    return _shifts(_windows(texts, ways))
+
+
+def _windows(texts: DataFrame, ways: Column | None = None) -> DataFrame:
+    """Some windows of each golden string, for dense blocks, for others or for both (``ways``)."""
+    if ways is None:
+        ways = F.when(F.col("short"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))
+    sized = texts.withColumn("dense", F.explode(ways)).select(
+        *_CUT, "gid", "text", let(F.length("text"), _piece_size).alias("size"), _of_group().alias("of")
     )
-    cut = F.transform(F.array_distinct(starts), lambda at: F.substring("text", at, width))
-    windows = sized.select(*by, "size", "gid", "of", F.posexplode(cut).alias("window", "part"))
+
+    def cut(text: Column) -> Column:
+        length, size = text["length"], text["size"]
+        width = F.when(F.col("dense"), size).otherwise(F.greatest(2 * size - 1, F.lit(0)))
+        places = F.when(F.col("dense"), length - width + 1).otherwise(F.ceil(length / F.greatest(width, F.lit(1))))
+        last = F.greatest(F.least(F.lit(WINDOWS), places.cast("int")) - 1, F.lit(0))
+        starts = F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.floor((length - width) * i / F.greatest(last, F.lit(1))).cast("int") + 1
+        )
+        return F.transform(F.array_distinct(starts), lambda at: F.substring("text", at, width))
+
+    # a text's length is counted once
+    parts = let(F.struct(F.length("text").alias("length"), "size"), cut)
+    return sized.select(*_CUT, "size", "gid", "of", parts.alias("parts"))
+
+
+def _shifts(windows: DataFrame) -> DataFrame:
+    size = F.col("size")
+    each = windows.select(*_CUT, "size", "gid", "of", F.posexplode("parts").alias("window", "part"))
     shifts = F.sequence(F.lit(1), F.when(F.col("dense"), F.lit(1)).otherwise(F.greatest(size, F.lit(1))))
     hashes = F.array_distinct(F.transform(shifts, lambda at: F.xxhash64("of", F.substring("part", at, size))))
-    return windows.select(*by, "size", "gid", "window", F.explode(hashes).alias("h"))
+    return each.select(*_CUT, "size", "gid", "window", F.explode(hashes).alias("h"))
 
 
 def _offered_pieces(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """``h, pid`` for the blocks of the predicted strings, of the sizes asked for in their case."""
-    by = [*_GROUP, "texts", "side", "dense"]
     # at most seven sizes per group
-    sizes = stage(asked.groupBy(*by).agg(F.collect_set("size").alias("sizes")), "sizes")
-    sized = texts.join(broadcast_if_small(sizes), by).select("pid", "text", "sizes", "dense", _of_group().alias("of"))
+    sizes = stage(asked.groupBy(*_CUT).agg(F.collect_set("size").alias("sizes")), "sizes")
+    sized = texts.join(broadcast_if_small(sizes), _CUT).select("pid", "text", "sizes", "dense", _of_group().alias("of"))
 
     def hashes(size: int) -> Column:
         if size == 0:

@@ -297,3 +297,37 @@ def test_triples(spark):
         return spark.createDataFrame(rows, f"case_id string, pos int, k1 {VALUE}, k2 {VALUE}, v {VALUE}")
 
     assert outcomes(triples_match(placed(0), placed(1))) == {name: case[2] for name, case in TRIPLES.items()}
+
+
+@pytest.mark.parametrize(("hits", "dense", "slack"), [(0, 128, 1024), (0, 5, 1024), (16, 5, 2), (16, 0, 1024)])
+def test_random_strings_by_pairs_and_in_cells(spark, monkeypatch, hits, dense, slack):
+    """Long strings as digests, as texts that come to the pairs, and in cells."""
+    monkeypatch.setattr(matching, "FEW", 0 if hits == 0 else 2)
+    monkeypatch.setattr(matching, "HITS", hits)
+    monkeypatch.setattr(matching, "PAIRS", 0)
+    monkeypatch.setattr(matching, "DENSE", dense)
+    monkeypatch.setattr(matching, "SLACK", slack)
+    monkeypatch.setattr(matching, "PIECE", 4)
+    check_cases(spark, *random_cases(31, 200, 8, 14))
+
+
+def test_points_are_told_apart_without_their_texts(spark):
+    """What is stored of a point, and of the pairs to be tried, holds no long text."""
+    rng = random.Random(3)
+    golden = {"c": [(f"item {i}", "".join(rng.choice("abcdefgh ") for _ in range(3000))) for i in range(100)]}
+    predicted = {"c": [(f"the {k}.", "> " + v) for k, v in golden["c"]]}
+    stored = []
+    stage = matching.stage
+
+    def weighed(df, name, *args):
+        kept = stage(df, name, *args)
+        stored.append((name, kept.select(F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)) / 200).first()[0]))
+        return kept
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(matching, "stage", weighed)
+        assert outcomes(pairs_match(points(spark, golden), points(spark, predicted))) == {"c": True}
+    # blocks of long texts are not asked for where the short keys tell the points apart
+    assert [name for name, size in stored if size > 1000] == []
+    predicted["c"][7] = ("the item 7.", "> " + golden["c"][7][1][1:])
+    assert outcomes(pairs_match(points(spark, golden), points(spark, predicted))) == {"c": False}
