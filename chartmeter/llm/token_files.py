@@ -19,9 +19,12 @@ from pyspark.sql import functions as F
 
 from chartmeter.llm.common import slices, texts, worker_cache
 from chartmeter.llm.id_coder import pack, unpack
+from chartmeter.llm.word_ids import WordIds, fits
 
 #: Ids of a segment; only a longer document makes a longer one.
-SEGMENT = 2 << 20
+SEGMENT = 4 << 20
+#: Rows whose texts are encoded at once, if these are short.
+ROWS = 5000
 #: Words whose ids a worker remembers, and the longest of these in bytes.
 MEMO, MEMO_BYTES = 400_000, 64
 
@@ -57,6 +60,19 @@ class WordTokenizer:
             data = b"".join(map(memo.__getitem__, words))
         return np.frombuffer(data, dtype="<u4")
 
+    def encode_all(self, batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and the end of each text's ids, as ``WordIds`` gives them."""
+        found = [self.encode(x) for x in texts(batch, name)]
+        return np.concatenate([np.zeros(0, "<u4"), *found]), np.cumsum([len(x) for x in found], dtype=np.int64)
+
+
+def _encoder(path: str):
+    """Gives the ids of a batch's texts, and where each ends, in the fastest way that is exact."""
+    if fits(path):
+        words = WordIds(path)
+        return lambda batch, name: words.encode(batch.column(name))
+    return WordTokenizer(path).encode_all
+
 
 def write(df: DataFrame, path: str, tokenizer: str, end: int, doc_id: str = "doc_id", text: str = "text") -> None:
     """Writes the ids of every row's whole text (null: empty), ``end`` after each document.
@@ -71,12 +87,11 @@ def write(df: DataFrame, path: str, tokenizer: str, end: int, doc_id: str = "doc
     def segments(batches):
         import pyarrow.compute  # noqa: F401
 
-        tokens = worker_cache(("words", tokenizer), lambda: WordTokenizer(tokenizer))
+        encode = worker_cache(("words", tokenizer), lambda: _encoder(tokenizer))
         part, number = TaskContext.get().partitionId(), 0
-        ids, arrays, size = [], [], 0
+        ids, lengths, arrays, size = [], [], [], 0
 
         def out():
-            lengths = [len(a) for a in arrays]
             return pa.record_batch(
                 [
                     pa.array([part], pa.int64()),
@@ -89,16 +104,20 @@ def write(df: DataFrame, path: str, tokenizer: str, end: int, doc_id: str = "doc
                 ["part", "number", "n_ids", "doc_ids", "lengths", "data"],
             )
 
-        for piece in slices(batches, "text"):
-            for key, data in zip(piece.column("doc_id").to_pylist(), texts(piece, "text")):
-                own = np.append(tokens.encode(data), np.uint32(end)).astype(np.uint32)
-                if arrays and size + len(own) > SEGMENT:
+        for piece in slices(batches, "text", ROWS):
+            found, ends = encode(piece, "text")
+            own = np.insert(found.astype(np.uint32, copy=False), ends, np.uint32(end))
+            ends = ends + np.arange(1, len(ends) + 1)
+            sizes = np.diff(ends, prepend=0).tolist()
+            for key, n, stop in zip(piece.column("doc_id").to_pylist(), sizes, ends.tolist()):
+                if ids and size + n > SEGMENT:
                     yield out()
-                    ids, arrays, size, number = [], [], 0, number + 1
+                    ids, lengths, arrays, size, number = [], [], [], 0, number + 1
                 ids.append(key)
-                arrays.append(own)
-                size += len(own)
-        if arrays:
+                lengths.append(n)
+                arrays.append(own[stop - n : stop])
+                size += n
+        if ids:
             yield out()
 
     schema = "part long, number long, n_ids long, doc_ids array<long>, lengths array<long>, data binary"

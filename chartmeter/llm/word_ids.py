@@ -8,16 +8,44 @@ special token between them.
 
 from __future__ import annotations
 
+import json
 import os
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words a worker remembers, and words given to the library at once.
-MEMO, AT_ONCE = 1 << 21, 512
+#: Words a worker remembers, bytes of these and their ids, and words given to the library at once.
+MEMO, MEMO_BYTES, AT_ONCE = 1 << 21, 256 << 20, 512
 #: Stops that follow an ASCII letter or digit at the end of a word are a pre-token of their own.
 _STOPS = r"^(?s:(?P<stem>.*[a-z0-9])(?P<stops>[.,;:!?]+))$"
+#: What a tokenizer does before its model, for ``WordIds`` to be exact.
+_NORMALIZERS = [
+    {"type": "NFC"},
+    {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "},
+    {"type": "Lowercase"},
+]
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PRE_TOKENIZERS = [
+    {"type": "Split", "pattern": {"Regex": _SPLIT}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+
+
+def fits(path: str, separator: str = "<|endoftext|>") -> bool:
+    """Whether the tokenizer at ``path`` is one whose ids ``WordIds`` gives."""
+    with open(path, encoding="utf-8") as file:
+        found = json.load(file)
+    added = found.get("added_tokens") or []
+    plain = all(t["content"].startswith("<|") and not (t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"]) for t in added)
+    return (
+        plain
+        and any(t["content"] == separator for t in added)
+        and (found.get("normalizer") or {}).get("normalizers") == _NORMALIZERS
+        and (found.get("pre_tokenizer") or {}).get("pretokenizers") == _PRE_TOKENIZERS
+        and not any(found.get(x) for x in ("post_processor", "truncation", "padding"))
+        and not found["model"].get("dropout")
+    )
 
 
 def _ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -59,7 +87,8 @@ class WordIds:
         """Places of different ``words`` in the memory, which takes in those that are new."""
         at = pc.index_in(words, value_set=self.words)
         if at.null_count:
-            if len(self.words) + at.null_count > MEMO and len(self.words):
+            full = len(self.words) + at.null_count > MEMO or self.words.nbytes + self.flat.nbytes > MEMO_BYTES
+            if full and len(self.words):
                 self.words, self.flat, self.starts = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
                 return self._known(words)
             new = words.filter(at.is_null())

@@ -3,13 +3,16 @@ cases that every one of them must take (nulls, empty and long texts, repeated ro
 other columns of the same names)."""
 
 import hashlib
+import json
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -27,6 +30,7 @@ from chartmeter.llm import (
     simhash,
     token_files,
     toxicity,
+    word_ids,
 )
 from chartmeter.llm.common import slices
 from chartmeter.llm.queries import tokenizer
@@ -230,6 +234,69 @@ def test_damage_is_noticed():
         id_coder.pack(np.array([1 << 16]))
 
 
+def _text_ids():
+    """Ids of made-up sentences of 4,000 words, some of which like to follow one another."""
+    rng = np.random.default_rng(3)
+    follow = rng.integers(0, 4000, 4000)
+    ids = rng.zipf(1.2, 1 << 18) % 4000
+    for t in np.flatnonzero(rng.random(len(ids)) < 0.4):
+        ids[t] = follow[ids[t - 1]]
+    return ids * 11
+
+
+def test_ids_of_texts_take_less_room_than_zlib():
+    ids = _text_ids()
+    assert len(id_coder.pack(ids)) < len(zlib.compress(ids.astype("<u2").tobytes(), 6))
+
+
+def test_ids_are_coded_and_read_in_little_time():
+    """At most 40 additions in Python an id; it was over 80."""
+    ids = np.tile(_text_ids(), 4)
+    id_coder.unpack(id_coder.pack(ids[:1000]))
+    start = time.thread_time()
+    for _ in range(10):
+        sum(range(1 << 20))
+    addition = (time.thread_time() - start) / (10 << 20)
+    start = time.thread_time()
+    found = id_coder.unpack(id_coder.pack(ids))
+    assert time.thread_time() - start < 40 * addition * len(ids)
+    assert (found == ids).all()
+
+
+def test_blocks_do_not_depend_on_those_coded_in_step(monkeypatch):
+    ids = _text_ids()[:9000]
+    packed = id_coder.pack(ids)
+    monkeypatch.setattr(id_coder, "LANES", 4)
+    assert id_coder.pack(ids) == packed
+    assert (id_coder.unpack(packed) == ids).all()
+
+
+def test_damage_anywhere_is_noticed():
+    packed = id_coder.pack(_text_ids()[:3000])
+    for at in range(0, len(packed), 97):
+        damaged = bytearray(packed)
+        damaged[at] ^= 16
+        with pytest.raises(ValueError):
+            id_coder.unpack(bytes(damaged))
+
+
+def test_ids_of_other_tokenizers(tmp_path):
+    from tokenizers import Tokenizer
+
+    with open(tokenizer("word_bpe_49k.json"), encoding="utf-8") as file:
+        other = json.load(file)
+    other["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(other))
+    values = ["Some Words, some WORDS.", None, "", "it's É <|endoftext|> a;b 12"]
+    for path, exact in ((tokenizer("word_bpe_49k.json"), True), (str(tmp_path / "cased.json"), False)):
+        assert word_ids.fits(path) == exact
+        library = Tokenizer.from_file(path)
+        want = [library.encode(x or "", add_special_tokens=False).ids for x in values]
+        ids, ends = token_files._encoder(path)(pa.record_batch({"t": pa.array(values)}), "t")
+        assert ids.tolist() == sum(want, [])
+        assert ends.tolist() == np.cumsum([len(x) for x in want]).tolist()
+
+
 def test_token_files_equal_the_library(spark, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
