@@ -2,8 +2,8 @@
 
 For tokenizers whose pre-tokens never reach over white space, a text's ids are those of its
 words, and a word's are those of its letters and of the stops behind them. So words are
-told apart by Arrow, and the library sees only words it has not met, many at a time with a
-special token between them.
+told apart by Arrow, and the library sees only words it has not met: its model those of plain
+letters, the whole tokenizer all others, many at a time with a special token between them.
 """
 
 from __future__ import annotations
@@ -19,6 +19,13 @@ import pyarrow.compute as pc
 MEMO, MEMO_BYTES, AT_ONCE = 1 << 21, 256 << 20, 512
 #: Stops that follow an ASCII letter or digit at the end of a word are a pre-token of their own.
 _STOPS = r"^(?s:(?P<stem>.*[a-z0-9])(?P<stops>[.,;:!?]+))$"
+#: In tokenizers that fit, so is any ASCII punctuation without apostrophes.
+_SIGNS = r"^(?s:(?P<stem>.*[a-z0-9ß-öø-ÿ])(?P<stops>[!-&(-/:-@\[-`{-~]+))$"
+#: Words that normalizing and splitting leave as they are, and the bytes in them that the model
+#: knows by other characters than those of Latin-1.
+_LETTERS = r"^[a-zß-öø-ÿ]+$"
+_BYTES = np.arange(256, dtype="<u4")
+_BYTES[0x80:0xA1], _BYTES[0xAD] = np.arange(290, 323), 323
 #: What a tokenizer does before its model, for ``WordIds`` to be exact.
 _NORMALIZERS = [
     {"type": "NFC"},
@@ -63,11 +70,30 @@ class WordIds:
 
         self.library = Tokenizer.from_file(path)
         self.separator, self.mark = separator, self.library.token_to_id(separator)
+        self.model = self.library.model if fits(path, separator) else None
         self.words = pa.array([], pa.string())
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _encode(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, and how many each has."""
+        if not self.model:
+            return self._whole(words.to_pylist())
+        bare = pc.match_substring_regex(words, _LETTERS)
+        letters = np.frombuffer("\n".join(words.filter(bare).to_pylist()).encode(), np.uint8)
+        spelled = _BYTES[letters].tobytes().decode("utf-32-le").split()
+        found = [[t.id for t in self.model.tokenize(w)] for w in spelled]
+        others, sizes = self._whole(words.filter(pc.invert(bare)).to_pylist())
+        flat = np.concatenate([np.array([i for ids in found for i in ids], np.uint32), others])
+        # Both kinds, in the order of the words.
+        sizes = np.concatenate([np.array([len(ids) for ids in found], np.int64), sizes])
+        place = np.empty(len(words), np.int64)
+        bare = bare.to_numpy(zero_copy_only=False)
+        place[bare], place[~bare] = np.arange(len(found)), np.arange(len(found), len(words))
+        lengths = sizes[place]
+        return flat[_ranges((np.cumsum(sizes) - sizes)[place], lengths)], lengths
+
+    def _whole(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same by the whole tokenizer."""
         flat, lengths = [], []
         between = f" {self.separator} "
         for at in range(0, len(words), AT_ONCE):
@@ -92,7 +118,7 @@ class WordIds:
                 self.words, self.flat, self.starts = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
                 return self._known(words)
             new = words.filter(at.is_null())
-            flat, lengths = self._encode(new.to_pylist())
+            flat, lengths = self._encode(new)
             self.flat = np.concatenate([self.flat, flat])
             self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
             places = at.to_numpy(zero_copy_only=False)
@@ -108,8 +134,8 @@ class WordIds:
         words = coded.dictionary
         plain = pc.match_substring(words, "<|")  # a special token's letters keep their case
         lower = pc.if_else(plain, words, pc.ascii_lower(words))
-        cut = pc.extract_regex(lower, _STOPS)
-        whole = cut.is_null()
+        cut = pc.extract_regex(lower, _SIGNS if self.model else _STOPS)
+        whole = pc.or_(plain, cut.is_null())
         stem = pc.if_else(whole, lower, pc.struct_field(cut, "stem"))
         stops = pc.if_else(whole, "", pc.struct_field(cut, "stops"))
         halves = pa.concat_arrays([stem.cast(pa.string()), stops.cast(pa.string())]).dictionary_encode()

@@ -287,7 +287,9 @@ def test_ids_of_other_tokenizers(tmp_path):
         other = json.load(file)
     other["normalizer"]["normalizers"].pop()
     (tmp_path / "cased.json").write_text(json.dumps(other))
-    values = ["Some Words, some WORDS.", None, "", "it's É <|endoftext|> a;b 12"]
+    letters = "".join(map(chr, range(0xC0, 0x180)))
+    values = ["Some Words, some WORDS.", None, "", "it's É <|endoftext|> a;b 12", " ".join(letters), letters, "ªº µ a\u0301 naïve\xad"]
+    values.append("a### é$$. x', it's, x<|endoftext|>. y<|z 5%% don't!?& A> b>\u0338 'tis #'s _a_ ñ)] ΑΣ# ß~ ÿ{ \u00d7. ÷!")
     for path, exact in ((tokenizer("word_bpe_49k.json"), True), (str(tmp_path / "cased.json"), False)):
         assert word_ids.fits(path) == exact
         library = Tokenizer.from_file(path)
